@@ -1,0 +1,31 @@
+"""Join helpers with an explicit size check before broadcasting."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Largest dimension (rows) we are willing to ship to every executor.  A zone
+# table has a few hundred rows; anything near this bound is a fact table and
+# must go through a shuffle join (AQE may still switch it at runtime).
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows.
+
+    Runs ``limit(max_rows + 1).count()``: the scan stops after max_rows + 1
+    rows, so the check is cheap even on a huge table.
+    """
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def maybe_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
+                    size_checked_on: DataFrame | None = None) -> DataFrame:
+    """Broadcast hint only behind a proven row bound.
+
+    ``size_checked_on`` lets the caller check a cheaper upstream frame whose
+    row count bounds ``df`` (e.g. the raw lookup before de-duplication).
+    """
+    probe = size_checked_on if size_checked_on is not None else df
+    return F.broadcast(df) if fits_broadcast(probe, max_rows) else df
