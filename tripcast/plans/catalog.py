@@ -90,3 +90,357 @@ def demand_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("demand_series", _with(SQL_LOOKUP, SQL_TRIPS, SQL_COUNTED, SQL_GRID, SQL_FILLED,
                                 SQL_SERIES) + "SELECT * FROM series")(demand_series)
+
+
+# ====================================================================== sources
+@register("read_trips", """
+SELECT o_orderdate AS pickup_datetime, o_custkey AS PULocationID FROM orders""")
+def read_trips_q(spark, sf_dir):
+    """Pruned scan - only the pickup time and location reach the reader."""
+    return T.trips_orders(spark, sf_dir).select("pickup_datetime", "PULocationID")
+
+
+@register("derive_zone_lookup", """
+SELECT DISTINCT o_custkey AS LocationID, 'Region-' || CAST(o_custkey AS VARCHAR) AS Borough
+FROM orders WHERE o_custkey IS NOT NULL""")
+def derive_zone_lookup_q(spark, sf_dir):
+    from tripcast.sources.files import derive_zone_lookup
+    return derive_zone_lookup(T.trips_orders(spark, sf_dir))
+
+
+@register("assert_months_complete", """
+WITH months AS (
+  SELECT CAST(m AS DATE) AS month
+  FROM generate_series(TIMESTAMP '2001-01-01', TIMESTAMP '2001-12-01', INTERVAL 1 MONTH) t(m)),
+present AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS month FROM orders)
+SELECT month FROM months WHERE month NOT IN (SELECT month FROM present)""")
+def assert_months_complete_q(spark, sf_dir):
+    """S12 over the 2001 window, where the orders stop in August."""
+    from tripcast.sources.files import missing_months
+    scope = SCOPE.with_changes(window_start=date(2001, 1, 1), window_end=date(2001, 12, 31))
+    present = T.trips_orders(spark, sf_dir).select(
+        F.trunc(F.col("pickup_datetime").cast("date"), "MM").alias("month"))
+    return missing_months(present, scope)
+
+
+# ====================================================================== quality
+def _events_cols():
+    return ["event_id", "ts", "user_id", "event_type", "value", "props"]
+
+
+def _nulls_sql():
+    parts = []
+    for i, c in enumerate(_events_cols()):
+        pred = f"{c} IS NULL OR isnan({c})" if c == "value" else f"{c} IS NULL"
+        parts.append(f"SELECT {i} AS ordinal, '{c}' AS \"column\", "
+                     f"CAST(count(*) FILTER (WHERE {pred}) AS BIGINT) AS null_count, "
+                     f"round(coalesce(100.0 * count(*) FILTER (WHERE {pred}) / nullif(count(*), 0), 0.0), 6) AS null_pct FROM events")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("profile_nulls", _nulls_sql())
+def profile_nulls_q(spark, sf_dir):
+    return r6(Q.profile_nulls(T.table(spark, sf_dir, "events")), "null_pct")
+
+
+@register("profile_schema", None)
+def profile_schema_q(spark, sf_dir):
+    return Q.profile_schema(T.table(spark, sf_dir, "events"))
+
+
+@register("date_range", """
+SELECT min(o_orderdate) AS min_pickup, max(o_orderdate) AS max_pickup,
+       date_diff('day', CAST(min(o_orderdate) AS DATE), CAST(max(o_orderdate) AS DATE)) AS span_days
+FROM orders""")
+def date_range_q(spark, sf_dir):
+    return Q.date_range(T.trips_orders(spark, sf_dir))
+
+
+@register("count_duplicates", """
+SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_count
+FROM (SELECT count(*) AS n FROM events GROUP BY user_id, event_type)""")
+def count_duplicates_q(spark, sf_dir):
+    return Q.count_duplicates(T.table(spark, sf_dir, "events").select("user_id", "event_type"))
+
+
+SQL_MODAL = """
+  modal AS (
+    SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS stated_month, count(*) AS n
+    FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1 ORDER BY n DESC, 1 LIMIT 1)"""
+
+
+@register("infer_stated_month", _with(SQL_MODAL) + "SELECT stated_month, n FROM modal")
+def infer_stated_month_q(spark, sf_dir):
+    return Q.modal_month(T.trips_orders(spark, sf_dir))
+
+
+@register("flag_outside_month", _with(SQL_MODAL) + """
+SELECT 0 AS ordinal, 'pickup_outside_stated_month' AS violation_type,
+       CAST(count(*) AS BIGINT) AS count, CAST(min(o_orderkey) AS VARCHAR) AS example_key
+FROM orders, modal
+WHERE o_orderdate IS NOT NULL
+  AND CAST(date_trunc('month', o_orderdate) AS DATE) <> modal.stated_month
+HAVING count(*) >= 1""")
+def flag_outside_month_q(spark, sf_dir):
+    """Q7 + Q9: orders outside the modal (stated) month, first offender by key."""
+    v = Q.flag_domain_violations(T.trips_orders(spark, sf_dir), order_key="row_id")
+    return v.select("ordinal", "violation_type", "count", "example_key")
+
+
+@register("flag_negative", """
+SELECT 0 AS ordinal, 'negative_driver_pay' AS violation_type, CAST(count(*) AS BIGINT) AS count,
+       CAST(arg_min(c_custkey, c_custkey) AS VARCHAR) AS example_key,
+       arg_min(c_acctbal, c_custkey) AS example_value
+FROM customer WHERE c_acctbal < 0 HAVING count(*) >= 1""")
+def flag_negative_q(spark, sf_dir):
+    """Q8 + Q9: negative account balances read as a non-negative measure."""
+    c = T.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("row_id"), F.col("c_acctbal").alias("driver_pay"),
+        "c_mktsegment")
+    v = Q.flag_domain_violations(c, order_key="row_id")
+    return v.select("ordinal", "violation_type", "count", "example_key",
+                    F.get_json_object("example", "$.driver_pay").cast("double").alias("example_value"))
+
+
+SQL_VALIDATION_REPORT = """WITH
+  modal AS (
+    SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS stated_month, count(*) AS n
+    FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1 ORDER BY n DESC, 1 LIMIT 1)
+SELECT 'nulls' AS section, 0 AS ordinal, 'row_id' AS key, 'null_count' AS metric, round(CAST(count(*) FILTER (WHERE o_orderkey IS NULL) AS DOUBLE), 6) AS value, CAST(NULL AS VARCHAR) AS text FROM orders
+UNION ALL
+SELECT 'nulls', 0, 'row_id', 'null_pct', round(coalesce(100.0 * count(*) FILTER (WHERE o_orderkey IS NULL) / nullif(count(*), 0), 0.0), 6), NULL FROM orders
+UNION ALL
+SELECT 'nulls' AS section, 1 AS ordinal, 'pickup_datetime' AS key, 'null_count' AS metric, round(CAST(count(*) FILTER (WHERE o_orderdate IS NULL) AS DOUBLE), 6) AS value, CAST(NULL AS VARCHAR) AS text FROM orders
+UNION ALL
+SELECT 'nulls', 1, 'pickup_datetime', 'null_pct', round(coalesce(100.0 * count(*) FILTER (WHERE o_orderdate IS NULL) / nullif(count(*), 0), 0.0), 6), NULL FROM orders
+UNION ALL
+SELECT 'nulls' AS section, 2 AS ordinal, 'PULocationID' AS key, 'null_count' AS metric, round(CAST(count(*) FILTER (WHERE o_custkey IS NULL) AS DOUBLE), 6) AS value, CAST(NULL AS VARCHAR) AS text FROM orders
+UNION ALL
+SELECT 'nulls', 2, 'PULocationID', 'null_pct', round(coalesce(100.0 * count(*) FILTER (WHERE o_custkey IS NULL) / nullif(count(*), 0), 0.0), 6), NULL FROM orders
+UNION ALL
+SELECT 'nulls' AS section, 3 AS ordinal, 'base_passenger_fare' AS key, 'null_count' AS metric, round(CAST(count(*) FILTER (WHERE o_totalprice IS NULL OR isnan(o_totalprice)) AS DOUBLE), 6) AS value, CAST(NULL AS VARCHAR) AS text FROM orders
+UNION ALL
+SELECT 'nulls', 3, 'base_passenger_fare', 'null_pct', round(coalesce(100.0 * count(*) FILTER (WHERE o_totalprice IS NULL OR isnan(o_totalprice)) / nullif(count(*), 0), 0.0), 6), NULL FROM orders
+UNION ALL
+SELECT 'date_range', 0, 'pickup_datetime', 'min', NULL, CAST(min(o_orderdate) AS VARCHAR) FROM orders
+UNION ALL
+SELECT 'date_range', 1, 'pickup_datetime', 'max', NULL, CAST(max(o_orderdate) AS VARCHAR) FROM orders
+UNION ALL
+SELECT 'duplicates', 0, 'all_columns', 'duplicate_count', round(CAST(coalesce(sum(n - 1), 0) AS DOUBLE), 6), NULL FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderkey, o_orderdate, o_custkey, o_totalprice)
+UNION ALL
+SELECT 'violations', 0, 'pickup_outside_stated_month', 'count', round(CAST(count(*) AS DOUBLE), 6), NULL FROM orders, modal WHERE o_orderdate IS NOT NULL AND CAST(date_trunc('month', o_orderdate) AS DATE) <> modal.stated_month HAVING count(*) >= 1
+UNION ALL
+SELECT 'violations', 1, 'negative_base_passenger_fare', 'count', round(CAST(count(*) AS DOUBLE), 6), NULL FROM orders WHERE o_totalprice < 0 HAVING count(*) >= 1"""
+
+
+@register("validation_report", SQL_VALIDATION_REPORT)
+def validation_report_q(spark, sf_dir):
+    """Q10 over the orders trips (schema rows carry Spark type names, so they
+    are left to the unit tests); the example JSON stays out of the check."""
+    rep = Q.validation_report(T.trips_orders(spark, sf_dir), order_key="row_id")
+    return r6(rep.where("section <> 'schema'").select(
+        "section", "ordinal", "key", "metric", "value",
+        F.when(F.col("section") == "date_range", F.col("text")).alias("text")), "value")
+
+
+@register("validation_report_by_file", """
+WITH t AS (
+  SELECT 'orders_' || CAST(year(o_orderdate) AS VARCHAR) AS file, o_orderdate AS ts,
+         o_totalprice AS fare, CAST(date_trunc('month', o_orderdate) AS DATE) AS m
+  FROM orders),
+bym AS (SELECT file, m, count(*) AS n FROM t WHERE m IS NOT NULL GROUP BY 1, 2),
+modal AS (SELECT file, m AS stated FROM (
+  SELECT file, m, row_number() OVER (PARTITION BY file ORDER BY n DESC, m) AS rk FROM bym) WHERE rk = 1),
+dups AS (SELECT file, sum(n - 1) AS d FROM (
+  SELECT file, count(*) AS n FROM (SELECT 'orders_' || CAST(year(o_orderdate) AS VARCHAR) AS file, * FROM orders)
+  GROUP BY file, o_orderkey, o_orderdate, o_custkey, o_totalprice) GROUP BY file),
+wide AS (
+  SELECT t.file, CAST(count(*) AS DOUBLE) AS rows,
+         CAST(epoch(min(ts)) AS DOUBLE) AS min_pickup, CAST(epoch(max(ts)) AS DOUBLE) AS max_pickup,
+         CAST(count(*) FILTER (WHERE t.m IS NOT NULL AND t.m <> modal.stated) AS DOUBLE) AS outside,
+         CAST(count(*) FILTER (WHERE fare < 0) AS DOUBLE) AS neg
+  FROM t LEFT JOIN modal ON t.file = modal.file GROUP BY t.file)
+SELECT * FROM (
+  SELECT w.file, 0 AS ordinal, 'rows' AS metric, rows AS value FROM wide w
+  UNION ALL SELECT w.file, 1, 'duplicate_count', CAST(coalesce(d.d, 0) AS DOUBLE) FROM wide w LEFT JOIN dups d ON w.file = d.file
+  UNION ALL SELECT file, 2, 'min_pickup', min_pickup FROM wide
+  UNION ALL SELECT file, 3, 'max_pickup', max_pickup FROM wide
+  UNION ALL SELECT file, 4, 'pickup_outside_stated_month', outside FROM wide
+  UNION ALL SELECT file, 5, 'negative_base_passenger_fare', neg FROM wide)
+WHERE NOT (ordinal >= 4 AND value = 0)""")
+def validation_report_by_file_q(spark, sf_dir):
+    """Q11: one report per yearly 'file' of orders, modal month per file."""
+    t = T.trips_orders(spark, sf_dir).select(
+        F.concat(F.lit("orders_"), F.year("pickup_datetime").cast("string")).alias("file"),
+        "row_id", "pickup_datetime", "PULocationID", "base_passenger_fare")
+    return r6(Q.validation_report_by_file(t, "file"), "value")
+
+
+@register("check_contract", """
+WITH a AS (
+  SELECT count(*) FILTER (WHERE o_totalprice IS NOT NULL AND o_totalprice <> round(o_totalprice)) AS bf,
+         count(*) FILTER (WHERE o_totalprice < 0) AS bg
+  FROM orders)
+SELECT (bf = 0 AND bg = 0) AS ok,
+       CASE WHEN bf > 0 THEN 'Column ''demand'' must contain whole-number trip counts but has fractional values.'
+            WHEN bg > 0 THEN 'Column ''demand'' must be non-negative (>= 0) but has negative values.' END AS error,
+       CASE WHEN bf > 0 OR bg > 0 THEN 'demand' END AS offending_column
+FROM a""")
+def check_contract_q(spark, sf_dir):
+    """Q12 on orders read as (period, region, demand=total price): fractional."""
+    o = T.table(spark, sf_dir, "orders").select(
+        F.col("o_orderdate").alias("period"), F.col("o_orderpriority").alias("region"),
+        F.col("o_totalprice").alias("demand"))
+    return Q.check_contract(o)
+
+
+@register("check_contract_series", _with(SQL_LOOKUP, SQL_TRIPS, SQL_COUNTED, SQL_GRID, SQL_FILLED) + """
+SELECT count(*) FILTER (WHERE demand < 0) = 0 AS ok, CAST(NULL AS VARCHAR) AS error,
+       CAST(NULL AS VARCHAR) AS offending_column FROM filled""")
+def check_contract_series_q(spark, sf_dir):
+    """Q12 on the prepared series: conforms."""
+    return Q.check_contract(demand_series(spark, sf_dir))
+
+
+SQL_CLEAN_ORDERS = _with(SQL_MODAL) + """, clean AS (
+  SELECT o_orderkey AS row_id, o_orderdate AS pickup_datetime, o_custkey AS PULocationID,
+         o_totalprice AS base_passenger_fare
+  FROM orders, modal
+  WHERE NOT coalesce(o_orderdate IS NOT NULL AND CAST(date_trunc('month', o_orderdate) AS DATE) <> modal.stated_month, false)
+    AND NOT coalesce(o_totalprice < 0, false))
+"""
+
+
+@register("apply_validity_rules", SQL_CLEAN_ORDERS + "SELECT * FROM clean")
+def apply_validity_rules_q(spark, sf_dir):
+    """Q14: drop rule with the inferred stated month (the reference default)."""
+    return Q.apply_validity_rules(T.trips_orders(spark, sf_dir))[0]
+
+
+@register("handling_log", _with(SQL_MODAL) + """
+SELECT 'drop' AS rule, CAST(count(*) FILTER (WHERE bad) AS BIGINT) AS total_invalid_handled,
+       CAST(count(*) FILTER (WHERE outside) AS BIGINT) AS outside_month,
+       CAST(count(*) FILTER (WHERE neg) AS BIGINT) AS negative_fare,
+       CAST(count(*) AS BIGINT) AS input_row_count,
+       CAST(count(*) FILTER (WHERE NOT bad) AS BIGINT) AS output_row_count
+FROM (SELECT *, outside OR neg AS bad FROM (
+  SELECT coalesce(o_orderdate IS NOT NULL AND CAST(date_trunc('month', o_orderdate) AS DATE) <> modal.stated_month, false) AS outside,
+         coalesce(o_totalprice < 0, false) AS neg
+  FROM orders, modal))""")
+def handling_log_q(spark, sf_dir):
+    """Q15: the log of the Q14 run."""
+    log = Q.apply_validity_rules(T.trips_orders(spark, sf_dir))[1]
+    return log.select("rule", "total_invalid_handled",
+                      F.coalesce(F.col("counts_by_type")["pickup_outside_stated_month"], F.lit(0))
+                      .cast("long").alias("outside_month"),
+                      F.coalesce(F.col("counts_by_type")["negative_base_passenger_fare"], F.lit(0))
+                      .cast("long").alias("negative_fare"),
+                      "input_row_count", "output_row_count")
+
+
+SQL_EVENT_TRIPS = """
+  et AS (
+    SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS pickup_datetime, user_id AS PULocationID,
+           event_type AS region, CAST(CASE WHEN event_type = 'purchase' THEN -1.0 ELSE 0.0 END AS DOUBLE) AS tips
+    FROM events)"""
+
+
+def _event_trips(spark, sf_dir):
+    """Events as day-level trips per user; a purchase carries a tip of -1
+    (a refund marker) so the negative-measure rule has work to do."""
+    e = T.table(spark, sf_dir, "events")
+    return e.select(F.col("ts").cast("date").cast("timestamp_ntz").alias("pickup_datetime"),
+                    F.col("user_id").alias("PULocationID"), F.col("event_type").alias("region"),
+                    F.when(F.col("event_type") == "purchase", F.lit(-1.0))
+                     .otherwise(F.lit(0.0)).alias("tips"))
+
+
+@register("apply_validity_rules_dedup", _with(SQL_EVENT_TRIPS) + """
+SELECT DISTINCT * FROM et WHERE NOT coalesce(tips < 0, false) AND region IS NOT NULL""")
+def apply_validity_rules_dedup_q(spark, sf_dir):
+    """Q14 + Q16 + Q17: later copies and NULL regions are invalid too."""
+    return Q.apply_validity_rules(_event_trips(spark, sf_dir), stated_month=None,
+                                  check_duplicates=True, null_columns=["region"])[0]
+
+
+@register("handling_log_dedup", _with(SQL_EVENT_TRIPS) + """
+, g AS (SELECT count(*) AS n, bool_or(NOT coalesce(tips < 0, false) AND region IS NOT NULL) AS ok,
+               bool_or(coalesce(tips < 0, false)) AS neg, bool_or(region IS NULL) AS nul
+        FROM et GROUP BY pickup_datetime, PULocationID, region, tips)
+SELECT CAST(sum(n) - count(*) FILTER (WHERE ok) AS BIGINT) AS total_invalid_handled,
+       CAST(coalesce(sum(n) FILTER (WHERE neg), 0) AS BIGINT) AS negative_tips,
+       CAST(sum(n - 1) AS BIGINT) AS duplicate,
+       CAST(sum(n) AS BIGINT) AS input_row_count,
+       CAST(count(*) FILTER (WHERE ok) AS BIGINT) AS output_row_count
+FROM (SELECT * FROM g)""")
+def handling_log_dedup_q(spark, sf_dir):
+    log = Q.apply_validity_rules(_event_trips(spark, sf_dir), stated_month=None,
+                                 check_duplicates=True, null_columns=["region"])[1]
+    m = F.col("counts_by_type")
+    return log.select("total_invalid_handled",
+                      F.coalesce(m["negative_tips"], F.lit(0)).cast("long").alias("negative_tips"),
+                      F.coalesce(m["duplicate"], F.lit(0)).cast("long").alias("duplicate"),
+                      "input_row_count", "output_row_count")
+
+
+SQL_IN_WINDOW = f"""
+  in_window AS (
+    SELECT count(*) AS n FROM trips t JOIN lookup l ON t.PULocationID = l.LocationID
+    WHERE NOT coalesce(t.base_passenger_fare < 0, false)
+      AND CAST(t.pickup_datetime AS DATE) BETWEEN DATE '{W_START}' AND DATE '{W_END}')"""
+
+
+@register("reconcile", _with(SQL_LOOKUP, SQL_TRIPS, SQL_COUNTED, SQL_GRID, SQL_FILLED, SQL_IN_WINDOW) + """
+SELECT CAST(sum(demand) AS BIGINT) AS total_demand, CAST(max(n) AS BIGINT) AS raw_valid_count,
+       CAST(sum(demand) - max(n) AS BIGINT) AS difference, sum(demand) = max(n) AS reconciled
+FROM filled, in_window""")
+def reconcile_q(spark, sf_dir):
+    """Q18: series total vs the valid trips that have a region inside the window (T5)."""
+    from tripcast.operators.prepare import map_zones_to_regions
+    trips = T.trips_orders(spark, sf_dir)
+    clean, _ = Q.apply_validity_rules(trips, stated_month=None)
+    mapped = map_zones_to_regions(clean, T.zone_lookup_customers(spark, sf_dir))
+    d = F.col("pickup_datetime").cast("date")
+    usable = mapped.where(F.col("region").isNotNull() &
+                          d.between(F.lit(SCOPE.window_start), F.lit(SCOPE.window_end)))
+    return Q.reconcile(demand_series(spark, sf_dir), usable)
+
+
+@register("reconcile_partials", _with(SQL_LOOKUP, SQL_TRIPS, SQL_COUNTED, SQL_GRID, SQL_FILLED) + f"""
+SELECT CAST((SELECT sum(demand) FROM counted WHERE CAST(period AS DATE) BETWEEN DATE '{W_START}' AND DATE '{W_END}') AS BIGINT) AS partials_total,
+       CAST((SELECT sum(demand) FROM filled) AS BIGINT) AS series_total,
+       CAST((SELECT sum(demand) FROM filled) - (SELECT sum(demand) FROM counted WHERE CAST(period AS DATE) BETWEEN DATE '{W_START}' AND DATE '{W_END}') AS BIGINT) AS difference,
+       (SELECT sum(demand) FROM filled) = (SELECT sum(demand) FROM counted WHERE CAST(period AS DATE) BETWEEN DATE '{W_START}' AND DATE '{W_END}') AS reconciled""")
+def reconcile_partials_q(spark, sf_dir):
+    """Q19: per-month partial counts (independent plan) vs the prepared series."""
+    from tripcast.operators.prepare import aggregate_demand_by_zone
+    clean, _ = Q.apply_validity_rules(T.trips_orders(spark, sf_dir), stated_month=None)
+    counted = aggregate_demand_by_zone(clean, T.zone_lookup_customers(spark, sf_dir), SCOPE)
+    partials = counted.where(F.col("period").cast("date").between(
+        F.lit(SCOPE.window_start), F.lit(SCOPE.window_end)))
+    return Q.reconcile_partials(partials, demand_series(spark, sf_dir))
+
+
+@register("check_grid", _with(SQL_LOOKUP, SQL_TRIPS, SQL_COUNTED, SQL_GRID, SQL_FILLED) + """
+SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT period) AS BIGINT) AS periods,
+       CAST(count(DISTINCT region) AS BIGINT) AS regions,
+       CAST(count(DISTINCT (period, region)) AS BIGINT) AS distinct_keys,
+       CAST(min(demand) AS BIGINT) AS min_demand,
+       count(*) = count(DISTINCT period) * count(DISTINCT region)
+         AND count(DISTINCT (period, region)) = count(*) AND min(demand) >= 0 AS complete
+FROM filled""")
+def check_grid_q(spark, sf_dir):
+    return Q.check_grid(demand_series(spark, sf_dir))
+
+
+@register("check_lags", _with(SQL_LOOKUP, SQL_TRIPS, SQL_COUNTED, SQL_GRID, SQL_FILLED, SQL_SERIES) + """
+, rn AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY period) AS rn FROM series)
+SELECT CAST(v.k AS INTEGER) AS lag, CAST(count(*) AS BIGINT) AS checked,
+       CAST(count(*) FILTER (WHERE (CASE v.k WHEN 1 THEN a.lag_1 WHEN 7 THEN a.lag_7 ELSE a.lag_14 END)
+                                   IS DISTINCT FROM CAST(b.demand AS DOUBLE)) AS BIGINT) AS mismatches
+FROM (VALUES (1), (7), (14)) v(k) CROSS JOIN rn a
+LEFT JOIN rn b ON a.region = b.region AND b.rn = a.rn - v.k
+GROUP BY v.k""")
+def check_lags_q(spark, sf_dir):
+    """Q21: independent row-shift re-computation of the flagship's lags."""
+    return Q.check_lags(demand_series(spark, sf_dir), SCOPE.lags)
