@@ -444,3 +444,147 @@ GROUP BY v.k""")
 def check_lags_q(spark, sf_dir):
     """Q21: independent row-shift re-computation of the flagship's lags."""
     return Q.check_lags(demand_series(spark, sf_dir), SCOPE.lags)
+
+
+# ================================================================== preparation
+SQL_LOOKUP_NO_ASIA = """
+  lookup AS (
+    SELECT c.c_custkey AS LocationID, min(r.r_name) AS Borough
+    FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
+                    JOIN region r ON n.n_regionkey = r.r_regionkey
+    WHERE r.r_name <> 'ASIA'
+    GROUP BY c.c_custkey)"""
+
+
+def _lookup_no_asia(spark, sf_dir):
+    """The zone lookup with one region removed, so some trips stay unmatched."""
+    return T.zone_lookup_customers(spark, sf_dir).where(F.col("Borough") != "ASIA")
+
+
+@register("map_zones_to_regions", _with(SQL_LOOKUP_NO_ASIA, SQL_TRIPS) + """
+SELECT t.*, l.Borough AS region FROM trips t LEFT JOIN lookup l ON t.PULocationID = l.LocationID""")
+def map_zones_to_regions_q(spark, sf_dir):
+    """Left join; trips of the removed region keep a NULL region."""
+    return P.map_zones_to_regions(T.trips_orders(spark, sf_dir), _lookup_no_asia(spark, sf_dir))
+
+
+@register("aggregate_demand", _with(SQL_LOOKUP_NO_ASIA, SQL_TRIPS) + """
+SELECT CAST(CAST(t.pickup_datetime AS DATE) AS TIMESTAMP) AS period, l.Borough AS region,
+       CAST(count(*) AS BIGINT) AS demand
+FROM trips t JOIN lookup l ON t.PULocationID = l.LocationID
+WHERE t.pickup_datetime IS NOT NULL GROUP BY 1, 2""")
+def aggregate_demand_q(spark, sf_dir):
+    """P2 + P3: daily trips per region; NULL regions are left out."""
+    mapped = P.map_zones_to_regions(T.trips_orders(spark, sf_dir), _lookup_no_asia(spark, sf_dir))
+    return P.aggregate_demand(mapped, SCOPE)
+
+
+SQL_SUPPLIER_LOOKUP = """
+  slookup AS (
+    SELECT s.s_suppkey AS LocationID, min(r.r_name) AS Borough
+    FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey
+                    JOIN region r ON n.n_regionkey = r.r_regionkey
+    GROUP BY s.s_suppkey)"""
+SQL_LINE_COUNTED = """
+  lcounted AS (
+    SELECT CAST(CAST(l.l_shipdate AS DATE) AS TIMESTAMP) AS period, s.Borough AS region,
+           CAST(count(*) AS BIGINT) AS demand
+    FROM lineitem l JOIN slookup s ON l.l_suppkey = s.LocationID
+    WHERE l.l_shipdate IS NOT NULL AND NOT coalesce(l.l_extendedprice < 0, false)
+      AND NOT coalesce(l.l_quantity < 0, false)
+    GROUP BY 1, 2)"""
+SQL_LINE_FILLED = """
+  lfilled AS (
+    SELECT g.period, g.region, CAST(coalesce(c.demand, 0) AS BIGINT) AS demand
+    FROM grid g LEFT JOIN lcounted c ON g.period = c.period AND g.region = c.region)"""
+SQL_LINE_SERIES = """
+  lseries AS (
+    SELECT period, region, demand,
+           CAST(lag(demand, 1) OVER w AS DOUBLE) AS lag_1,
+           CAST(lag(demand, 7) OVER w AS DOUBLE) AS lag_7,
+           CAST(lag(demand, 14) OVER w AS DOUBLE) AS lag_14
+    FROM lfilled WINDOW w AS (PARTITION BY region ORDER BY period))"""
+SQL_LINE = (SQL_SUPPLIER_LOOKUP, SQL_LINE_COUNTED, SQL_GRID, SQL_LINE_FILLED, SQL_LINE_SERIES)
+
+
+def line_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The denser series: line items located at their supplier's region."""
+    from tripcast.plans.jobs import build_series
+    return build_series(T.trips_lineitem(spark, sf_dir), T.zone_lookup_suppliers(spark, sf_dir),
+                        SCOPE, regions=T.region_names(spark, sf_dir))
+
+
+@register("build_series", _with(*SQL_LINE) + "SELECT * FROM lseries")
+def build_series_q(spark, sf_dir):
+    """Lineitem -> clean -> (fused zone map + partial/final count) -> fill -> lags."""
+    return line_series(spark, sf_dir)
+
+
+@register("period_region_grid", _with(SQL_GRID) + "SELECT * FROM grid")
+def period_region_grid_q(spark, sf_dir):
+    """P5: every day of the window for every region of the region table."""
+    return P.period_region_grid(spark, SCOPE, T.region_names(spark, sf_dir))
+
+
+@register("fill_missing_periods", _with(SQL_LOOKUP_NO_ASIA, SQL_TRIPS, SQL_GRID) + """
+, counted AS (
+    SELECT CAST(CAST(t.pickup_datetime AS DATE) AS TIMESTAMP) AS period, l.Borough AS region,
+           count(*) AS demand
+    FROM trips t JOIN lookup l ON t.PULocationID = l.LocationID GROUP BY 1, 2),
+obs_regions AS (SELECT DISTINCT region FROM counted)
+SELECT g.period, g.region, CAST(coalesce(c.demand, 0) AS BIGINT) AS demand
+FROM grid g JOIN obs_regions o ON g.region = o.region
+LEFT JOIN counted c ON g.period = c.period AND g.region = c.region""")
+def fill_missing_periods_q(spark, sf_dir):
+    """P6 with the observed regions (the removed region gets no rows)."""
+    mapped = P.map_zones_to_regions(T.trips_orders(spark, sf_dir), _lookup_no_asia(spark, sf_dir))
+    return P.fill_missing_periods(P.aggregate_demand(mapped, SCOPE), SCOPE)
+
+
+@register("combine_partials", _with(SQL_LOOKUP, SQL_TRIPS, SQL_COUNTED, SQL_SUPPLIER_LOOKUP,
+                                    SQL_LINE_COUNTED) + """
+SELECT period, region, CAST(sum(demand) AS BIGINT) AS demand
+FROM (SELECT * FROM counted UNION ALL SELECT * FROM lcounted) GROUP BY 1, 2""")
+def combine_partials_q(spark, sf_dir):
+    """Two partial count tables (orders, line items) unioned and re-summed."""
+    from tripcast.operators.prepare import aggregate_demand_by_zone
+    a = aggregate_demand_by_zone(Q.apply_validity_rules(T.trips_orders(spark, sf_dir), stated_month=None)[0],
+                                 T.zone_lookup_customers(spark, sf_dir), SCOPE)
+    b = aggregate_demand_by_zone(Q.apply_validity_rules(T.trips_lineitem(spark, sf_dir), stated_month=None)[0],
+                                 T.zone_lookup_suppliers(spark, sf_dir), SCOPE)
+    return P.combine_partials(a, b)
+
+
+@register("prepare_modal_month", _with(SQL_LOOKUP, SQL_MODAL, SQL_GRID) + """
+, clean AS (
+  SELECT o_orderdate AS pickup_datetime, o_custkey AS PULocationID FROM orders, modal
+  WHERE NOT coalesce(o_orderdate IS NOT NULL AND CAST(date_trunc('month', o_orderdate) AS DATE) <> modal.stated_month, false)
+    AND NOT coalesce(o_totalprice < 0, false)),
+counted AS (
+  SELECT CAST(CAST(c.pickup_datetime AS DATE) AS TIMESTAMP) AS period, l.Borough AS region, count(*) AS demand
+  FROM clean c JOIN lookup l ON c.PULocationID = l.LocationID GROUP BY 1, 2),
+filled AS (
+  SELECT g.period, g.region, CAST(coalesce(c.demand, 0) AS BIGINT) AS demand
+  FROM grid g LEFT JOIN counted c ON g.period = c.period AND g.region = c.region)
+SELECT period, region, demand,
+       CAST(lag(demand, 1) OVER w AS DOUBLE) AS lag_1,
+       CAST(lag(demand, 7) OVER w AS DOUBLE) AS lag_7,
+       CAST(lag(demand, 14) OVER w AS DOUBLE) AS lag_14
+FROM filled WINDOW w AS (PARTITION BY region ORDER BY period)""")
+def prepare_modal_month_q(spark, sf_dir):
+    """P8 with the reference's default month rule: the modal month survives."""
+    s, _, _ = P.prepare(T.trips_orders(spark, sf_dir), T.zone_lookup_customers(spark, sf_dir),
+                        SCOPE, regions=T.region_names(spark, sf_dir), stated_month="infer")
+    return s
+
+
+@register("stage_audit", _with(SQL_LOOKUP, SQL_TRIPS, SQL_COUNTED, SQL_GRID, SQL_FILLED) + """
+SELECT 0 AS ordinal, 'raw' AS stage, CAST(count(*) AS BIGINT) AS rows FROM trips
+UNION ALL SELECT 1, 'clean', CAST(count(*) AS BIGINT) FROM trips WHERE NOT coalesce(base_passenger_fare < 0, false)
+UNION ALL SELECT 2, 'counted', CAST(count(*) AS BIGINT) FROM counted
+UNION ALL SELECT 3, 'series', CAST(count(*) AS BIGINT) FROM filled""")
+def stage_audit_q(spark, sf_dir):
+    """Row counts per stage of the flagship (samples are checked in tests)."""
+    _, _, audit = P.prepare(T.trips_orders(spark, sf_dir), T.zone_lookup_customers(spark, sf_dir),
+                            SCOPE, regions=T.region_names(spark, sf_dir), stated_month=None)
+    return audit.select("ordinal", "stage", "rows")
