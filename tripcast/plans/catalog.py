@@ -588,3 +588,392 @@ def stage_audit_q(spark, sf_dir):
     _, _, audit = P.prepare(T.trips_orders(spark, sf_dir), T.zone_lookup_customers(spark, sf_dir),
                             SCOPE, regions=T.region_names(spark, sf_dir), stated_month=None)
     return audit.select("ordinal", "stage", "rows")
+
+
+# ================================================================ exploration
+from tripcast.operators import explore as X  # noqa: E402
+from tripcast.operators import features as W  # noqa: E402
+
+SQL_TOT = """
+  tot AS (SELECT period, CAST(sum(demand) AS DOUBLE) AS y FROM filled GROUP BY period)"""
+SQL_TOT_CHAIN = (SQL_LOOKUP, SQL_TRIPS, SQL_COUNTED, SQL_GRID, SQL_FILLED, SQL_TOT)
+REGION_NAMES = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+
+
+def total_series(spark, sf_dir):
+    return X.total_per_period(demand_series(spark, sf_dir))
+
+
+@register("total_per_period", _with(*SQL_TOT_CHAIN) + "SELECT * FROM tot")
+def total_per_period_q(spark, sf_dir):
+    """P10: total over regions per period, DOUBLE."""
+    return total_series(spark, sf_dir)
+
+
+def _regions(spark, sf_dir):
+    return sorted(r[0] for r in T.region_names(spark, sf_dir).collect())  # 5-row dimension
+
+
+@register("pivot_regions", _with(*SQL_TOT_CHAIN[:-1]) + "SELECT period, " + ", ".join(
+    f"CAST(sum(demand) FILTER (WHERE region = '{r}') AS BIGINT) AS \"{r}\"" for r in REGION_NAMES)
+    + " FROM filled GROUP BY period")
+def pivot_regions_q(spark, sf_dir):
+    """Wide period x region matrix with the region list passed in."""
+    return X.pivot_regions(demand_series(spark, sf_dir), _regions(spark, sf_dir))
+
+
+@register("series_kpis", _with(*SQL_TOT_CHAIN[:-1]) + """
+SELECT CAST(sum(demand) AS BIGINT) AS total_demand, CAST(count(*) AS BIGINT) AS rows,
+       CAST(count(DISTINCT period) AS BIGINT) AS periods, CAST(count(DISTINCT region) AS BIGINT) AS regions,
+       CAST(count(DISTINCT period) * count(DISTINCT region) AS BIGINT) AS grid_cells FROM filled""")
+def series_kpis_q(spark, sf_dir):
+    return X.series_kpis(demand_series(spark, sf_dir))
+
+
+@register("region_totals", _with(*SQL_TOT_CHAIN[:-1]) + """
+, t AS (SELECT region, CAST(sum(demand) AS DOUBLE) AS total FROM filled GROUP BY region)
+SELECT region, total, CAST(row_number() OVER (ORDER BY total DESC, region) AS INTEGER) AS rank,
+       row_number() OVER (ORDER BY total DESC, region) = 1 AS is_busiest,
+       row_number() OVER (ORDER BY total DESC, region) = count(*) OVER () AS is_quietest
+FROM t""")
+def region_totals_q(spark, sf_dir):
+    """Regions ranked busiest first."""
+    return X.region_totals(demand_series(spark, sf_dir))
+
+
+@register("demand_lines", _with(*SQL_TOT_CHAIN[:-1]) + """
+SELECT period, region AS line, CAST(demand AS DOUBLE) AS demand FROM filled
+UNION ALL
+SELECT period, 'All regions', CAST(sum(demand) AS DOUBLE) FROM filled GROUP BY period""")
+def demand_lines_q(spark, sf_dir):
+    """Per-region lines plus the total line (ROLLUP)."""
+    return X.demand_lines(demand_series(spark, sf_dir))
+
+
+@register("series_summary", _with(*SQL_TOT_CHAIN) + """
+, t AS (SELECT period, y, row_number() OVER (ORDER BY period) AS rn, count(*) OVER () AS n FROM tot),
+a AS (
+  SELECT min(period) AS span_start, max(period) AS span_end, CAST(count(*) AS BIGINT) AS n_periods,
+         avg(y) FILTER (WHERE rn <= greatest(1, n // 3)) AS early_mean,
+         avg(y) FILTER (WHERE rn > n - greatest(1, n // 3)) AS late_mean,
+         arg_max(period, y * 1e12 - epoch(period)) AS peak_period, max(y) AS peak_value FROM t),
+r AS (SELECT region, sum(demand) AS total FROM filled GROUP BY region)
+SELECT span_start, span_end, n_periods, round(early_mean, 6) AS early_mean, round(late_mean, 6) AS late_mean,
+       peak_period, round(peak_value, 6) AS peak_value,
+       round(CASE WHEN early_mean > 0 THEN (late_mean - early_mean) / early_mean * 100 ELSE 0 END, 6) AS pct_change,
+       (SELECT CAST(count(*) AS BIGINT) FROM r) AS n_regions,
+       (SELECT arg_max(region, total * 1e6 - ascii(region)) FROM r) AS busiest,
+       (SELECT arg_min(region, total * 1e6 - ascii(region)) FROM r) AS quietest
+FROM a""")
+def series_summary_q(spark, sf_dir):
+    """P17 (the reading text is checked in the tests)."""
+    s = X.series_summary(demand_series(spark, sf_dir))
+    return r6(s.select("span_start", "span_end", "n_periods", "early_mean", "late_mean", "peak_period",
+                       "peak_value", "pct_change", "n_regions", "busiest", "quietest"),
+              "early_mean", "late_mean", "peak_value", "pct_change")
+
+
+# ================================================================== features
+@register("calendar_features", _with(*SQL_TOT_CHAIN) + """
+SELECT period, y, CAST(isodow(period) - 1 AS INTEGER) AS day_of_week,
+       CAST(isodow(period) >= 6 AS INTEGER) AS is_weekend, CAST(month(period) AS INTEGER) AS month,
+       CAST(day(period) AS INTEGER) AS day_of_month,
+       CAST(isodow(period) - 1 AS INTEGER) AS cal_dayofweek, CAST(day(period) AS INTEGER) AS cal_day,
+       CAST(month(period) AS INTEGER) AS cal_month, CAST(dayofyear(period) AS INTEGER) AS cal_dayofyear,
+       CAST(isodow(period) >= 6 AS INTEGER) AS cal_is_weekend,
+       CAST(weekofyear(period) AS VARCHAR) AS bucket FROM tot""")
+def calendar_features_q(spark, sf_dir):
+    """W2 + W3 + W14 on the total series."""
+    t = W.calendar_features(total_series(spark, sf_dir))
+    return W.iso_week_bucket(W.calendar_features(t, extended=True))
+
+
+@register("dow_dummies", _with(*SQL_TOT_CHAIN) + "SELECT period, y, " + ", ".join(
+    f"CASE WHEN isodow(period) - 1 = {d} THEN 1.0 ELSE 0.0 END::DOUBLE AS dow_{d}" for d in range(1, 7))
+    + " FROM tot")
+def dow_dummies_q(spark, sf_dir):
+    """Monday is the reference level."""
+    return W.dow_dummies(total_series(spark, sf_dir))
+
+
+@register("feature_matrix", _with(SQL_LOOKUP, SQL_TRIPS, SQL_COUNTED, SQL_GRID, SQL_FILLED, SQL_SERIES)
+          + "SELECT period, region, demand, lag_1, lag_7, lag_14, "
+          "CAST(isodow(period) - 1 AS INTEGER) AS cal_dayofweek, CAST(day(period) AS INTEGER) AS cal_day, "
+          "CAST(month(period) AS INTEGER) AS cal_month, CAST(dayofyear(period) AS INTEGER) AS cal_dayofyear, "
+          "CAST(isodow(period) >= 6 AS INTEGER) AS cal_is_weekend, " + ", ".join(
+              f"CASE WHEN region = '{r}' THEN 1.0 ELSE 0.0 END::DOUBLE AS \"region_{r}\"" for r in REGION_NAMES)
+          + " FROM series")
+def feature_matrix_q(spark, sf_dir):
+    """Lags + cal_* + region one-hot over the flagship series."""
+    return W.feature_matrix(demand_series(spark, sf_dir), SCOPE.lags, _regions(spark, sf_dir))
+
+
+@register("infer_step", """
+WITH p AS (SELECT DISTINCT o_orderdate AS p FROM orders WHERE o_orderdate IS NOT NULL),
+g AS (SELECT epoch(p) - epoch(lag(p) OVER (ORDER BY p)) AS gap FROM p),
+m AS (SELECT gap, count(*) AS n FROM g WHERE gap > 0 GROUP BY gap ORDER BY n DESC, gap LIMIT 1)
+SELECT CAST(coalesce((SELECT gap FROM m), 86400) AS BIGINT) AS step_seconds""")
+def infer_step_q(spark, sf_dir):
+    """W6 over the raw order stamps."""
+    return W.infer_step(T.trips_orders(spark, sf_dir), "pickup_datetime")
+
+
+@register("future_periods", _with(*SQL_TOT_CHAIN[:-1]) + """
+SELECT r.region, CAST(h AS INTEGER) AS h, m.last + h * INTERVAL 1 DAY AS period
+FROM (SELECT DISTINCT region FROM filled) r, (SELECT max(period) AS last FROM filled) m,
+     range(1, 15) t(h)""")
+def future_periods_q(spark, sf_dir):
+    """14 future days after the global last period, per region."""
+    return W.future_periods(demand_series(spark, sf_dir), 14)
+
+
+@register("window_sequences", _with(*SQL_TOT_CHAIN[:-1]) + """
+, w AS (SELECT region, period, CAST(demand AS DOUBLE) AS y,
+               list(CAST(demand AS DOUBLE)) OVER (PARTITION BY region ORDER BY period
+                                                  ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS x
+        FROM filled)
+SELECT region, period, x, y FROM w WHERE len(x) = 7""")
+def window_sequences_q(spark, sf_dir):
+    """Previous 7 values -> next value, per region."""
+    s = demand_series(spark, sf_dir).select("region", "period", F.col("demand").cast("double").alias("y"))
+    return W.window_sequences(s, 7)
+
+
+@register("standardize", _with(*SQL_TOT_CHAIN) + """
+SELECT period, y, round(avg(y) OVER (), 6) AS mu, round(CASE WHEN stddev_pop(y) OVER () <= 1e-12 THEN 1.0
+       ELSE stddev_pop(y) OVER () END, 6) AS sd,
+       round((y - avg(y) OVER ()) / CASE WHEN stddev_pop(y) OVER () <= 1e-12 THEN 1.0 ELSE stddev_pop(y) OVER () END, 6) AS z
+FROM tot""")
+def standardize_q(spark, sf_dir):
+    """Global mean / population std of the total series."""
+    s = W.standardize(total_series(spark, sf_dir), "y")
+    return r6(s.select("period", "y", F.col("__mu").alias("mu"), F.col("__sd").alias("sd"), "z"),
+              "mu", "sd", "z")
+
+
+@register("rolling_stats", _with(*SQL_TOT_CHAIN) + """
+, m AS (SELECT period, y, CASE WHEN count(y) OVER w >= 2 THEN quantile_cont(y, 0.5) OVER w END AS local_median
+        FROM tot WINDOW w AS (ORDER BY period ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+d AS (SELECT *, abs(y - local_median) AS abs_dev FROM m)
+SELECT period, round(local_median, 6) AS local_median,
+       round(CASE WHEN count(abs_dev) OVER w >= 2 THEN quantile_cont(abs_dev, 0.5) OVER w END, 6) AS local_mad,
+       round(CASE WHEN count(abs_dev) OVER w >= 2 THEN avg(abs_dev) OVER w END, 6) AS local_mean_abs_dev
+FROM d WINDOW w AS (ORDER BY period ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)""")
+def rolling_stats_q(spark, sf_dir):
+    """W11 + W12: centred 7-day rolling median and MAD of the total series."""
+    d = W.rolling_mad(W.rolling_median(total_series(spark, sf_dir), 7), 7)
+    return r6(d.select("period", "local_median", "local_mad", "local_mean_abs_dev"),
+              "local_median", "local_mad", "local_mean_abs_dev")
+
+
+@register("centered_moving_average", _with(*SQL_TOT_CHAIN) + """
+SELECT period, round(CASE WHEN count(y) OVER w7 = 7 THEN avg(y) OVER w7 END, 6) AS trend_7,
+       round(CASE WHEN count(y) OVER w12 = 13 THEN
+             (sum(y) OVER w12 - 0.5 * (lag(y, 6) OVER o + lead(y, 6) OVER o)) / 12 END, 6) AS trend_12
+FROM tot WINDOW w7 AS (ORDER BY period ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING),
+                w12 AS (ORDER BY period ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING),
+                o AS (ORDER BY period)""")
+def centered_moving_average_q(spark, sf_dir):
+    """Odd (7) and even (12, half-weight ends) centred moving averages."""
+    t = W.centered_moving_average(total_series(spark, sf_dir), 7, out="trend_7")
+    t = W.centered_moving_average(t, 12, out="trend_12")
+    return r6(t.select("period", "trend_7", "trend_12"), "trend_7", "trend_12")
+
+
+# ================================================================ statistics
+SQL_DECOMP = """
+  dtr AS (SELECT period, y, CASE WHEN count(y) OVER w = 7 THEN avg(y) OVER w END AS trend,
+                 (row_number() OVER (ORDER BY period) - 1) % 7 AS idx
+          FROM tot WINDOW w AS (ORDER BY period ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+  pm AS (SELECT idx, avg(y - trend) AS pm FROM dtr GROUP BY idx),
+  sea AS (SELECT idx, pm - avg(pm) OVER () AS seasonal FROM pm),
+  dec AS (SELECT d.period, d.y, d.trend, s.seasonal, d.y - d.trend - s.seasonal AS resid
+          FROM dtr d JOIN sea s ON d.idx = s.idx)"""
+
+
+@register("seasonal_decompose", _with(*SQL_TOT_CHAIN, SQL_DECOMP) + """
+SELECT period, y, round(trend, 6) AS trend, round(seasonal, 6) AS seasonal, round(resid, 6) AS resid FROM dec""")
+def seasonal_decompose_q(spark, sf_dir):
+    """A1: additive decomposition, period 7, of the total series."""
+    d = X.seasonal_decompose(total_series(spark, sf_dir), 7)
+    return r6(d, "trend", "seasonal", "resid")
+
+
+@register("decomposition_strength", _with(*SQL_TOT_CHAIN, SQL_DECOMP) + """
+, c AS (SELECT * FROM dec WHERE trend IS NOT NULL AND resid IS NOT NULL),
+a AS (SELECT arg_min(trend, period) FILTER (WHERE trend IS NOT NULL) AS ts,
+             arg_max(trend, period) FILTER (WHERE trend IS NOT NULL) AS te,
+             max(seasonal) - min(seasonal) AS swing,
+             (SELECT var_samp(resid) FROM c) AS vr, (SELECT var_samp(resid + seasonal) FROM c) AS vds,
+             (SELECT var_samp(resid + trend) FROM c) AS vdt,
+             stddev_samp(resid) AS sr, stddev_samp(y) AS sy FROM dec)
+SELECT round(ts, 6) AS trend_start, round(te, 6) AS trend_end,
+       round(CASE WHEN ts <> 0 THEN (te - ts) / abs(ts) * 100 ELSE 0 END, 6) AS trend_pct,
+       round(swing, 6) AS seasonal_swing,
+       round(CASE WHEN vds > 0 THEN greatest(0, 1 - vr / vds) ELSE 0 END, 6) AS seasonal_strength,
+       round(CASE WHEN vdt > 0 THEN greatest(0, 1 - vr / vdt) ELSE 0 END, 6) AS trend_strength,
+       round(sr / CASE WHEN coalesce(sy, 0) = 0 THEN 1 ELSE sy END, 6) AS resid_share
+FROM a""")
+def decomposition_strength_q(spark, sf_dir):
+    """A2 over the A1 output."""
+    d = X.decomposition_strength(X.seasonal_decompose(total_series(spark, sf_dir), 7))
+    return r6(d.drop("trend_direction"), "trend_start", "trend_end", "trend_pct", "seasonal_swing",
+              "seasonal_strength", "trend_strength", "resid_share")
+
+
+@register("adf_lag0", _with(*SQL_TOT_CHAIN) + """
+, d AS (SELECT lag(y) OVER (ORDER BY period) AS x, y - lag(y) OVER (ORDER BY period) AS dy FROM tot),
+a AS (SELECT regr_slope(dy, x) AS slope, regr_sxx(dy, x) AS sxx, regr_syy(dy, x) AS syy,
+             regr_sxy(dy, x) AS sxy, regr_count(dy, x) AS n FROM d WHERE x IS NOT NULL AND dy IS NOT NULL)
+SELECT CAST(n AS BIGINT) AS nobs, round(slope, 6) AS slope,
+       round(slope / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx), 6) AS adf_stat FROM a""")
+def adf_lag0_q(spark, sf_dir):
+    """A3 at lag 0: Dickey-Fuller t statistic from SQL regression aggregates."""
+    return r6(X.adf_lag0(total_series(spark, sf_dir)), "slope", "adf_stat")
+
+
+@register("adf_test", None)
+def adf_test_q(spark, sf_dir):
+    """A3 with the AIC lag search, per region (grouped map)."""
+    return X.adf_test(X.region_series(demand_series(spark, sf_dir)), by=["region"])
+
+
+@register("acf", _with(*SQL_TOT_CHAIN) + """
+, d AS (SELECT period, y - avg(y) OVER () AS x FROM tot),
+n AS (SELECT count(*) AS n, sum(x * x) AS c0 FROM d),
+l AS (SELECT * FROM range(0, 41) t(k))
+SELECT CAST(l.k AS INTEGER) AS lag,
+       round(sum(a.x * b.x) / max(n.c0), 6) AS acf, round(1.96 / sqrt(max(n.n)), 6) AS band
+FROM l CROSS JOIN n JOIN d a ON true
+JOIN d b ON b.period = a.period + l.k * INTERVAL 1 DAY
+GROUP BY l.k""")
+def acf_q(spark, sf_dir):
+    """A4: ACF to lag 40 with the 95% band."""
+    return r6(X.acf(total_series(spark, sf_dir)), "acf", "band")
+
+
+@register("pacf", None)
+def pacf_q(spark, sf_dir):
+    """A5: PACF (Yule-Walker / Durbin-Levinson) per region."""
+    y = X.region_series(demand_series(spark, sf_dir))
+    return X.pacf(X.acf(y, by=["region"]), by=["region"])
+
+
+@register("order_hints", None)
+def order_hints_q(spark, sf_dir):
+    """Significant lags, AR hint and weekly flag per region."""
+    y = X.region_series(demand_series(spark, sf_dir))
+    a = X.acf(y, by=["region"])
+    return X.order_hints(a, X.pacf(a, by=["region"]), by=["region"])
+
+
+SQL_ANOM = """
+  m AS (SELECT region, period, CAST(demand AS DOUBLE) AS y,
+               CASE WHEN count(demand) OVER w >= 2 THEN quantile_cont(demand, 0.5) OVER w END AS med
+        FROM filled WINDOW w AS (PARTITION BY region ORDER BY period ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+  d AS (SELECT *, abs(y - med) AS ad FROM m),
+  s AS (SELECT region, period, y, med,
+               CASE WHEN count(ad) OVER w >= 2 THEN quantile_cont(ad, 0.5) OVER w END * 1.4826 AS mad,
+               CASE WHEN count(ad) OVER w >= 2 THEN avg(ad) OVER w END * 1.2533 AS fb
+        FROM d WINDOW w AS (PARTITION BY region ORDER BY period ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+  sc AS (SELECT region, period, y AS value, med AS expected,
+                coalesce(CASE WHEN mad > 0 THEN (y - med) / mad WHEN fb <> 0 THEN (y - med) / fb END, 0.0) AS score
+         FROM s)"""
+
+
+@register("detect_anomalies", _with(*SQL_TOT_CHAIN[:-1], SQL_ANOM) + """
+SELECT region, period, value, round(expected, 6) AS expected, round(score, 6) AS score,
+       CASE WHEN score > 0 THEN 'spike' ELSE 'drop' END AS direction,
+       round(CASE WHEN expected > 0 THEN (value - expected) / expected * 100 END, 6) AS pct
+FROM sc WHERE abs(score) > 3.5""")
+def detect_anomalies_q(spark, sf_dir):
+    """A7 + A8 per region (window 7, threshold 3.5)."""
+    a = X.detect_anomalies(X.region_series(demand_series(spark, sf_dir)), by=["region"])
+    return r6(a.select("region", "period", "value", "expected", "score", "direction",
+                       X.anomaly_pct().alias("pct")), "expected", "score", "pct")
+
+
+@register("anomaly_summary", _with(*SQL_TOT_CHAIN[:-1], SQL_ANOM) + """
+, a AS (SELECT * FROM sc WHERE abs(score) > 3.5)
+SELECT region, CAST(count(*) FILTER (WHERE score > 0) AS BIGINT) AS spikes,
+       CAST(count(*) FILTER (WHERE score <= 0) AS BIGINT) AS drops,
+       arg_max(period, abs(score) * 1e9 - epoch(period) / 1e3) AS extreme_period,
+       round(arg_max(score, abs(score) * 1e9 - epoch(period) / 1e3), 6) AS extreme_score
+FROM a GROUP BY region""")
+def anomaly_summary_q(spark, sf_dir):
+    """A9 per region."""
+    a = X.detect_anomalies(X.region_series(demand_series(spark, sf_dir)), by=["region"])
+    return r6(X.anomaly_summary(a, by=["region"]), "extreme_score")
+
+
+def _corr_sql(method: str) -> str:
+    cols = ["demand", "day_of_week", "is_weekend", "month", "day_of_month"]
+    base = """
+, b AS (SELECT y AS demand, CAST(isodow(period) - 1 AS DOUBLE) AS day_of_week,
+               CAST(isodow(period) >= 6 AS DOUBLE) AS is_weekend, CAST(month(period) AS DOUBLE) AS month,
+               CAST(day(period) AS DOUBLE) AS day_of_month FROM tot)"""
+    if method == "spearman":
+        base += ", r AS (SELECT " + ", ".join(
+            f"(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0) AS {c}" for c in cols) + " FROM b)"
+        src = "r"
+    else:
+        src = "b"
+    parts = []
+    for a in cols:
+        for c in cols:
+            expr = (f"CASE WHEN stddev_pop({a}) > 0 THEN 1.0 END" if a == c else
+                    f"covar_pop({a}, {c}) / nullif(stddev_pop({a}) * stddev_pop({c}), 0)")
+            parts.append(f"SELECT '{a}' AS x, '{c}' AS y, round({expr}, 6) AS r FROM {src}")
+    return base + "\n" + "\nUNION ALL\n".join(parts)
+
+
+@register("demand_correlations", _with(*SQL_TOT_CHAIN) + _corr_sql("pearson"))
+def demand_correlations_q(spark, sf_dir):
+    """A10: Pearson matrix of total demand and the calendar features."""
+    return r6(X.demand_correlations(total_series(spark, sf_dir)), "r")
+
+
+@register("demand_correlations_spearman", _with(*SQL_TOT_CHAIN) + _corr_sql("spearman"))
+def demand_correlations_spearman_q(spark, sf_dir):
+    """Spearman (average ranks, then Pearson)."""
+    return r6(X.demand_correlations(total_series(spark, sf_dir), method="spearman"), "r")
+
+
+@register("demand_correlations_kendall", None)
+def demand_correlations_kendall_q(spark, sf_dir):
+    """Kendall tau-b (O(n log n) per series in a grouped map)."""
+    return r6(X.demand_correlations(total_series(spark, sf_dir), method="kendall"), "r")
+
+
+@register("demand_correlations_exog", _with(*SQL_TOT_CHAIN) + """
+, ex AS (SELECT CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) AS period, CAST(count(*) AS DOUBLE) AS shipments,
+                avg(l_discount) AS avg_discount FROM lineitem GROUP BY 1),
+b AS (SELECT t.y AS demand, ex.shipments, ex.avg_discount FROM tot t LEFT JOIN ex ON t.period = ex.period)
+""" + "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS x, '{c}' AS y, round(" + (
+        f"CASE WHEN stddev_pop({a}) > 0 THEN 1.0 END" if a == c else
+        f"covar_pop({a}, {c}) / nullif(stddev_pop(CASE WHEN {c} IS NOT NULL THEN {a} END) * "
+        f"stddev_pop(CASE WHEN {a} IS NOT NULL THEN {c} END), 0)") + ", 6) AS r FROM b"
+    for a in ("demand", "shipments", "avg_discount") for c in ("demand", "shipments", "avg_discount")))
+def demand_correlations_exog_q(spark, sf_dir):
+    """Correlation with an exogenous daily table derived from line items."""
+    li = T.table(spark, sf_dir, "lineitem")
+    ex = li.groupBy(F.col("l_shipdate").cast("date").cast("timestamp_ntz").alias("period")).agg(
+        F.count(F.lit(1)).cast("double").alias("shipments"), F.avg("l_discount").alias("avg_discount"))
+    return r6(X.demand_correlations(total_series(spark, sf_dir), exog=ex), "r")
+
+
+_PEARSON = _corr_sql("pearson")
+_PEARSON_CTE, _PEARSON_UNION = _PEARSON[:_PEARSON.index("\nSELECT")], _PEARSON[_PEARSON.index("\nSELECT"):]
+
+
+@register("correlation_ranking", _with(*SQL_TOT_CHAIN) + _PEARSON_CTE + ", pr AS (" + _PEARSON_UNION + ")" + """
+SELECT y AS variable, r, CAST(row_number() OVER (ORDER BY abs(r) DESC, y) AS INTEGER) AS rank,
+       CASE WHEN abs(r) >= 0.7 THEN 'strong' WHEN abs(r) >= 0.4 THEN 'moderate'
+            WHEN abs(r) >= 0.2 THEN 'weak' ELSE 'negligible' END AS strength,
+       CASE WHEN r >= 0 THEN 'positive' ELSE 'negative' END AS sign
+FROM pr WHERE x = 'demand' AND y <> 'demand' AND r IS NOT NULL""")
+def correlation_ranking_q(spark, sf_dir):
+    """demand's correlations ranked by |r| with a strength class."""
+    c = X.demand_correlations(total_series(spark, sf_dir))
+    return r6(X.correlation_ranking(c), "r")
