@@ -977,3 +977,233 @@ def correlation_ranking_q(spark, sf_dir):
     """demand's correlations ranked by |r| with a strength class."""
     c = X.demand_correlations(total_series(spark, sf_dir))
     return r6(X.correlation_ranking(c), "r")
+
+
+# ================================================= evaluation with the SQL model
+from tripcast.operators import evaluate as E  # noqa: E402
+from tripcast.operators import position as B  # noqa: E402
+from tripcast.operators.forecast import naive as NV  # noqa: E402
+from tripcast.operators.forecast import split as SP  # noqa: E402
+
+HOLDOUT = 30
+BASELINES = ("Seasonal-Naive", "Naive")
+SQL_EVAL = """
+  hp AS (SELECT DISTINCT period FROM lfilled ORDER BY period DESC LIMIT 30),
+  train AS (SELECT * FROM lfilled WHERE period NOT IN (SELECT period FROM hp)),
+  hold AS (SELECT * FROM lfilled WHERE period IN (SELECT period FROM hp)),
+  lastp AS (SELECT region, max(period) AS last, count(*) AS n FROM train GROUP BY region),
+  rd AS (SELECT region, period, demand,
+                row_number() OVER (PARTITION BY region ORDER BY period DESC) AS rd FROM train),
+  fut AS (SELECT region, h, last + h * INTERVAL 1 DAY AS period, n FROM lastp, range(1, 31) t(h)),
+  fc AS (
+    SELECT 'Seasonal-Naive' AS model, f.period, f.region,
+           CAST(coalesce(a.demand, b.demand, 0) AS DOUBLE) AS yhat
+    FROM fut f LEFT JOIN rd a ON a.region = f.region AND f.n >= 7 AND a.rd = 7 - ((f.h - 1) % 7)
+               LEFT JOIN rd b ON b.region = f.region AND b.rd = 1
+    UNION ALL
+    SELECT 'Naive', f.period, f.region, CAST(coalesce(b.demand, 0) AS DOUBLE)
+    FROM fut f LEFT JOIN rd b ON b.region = f.region AND b.rd = 1),
+  act AS (SELECT period, CAST(sum(demand) AS DOUBLE) AS actual FROM hold GROUP BY period),
+  ftot AS (SELECT m.model, a.period, CAST(coalesce(sum(f.yhat), 0) AS DOUBLE) AS yhat
+           FROM (SELECT DISTINCT model FROM fc) m CROSS JOIN act a
+           LEFT JOIN fc f ON f.model = m.model AND f.period = a.period GROUP BY m.model, a.period),
+  scored AS (
+    SELECT CASE model WHEN 'Seasonal-Naive' THEN 0 ELSE 1 END AS ordinal, model AS model_name,
+           avg(abs(yhat - actual)) AS mae, sqrt(avg((yhat - actual) * (yhat - actual))) AS rmse,
+           coalesce(avg(CASE WHEN actual <> 0 THEN abs(yhat - actual) / abs(actual) END) * 100, 0) AS mape
+    FROM ftot JOIN act USING (period) GROUP BY model)"""
+SQL_EVAL_CHAIN = (*SQL_LINE[:-1], SQL_EVAL)
+
+
+def _eval_inputs(spark, sf_dir):
+    """Line-item series -> 30-day holdout -> two seasonal-naive forecasts."""
+    s = line_series(spark, sf_dir).select("period", "region", "demand")
+    train, hold = SP.split_holdout(s, HOLDOUT)
+    fc = NV.seasonal_naive(train, HOLDOUT, 7, model=BASELINES[0]).unionByName(
+        NV.seasonal_naive(train, HOLDOUT, 1, model=BASELINES[1]))
+    return train, hold, fc
+
+
+def _scored(spark, sf_dir):
+    train, hold, fc = _eval_inputs(spark, sf_dir)
+    act = E.actual_total(hold)
+    ftot = E.forecast_total(fc, hold.select("period"))
+    return act, ftot, E.score_models(ftot, act, order=BASELINES)
+
+
+@register("split_holdout", _with(*SQL_EVAL_CHAIN) + """
+SELECT period, region, demand, 'train' AS part FROM train UNION ALL
+SELECT period, region, demand, 'holdout' FROM hold""")
+def split_holdout_q(spark, sf_dir):
+    """the 30 latest distinct days form the holdout for every region."""
+    train, hold, _ = _eval_inputs(spark, sf_dir)
+    return train.withColumn("part", F.lit("train")).unionByName(hold.withColumn("part", F.lit("holdout")))
+
+
+@register("seasonal_naive", _with(*SQL_EVAL_CHAIN) + "SELECT * FROM fc")
+def seasonal_naive_q(spark, sf_dir):
+    """F4 with season 7 and season 1, per region, from each region's last day."""
+    return _eval_inputs(spark, sf_dir)[2]
+
+
+@register("forecast_total", _with(*SQL_EVAL_CHAIN) + "SELECT * FROM ftot")
+def forecast_total_q(spark, sf_dir):
+    """Each model reduced to a total per holdout day, missing -> 0."""
+    return _scored(spark, sf_dir)[1]
+
+
+@register("error_metrics", _with(*SQL_EVAL_CHAIN) + """
+SELECT f.region, round(avg(abs(f.yhat - h.demand)), 6) AS mae,
+       round(sqrt(avg((f.yhat - h.demand) * (f.yhat - h.demand))), 6) AS rmse,
+       round(coalesce(avg(CASE WHEN h.demand <> 0 THEN abs(f.yhat - h.demand) / abs(h.demand) END) * 100, 0), 6) AS mape,
+       CAST(count(*) AS BIGINT) AS n
+FROM fc f JOIN hold h ON f.period = h.period AND f.region = h.region
+WHERE f.model = 'Seasonal-Naive' GROUP BY f.region""")
+def error_metrics_q(spark, sf_dir):
+    """E1 per region for the seasonal-naive forecast."""
+    _, hold, fc = _eval_inputs(spark, sf_dir)
+    pairs = fc.where(F.col("model") == BASELINES[0]).join(
+        hold.select("period", "region", F.col("demand").cast("double").alias("actual")), ["period", "region"])
+    return r6(E.error_metrics(pairs, by=["region"]), "mae", "rmse", "mape")
+
+
+@register("comparison_table", _with(*SQL_EVAL_CHAIN) + """
+SELECT ordinal, model_name, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(mape, 6) AS mape,
+       false AS excluded, CAST(NULL AS VARCHAR) AS excluded_reason FROM scored""")
+def comparison_table_q(spark, sf_dir):
+    """E2 + E3: one row per model, input order kept in ``ordinal``."""
+    return r6(_scored(spark, sf_dir)[2], "mae", "rmse", "mape")
+
+
+@register("leaderboard", _with(*SQL_EVAL_CHAIN) + """
+SELECT ordinal, model_name, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(mape, 6) AS mape,
+       false AS excluded, CAST(NULL AS VARCHAR) AS excluded_reason,
+       CAST(row_number() OVER (ORDER BY mae NULLS LAST, ordinal) AS INTEGER) AS rank FROM scored""")
+def leaderboard_q(spark, sf_dir):
+    return r6(E.leaderboard(_scored(spark, sf_dir)[2]), "mae", "rmse", "mape")
+
+
+@register("best_model", _with(*SQL_EVAL_CHAIN) + """
+SELECT ordinal, model_name, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(mape, 6) AS mape,
+       false AS excluded, CAST(NULL AS VARCHAR) AS excluded_reason
+FROM scored ORDER BY mae, ordinal LIMIT 1""")
+def best_model_q(spark, sf_dir):
+    return r6(E.best_model(_scored(spark, sf_dir)[2]), "mae", "rmse", "mape")
+
+
+@register("select_carry_forward", _with(*SQL_EVAL_CHAIN) + """
+SELECT CAST(row_number() OVER (ORDER BY mae, rmse, mape, ordinal) AS INTEGER) AS cf_rank, model_name,
+       round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(mape, 6) AS mape FROM scored""")
+def select_carry_forward_q(spark, sf_dir):
+    """E6 (two scored models: both carried)."""
+    return r6(E.select_carry_forward(_scored(spark, sf_dir)[2]), "mae", "rmse", "mape")
+
+
+@register("carry_forward_reasons", None)
+def carry_forward_reasons_q(spark, sf_dir):
+    return E.carry_forward_reasons(E.select_carry_forward(_scored(spark, sf_dir)[2]))
+
+
+@register("error_by_period", _with(*SQL_EVAL_CHAIN) + """
+, p AS (SELECT CAST(weekofyear(a.period) AS VARCHAR) AS bucket, a.period, a.actual, f.yhat
+        FROM act a JOIN ftot f ON a.period = f.period WHERE f.model = 'Seasonal-Naive')
+SELECT bucket, CAST(count(*) AS BIGINT) AS n_periods, round(avg(abs(yhat - actual)), 6) AS mae,
+       round(sqrt(avg((yhat - actual) * (yhat - actual))), 6) AS rmse,
+       round(coalesce(avg(CASE WHEN actual <> 0 THEN abs(yhat - actual) / abs(actual) END) * 100, 0), 6) AS mape,
+       min(period) AS first_seen,
+       CAST(row_number() OVER (ORDER BY min(period), bucket) AS INTEGER) AS bucket_order
+FROM p GROUP BY bucket""")
+def error_by_period_q(spark, sf_dir):
+    """E8 by ISO week (W14) of the holdout days."""
+    act, ftot, _ = _scored(spark, sf_dir)
+    pairs = W.iso_week_bucket(ftot.where(F.col("model") == BASELINES[0]).join(act, "period"))
+    return r6(E.error_by_period(pairs), "mae", "rmse", "mape")
+
+
+@register("forecast_vs_actual", _with(*SQL_EVAL_CHAIN) + """
+SELECT period, 'actual' AS line, actual AS value FROM act
+UNION ALL SELECT period, model, yhat FROM ftot""")
+def forecast_vs_actual_q(spark, sf_dir):
+    act, ftot, tab = _scored(spark, sf_dir)
+    return E.forecast_vs_actual(act, ftot, tab)
+
+
+@register("metric_bars", _with(*SQL_EVAL_CHAIN) + """
+, r AS (SELECT *, CAST(row_number() OVER (ORDER BY mae, ordinal) AS INTEGER) AS model_rank FROM scored)
+SELECT model_rank, model_name, 'mae' AS metric, round(mae, 6) AS value FROM r
+UNION ALL SELECT model_rank, model_name, 'rmse', round(rmse, 6) FROM r
+UNION ALL SELECT model_rank, model_name, 'mape', round(mape, 6) FROM r""")
+def metric_bars_q(spark, sf_dir):
+    return r6(E.metric_bars(_scored(spark, sf_dir)[2]), "value")
+
+
+@register("check_alignment", _with(*SQL_EVAL_CHAIN) + """
+SELECT model, CAST(count(DISTINCT period) FILTER (WHERE period IN (SELECT period FROM hp)) AS BIGINT) AS covered,
+       CAST((SELECT count(*) FROM hp) AS BIGINT) AS expected,
+       count(DISTINCT period) FILTER (WHERE period IN (SELECT period FROM hp)) = (SELECT count(*) FROM hp) AS aligned
+FROM fc GROUP BY model""")
+def check_alignment_q(spark, sf_dir):
+    """Q22: every model has one value per holdout day."""
+    _, hold, fc = _eval_inputs(spark, sf_dir)
+    return Q.check_alignment(fc, hold.select("period"))
+
+
+@register("forecast_wide", _with(*SQL_EVAL_CHAIN) + "SELECT period, " + " + ".join(
+    f"coalesce(CAST(sum(round_even(yhat, 0)) FILTER (WHERE region = '{r}') AS BIGINT), 0)" for r in REGION_NAMES)
+    + " AS \"TOTAL\", " + ", ".join(
+    f"coalesce(CAST(sum(round_even(yhat, 0)) FILTER (WHERE region = '{r}') AS BIGINT), 0) AS \"{r}\"" for r in REGION_NAMES)
+    + " FROM fc WHERE model = 'Seasonal-Naive' GROUP BY period")
+def forecast_wide_q(spark, sf_dir):
+    """Forecast pivot with the TOTAL column first."""
+    fc = _eval_inputs(spark, sf_dir)[2].where(F.col("model") == BASELINES[0])
+    return X.forecast_wide(fc, _regions(spark, sf_dir))
+
+
+SQL_PLACEMENTS = """
+  pl AS (SELECT model, period, region, yhat AS predicted_demand FROM (
+           SELECT *, row_number() OVER (PARTITION BY model, period ORDER BY yhat DESC, region) AS r FROM fc)
+         WHERE r = 1)"""
+
+
+@register("placements", _with(*SQL_EVAL_CHAIN, SQL_PLACEMENTS) + "SELECT * FROM pl")
+def placements_q(spark, sf_dir):
+    """B1: top region per model and day."""
+    return B.placements(_eval_inputs(spark, sf_dir)[2])
+
+
+@register("positioning_recommendation", _with(*SQL_EVAL_CHAIN, SQL_PLACEMENTS) + """
+SELECT model, arg_max(region, predicted_demand * 1e10 - epoch(period) / 1e3) AS region,
+       arg_max(period, predicted_demand * 1e10 - epoch(period) / 1e3) AS period,
+       max(predicted_demand) AS predicted_demand, CAST(count(*) AS BIGINT) AS n_placements,
+       printf('Position more drivers in %s (borough) for period %s: predicted demand is %.0f trips, the peak across the forecast horizon. Rebalance idle drivers toward the top predicted-demand borough in each period.',
+              arg_max(region, predicted_demand * 1e10 - epoch(period) / 1e3),
+              CAST(arg_max(period, predicted_demand * 1e10 - epoch(period) / 1e3) AS VARCHAR),
+              max(predicted_demand)) AS action
+FROM pl GROUP BY model""")
+def positioning_recommendation_q(spark, sf_dir):
+    """B2: global peak and action text per model."""
+    return B.positioning_recommendation(_eval_inputs(spark, sf_dir)[2])
+
+
+@register("quantify_impact", _with(*SQL_EVAL_CHAIN, SQL_PLACEMENTS) + """
+SELECT model, period, region, predicted_demand,
+       round(predicted_demand / 8.0, 6) AS drivers_positioned,
+       round(predicted_demand * 6.0 * 0.30, 6) AS rider_wait_minutes_saved,
+       round(predicted_demand / 8.0 * 12.0 * 0.25, 6) AS driver_idle_minutes_saved,
+       round(predicted_demand * 6.0 * 0.30 + predicted_demand / 8.0 * 12.0 * 0.25, 6) AS total_minutes_saved
+FROM pl""")
+def quantify_impact_q(spark, sf_dir):
+    """B3 for every placement row with the default assumptions."""
+    imp = B.quantify_impact(B.placements(_eval_inputs(spark, sf_dir)[2]))
+    return r6(imp.drop("assumptions", "formula"), "drivers_positioned", "rider_wait_minutes_saved",
+              "driver_idle_minutes_saved", "total_minutes_saved")
+
+
+@register("check_impact", _with(*SQL_EVAL_CHAIN, SQL_PLACEMENTS) + """
+SELECT CAST(count(*) AS BIGINT) AS rows,
+       CAST(count(*) FILTER (WHERE abs((predicted_demand * 6.0 * 0.30 + predicted_demand / 8.0 * 12.0 * 0.25)
+            - (predicted_demand * 1.8 + predicted_demand * 0.375)) >= 1e-6) AS BIGINT) AS mismatches FROM pl""")
+def check_impact_q(spark, sf_dir):
+    """Recomputation agrees with the impact columns."""
+    imp = B.quantify_impact(B.placements(_eval_inputs(spark, sf_dir)[2]))
+    return B.check_impact(imp)
