@@ -29,6 +29,9 @@ def spark_session(master: str | None = None, app: str = "tripcast",
     if master:
         b = b.master(master)
     conf = dict(_BASE_CONF)
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the only executor
+        conf["spark.driver.memory"] = "12g"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
