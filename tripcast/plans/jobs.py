@@ -43,3 +43,88 @@ def monthly_partials(trips: DataFrame, lookup: DataFrame, scope: Scope,
                           P.truncate_to_grain(F.col("pickup_datetime")).alias("period"), "region")
                   .where("period IS NOT NULL AND region IS NOT NULL")
                   .groupBy("month", "period", "region").agg(F.count(F.lit(1)).cast("long").alias("demand")))
+
+
+# ------------------------------------------------------------ train / evaluate
+def train_and_evaluate(series: DataFrame, scope: Scope, candidates=None, gbt_params=None):
+    """F1 -> F3 -> P13 -> E2/E3 -> E6 -> B1-B3 for a prepared series.
+
+    Returns a dict of DataFrames: forecasts, status, actual, forecast_total,
+    comparison, carry_forward, placements, recommendation, impact.
+    """
+    from tripcast.operators import evaluate as E
+    from tripcast.operators import position as B
+    from tripcast.operators.forecast.split import split_holdout
+    from tripcast.operators.forecast.train import default_candidates, model_status, train_all
+    base = series.select("period", "region", "demand")
+    train, hold = split_holdout(base, scope.holdout_periods)
+    cands = candidates or default_candidates(gbt_params)
+    fc, status = train_all(cands, train, scope.holdout_periods)
+    act = E.actual_total(hold)
+    ftot = E.forecast_total(fc, hold.select("period"))
+    st = model_status(status)
+    table = E.score_models(ftot, act, st, order=list(cands))
+    cf = E.select_carry_forward(table)
+    best = E.best_model(table).select("model_name").first()
+    chosen = fc.where(F.col("model") == (best["model_name"] if best else ""))
+    rec = B.positioning_recommendation(chosen)
+    return {"forecasts": fc, "status": status, "actual": act, "forecast_total": ftot,
+            "comparison": table, "carry_forward": cf, "placements": B.placements(chosen),
+            "recommendation": rec, "impact": B.quantify_impact(rec)}
+
+
+# ------------------------------------------------------------------ F15 refresh
+def refresh_job(trips: DataFrame, lookup: DataFrame, scope: Scope, *, regions=None) -> DataFrame:
+    """Lightweight refresh: prepare -> split -> Holt-Winters -> one status row
+    ``(rows, regions, handled, trained, status)``; no trained model = failure."""
+    from tripcast.operators.forecast.smoothing import forecast_holt_winters
+    from tripcast.operators.forecast.split import split_holdout
+    series, log, _ = P.prepare(trips, lookup, scope, regions=regions, stated_month=None)
+    base = series.select("period", "region", "demand").checkpoint()
+    spark = trips.sparkSession
+    try:
+        train, _ = split_holdout(base, scope.holdout_periods)
+        fc, st = forecast_holt_winters(train, scope.holdout_periods)
+        trained = st.where(~F.col("excluded")).count()
+    except ValueError as e:
+        trained, _err = 0, str(e)
+    k = base.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("region").alias("regions")).first()
+    handled = log.first()["total_invalid_handled"]
+    status = "ok" if trained > 0 else "failed"
+    return spark.createDataFrame([(k["rows"], k["regions"], handled, trained, status)],
+                                 "rows long, regions long, handled long, trained long, status string")
+
+
+# ----------------------------------------------------------- F14 user series
+def adaptive_sizes(n_periods: int):
+    """Holdout h = max(1, min(30, n//4)), forward = min(14, max(7, n//4)); n < 4 -> None."""
+    if n_periods < 4:
+        return None
+    return max(1, min(30, n_periods // 4)), min(14, max(7, n_periods // 4))
+
+
+def forecast_user_series(series: DataFrame, scope: Scope):
+    """Q12 contract -> adaptive split -> Holt-Winters -> E1, then a refit on the
+    whole series for the forward horizon -> B1/B2 -> P12 pivot."""
+    from tripcast.operators import evaluate as E
+    from tripcast.operators import position as B
+    from tripcast.operators.explore import forecast_wide
+    from tripcast.operators.forecast.smoothing import forecast_holt_winters
+    from tripcast.operators.forecast.split import split_holdout
+    verdict = Q.check_contract(series).first()
+    if not verdict["ok"]:
+        raise ValueError(verdict["error"])
+    s = series.select(F.col("period").cast("timestamp_ntz").alias("period"), "region",
+                      F.col("demand").cast("long").alias("demand"))
+    n = s.select("period").distinct().count()  # bounded by the window
+    sizes = adaptive_sizes(n)
+    if sizes is None:
+        raise ValueError(f"need at least 4 periods to forecast; got {n}")
+    h, forward = sizes
+    train, hold = split_holdout(s, h)
+    fc, _ = forecast_holt_winters(train, h)
+    act = E.actual_total(hold)
+    metrics = E.score_models(E.forecast_total(fc, hold.select("period")), act)
+    fwd, _ = forecast_holt_winters(s, forward)
+    return {"metrics": metrics, "forward": fwd, "recommendation": B.positioning_recommendation(fwd),
+            "wide": forecast_wide(fwd)}
