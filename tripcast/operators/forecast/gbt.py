@@ -78,7 +78,6 @@ def forecast_gbt(train: DataFrame, horizon: int, lags: Sequence[int] = (1, 7, 14
             REGION, (F.lit(last).cast("timestamp_ntz") + F.expr(f"make_dt_interval({h}, 0, 0, 0)")).alias(PERIOD))
         f_step, _ = _features(recursive_features(history, step, lags), lags, regions)
         p = fitted.transform(va.transform(f_step)).select(REGION, PERIOD, clip_lower("prediction").alias("value"))
-        p = p.checkpoint()
         preds = p if preds is None else preds.unionByName(p)
         keep_from = F.lit(last).cast("timestamp_ntz") + F.expr(f"make_dt_interval({h - maxlag + 1}, 0, 0, 0)")
         history = history.unionByName(p).where(F.col(PERIOD) >= keep_from).checkpoint()

@@ -22,6 +22,7 @@ from typing import Iterable, Optional, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from tripcast.functions.columns import day_period, to_ts
 from tripcast.operators import quality as Q
@@ -110,6 +111,22 @@ def aggregate_demand_by_zone(df: DataFrame, lookup: DataFrame, scope: Scope | No
                   .agg(F.sum("__n").cast("long").alias(DEMAND)))
 
 
+def within_window(df: DataFrame, scope: Scope, ts_col: str = PICKUP) -> DataFrame:
+    """Keep trips whose pickup falls inside the analysis window.
+
+    The zero-fill drops everything outside the window anyway; filtering on the
+    raw timestamp column first lets the Parquet reader skip row groups / files
+    outside the window (the bounds reach ``PushedFilters``).
+    """
+    lo = F.lit(scope.window_start.isoformat()).cast("timestamp_ntz")
+    hi = F.lit(scope.window_end.isoformat()).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")
+    c = F.col(ts_col)
+    if isinstance(df.schema[ts_col].dataType, TimestampNTZType):
+        return df.where((c >= lo) & (c < hi))
+    t = to_ts(c)
+    return df.where((t >= lo) & (t < hi))
+
+
 # --------------------------------------------------------------------------- P5
 def period_axis(spark, start: date, end: date) -> DataFrame:
     """One row per day of the inclusive window (TIMESTAMP_NTZ, zone free)."""
@@ -148,8 +165,11 @@ def fill_missing_periods(series: DataFrame, scope: Scope,
     else:
         reg = spark.createDataFrame([(r,) for r in dict.fromkeys(regions)], f"{REGION} string")
     grid = period_region_grid(spark, scope, reg)
-    obs = (series.select(to_ts(F.col(PERIOD)).alias(PERIOD), F.col(REGION).cast("string").alias(REGION),
-                         F.col(DEMAND))
+    # keep the key expressions untouched when they already have the right
+    # type, so the collapse reuses the upstream aggregate's partitioning
+    pcol = F.col(PERIOD) if isinstance(series.schema[PERIOD].dataType, TimestampNTZType) \
+        else to_ts(F.col(PERIOD)).alias(PERIOD)
+    obs = (series.select(pcol, F.col(REGION).cast("string").alias(REGION), F.col(DEMAND))
                  .groupBy(PERIOD, REGION).agg(F.sum(DEMAND).alias(DEMAND)))
     return (grid.join(obs, [PERIOD, REGION], "left")
                 .select(PERIOD, REGION, F.coalesce(F.col(DEMAND), F.lit(0)).cast("long").alias(DEMAND)))
@@ -203,8 +223,8 @@ def prepare(trips: DataFrame, lookup: DataFrame, scope: Scope, *,
     clean, log = Q.apply_validity_rules(trips, ts_col=ts_col, stated_month=stated_month,
                                         non_negative_columns=non_negative_columns,
                                         month_col=month_col)
-    counted = aggregate_demand_by_zone(clean, lookup, scope, ts_col=ts_col,
-                                       location_col=location_col)
+    counted = aggregate_demand_by_zone(within_window(clean, scope, ts_col), lookup, scope,
+                                       ts_col=ts_col, location_col=location_col)
     filled = fill_missing_periods(counted, scope, regions)
     series = add_lag_features(filled, scope.lags)
     audit = stage_audit([("raw", trips), ("clean", clean), ("counted", counted),

@@ -581,8 +581,8 @@ def prepare_modal_month_q(spark, sf_dir):
 @register("stage_audit", _with(SQL_LOOKUP, SQL_TRIPS, SQL_COUNTED, SQL_GRID, SQL_FILLED) + """
 SELECT 0 AS ordinal, 'raw' AS stage, CAST(count(*) AS BIGINT) AS rows FROM trips
 UNION ALL SELECT 1, 'clean', CAST(count(*) AS BIGINT) FROM trips WHERE NOT coalesce(base_passenger_fare < 0, false)
-UNION ALL SELECT 2, 'counted', CAST(count(*) AS BIGINT) FROM counted
-UNION ALL SELECT 3, 'series', CAST(count(*) AS BIGINT) FROM filled""")
+UNION ALL SELECT 2, 'counted', CAST(count(*) FILTER (WHERE CAST(period AS DATE) BETWEEN DATE '{W_START}' AND DATE '{W_END}') AS BIGINT) FROM counted
+UNION ALL SELECT 3, 'series', CAST(count(*) AS BIGINT) FROM filled""".format(W_START=W_START, W_END=W_END))
 def stage_audit_q(spark, sf_dir):
     """Row counts per stage of the flagship (samples are checked in tests)."""
     _, _, audit = P.prepare(T.trips_orders(spark, sf_dir), T.zone_lookup_customers(spark, sf_dir),
@@ -1346,3 +1346,68 @@ def stream_daily_demand_q(spark, sf_dir):
     name = "daily_counts_" + uuid.uuid4().hex[:8]
     run_available(daily_counts(s), scratch_path(spark, f"stream-{name}"), name=name)
     return spark.table(name)
+
+
+# ======================================================== remaining operators
+@register("report_lines", None)
+def report_lines_q(spark, sf_dir):
+    """Q13: printable lines with percentages of rows over the Q10 report."""
+    rep = Q.validation_report(T.trips_orders(spark, sf_dir), order_key="row_id")
+    return Q.report_lines(rep)
+
+
+@register("seed_window", _with(*SQL_TOT_CHAIN[:-1]) + """
+, h AS (SELECT region, period, list(CAST(demand AS DOUBLE)) OVER (PARTITION BY region ORDER BY period
+                                    ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS hist FROM filled)
+SELECT region, period, list_concat(list_transform(range(7 - len(hist)), lambda i: hist[1]), hist) AS win FROM h""")
+def seed_window_q(spark, sf_dir):
+    """Every day's last-7 history, left-padded with its earliest value
+    where the region's history is shorter (the first six days)."""
+    from pyspark.sql import Window
+    s = demand_series(spark, sf_dir)
+    w = Window.partitionBy("region").orderBy("period").rowsBetween(-6, 0)
+    h = s.select("region", "period", F.collect_list(F.col("demand").cast("double")).over(w).alias("hist"))
+    return h.select("region", "period", W.seed_window(F.col("hist"), 7).alias("win"))
+
+
+@register("merge_forecasts", _with(*SQL_EVAL_CHAIN) + """
+SELECT * FROM fc WHERE model <> 'Naive'
+UNION ALL SELECT 'Naive', period, region, yhat + 1.0 FROM fc WHERE model = 'Naive'""")
+def merge_forecasts_q(spark, sf_dir):
+    """A re-run of one model replaces its rows, the others are kept."""
+    from tripcast.sources.files import merge_forecasts
+    fc = _eval_inputs(spark, sf_dir)[2]
+    new = fc.where(F.col("model") == "Naive").withColumn("yhat", F.col("yhat") + 1.0)
+    return merge_forecasts(fc, new)
+
+
+@register("results_document", None)
+def results_document_q(spark, sf_dir):
+    """The nested results artifact of the baseline evaluation."""
+    from tripcast.sources.results import results_document
+    act, ftot, tab = _scored(spark, sf_dir)
+    return results_document(act, ftot, tab, E.select_carry_forward(tab))
+
+
+@register("refresh_job", None)
+def refresh_job_q(spark, sf_dir):
+    """prepare -> split -> Holt-Winters -> status row."""
+    from tripcast.plans.jobs import refresh_job
+    return refresh_job(T.trips_orders(spark, sf_dir), T.zone_lookup_customers(spark, sf_dir), SCOPE,
+                       regions=T.region_names(spark, sf_dir))
+
+
+@register("forecast_user_series", None)
+def forecast_user_series_q(spark, sf_dir):
+    """the line-item series treated as an uploaded file: contract,
+    adaptive split, Holt-Winters score, forward forecast pivot."""
+    from tripcast.plans.jobs import forecast_user_series
+    s = line_series(spark, sf_dir).select("period", "region", "demand")
+    return forecast_user_series(s, SCOPE)["wide"]
+
+
+@register("anomaly_descriptions", None)
+def anomaly_descriptions_q(spark, sf_dir):
+    """The plain-language reading of every anomaly per region."""
+    a = X.detect_anomalies(X.region_series(demand_series(spark, sf_dir)), by=["region"])
+    return a.select("region", "period", "description")

@@ -26,7 +26,7 @@ def build_series(trips: DataFrame, lookup: DataFrame, scope: Scope, *,
     clean, _ = Q.apply_validity_rules(trips, stated_month=None, month_col=month_col)
     if month_col:
         clean = clean.drop(month_col)
-    counted = P.aggregate_demand_by_zone(clean, lookup, scope)
+    counted = P.aggregate_demand_by_zone(P.within_window(clean, scope), lookup, scope)
     return P.add_lag_features(P.fill_missing_periods(counted, scope, regions), scope.lags)
 
 
