@@ -69,16 +69,25 @@ def forecast_gbt(train: DataFrame, horizon: int, lags: Sequence[int] = (1, 7, 14
     data.unpersist()
     maxlag = max(lags)
     w = Window.partitionBy(REGION).orderBy(F.desc(PERIOD))
-    history = (base.withColumn("__rd", F.row_number().over(w)).where(F.col("__rd") <= maxlag)
-                   .select(REGION, PERIOD, F.col(DEMAND).alias("value"))).checkpoint()
+    # the recursion carries only the last max(lags) days per region (regions x
+    # 14 rows): they travel as local rows, so every step is a fresh, shallow
+    # plan (a chain of checkpointed joins would make the optimizer's size
+    # estimates explode across steps)
+    hist_rows = [tuple(r) for r in base.withColumn("__rd", F.row_number().over(w))
+                 .where(F.col("__rd") <= maxlag).select(REGION, PERIOD, F.col(DEMAND).alias("value")).collect()]
     last = train.agg(F.max(PERIOD)).first()[0]  # one scalar
-    preds = None
+    hist_schema = f"{REGION} string, {PERIOD} timestamp_ntz, value double"
+    out_rows = []
+    import datetime as dt
     for h in range(1, horizon + 1):
-        step = spark.createDataFrame([(r,) for r in regions], f"{REGION} string").select(
-            REGION, (F.lit(last).cast("timestamp_ntz") + F.expr(f"make_dt_interval({h}, 0, 0, 0)")).alias(PERIOD))
+        day = last + dt.timedelta(days=h)
+        history = spark.createDataFrame(hist_rows, hist_schema)
+        step = spark.createDataFrame([(r, day) for r in regions], f"{REGION} string, {PERIOD} timestamp_ntz")
         f_step, _ = _features(recursive_features(history, step, lags), lags, regions)
-        p = fitted.transform(va.transform(f_step)).select(REGION, PERIOD, clip_lower("prediction").alias("value"))
-        preds = p if preds is None else preds.unionByName(p)
-        keep_from = F.lit(last).cast("timestamp_ntz") + F.expr(f"make_dt_interval({h - maxlag + 1}, 0, 0, 0)")
-        history = history.unionByName(p).where(F.col(PERIOD) >= keep_from).checkpoint()
+        pred = fitted.transform(va.transform(f_step)).select(REGION, PERIOD, clip_lower("prediction").alias("value"))
+        new = [tuple(r) for r in pred.collect()]  # one row per region
+        out_rows += new
+        keep = day - dt.timedelta(days=maxlag - 1)
+        hist_rows = [r for r in hist_rows if r[1] >= keep] + new
+    preds = spark.createDataFrame(out_rows, hist_schema)
     return preds.select(F.lit(model).alias("model"), PERIOD, REGION, F.col("value").alias("yhat"))
