@@ -79,7 +79,7 @@ def test_prepare_reconciles(spark):
     trips = T.trips_orders(spark, SF)
     lookup = T.zone_lookup_customers(spark, SF)
     series, log, audit = P.prepare(trips, lookup, TEST_SCOPE, regions=T.region_names(spark, SF),
-                                   stated_month=None)
+                                   stated_month=None, audit=True)
     stages = {r["stage"]: r["rows"] for r in audit.collect()}
     assert stages["raw"] == trips.count() and stages["series"] == 365 * 5
     in_window = trips.where(F.col("pickup_datetime").cast("date").between(date(1997, 1, 1), date(1997, 12, 31)))

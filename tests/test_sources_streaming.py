@@ -98,3 +98,23 @@ def test_stream_counts_and_merge(spark, tmp_dir):
     batch = S.read_month_files(spark, feed)
     exp = batch.where(F.trunc(F.col("pickup_datetime").cast("date"), "MM") == F.col("stated_month")).count()
     assert got == exp
+
+
+def test_csv_lookup_and_series_reads(spark, tmp_dir):
+    lk = os.path.join(tmp_dir, "zones.csv")
+    with open(lk, "w") as f:
+        f.write("LocationID,Borough,service_zone\n1,Bronx,Boro\n2,Queens,Boro\nx,Bad,Boro\n")
+    got = sorted((r[0], r[1]) for r in S.read_zone_lookup(spark, lk).collect() if r[0] is not None)
+    assert got == [(1, "Bronx"), (2, "Queens")]
+    csv = os.path.join(tmp_dir, "upload.csv")
+    with open(csv, "w") as f:
+        f.write("period,region,demand\n2025-05-01,A,3\nnot-a-date,B,4\n")
+    s = S.read_series(spark, csv)
+    assert [r["period"] for r in s.orderBy("demand").collect()][1] is None
+    pq = os.path.join(tmp_dir, "series.parquet")
+    S.write_series(s.where("period IS NOT NULL"), pq)
+    assert S.read_series(spark, pq).count() == 1
+    with pytest.raises(ValueError):
+        bad = os.path.join(tmp_dir, "bad.csv")
+        open(bad, "w").write("a,b\n1,2\n")
+        S.read_series(spark, bad)

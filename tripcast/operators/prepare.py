@@ -213,10 +213,11 @@ def prepare(trips: DataFrame, lookup: DataFrame, scope: Scope, *,
             regions: Optional[DataFrame | Sequence[str]] = None,
             stated_month="infer", month_col: Optional[str] = None,
             non_negative_columns=None, ts_col: str = PICKUP,
-            location_col: str = LOCATION):
+            location_col: str = LOCATION, audit: bool = False):
     """Q14 -> P1 -> P3 -> P6 -> W1 as one lazy plan.
 
-    Returns ``(series, handling_log, stage_counts)``.  ``stated_month='infer'``
+    Returns ``(series, handling_log, stage_audit or None)``; the audit (row
+    counts + samples per stage, P9) is built only when ``audit`` is set.  ``stated_month='infer'``
     keeps the reference's modal-month rule; pass ``month_col`` (a per-row month
     from the source file) for multi-month input, or ``None`` to skip the check.
     """
@@ -227,9 +228,9 @@ def prepare(trips: DataFrame, lookup: DataFrame, scope: Scope, *,
                                        ts_col=ts_col, location_col=location_col)
     filled = fill_missing_periods(counted, scope, regions)
     series = add_lag_features(filled, scope.lags)
-    audit = stage_audit([("raw", trips), ("clean", clean), ("counted", counted),
-                         ("series", series)])
-    return series, log, audit
+    stages = stage_audit([("raw", trips), ("clean", clean), ("counted", counted),
+                          ("series", series)]) if audit else None
+    return series, log, stages
 
 
 # --------------------------------------------------------------------------- P9
