@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType, FloatType, NumericType
 __all__ = [
     "nan_to_null", "as_double", "to_ts", "day_period", "month_start",
     "weekday0", "is_weekend", "dow_dummy_cols", "iso_week", "clip_lower",
-    "round6", "is_float_type", "is_numeric_type",
+    "round6", "is_float_type", "is_numeric_type", "epoch_seconds", "lit_ntz",
 ]
 
 
@@ -83,3 +83,20 @@ def clip_lower(c, lo: float = 0.0) -> Column:
 def round6(c) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.round(c.cast("double"), 6)
+
+
+def epoch_seconds(c) -> Column:
+    """Seconds since 1970-01-01 of a wall-clock stamp, independent of the
+    session time zone (TIMESTAMP_NTZ semantics)."""
+    c = to_ts(c)
+    return (F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 86400
+            + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)).cast("long")
+
+
+def lit_ntz(value) -> Column:
+    """A TIMESTAMP_NTZ literal from a Python date/datetime, built from its
+    wall-clock text so neither the session nor the Python zone shifts it."""
+    if value is None:
+        return F.lit(None).cast("timestamp_ntz")
+    text = value.isoformat(sep=" ") if hasattr(value, "hour") else value.isoformat()
+    return F.lit(text).cast("timestamp_ntz")

@@ -12,6 +12,7 @@ from typing import Optional, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripcast.functions.columns import lit_ntz
 from tripcast.params import DEMAND, PERIOD, REGION
 
 # Fixed values that must equal the reference's behaviour.
@@ -32,7 +33,7 @@ def forecast_total(fc: DataFrame, holdout_periods: DataFrame) -> DataFrame:
     models = fc.select("model").distinct()
     tot = fc.groupBy("model", PERIOD).agg(F.sum("yhat").alias("yhat"))
     ps = periods.first()["__ps"] or []  # horizon-sized list (tens of values)
-    grid = models.select("model", F.explode(F.array(*[F.lit(p).cast("timestamp_ntz") for p in ps])
+    grid = models.select("model", F.explode(F.array(*[lit_ntz(p) for p in ps])
                                             if ps else F.array().cast("array<timestamp_ntz>")).alias(PERIOD))
     return grid.join(tot, ["model", PERIOD], "left").select(
         "model", PERIOD, F.coalesce("yhat", F.lit(0.0)).cast("double").alias("yhat"))

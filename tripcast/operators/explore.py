@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripcast.functions.columns import epoch_seconds
+
 from tripcast.operators import features as W
 from tripcast.operators.quality import require_columns
 from tripcast.params import DEMAND, PERIOD, REGION
@@ -115,7 +117,7 @@ def series_summary(series: DataFrame, value_col: str = DEMAND) -> DataFrame:
                 F.count(F.lit(1)).cast("long").alias("n_periods"),
                 F.avg(F.when(F.col("rn") <= third, F.col("y"))).alias("early_mean"),
                 F.avg(F.when(F.col("rn") > F.col("n") - third, F.col("y"))).alias("late_mean"),
-                F.max_by(PERIOD, F.struct(F.col("y"), -F.unix_timestamp(F.col(PERIOD).cast("timestamp"))))
+                F.max_by(PERIOD, F.struct(F.col("y"), -epoch_seconds(F.col(PERIOD))))
                  .alias("peak_period"),
                 F.max("y").alias("peak_value"))
     pct = F.when(F.col("n_periods") < 3, F.lit(None).cast("double")) \
@@ -447,7 +449,7 @@ def anomaly_pct(col_value="value", col_expected="expected"):
 
 def anomaly_summary(anoms: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Counts of spikes and drops and the most extreme one (|score| desc, period)."""
-    ext = F.struct(F.abs("score"), -F.unix_timestamp(F.col(PERIOD).cast("timestamp")))
+    ext = F.struct(F.abs("score"), -epoch_seconds(F.col(PERIOD)))
     return anoms.groupBy(*by).agg(
         F.count_if(F.col("direction") == "spike").cast("long").alias("spikes"),
         F.count_if(F.col("direction") == "drop").cast("long").alias("drops"),

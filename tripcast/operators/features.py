@@ -14,7 +14,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripcast.functions.columns import dow_dummy_cols, iso_week, is_weekend, to_ts, weekday0
+from tripcast.functions.columns import (dow_dummy_cols, epoch_seconds, iso_week, is_weekend, lit_ntz,
+                                        to_ts, weekday0)
 from tripcast.params import DEMAND, PERIOD, REGION
 
 DEFAULT_STEP_SECONDS = 86400
@@ -69,8 +70,7 @@ def infer_step(df: DataFrame, period_col: str = PERIOD) -> DataFrame:
     a few hundred rows.
     """
     p = df.select(to_ts(F.col(period_col)).alias("p")).where("p IS NOT NULL").distinct()
-    gaps = p.select((F.unix_timestamp(F.col("p").cast("timestamp")) -
-                     F.unix_timestamp(F.lag("p").over(Window.orderBy("p")).cast("timestamp")))
+    gaps = p.select((epoch_seconds(F.col("p")) - epoch_seconds(F.lag("p").over(Window.orderBy("p"))))
                     .alias("gap")).where("gap > 0")
     modal = gaps.groupBy("gap").count().agg(F.min_by("gap", F.struct(-F.col("count"), F.col("gap"))).alias("g"))
     return modal.select(F.coalesce(F.col("g"), F.lit(DEFAULT_STEP_SECONDS)).cast("long").alias("step_seconds"))
@@ -93,7 +93,7 @@ def future_periods(history: DataFrame, horizon: int, step_seconds: int = DEFAULT
         gl = history.agg(F.max(period_col).alias("__last"))
         last = history.select(*by).distinct()
         last_val = gl.first()["__last"]  # one scalar
-        last = last.withColumn("__last", F.lit(last_val).cast("timestamp_ntz"))
+        last = last.withColumn("__last", lit_ntz(last_val))
     return last.select(*by, F.posexplode(F.sequence(F.col("__last") + step,
                                                      F.col("__last") + step * F.lit(horizon), step))
                        .alias("h", period_col)).withColumn("h", F.col("h") + 1)

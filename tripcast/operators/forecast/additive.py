@@ -18,6 +18,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tripcast.functions.columns import epoch_seconds, lit_ntz
 from tripcast.operators.forecast.split import single_series
 from tripcast.params import PERIOD
 
@@ -28,7 +29,7 @@ YEARLY_ORDER = 10
 
 
 def _features(df: DataFrame, t0: float, span: float, cps: list[float], yearly: bool) -> tuple[DataFrame, list[str]]:
-    secs = F.unix_timestamp(F.col(PERIOD).cast("timestamp")).cast("double")
+    secs = epoch_seconds(F.col(PERIOD)).cast("double")
     t = (secs - F.lit(t0)) / F.lit(span)
     days = secs / 86400.0
     cols = [t.alias("f_t")]
@@ -62,7 +63,7 @@ def forecast_additive(train: DataFrame, horizon: int, region: Optional[str] = No
     fitted = lr.fit(va.transform(feats))
     spark = train.sparkSession
     fut = spark.range(1, horizon + 1).select(
-        (F.lit(stats["b"]).cast("timestamp_ntz") + F.expr("make_dt_interval(id, 0, 0, 0)")).alias(PERIOD))
+        (lit_ntz(stats["b"]) + F.expr("make_dt_interval(id, 0, 0, 0)")).alias(PERIOD))
     ff, _ = _features(fut, t0, span, cps, yearly)
     pred = fitted.transform(va.transform(ff))
     return pred.select(F.lit(model).alias("model"), PERIOD,

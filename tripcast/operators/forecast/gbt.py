@@ -22,7 +22,7 @@ from tripcast.functions.columns import clip_lower
 from tripcast.operators.features import calendar_features, region_one_hot
 from tripcast.operators.prepare import add_lag_features
 from tripcast.params import DEMAND, PERIOD, REGION
-from tripcast.session import ensure_checkpoint_dir
+from tripcast.session import ensure_checkpoint_dir, materialize
 
 # Fixed values that must equal the reference's model settings.
 GBT_PARAMS = dict(maxIter=300, maxDepth=4, stepSize=0.05, subsamplingRate=0.9, seed=0)
@@ -59,7 +59,7 @@ def forecast_gbt(train: DataFrame, horizon: int, lags: Sequence[int] = (1, 7, 14
     lags = sorted(set(lags))
     regions = sorted(r[0] for r in train.select(REGION).distinct().collect())  # region list
     # the series is small (periods x regions); cut its lineage once
-    base = train.select(PERIOD, REGION, F.col(DEMAND).cast("double").alias(DEMAND)).checkpoint()
+    base = materialize(train.select(PERIOD, REGION, F.col(DEMAND).cast("double").alias(DEMAND)))
     lagged = add_lag_features(base, lags)
     feats, names = _features(lagged, lags, regions)
     va = VectorAssembler(inputCols=names, outputCol="features")

@@ -22,7 +22,7 @@ from tripcast.operators.forecast.naive import seasonal_naive
 from tripcast.operators.forecast.smoothing import forecast_holt_winters
 from tripcast.operators.forecast.var import forecast_var
 from tripcast.operators.forecast.windowed import forecast_windowed
-from tripcast.session import ensure_checkpoint_dir
+from tripcast.session import ensure_checkpoint_dir, materialize
 
 
 def default_candidates(gbt_params: dict | None = None) -> dict[str, Callable]:
@@ -49,13 +49,14 @@ def train_all(candidates: Mapping[str, Callable], train: DataFrame, horizon: int
             res = fn(train, horizon)
             fc, st = res if isinstance(res, tuple) else (res, None)
             fc = fc.select(F.lit(name).alias("model"), "period", F.col("region").cast("string"),
-                           F.col("yhat").cast("double")).checkpoint()
+                           F.col("yhat").cast("double"))
+            fc = materialize(fc)
             if st is None:
                 st = spark.createDataFrame([(name, None, False, None)], STATUS_SCHEMA)
             else:
                 st = st.select(F.lit(name).alias("model"), F.col("region").cast("string"),
                                "excluded", F.col("reason").cast("string"))
-            sts.append(st.checkpoint())
+            sts.append(materialize(st))
             fcs.append(fc)
         except Exception as e:  # noqa: BLE001 - isolate the failing model
             sts.append(spark.createDataFrame([(name, None, True, f"{type(e).__name__}: {str(e)[:300]}")],

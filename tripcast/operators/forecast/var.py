@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripcast.functions.columns import lit_ntz
 from tripcast.operators.explore import pivot_regions
 from tripcast.params import DEMAND, PERIOD, REGION
 
@@ -109,7 +110,7 @@ def var_fit_forecast(train: DataFrame, horizon: int, maxlags: Optional[int] = No
     spark = train.sparkSession
     rows = [(model, h, regions[i], float(out[h - 1][i])) for h in range(1, horizon + 1) for i in range(k)]
     fc = spark.createDataFrame(rows, "model string, h int, region string, yhat double")  # horizon x k rows
-    fc = fc.select("model", (F.lit(last_period).cast("timestamp_ntz") +
+    fc = fc.select("model", (lit_ntz(last_period) +
                              F.expr("make_dt_interval(h, 0, 0, 0)")).alias(PERIOD), REGION, "yhat")
     return fc, p
 

@@ -7,6 +7,7 @@ from typing import Mapping, Optional
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripcast.functions.columns import epoch_seconds
 from tripcast.params import PERIOD, REGION
 
 # Fixed values that must equal the reference's behaviour (planning assumptions).
@@ -47,7 +48,7 @@ def positioning_recommendation(fc: DataFrame, geographic_grain: str = "borough",
     """
     p = placements(fc, by)
     keys = [c for c in by if c in fc.columns]
-    order = F.struct(F.col("predicted_demand"), -F.unix_timestamp(F.col(PERIOD).cast("timestamp")))
+    order = F.struct(F.col("predicted_demand"), -epoch_seconds(F.col(PERIOD)))
     agg = p.groupBy(*keys).agg(F.max_by(REGION, order).alias(REGION), F.max_by(PERIOD, order).alias(PERIOD),
                                F.max("predicted_demand").alias("predicted_demand"),
                                F.count(F.lit(1)).cast("long").alias("n_placements"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, TimestampNTZType, TimestampType, DateType
 
-from tripcast.functions.columns import (as_double, is_float_type, is_numeric_type,
+from tripcast.functions.columns import (as_double, epoch_seconds, is_float_type, is_numeric_type,
                                         month_start, to_ts)
 from tripcast.params import DEMAND, PERIOD, PICKUP, REGION
 
@@ -304,8 +304,8 @@ def validation_report_by_file(df: DataFrame, file_col: str, *, ts_col: str = PIC
     masks = [(OUTSIDE_MONTH, month_mask)] + masks
     ts = to_ts(F.col(ts_col))
     aggs = [F.count(F.lit(1)).cast("double").alias("rows"),
-            F.min(ts).cast("timestamp").cast("double").alias("min_pickup"),
-            F.max(ts).cast("timestamp").cast("double").alias("max_pickup")]
+            epoch_seconds(F.min(ts)).cast("double").alias("min_pickup"),
+            epoch_seconds(F.max(ts)).cast("double").alias("max_pickup")]
     aggs += [F.count_if(mk).cast("double").alias(name) for name, mk in masks]
     wide = tagged.groupBy(file_col).agg(*aggs)
     dcols = [c for c in df.columns]

@@ -17,6 +17,7 @@ from tripcast.functions.columns import round6
 from tripcast.operators import prepare as P
 from tripcast.operators import quality as Q
 from tripcast.params import TEST_SCOPE
+from tripcast.session import materialize
 from tripcast.sources import tables as T
 
 REGISTRY: "OrderedDict[str, tuple]" = OrderedDict()
@@ -97,7 +98,7 @@ def series_ckpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``spark.checkpoint.dir``).  Analyses that take several passes or driver
     parameters over the series then read KBs instead of re-running the scan,
     clean, join and count over the raw tables each time."""
-    return demand_series(spark, sf_dir).checkpoint()
+    return materialize(demand_series(spark, sf_dir))
 
 
 # ====================================================================== sources
@@ -1025,7 +1026,7 @@ SQL_EVAL_CHAIN = (*SQL_LINE[:-1], SQL_EVAL)
 
 def _eval_inputs(spark, sf_dir):
     """Line-item series -> 30-day holdout -> two seasonal-naive forecasts."""
-    s = line_series(spark, sf_dir).select("period", "region", "demand").checkpoint()
+    s = materialize(line_series(spark, sf_dir).select("period", "region", "demand"))
     train, hold = SP.split_holdout(s, HOLDOUT)
     fc = NV.seasonal_naive(train, HOLDOUT, 7, model=BASELINES[0]).unionByName(
         NV.seasonal_naive(train, HOLDOUT, 1, model=BASELINES[1]))

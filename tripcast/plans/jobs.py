@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tripcast.operators import prepare as P
 from tripcast.operators import quality as Q
 from tripcast.params import Scope
+from tripcast.session import materialize
 
 
 def build_series(trips: DataFrame, lookup: DataFrame, scope: Scope, *,
@@ -80,7 +81,7 @@ def refresh_job(trips: DataFrame, lookup: DataFrame, scope: Scope, *, regions=No
     from tripcast.operators.forecast.smoothing import forecast_holt_winters
     from tripcast.operators.forecast.split import split_holdout
     series, log, _ = P.prepare(trips, lookup, scope, regions=regions, stated_month=None)
-    base = series.select("period", "region", "demand").checkpoint()
+    base = materialize(series.select("period", "region", "demand"))
     spark = trips.sparkSession
     try:
         train, _ = split_holdout(base, scope.holdout_periods)

@@ -63,3 +63,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-path of the shared checkpoint folder for intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+def materialize(df):
+    """Reliable checkpoint of a (small) intermediate result into the shared
+    checkpoint folder: cuts the lineage and survives executor loss."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tripcast.functions.columns import month_start
+from tripcast.session import materialize
 from tripcast.sources.files import MONTH_FILE_PATTERN, stated_month_from_name
 
 
@@ -50,10 +51,13 @@ def daily_counts(stream: DataFrame, ts_col: str = "pickup_datetime", region_col:
     cast to TIMESTAMP (UTC session) because watermarks reject TIMESTAMP_NTZ.
     """
     s = stream.where(F.col(region_col).isNotNull())
-    ts = F.col(ts_col).cast("timestamp")
-    s = s.withColumn("__ts", ts)
     if watermark:
-        s = s.withWatermark("__ts", watermark)
+        # watermarks need TIMESTAMP; with a UTC session the day windows still
+        # start at wall-clock midnight
+        s = s.withColumn("__ts", F.col(ts_col).cast("timestamp")).withWatermark("__ts", watermark)
+    else:
+        # TIMESTAMP_NTZ windows are wall-clock windows, independent of the session zone
+        s = s.withColumn("__ts", F.col(ts_col))
     g = s.groupBy(F.window("__ts", "1 day"), F.col(region_col).alias("region")).agg(
         F.count(F.lit(1)).cast("long").alias("demand"))
     return g.select(F.col("window.start").cast("timestamp_ntz").alias("period"), "region", "demand")
@@ -75,7 +79,7 @@ def merge_stream_batch(out_path: str):
             merged = old.unionByName(b)
         except Exception:  # noqa: BLE001 - first batch: nothing stored yet
             merged = b
-        merged = merged.checkpoint()  # the read and the overwrite target are the same folder
+        merged = materialize(merged)  # the read and the overwrite target are the same folder
         (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                .partitionBy("month").parquet(out_path))
     return sink
