@@ -1108,7 +1108,12 @@ def select_carry_forward_q(spark, sf_dir):
     return r6(E.select_carry_forward(_scored(spark, sf_dir)[2]), "mae", "rmse", "mape")
 
 
-@register("carry_forward_reasons", None)
+@register("carry_forward_reasons", _with(*SQL_EVAL_CHAIN) + """
+, r AS (SELECT CAST(row_number() OVER (ORDER BY mae, rmse, mape, ordinal) AS INTEGER) AS cf_rank, * FROM scored)
+SELECT cf_rank, model_name,
+       printf('#%d %s: MAE=%s, RMSE=%s, MAPE=%s%%', cf_rank, model_name, format('{:,.2f}', mae),
+              format('{:,.2f}', rmse), format('{:,.2f}', mape)) AS justification
+FROM r""")
 def carry_forward_reasons_q(spark, sf_dir):
     return E.carry_forward_reasons(E.select_carry_forward(_scored(spark, sf_dir)[2]))
 

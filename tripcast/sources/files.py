@@ -163,5 +163,15 @@ def assert_months_complete(present: DataFrame, scope: Scope) -> None:
 
 # --------------------------------------------------------------------------- S14
 def merge_forecasts(old: DataFrame, new: DataFrame, key: str = "model") -> DataFrame:
-    """Replace the rows of every model present in ``new``; keep the others."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+    """Replace the rows of every model present in ``new``; keep the others.
+
+    A union tagged with the source, keeping per model only the newest source:
+    no join key to fold away when ``model`` is a constant (a forecast table
+    holds at most horizon x regions rows per model, so each window partition
+    is small).
+    """
+    from pyspark.sql import Window
+    u = old.withColumn("__src", F.lit(0)).unionByName(new.withColumn("__src", F.lit(1)))
+    newest = F.max("__src").over(Window.partitionBy(key))
+    return u.withColumn("__newest", newest).where(F.col("__src") == F.col("__newest")) \
+            .drop("__src", "__newest")
