@@ -87,3 +87,14 @@ def test_prepare_reconciles(spark):
     assert rec["reconciled"], rec
     samples = [r["sample"] for r in audit.collect()]
     assert all(s is not None and 0 < len(s) <= 5 for s in samples)
+
+
+def test_observed_stage_counts_single_job(spark):
+    trips = T.trips_orders(spark, SF)
+    lookup = T.zone_lookup_customers(spark, SF)
+    series, _, obs = P.prepare(trips, lookup, TEST_SCOPE, regions=T.region_names(spark, SF),
+                               stated_month=None, observe=True)
+    series.write.format("noop").mode("overwrite").save()
+    got = P.observed_counts(obs)
+    assert got["raw"] == trips.count() and got["series"] == 365 * 5
+    assert got["clean"] <= got["raw"] and got["counted"] <= 365 * 5

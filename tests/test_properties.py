@@ -90,3 +90,59 @@ def test_carry_forward_property(spark, ns, data):
     assert 3 <= len(sel) <= 5 and all(r["model_name"] in ns for r in sel)
     flags = [r["mae"] is not None for r in sel]
     assert flags == sorted(flags, reverse=True)
+
+
+trip = st.tuples(st.one_of(st.none(), st.integers(0, 90)), st.one_of(st.none(), st.sampled_from(["A", "B", "C"])))
+
+
+@SETTINGS
+@given(st.lists(trip, min_size=0, max_size=80))
+def test_aggregation_property(spark, trips):
+    """Property 3: per-bucket counts equal a direct count; total = rows with both keys."""
+    from tripcast.operators import prepare as PP
+    base = datetime(2025, 5, 1, 7, 30)
+    rows = [(None if d is None else base + timedelta(days=d, hours=d % 5), r) for d, r in trips]
+    df = spark.createDataFrame(rows, "pickup_datetime timestamp_ntz, region string")
+    got = {(r["period"], r["region"]): r["demand"] for r in PP.aggregate_demand(df).collect()}
+    exp = {}
+    for d, r in trips:
+        if d is not None and r is not None:
+            k = (datetime(2025, 5, 1) + timedelta(days=d), r)
+            exp[k] = exp.get(k, 0) + 1
+    assert got == exp
+
+
+violation = st.sampled_from(["ok", "outside", "negative", "both"])
+
+
+@SETTINGS
+@given(st.lists(violation, min_size=0, max_size=40))
+def test_validity_property(spark, kinds):
+    """Property 5: nothing invalid remains; handled count = injected invalid rows."""
+    from tripcast.operators import quality as QQ
+    rows = []
+    for i, k in enumerate(kinds):
+        ts = datetime(2026, 3, 28) if k in ("outside", "both") else datetime(2026, 4, 1 + i % 28)
+        fare = -1.0 if k in ("negative", "both") else 10.0
+        rows.append((i, ts, fare))
+    df = spark.createDataFrame(rows, "row_id long, pickup_datetime timestamp_ntz, base_passenger_fare double")
+    clean, log = QQ.apply_validity_rules(df, stated_month=(2026, 4))
+    lg = log.first()
+    assert lg["total_invalid_handled"] == sum(k != "ok" for k in kinds)
+    assert lg["output_row_count"] == kinds.count("ok") == clean.count()
+    assert QQ.flag_domain_violations(clean, stated_month=(2026, 4)).count() == 0
+
+
+@SETTINGS
+@given(st.integers(2, 25), st.integers(1, 4), st.data())
+def test_split_property(spark, days, regions, data):
+    """Property 7: disjoint, exhaustive, chronological, n distinct holdout periods."""
+    from tripcast.operators.forecast.split import split_holdout
+    n = data.draw(st.integers(1, days - 1))
+    rows = [(datetime(2025, 5, 1) + timedelta(days=d), f"R{r}", d) for d in range(days) for r in range(regions)]
+    df = spark.createDataFrame(rows, "period timestamp_ntz, region string, demand long")
+    train, hold = split_holdout(df, n)
+    tr, ho = train.collect(), hold.collect()
+    assert len(tr) + len(ho) == len(rows)
+    assert len({r["period"] for r in ho}) == n
+    assert max(r["period"] for r in tr) < min(r["period"] for r in ho)

@@ -213,26 +213,52 @@ def prepare(trips: DataFrame, lookup: DataFrame, scope: Scope, *,
             regions: Optional[DataFrame | Sequence[str]] = None,
             stated_month="infer", month_col: Optional[str] = None,
             non_negative_columns=None, ts_col: str = PICKUP,
-            location_col: str = LOCATION, audit: bool = False):
+            location_col: str = LOCATION, audit: bool = False, observe: bool = False):
     """Q14 -> P1 -> P3 -> P6 -> W1 as one lazy plan.
 
-    Returns ``(series, handling_log, stage_audit or None)``; the audit (row
-    counts + samples per stage, P9) is built only when ``audit`` is set.  ``stated_month='infer'``
-    keeps the reference's modal-month rule; pass ``month_col`` (a per-row month
-    from the source file) for multi-month input, or ``None`` to skip the check.
+    Returns ``(series, handling_log, stages)``.  ``stages`` is
+
+    * ``audit=True``: a DataFrame (P9) of row counts + samples per stage, each
+      count its own aggregate;
+    * ``observe=True``: a dict of ``pyspark.sql.Observation`` per stage - the
+      counts are collected *during* the job that computes the series (no
+      extra scan of the raw table), readable after that job ran;
+    * otherwise ``None``.
+
+    ``stated_month='infer'`` keeps the reference's modal-month rule; pass
+    ``month_col`` (a per-row month from the source file) for multi-month
+    input, or ``None`` to skip the check.
     """
+    obs = {}
+
+    def watch(name, df):
+        if not observe:
+            return df
+        from pyspark.sql import Observation
+        obs[name] = Observation(f"stage_{name}")
+        return df.observe(obs[name], F.count(F.lit(1)).alias("rows"))
+    trips = watch("raw", trips)
     clean, log = Q.apply_validity_rules(trips, ts_col=ts_col, stated_month=stated_month,
                                         non_negative_columns=non_negative_columns,
                                         month_col=month_col)
+    clean = watch("clean", clean)
     counted = aggregate_demand_by_zone(within_window(clean, scope, ts_col), lookup, scope,
                                        ts_col=ts_col, location_col=location_col)
+    counted = watch("counted", counted)
     filled = fill_missing_periods(counted, scope, regions)
-    series = add_lag_features(filled, scope.lags)
+    series = watch("series", add_lag_features(filled, scope.lags))
+    if observe:
+        return series, log, obs
     stages = stage_audit([("raw", trips), ("clean", clean), ("counted", counted),
                           ("series", series)]) if audit else None
     return series, log, stages
 
 
+def observed_counts(obs: dict) -> dict:
+    """``{stage: rows}`` from :func:`prepare` observations (after the job ran)."""
+    return {k: int(o.get["rows"]) for k, o in obs.items()}
+
+
 # --------------------------------------------------------------------------- P9
 def stage_audit(stages: Sequence[tuple[str, DataFrame]], sample_keys: Optional[dict] = None,
                 n: int = 5) -> DataFrame:
