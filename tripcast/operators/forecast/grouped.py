@@ -8,7 +8,7 @@ failing series is caught inside its group and reported, never failing the job.
 
 from __future__ import annotations
 
-from typing import Callable, Optional
+from typing import Callable
 
 import numpy as np
 import pandas as pd

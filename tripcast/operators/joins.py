@@ -11,13 +11,21 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 2_000_000
 
 
+_DECISIONS: dict = {}
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
     """True when ``df`` has at most ``max_rows`` rows.
 
     Runs ``limit(max_rows + 1).count()``: the scan stops after max_rows + 1
-    rows, so the check is cheap even on a huge table.
+    rows, so the check is cheap even on a huge table.  The answer is
+    remembered per (session, plan, bound), so jobs that start from the same
+    lookup in one session probe it once.
     """
-    return df.limit(max_rows + 1).count() <= max_rows
+    key = (id(df.sparkSession), df.semanticHash(), max_rows)
+    if key not in _DECISIONS:
+        _DECISIONS[key] = df.limit(max_rows + 1).count() <= max_rows
+    return _DECISIONS[key]
 
 
 def maybe_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,

@@ -22,8 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, TimestampNTZType, TimestampType, DateType
 
-from tripcast.functions.columns import (as_double, epoch_seconds, is_float_type, is_numeric_type,
-                                        month_start, to_ts)
+from tripcast.functions.columns import as_double, epoch_seconds, is_float_type, month_start, to_ts
 from tripcast.params import DEMAND, PERIOD, PICKUP, REGION
 
 # Fixed values that must equal the reference's behaviour.

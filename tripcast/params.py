@@ -6,7 +6,7 @@ plans.  The analysis window must span 12 to 24 calendar months.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from datetime import date
 
 # Fixed values that must equal the reference's behaviour.
