@@ -431,15 +431,14 @@ def detect_anomalies(y: DataFrame, window: int = 7, threshold: float = 3.5,
 
 
 def anomaly_description():
-    """Plain-language reading with the percent away from the local level."""
+    """A one-line reading - direction, day, value against the local
+    median and how far off it is in percent (or 'local level near zero')."""
     pct = (F.col("value") - F.col("expected")) / F.col("expected") * 100.0
-    rel = F.when(F.col("expected") > 0, F.format_string(
-        "%.0f%% %s the surrounding local level", F.abs(pct),
-        F.when(pct >= 0, "above").otherwise("below"))).otherwise(
-        F.lit("well away from a near-zero local level"))
-    return F.format_string("Demand %s on %s: %.0f trips versus a local level of about %.0f (%s, robust z-score %+.1f).",
-                           F.when(F.col("direction") == "spike", "spiked").otherwise("dropped"),
-                           F.col(PERIOD).cast("date").cast("string"), "value", "expected", rel, "score")
+    away = F.when(F.col("expected") > 0, F.format_string("%+.0f%% vs local median", pct)) \
+            .otherwise(F.lit("local level near zero"))
+    return F.format_string("%s on %s: %.0f trips, local median %.0f (%s), robust score %+.1f",
+                           F.col("direction"), F.col(PERIOD).cast("date").cast("string"),
+                           "value", "expected", away, "score")
 
 
 def anomaly_pct(col_value="value", col_expected="expected"):

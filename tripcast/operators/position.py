@@ -18,6 +18,11 @@ DEFAULT_IMPACT_ASSUMPTIONS = {
     "idle_reduction_pct": 0.25,
     "trips_per_driver": 8.0,
 }
+# Fixed values that must equal the reference's behaviour: the action texts.
+ACTION_NONE = "No forecast values available; cannot derive a positioning recommendation."
+ACTION_TEMPLATE = ("Position more drivers in %s (%s) for period %s: predicted demand is %.0f trips, "
+                   "the peak across the forecast horizon. Rebalance idle drivers toward the top "
+                   "predicted-demand %s in each period.")
 IMPACT_FORMULA = (
     "drivers_positioned = predicted_demand / trips_per_driver; "
     "rider_wait_minutes_saved = predicted_demand * baseline_wait_minutes * wait_reduction_pct; "
@@ -53,12 +58,9 @@ def positioning_recommendation(fc: DataFrame, geographic_grain: str = "borough",
                                F.max("predicted_demand").alias("predicted_demand"),
                                F.count(F.lit(1)).cast("long").alias("n_placements"))
     where = F.coalesce(F.col(REGION), F.lit("the highest-demand area"))
-    action = F.when(F.col(PERIOD).isNull(), F.lit(
-        "No forecast values available; cannot derive a positioning recommendation.")).otherwise(
-        F.format_string("Position more drivers in %s (%s) for period %s: predicted demand is %.0f trips, "
-                        "the peak across the forecast horizon. Rebalance idle drivers toward the top "
-                        "predicted-demand %s in each period.", where, F.lit(geographic_grain),
-                        F.col(PERIOD).cast("string"), "predicted_demand", F.lit(geographic_grain)))
+    action = F.when(F.col(PERIOD).isNull(), F.lit(ACTION_NONE)).otherwise(
+        F.format_string(ACTION_TEMPLATE, where, F.lit(geographic_grain), F.col(PERIOD).cast("string"),
+                        "predicted_demand", F.lit(geographic_grain)))
     return agg.select(*keys, REGION, PERIOD,
                       F.coalesce("predicted_demand", F.lit(0.0)).alias("predicted_demand"),
                       F.coalesce("n_placements", F.lit(0)).alias("n_placements"), action.alias("action"))

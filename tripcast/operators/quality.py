@@ -42,11 +42,19 @@ DEFAULT_NON_NEGATIVE_COLUMNS = (
 )
 OUTSIDE_MONTH = "pickup_outside_stated_month"
 HANDLING_RULE_DROP = "drop"
+# Fixed values that must equal the reference's behaviour: the input-contract
+# messages (callers match on them), in rule order.
+CONTRACT_MISSING = "is required but missing from the uploaded data. Expected long-format columns {cols}."
+CONTRACT_BAD_PERIOD = "must contain datetime values but has entries that cannot be parsed as dates."
+CONTRACT_BAD_REGION = "must contain text (borough) values but has non-text entries."
+CONTRACT_NON_NUMERIC = "must contain integer trip counts but has non-numeric entries."
+CONTRACT_FRACTIONAL = "must contain whole-number trip counts but has fractional values."
+CONTRACT_NEGATIVE = "must be non-negative (>= 0) but has negative values."
+
 DROP_RULE_DESCRIPTION = (
-    "Records failing the domain checks (pickup timestamp outside the file's "
-    "stated month, or a negative value in a non-negative measure column) are "
-    "dropped from the dataset. Each removed record is counted by violation type "
-    "in this log so the handling is documented, not silent."
+    "drop: a row is removed when its pickup falls outside the stated month or a "
+    "measure that cannot be negative is negative (plus, when enabled, later copies "
+    "of a row and NULLs in required columns); the log reports every removal by type."
 )
 CONTRACT_COLUMNS = (PERIOD, REGION, DEMAND)
 
@@ -329,8 +337,7 @@ def check_contract(df: DataFrame) -> DataFrame:
     schema = "ok boolean, error string, offending_column string"
     for c in CONTRACT_COLUMNS:
         if c not in df.columns:
-            msg = (f"Column '{c}' is required but missing from the uploaded data. "
-                   f"Expected long-format columns {list(CONTRACT_COLUMNS)}.")
+            msg = f"Column '{c}' " + CONTRACT_MISSING.format(cols=list(CONTRACT_COLUMNS))
             return spark.createDataFrame([(False, msg, c)], schema)
     p, r, d = F.col(PERIOD), F.col(REGION), F.col(DEMAND)
     pdt = df.schema[PERIOD].dataType
@@ -348,11 +355,11 @@ def check_contract(df: DataFrame) -> DataFrame:
                  F.count_if(bad_num).alias("bn"), F.count_if(frac).alias("bf"),
                  F.count_if(neg).alias("bg"))
     rules = [
-        ("bp", PERIOD, "must contain datetime values but has entries that cannot be parsed as dates."),
-        ("br", REGION, "must contain text (borough) values but has non-text entries."),
-        ("bn", DEMAND, "must contain integer trip counts but has non-numeric entries."),
-        ("bf", DEMAND, "must contain whole-number trip counts but has fractional values."),
-        ("bg", DEMAND, "must be non-negative (>= 0) but has negative values."),
+        ("bp", PERIOD, CONTRACT_BAD_PERIOD),
+        ("br", REGION, CONTRACT_BAD_REGION),
+        ("bn", DEMAND, CONTRACT_NON_NUMERIC),
+        ("bf", DEMAND, CONTRACT_FRACTIONAL),
+        ("bg", DEMAND, CONTRACT_NEGATIVE),
     ]
     offender = F.coalesce(*[F.when(F.col(k) > 0, F.lit(c)) for k, c, _ in rules])
     error = F.coalesce(*[F.when(F.col(k) > 0, F.lit(f"Column '{c}' {t}")) for k, c, t in rules])
