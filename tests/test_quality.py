@@ -122,3 +122,40 @@ def test_contract_numeric_region_fails(spark):
 def test_empty_contract_passes(spark):
     df = spark.createDataFrame([], "period string, region string, demand string")
     assert Q.check_contract(df).first()["ok"]
+
+
+def test_report_by_file_uses_each_files_modal_month(spark):
+    rows = [("f1", datetime(2026, 4, 1), 1.0), ("f1", datetime(2026, 4, 2), 1.0), ("f1", datetime(2026, 3, 30), 1.0),
+            ("f2", datetime(2026, 5, 3), -2.0), ("f2", datetime(2026, 5, 4), 1.0)]
+    df = spark.createDataFrame(rows, "file string, pickup_datetime timestamp_ntz, base_passenger_fare double")
+    got = {(r["file"], r["metric"]): r["value"] for r in Q.validation_report_by_file(df, "file").collect()}
+    assert got[("f1", "rows")] == 3 and got[("f1", "pickup_outside_stated_month")] == 1
+    assert ("f2", "pickup_outside_stated_month") not in got
+    assert got[("f2", "negative_base_passenger_fare")] == 1
+
+
+def test_report_lines_percentages(spark):
+    df = _violating_frame(spark)
+    lines = Q.report_lines(Q.validation_report(df, stated_month=(2026, 4), order_key="row_id")).collect()
+    viol = [r for r in lines if r["section"] == "violations"]
+    assert viol and all(abs(r["pct_of_rows"] - 100.0 * int(r["line"].split(": ")[1].split(" ")[0]) / 6) < 1e-9
+                        for r in viol)
+
+
+def test_broadcast_probe(spark):
+    from tripcast.operators.joins import fits_broadcast, maybe_broadcast
+    small = spark.range(10)
+    assert fits_broadcast(small, 10) and not fits_broadcast(small, 9)
+    assert "BroadcastExchange" in spark.range(100).join(maybe_broadcast(small, 10), "id") \
+        ._jdf.queryExecution().executedPlan().toString()
+
+
+def test_alignment_and_reconcile_partials(spark):
+    hp = spark.createDataFrame([(datetime(2025, 5, 1),), (datetime(2025, 5, 2),)], "period timestamp_ntz")
+    fc = spark.createDataFrame([("a", datetime(2025, 5, 1)), ("a", datetime(2025, 5, 2)), ("b", datetime(2025, 5, 1))],
+                               "model string, period timestamp_ntz")
+    got = {r["model"]: r["aligned"] for r in Q.check_alignment(fc, hp).collect()}
+    assert got == {"a": True, "b": False}
+    s = spark.createDataFrame([(1,), (2,)], "demand long")
+    r = Q.reconcile_partials(s, spark.createDataFrame([(3,)], "demand long")).first()
+    assert r["reconciled"] and r["difference"] == 0
