@@ -37,6 +37,10 @@ def test_read_month_files_and_build(spark, tmp_dir):
     total = series.agg(F.sum("demand")).first()[0]
     expected = df.where(F.trunc(F.col("pickup_datetime").cast("date"), "MM") == F.col("stated_month")).count()
     assert total == expected
+    from tripcast.plans.jobs import build_report
+    rep = {r["month"]: r for r in build_report(df, T.zone_lookup_customers(spark, SF)).collect()}
+    assert set(rep) == set(months) and all(r["dropped"] == 1 for r in rep.values())
+    assert sum(r["counted"] for r in rep.values()) == total
     latest = S.read_month_files(spark, os.path.join(tmp_dir, "feed"), latest_only=True)
     assert latest.select("stated_month").distinct().first()[0] == date(1997, 3, 1)
     with pytest.raises(FileNotFoundError):

@@ -31,6 +31,25 @@ def build_series(trips: DataFrame, lookup: DataFrame, scope: Scope, *,
     return P.add_lag_features(P.fill_missing_periods(counted, scope, regions), scope.lags)
 
 
+def build_report(trips: DataFrame, lookup: DataFrame, month_col: str = "stated_month") -> DataFrame:
+    """Per stated month (file): rows read, rows dropped by the validity rules,
+    trips with a region (what the series counts before the window filter).
+    One grouped aggregate over the same scan as the build."""
+    masks = Q.violation_masks(trips, stated_month=None, month_col=month_col)
+    bad = F.lit(False)
+    for _, m in masks:
+        bad = bad | m
+    small = P.dedup_lookup(lookup).select(F.col("LocationID").alias("__zid"), F.col("Borough").alias("__reg"))
+    from tripcast.operators.joins import maybe_broadcast
+    tagged = trips.join(maybe_broadcast(small, size_checked_on=lookup),
+                        F.col("PULocationID") == F.col("__zid"), "left")
+    return (tagged.groupBy(F.col(month_col).alias("month"))
+                  .agg(F.count(F.lit(1)).cast("long").alias("rows"),
+                       F.count_if(bad).cast("long").alias("dropped"),
+                       F.count_if(~bad & F.col("__reg").isNotNull()
+                                  & F.col("pickup_datetime").isNotNull()).cast("long").alias("counted")))
+
+
 def monthly_partials(trips: DataFrame, lookup: DataFrame, scope: Scope,
                      month_col: str = "stated_month") -> DataFrame:
     """Per-file partial counts ``(month, period, region, demand)`` (S11 input)."""
