@@ -66,7 +66,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df):
-    """Reliable checkpoint of a (small) intermediate result into the shared
-    checkpoint folder: cuts the lineage and survives executor loss."""
+    """Reliable checkpoint of an intermediate result into the shared
+    checkpoint folder: cuts the lineage and survives executor loss.
+
+    The frame is persisted first, so the eager count and the checkpoint
+    write read the cache instead of computing the plan twice.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    df = df.persist()
+    try:
+        return df.checkpoint()
+    finally:
+        df.unpersist()
