@@ -152,7 +152,18 @@ def profile_nulls_q(spark, sf_dir):
     return r6(Q.profile_nulls(T.table(spark, sf_dir, "events")), "null_pct")
 
 
-@register("profile_schema", None)
+@register("profile_schema", """
+SELECT 0 AS ordinal, 'event_id' AS "column", CASE typeof(any_value(event_id)) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'DATE' THEN 'date' ELSE lower(typeof(any_value(event_id))) END AS dtype, CAST(count(*) AS BIGINT) AS row_count FROM events
+UNION ALL
+SELECT 1 AS ordinal, 'ts' AS "column", CASE typeof(any_value(ts)) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'DATE' THEN 'date' ELSE lower(typeof(any_value(ts))) END AS dtype, CAST(count(*) AS BIGINT) AS row_count FROM events
+UNION ALL
+SELECT 2 AS ordinal, 'user_id' AS "column", CASE typeof(any_value(user_id)) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'DATE' THEN 'date' ELSE lower(typeof(any_value(user_id))) END AS dtype, CAST(count(*) AS BIGINT) AS row_count FROM events
+UNION ALL
+SELECT 3 AS ordinal, 'event_type' AS "column", CASE typeof(any_value(event_type)) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'DATE' THEN 'date' ELSE lower(typeof(any_value(event_type))) END AS dtype, CAST(count(*) AS BIGINT) AS row_count FROM events
+UNION ALL
+SELECT 4 AS ordinal, 'value' AS "column", CASE typeof(any_value(value)) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'DATE' THEN 'date' ELSE lower(typeof(any_value(value))) END AS dtype, CAST(count(*) AS BIGINT) AS row_count FROM events
+UNION ALL
+SELECT 5 AS ordinal, 'props' AS "column", CASE typeof(any_value(props)) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'DATE' THEN 'date' ELSE lower(typeof(any_value(props))) END AS dtype, CAST(count(*) AS BIGINT) AS row_count FROM events""")
 def profile_schema_q(spark, sf_dir):
     return Q.profile_schema(T.table(spark, sf_dir, "events"))
 
