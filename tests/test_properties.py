@@ -146,3 +146,61 @@ def test_split_property(spark, days, regions, data):
     assert len(tr) + len(ho) == len(rows)
     assert len({r["period"] for r in ho}) == n
     assert max(r["period"] for r in tr) < min(r["period"] for r in ho)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(-5, 5)),
+                          st.one_of(st.none(), st.floats(-1e3, 1e3), st.just(float("nan"))),
+                          st.one_of(st.none(), st.text(max_size=3))), min_size=0, max_size=12))
+def test_profiling_property(spark, rows):
+    """Property 1: null counts / percentages equal the ground truth (NaN = missing)."""
+    from tripcast.operators import quality as QQ
+    df = spark.createDataFrame(rows, "a long, b double, c string")
+    got = {r["column"]: (r["null_count"], r["null_pct"]) for r in QQ.profile_nulls(df).collect()}
+    n = len(rows)
+    exp = {"a": sum(r[0] is None for r in rows),
+           "b": sum(r[1] is None or r[1] != r[1] for r in rows),
+           "c": sum(r[2] is None for r in rows)}
+    for c, k in exp.items():
+        assert got[c][0] == k and abs(got[c][1] - (100.0 * k / n if n else 0.0)) < 1e-9
+
+
+@SETTINGS
+@given(st.dictionaries(st.sampled_from(["A", "B", "C", "D"]), st.integers(1, 20), min_size=1),
+       st.sampled_from([[1], [1, 7], [2, 3], [1, 2, 3, 7]]), st.randoms())
+def test_lag_property(spark, lengths, lags, rnd):
+    """Property 6: lag within region, NULL for the first k, shuffled input, rows kept."""
+    from tripcast.operators import prepare as PP
+    rows = [(datetime(2025, 5, 1) + timedelta(days=d), r, 1000 * i + d)
+            for i, (r, n) in enumerate(sorted(lengths.items())) for d in range(n)]
+    rnd.shuffle(rows)
+    out = PP.add_lag_features(spark.createDataFrame(rows, "period timestamp_ntz, region string, demand long"), lags)
+    got = out.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        d = (r["period"] - datetime(2025, 5, 1)).days
+        for k in lags:
+            exp = None if d < k else float(r["demand"] - k)
+            assert r[f"lag_{k}"] == exp
+
+
+@SETTINGS
+@given(st.integers(1, 20), st.sampled_from([None, "period", "region", "demand"]),
+       st.sampled_from(["drop", "corrupt"]))
+def test_contract_property(spark, n, column, how):
+    """Property 13: conforming data passes; the missing / corrupted column is named."""
+    from tripcast.operators import quality as QQ
+    rows = [(f"2025-05-{1 + i % 28:02d}", f"R{i % 3}", str(i)) for i in range(n)]
+    if column and how == "corrupt":
+        bad = {"period": "not-a-date", "region": None, "demand": "3.5"}[column]
+        idx = {"period": 0, "region": 1, "demand": 2}[column]
+        r = list(rows[-1])
+        r[idx] = bad
+        rows[-1] = tuple(r)
+    df = spark.createDataFrame(rows, "period string, region string, demand string")
+    if column == "region" and how == "corrupt":
+        df = df.withColumn("region", F.length("region"))  # numbers where text is expected
+    if column and how == "drop":
+        df = df.drop(column)
+    got = QQ.check_contract(df).first()
+    assert got["ok"] == (column is None) and got["offending_column"] == column
