@@ -21,8 +21,17 @@ from pyspark.sql import functions as F
 from tripcast.params import LOCATION, LOOKUP_BOROUGH, LOOKUP_ID, PICKUP
 
 
+_HANDLES: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """Table handle, opened once per session (file listing and footers are
+    read once; jobs built on the handle still read the data afresh)."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    key = (id(spark), path)
+    if key not in _HANDLES:
+        _HANDLES[key] = spark.read.parquet(path)
+    return _HANDLES[key]
 
 
 def _nation_region(spark, sf_dir) -> DataFrame:
