@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -47,10 +50,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting points at shared storage and is only read here.
-    Only when it is unset (local runs, tests) a fresh scratch folder is made.
+    Only a local master (tests, laptops), where driver and executor are one
+    process, gets a scratch folder of its own when the setting is unset; any
+    other master without the setting is refused, as its executors would each
+    write to their own disk.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a "
+                             f"non-local master ({master or 'unknown'})")
         d = tempfile.mkdtemp(prefix="tripcast-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     sc = spark.sparkContext
@@ -59,10 +69,40 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/tripcast-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-path of the shared checkpoint folder for intermediate tables."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, name)
+    """A sub-path of this application's folder in the shared checkpoint folder."""
+    return f"{_scratch_root(spark)}/{name}"
+
+
+def written(df, name: str):
+    """``df`` written as Parquet into the shared checkpoint folder and read
+    back: cuts the lineage, survives executor loss, and gives later joins the
+    true size of the data."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables. Frames that still read
+    them must have been written out before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers (once a session),
+    for clusters on which it is not installed."""
+    with tempfile.TemporaryDirectory() as d:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        spark.sparkContext.addPyFile(
+            shutil.make_archive(os.path.join(d, "tripcast"), "zip", root, "tripcast"))
 
 
 def materialize(df):
