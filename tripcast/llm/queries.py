@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripcast.llm import bpe, exact_dedup, langid, minhash, packing
+from tripcast.llm import (bpe, exact_dedup, langid, lm_scoring, minhash, nn_descent, packing,
+                          sharding, token_counts, warc)
 from tripcast.llm.common import table
 
 
@@ -21,10 +22,49 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(rows, model).drop("text")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled good and not toxic."""
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), good)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    return sharding.assign_shards(rows)
+
+
+OP4_SQL = f"""
+WITH rows AS (
+  SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes,
+         lpad(bin(('0x' || substr(md5(doc_id::VARCHAR), 1, 12))::BIGINT), 48, '0') AS bits
+  FROM documents),
+paths AS (SELECT doc_id, n_bytes, d AS depth, substr(bits, 1, d) AS prefix FROM rows, range(0, 49) t(d)),
+nodes AS (SELECT depth, prefix, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_rows FROM paths GROUP BY ALL
+          HAVING sum(n_bytes) <= {sharding.SHARD_BYTES} OR count(*) = 1),
+found AS (
+  SELECT p.doc_id, p.n_bytes, n.prefix AS shard_id, n.depth::INT AS shard_depth, n.shard_rows, n.shard_bytes,
+         row_number() OVER (PARTITION BY p.doc_id ORDER BY n.depth) AS k
+  FROM paths p JOIN nodes n ON p.depth = n.depth AND p.prefix = n.prefix)
+SELECT doc_id, n_bytes, shard_id, shard_depth, shard_rows, shard_bytes,
+       shard_bytes > {sharding.SHARD_BYTES} AS oversized
+FROM found WHERE k = 1
+"""
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_components(table(spark, sf_dir, "documents"))
 
 
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_components(table(spark, sf_dir, "embeddings"))[0]
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -49,10 +89,19 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                               public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+
+
 REGISTRY = {
     "op1_language_id": (op1_language_id, None),
+    "op2_lm_scoring": (op2_lm_scoring, None),
+    "op3_token_counts": (op3_token_counts, None),
+    "op4_sharding": (op4_sharding, OP4_SQL),
     "op5_minhash_near_dedup": (op5_minhash_near_dedup, None),
+    "op6_nn_descent": (op6_nn_descent, None),
     "op7_packing": (op7_packing, None),
     "op8_exact_dedup": (op8_exact_dedup, OP8_SQL),
     "op9_byte_bpe": (op9_byte_bpe, None),
+    "op10_warc_derivatives": (op10_warc_derivatives, None),
 }
