@@ -7,8 +7,8 @@
    smaller ones.
 3. Rounds: every vector gathers its neighbours and those it is a neighbour of,
    compares them with each other (neighbours of neighbours), and offers each
-   the better ones; lists keep the nearest K. Rounds go on until hardly any
-   list changes.
+   the better ones; lists keep the nearest K. Rounds go on until they bring
+   hardly any link more.
 4. Audit: a fixed-size sample of vectors is compared with all vectors; if too
    few of its links are in the lists, further rotations and rounds follow.
 5. Links of the lists, confirmed in double precision, make the components. A
@@ -40,7 +40,7 @@ THRESHOLD = 0.9
 BLOCK = 96             # vectors of a starting block, on average
 ROTATIONS = 6          # starting blocks a vector
 ROUNDS = 6             # at most, a pass
-ENOUGH = 0.02          # a pass ends when fewer list places than this share change
+ENOUGH = 0.02          # a pass ends when a round brings less than this share of the lists' links
 OFFERS = 4             # offered to one vector by one of those it shares a neighbour with
 AUDIT = 256            # vectors compared with all
 RECALL = 0.97          # of the audit's links, else another pass
@@ -208,7 +208,8 @@ def neighbour_lists(vectors: DataFrame, rows: int, dims: int, k: int = K, thresh
         lists = written(_nearest(found if lists is None else lists.withColumn("new", F.lit(0)).unionByName(found), k), "neighbours")
         for _ in range(ROUNDS):
             lists = _round(lists, vectors, k)
-            if lists.agg(F.sum("new")).first()[0] <= ENOUGH * k * rows:
+            r = lists.where(F.col("sim") >= threshold).agg(F.sum("new").alias("new"), F.count(F.lit(1)).alias("n")).first()
+            if (r["new"] or 0) <= ENOUGH * r["n"]:
                 break
         recall = _audit(vectors, lists, rows, threshold)
         if recall >= RECALL:
