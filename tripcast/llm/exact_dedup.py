@@ -23,12 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripcast.llm.common import set_aside
-from tripcast.session import written
+from tripcast.llm.common import bit_table_size, bitmaps, is_set, set_aside, with_bitmap
 
-SLOTS_PER_ROW = 16
-MIN_BITS = 1 << 18
-MAX_BITS = 1 << 28
 SALTS = 16  # parts into which one group of copies is dealt for the join
 ADDED = ["keep_id", "group_size", "kept", "text_sha256"]
 
@@ -42,19 +38,10 @@ def _slots(text, bits: int) -> list:
 
 def repeated_bits(df: DataFrame, text, rows: int) -> tuple[DataFrame, int]:
     """Pass 1: bitmaps (bucket, bits) of the slots that two or more rows hit."""
-    bits = min(MAX_BITS, max(MIN_BITS, 1 << (SLOTS_PER_ROW * max(rows, 1) - 1).bit_length()))
+    bits = bit_table_size(rows)
     hits = (df.select(F.explode(F.array(*_slots(text, bits))).alias("slot"))
             .groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n >= 2"))
-    maps = hits.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    return written(maps, "repeated-bits"), bits
-
-
-def _is_set(bits, slot):
-    """Whether the slot's bit is set in its bitmap; a missing bitmap has none."""
-    place = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring(bits, (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10)
-    return F.coalesce(F.getbit(byte.cast("bigint"), (place % 8).cast("int")) == 1, F.lit(False))
+    return bitmaps(hits), bits
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -69,10 +56,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     probed = df.withColumns({"__s1": s1, "__s2": s2, "text_sha256": F.sha2(text, 256),
                              "__len": F.length(text)})
     for s in ("__s1", "__s2"):
-        side = F.broadcast(maps.select(F.col("bucket").alias(f"{s}_b"),  # at most MAX_BITS / 8 bytes
-                                       F.col("bits").alias(f"{s}_m")))
-        probed = probed.join(side, F.bitmap_bucket_number(s) == F.col(f"{s}_b"), "left")
-    maybe = _is_set(F.col("__s1_m"), F.col("__s1")) & _is_set(F.col("__s2_m"), F.col("__s2"))
+        probed = with_bitmap(probed, maps, s)
+    maybe = is_set("__s1") & is_set("__s2")
     base = [F.col(f"`{c}`") for c in kept_cols]
 
     unique = probed.where(~maybe).select(

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tripcast.llm.common import rows_among
 from tripcast.session import written
 
 ORDER = 3
@@ -143,7 +144,6 @@ def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "t
 
 def score_documents(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of ``docs`` against the documents that ``target_ids`` (one id column) names."""
-    ids = target_ids.select(F.col(target_ids.columns[0]).alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
-    target = docs.join(ids, id_col, "left_semi")
+    target = rows_among(docs, target_ids.distinct(), id_col)
     model = fit(docs.select(F.col(text_col)), target.select(F.col(text_col)))
     return score(docs, model, id_col, text_col)

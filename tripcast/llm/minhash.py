@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tripcast.llm.common import rows_among, rows_not_among
 from tripcast.llm.graph import connected_components
 from tripcast.llm.words import mix, shingle_sets
 from tripcast.session import written
@@ -222,7 +223,7 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                    .where("hub < last").select("band", "hub"), "band-hubs")
     shared = written(members.join(hubs, "band"), "shared-bands")
     wanted = written(shared.select("doc_id").distinct(), "candidates")
-    sets = written(texts.join(wanted, "doc_id", "left_semi").mapInArrow(
+    sets = written(rows_among(texts, wanted, "doc_id").mapInArrow(
         _sets, "doc_id long, shingles array<long>"), "shingle-sets")
 
     pairs = shared.where("hub < doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
@@ -253,6 +254,5 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      percent: int = PERCENT) -> DataFrame:
     """The rows of ``df`` that stay: one document of each component."""
-    gone = near_components(df, id_col, text_col, percent).where("not kept").select(
-        F.col("doc_id").alias("__gone")).distinct()
-    return df.join(written(gone, "near-copies"), F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = near_components(df, id_col, text_col, percent).where("not kept").select("doc_id").distinct()
+    return rows_not_among(df, gone, id_col)
