@@ -71,6 +71,16 @@ def rows_among(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return maybe.join(ids.hint("shuffle_hash"), F.col(id_col) == F.col("__id"), "left_semi")
 
 
+def rows_flagged(df: DataFrame, ids: DataFrame, id_col: str, flag: str) -> DataFrame:
+    """All rows of ``df``, with whether their id is in the one column of
+    ``ids`` (distinct); most that are not pass straight through."""
+    ids = written(ids.select(F.col(ids.columns[0]).cast("long").alias("__id")), "ids")
+    maybe, rest = _split(df, ids, id_col)
+    found = maybe.join(ids.hint("shuffle_hash"), F.col(id_col) == F.col("__id"), "left")
+    return rest.withColumn(flag, F.lit(False)).unionByName(
+        found.withColumn(flag, F.col("__id").isNotNull()).drop("__id"))
+
+
 def rows_not_among(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """The rows of ``df`` whose id (null too) is not in the one column of
     ``ids``; most of them pass straight through."""

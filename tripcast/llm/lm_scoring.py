@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripcast.llm.common import rows_among
+from tripcast.llm.common import rows_flagged
 from tripcast.session import written
 
 ORDER = 3
@@ -61,20 +61,27 @@ def _blocks(column):
 
 
 def _count(batches):
-    total = np.zeros(GRAMS, np.int64)
+    total, target = np.zeros(GRAMS, np.int64), np.zeros(GRAMS, np.int64)
     for batch in batches:
+        at = 0
         for group in _blocks(batch.column(0)):
-            keys, n = np.unique(_grams(group)[0], return_counts=True)
-            total[keys] += n
+            chosen = batch.column(1).slice(at, len(group)).to_pylist()
+            at += len(group)
+            for of, counted in ((True, (total, target)), (False, (total,))):
+                keys, n = np.unique(_grams([t for t, c in zip(group, chosen) if c is of])[0], return_counts=True)
+                for x in counted:
+                    x[keys] += n
     keys = np.flatnonzero(total)
     for lo in range(0, len(keys), 1 << 16):
         k = keys[lo:lo + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(total[k])], names=["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(total[k]), pa.array(target[k])],
+                                         names=["gram", "background", "target"])
 
 
 def counts(texts: DataFrame) -> DataFrame:
-    """gram, n over one text column."""
-    return texts.mapInArrow(_count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    """gram, background and target counts, over (text, whether it is a target's)."""
+    return texts.mapInArrow(_count, "gram int, background long, target long").groupBy("gram").agg(
+        F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
 def log_probabilities(grams: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -105,11 +112,9 @@ def _tables(model: dict) -> tuple[np.ndarray, np.ndarray]:
     return _TABLES[model["key"]]
 
 
-def fit(texts: DataFrame, target_texts: DataFrame) -> dict:
-    """Both models' counts by n-gram, at most 2^24 of them."""
-    both = counts(texts).withColumnRenamed("n", "background").join(
-        counts(target_texts).withColumnRenamed("n", "target"), "gram", "full")
-    t = written(both.na.fill(0), "ngram-counts").orderBy("gram").toArrow()
+def fit(texts: DataFrame) -> dict:
+    """Both models' counts by n-gram, at most 2^24 of them, over (text, whether it is a target's)."""
+    t = written(counts(texts), "ngram-counts").orderBy("gram").toArrow()
     model = {k: t.column(k).to_numpy() for k in ("background", "target")} | {"grams": t.column("gram").to_numpy()}
     model["key"] = hash((model["background"].tobytes(), model["target"].tobytes(), model["grams"].tobytes()))
     return model
@@ -144,6 +149,6 @@ def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "t
 
 def score_documents(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of ``docs`` against the documents that ``target_ids`` (one id column) names."""
-    target = rows_among(docs, target_ids.distinct(), id_col)
-    model = fit(docs.select(F.col(text_col)), target.select(F.col(text_col)))
+    known = rows_flagged(docs.select(id_col, text_col), target_ids.distinct(), id_col, "target")
+    model = fit(known.select(text_col, "target"))
     return score(docs, model, id_col, text_col)
