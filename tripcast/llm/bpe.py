@@ -239,7 +239,7 @@ def encode_digests(df: DataFrame, ranks_path: str, pattern: str,
         encoder = _encoder(sent.value, pattern)
         for batch in batches:
             n, sha, back, all_ids = [], [], [], []
-            for ids in encoder.ids(batch.column(1).to_pylist()):
+            for ids in encoder.ids(t.as_py() for t in batch.column(1)):
                 n.append(len(ids))
                 sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 back.append(hashlib.sha256(encoder.decode(ids)).hexdigest())

@@ -171,7 +171,10 @@ def predict(df: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            lang, score, rejected = predict_texts(batch.column(keep.index(text_col)).to_pylist(), sent.value)
+            text = batch.column(keep.index(text_col))
+            found = [predict_texts(text.slice(lo, BATCH_TEXTS).to_pylist(), sent.value)
+                     for lo in range(0, batch.num_rows, BATCH_TEXTS)]
+            lang, score, rejected = ([x for f in found for x in f[k]] for k in range(3))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()),
                  pa.array(rejected, pa.bool_())], names=[*keep, *added])

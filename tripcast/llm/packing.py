@@ -111,7 +111,7 @@ def pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         words = _word_ids(sent.value)
         for batch in batches:
             row, start, length, crc, total = [], [], [], [], []
-            for k, ids in enumerate(words.texts.ids(batch.column(1).to_pylist())):
+            for k, ids in enumerate(words.texts.ids(t.as_py() for t in batch.column(1))):
                 data = memoryview(np.append(ids, np.uint32(CLOSING_ID)).astype("<u4").tobytes())
                 n = len(ids) + 1
                 for at in range(0, n, window):

@@ -38,7 +38,9 @@ class Unigram:
     def __init__(self, pieces: list[str]):
         weight = 1 / (np.arange(len(pieces)) + OFFSET)
         logs = np.log(weight / weight.sum())
-        self.score = dict(zip(pieces, logs.tolist()))
+        # ends of pieces that are no pieces themselves have no score; what is not here ends no piece
+        self.score: dict[str, float | None] = {p[k:]: None for p in pieces for k in range(1, len(p))}
+        self.score.update(zip(pieces, logs.tolist()))
         self.longest = max(map(len, pieces), default=1)
         self.byte_score = float(logs.min()) if len(logs) else -1.0
 
@@ -47,8 +49,10 @@ class Unigram:
         spelled = len(word[end - 1].encode("utf-8", "surrogatepass"))
         best, pieces = scores[end - 1] + spelled * self.byte_score, counts[end - 1] + spelled
         get = self.score.get
-        for start in range(max(0, end - self.longest), end):
-            s = get(word[start:end])
+        for start in range(end - 1, max(0, end - self.longest) - 1, -1):
+            s = get(word[start:end], 0)
+            if s == 0:
+                break
             if s is not None:
                 s += scores[start]
                 if s > best or (s == best and counts[start] + 1 < pieces):
@@ -164,10 +168,10 @@ def token_counts(df: DataFrame, model_file: str, id_col: str = "doc_id", text_co
     def run(batches):
         counter = _counter(sent.value)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counter.of(texts), pa.int64()),
-                 pa.array([t.count(" ") + 1 if t else 0 for t in texts], pa.int64())],
+                [batch.column(0), pa.array(counter.of(t.as_py() for t in texts), pa.int64()),
+                 pa.array([t.count(" ") + 1 if (t := x.as_py()) else 0 for x in texts], pa.int64())],
                 names=["doc_id", "n_tokens", "n_pre_tokens"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()

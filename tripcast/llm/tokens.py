@@ -12,7 +12,7 @@ import re
 
 import numpy as np
 
-LIMIT = 600_000
+LIMIT = 300_000
 SEGMENT = 1 << 19  # characters handled at a time
 
 #: Unicode's White_Space, as the tokenizers' patterns read it. Fixed values.

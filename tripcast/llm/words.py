@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 SHINGLE = 5
-BLOCK = 1 << 21  # bytes hashed at a time
+BLOCK = 1 << 19  # bytes hashed at a time
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
