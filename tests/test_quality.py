@@ -142,14 +142,6 @@ def test_report_lines_percentages(spark):
                         for r in viol)
 
 
-def test_broadcast_probe(spark):
-    from tripcast.operators.joins import fits_broadcast, maybe_broadcast
-    small = spark.range(10)
-    assert fits_broadcast(small, 10) and not fits_broadcast(small, 9)
-    assert "BroadcastExchange" in spark.range(100).join(maybe_broadcast(small, 10), "id") \
-        ._jdf.queryExecution().executedPlan().toString()
-
-
 def test_alignment_and_reconcile_partials(spark):
     hp = spark.createDataFrame([(datetime(2025, 5, 1),), (datetime(2025, 5, 2),)], "period timestamp_ntz")
     fc = spark.createDataFrame([("a", datetime(2025, 5, 1)), ("a", datetime(2025, 5, 2)), ("b", datetime(2025, 5, 1))],

@@ -323,9 +323,10 @@ def default_nlags(n: int) -> int:
 
 
 def acf(y: DataFrame, nlags: Optional[int] = None, by: Sequence[str] = ()) -> DataFrame:
-    """A4: autocorrelation up to ``nlags`` (default min(40, n/2-1)) plus the
-    95% band 1.96/sqrt(n).  One shared window computes every lagged column."""
-    n = y.groupBy(*by).count().agg(F.min("count")).first()[0] or 0
+    """A4: autocorrelation up to ``nlags`` (default min(40, n/2-1), n being
+    each series' own length) plus the 95% band 1.96/sqrt(n).  One shared
+    window computes every lagged column; series under 4 rows have none."""
+    n = y.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     if n < 4:
         raise ValueError("ACF needs at least 4 observations")
     L = default_nlags(n) if nlags is None else max(1, min(int(nlags), n // 2 - 1))
@@ -336,7 +337,9 @@ def acf(y: DataFrame, nlags: Optional[int] = None, by: Sequence[str] = ()) -> Da
                               F.count(F.lit(1)).alias("__n"),
                               *[F.sum(F.col("__x") * F.col(f"__l{k}")).alias(f"__c{k}") for k in range(1, L + 1)])
     rows = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"__c{k}").alias("__ck")) for k in range(0, L + 1)])
-    return sums.select(*by, "__c0", "__n", F.inline(rows)).select(
+    own = F.greatest(F.lit(1), F.floor(F.col("__n") / 2) - 1)
+    return sums.select(*by, "__c0", "__n", F.inline(rows)).where(
+        (F.col("__n") >= 4) & (F.col("lag") <= own)).select(
         *by, "lag", F.coalesce(F.try_divide(F.col("__ck"), F.col("__c0")), F.lit(0.0)).alias("acf"),
         (F.lit(1.96) / F.sqrt("__n")).alias("band"))
 
@@ -383,14 +386,14 @@ def pacf(acf_rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def order_hints(acf_rows: DataFrame, pacf_rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Significant lags (first 8), AR hint (first significant PACF lag),
+    """All significant lags, AR hint (first significant PACF lag),
     weekly flag (|acf(7)| beyond the band)."""
     a = acf_rows.where((F.col("lag") >= 1) & (F.abs("acf") > F.col("band"))).groupBy(*by).agg(
-        F.slice(F.array_sort(F.collect_list("lag")), 1, 8).alias("sig_acf"),
+        F.array_sort(F.collect_list("lag")).alias("sig_acf"),
         F.bool_or(F.col("lag") == 7).alias("weekly"),
         F.min("lag").alias("first_sig_acf"))
     p = pacf_rows.where((F.col("lag") >= 1) & (F.abs("pacf") > F.col("band"))).groupBy(*by).agg(
-        F.slice(F.array_sort(F.collect_list("lag")), 1, 8).alias("sig_pacf"),
+        F.array_sort(F.collect_list("lag")).alias("sig_pacf"),
         F.min("lag").alias("ar_order_hint"))
     keys = acf_rows.select(*by).distinct() if by else acf_rows.limit(1).select()
     if by:
@@ -464,10 +467,24 @@ def _pairwise_r(a, b):
 
 
 def _avg_rank(col: str, by: Sequence[str]):
-    """Average rank of ties (1-based) within a series."""
+    """Average rank of ties (1-based) within a group."""
     w = Window.partitionBy(*by).orderBy(col)
     ties = F.count(F.lit(1)).over(Window.partitionBy(*by, col))
-    return F.when(F.col(col).isNotNull(), F.rank().over(w) + (ties - 1) / 2.0)
+    return F.rank().over(w) + (ties - 1) / 2.0
+
+
+def _spearman(base: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Rank correlations; ranks are taken over each pair's complete rows."""
+    pairs = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(a).alias("__a"), F.col(b).alias("__b"))
+                      for i, a in enumerate(cols) for b in cols[i:]])
+    ok = F.col("__a").isNotNull() & F.col("__b").isNotNull() & ~F.isnan("__a") & ~F.isnan("__b")
+    group = [*by, "x", "y", "__ok"]
+    ranked = base.select(*by, F.inline(pairs)).withColumn("__ok", ok).select(
+        *by, "x", "y", *[F.when(F.col("__ok"), _avg_rank(c, group)).alias(c) for c in ("__a", "__b")])
+    half = ranked.groupBy(*by, "x", "y").agg(_pairwise_r(F.col("__a"), F.col("__b")).alias("r")).withColumn(
+        "r", F.when((F.col("x") == F.col("y")) & F.col("r").isNotNull(), F.lit(1.0)).otherwise(F.col("r")))
+    mirrored = half.where("x <> y").select(*by, F.col("y").alias("x"), F.col("x").alias("y"), "r")
+    return half.unionByName(mirrored)
 
 
 def _kendall_tau_b(x: np.ndarray, y: np.ndarray) -> float:
@@ -541,7 +558,7 @@ def demand_correlations(y: DataFrame, exog: Optional[DataFrame] = None, method:
                 lambda p: fn(p.drop(columns="__k")), schema)
         return base.groupBy(*keys).applyInPandas(fn, schema)
     if method == "spearman":
-        base = base.select(*by, *[_avg_rank(c, by).alias(c) for c in cols])
+        return _spearman(base, cols, by)
     # the diagonal is 1 only where the column varies (pandas gives NaN otherwise)
     aggs = [_pairwise_r(F.col(a), F.col(b)).alias(f"__r_{i}_{j}")
             for i, a in enumerate(cols) for j, b in enumerate(cols)]

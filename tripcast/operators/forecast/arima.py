@@ -84,8 +84,8 @@ def sarima_numpy(y: np.ndarray, horizon: int, exog: Optional[np.ndarray] = None,
         X = np.vstack([_difference(exog[:, j], s) for j in range(exog.shape[1])]).T
         beta, *_ = np.linalg.lstsq(X, w, rcond=None)
         w = w - X @ beta
-    mu, sd = w.mean(), w.std() or 1.0
-    wz = (w - mu) / sd
+    sd = w.std() or 1.0  # no mean is taken off: a drift of the twice differenced series is a quadratic trend
+    wz = w / sd
 
     def obj(p):
         phi, theta, Phi, Theta = np.tanh(p)
@@ -101,7 +101,7 @@ def sarima_numpy(y: np.ndarray, horizon: int, exog: Optional[np.ndarray] = None,
                + theta * e[t - 1] + Theta * e[t - s] + theta * Theta * e[t - s - 1])
         ww.append(nxt)
         e.append(0.0)
-    wf = np.array(ww[-horizon:]) * sd + mu
+    wf = np.array(ww[-horizon:]) * sd
     if beta is not None and exog_future is not None:
         full = np.vstack([exog, exog_future])
         Xf = np.vstack([_difference(full[:, j], s) for j in range(full.shape[1])]).T[-horizon:]

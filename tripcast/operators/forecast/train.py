@@ -59,7 +59,7 @@ def train_all(candidates: Mapping[str, Callable], train: DataFrame, horizon: int
             sts.append(materialize(st))
             fcs.append(fc)
         except Exception as e:  # noqa: BLE001 - isolate the failing model
-            sts.append(spark.createDataFrame([(name, None, True, f"{type(e).__name__}: {str(e)[:300]}")],
+            sts.append(spark.createDataFrame([(name, None, True, f"{type(e).__name__}: {e}")],
                                              STATUS_SCHEMA))
     fc = reduce(lambda a, b: a.unionByName(b), fcs) if fcs else spark.createDataFrame([], FORECAST_SCHEMA)
     st = reduce(lambda a, b: a.unionByName(b), sts)
@@ -67,7 +67,8 @@ def train_all(candidates: Mapping[str, Callable], train: DataFrame, horizon: int
 
 
 def model_status(status: DataFrame) -> DataFrame:
-    """One row per model: excluded when every series of it failed."""
+    """One row per model: excluded when any series of it failed, since its
+    total would lack that series."""
     return status.groupBy("model").agg(
-        F.bool_and("excluded").alias("excluded"),
+        F.bool_or("excluded").alias("excluded"),
         F.max(F.when(F.col("excluded"), F.col("reason"))).alias("reason"))

@@ -2,15 +2,12 @@
 
 Plan shape at scale (billions of trips, a few hundred zones, a few regions):
 
-* the zone lookup is de-duplicated and broadcast only behind a row-count check
-  (:func:`tripcast.operators.joins.maybe_broadcast`);
 * counting is a hash aggregate whose partial (map-side) half folds every task's
   rows into at most (days x regions) rows before the shuffle, so a hot region
   holding a third of all trips costs nothing extra;
-* when the lookup is too large to broadcast, trips are first counted per
-  (day, zone) - again map-side combined - and only those counts are joined,
-  which shrinks the shuffle join input by orders of magnitude and removes key
-  skew (each (day, zone) is one row after the pre-aggregate);
+* trips are first counted per (day, zone), and only those counts are joined
+  with the de-duplicated lookup, which shrinks the join's input by orders of
+  magnitude and removes key skew (each (day, zone) is one row);
 * the zero-fill grid is generated (days x regions, <= 731 x regions rows) and
   left-joined; lags use one shared window spec (one exchange + sort).
 """
@@ -26,7 +23,6 @@ from pyspark.sql.types import TimestampNTZType
 
 from tripcast.functions.columns import day_period, to_ts
 from tripcast.operators import quality as Q
-from tripcast.operators.joins import MAX_BROADCAST_ROWS, fits_broadcast
 from tripcast.params import (DEMAND, LOCATION, LOOKUP_BOROUGH, LOOKUP_ID, PERIOD, PICKUP,
                              REGION, SUPPORTED_TIME_GRAINS, Scope)
 
@@ -48,8 +44,7 @@ def dedup_lookup(lookup: DataFrame, id_col: str = LOOKUP_ID, borough_col: str =
 # --------------------------------------------------------------------------- P1
 def map_zones_to_regions(df: DataFrame, lookup: DataFrame, *, location_col: str = LOCATION,
                          id_col: str = LOOKUP_ID, borough_col: str = LOOKUP_BOROUGH,
-                         region_col: str = REGION, order_col: Optional[str] = None,
-                         max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                         region_col: str = REGION, order_col: Optional[str] = None) -> DataFrame:
     """Left equi-join of trips to their region; unmatched -> NULL region.
 
     The redundant lookup id is dropped; the trip's own location is kept.
@@ -57,8 +52,6 @@ def map_zones_to_regions(df: DataFrame, lookup: DataFrame, *, location_col: str
     Q.require_columns(df, [location_col], "trips")
     small = dedup_lookup(lookup, id_col, borough_col, order_col)
     small = small.select(F.col(id_col).alias("__zid"), F.col(borough_col).alias(region_col))
-    if fits_broadcast(lookup, max_broadcast_rows):  # raw rows bound the de-duplicated ones
-        small = F.broadcast(small)
     out = df.join(small, df[location_col] == small["__zid"], "left").drop("__zid")
     return out
 
@@ -86,21 +79,13 @@ def aggregate_demand(df: DataFrame, scope: Scope | None = None, *, ts_col: str =
 
 def aggregate_demand_by_zone(df: DataFrame, lookup: DataFrame, scope: Scope | None = None, *,
                              ts_col: str = PICKUP, location_col: str = LOCATION,
-                             id_col: str = LOOKUP_ID, borough_col: str = LOOKUP_BOROUGH,
-                             max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """P1 + P3 fused, choosing the plan by the lookup's proven size.
-
-    small lookup : broadcast-join every trip, then one (period, region) count;
-    large lookup : count per (period, zone) first, join the counts, re-sum.
-    Both give exactly the P1 -> P3 result.
+                             id_col: str = LOOKUP_ID, borough_col: str = LOOKUP_BOROUGH) -> DataFrame:
+    """P1 + P3 fused: trips are counted per (period, zone) map-side, only the
+    counts are joined with the de-duplicated lookup (Spark picks the join by
+    real sizes), and summed per region.  Gives exactly the P1 -> P3 result.
     """
     grain = scope.time_grain if scope else "daily"
     small = dedup_lookup(lookup, id_col, borough_col)
-    if fits_broadcast(lookup, max_broadcast_rows):
-        mapped = df.join(F.broadcast(small.select(F.col(id_col).alias("__zid"),
-                                                  F.col(borough_col).alias(REGION))),
-                         F.col(location_col) == F.col("__zid"), "left")
-        return aggregate_demand(mapped, scope, ts_col=ts_col)
     per_zone = (df.select(truncate_to_grain(F.col(ts_col), grain).alias(PERIOD),
                           F.col(location_col).alias("__zid"))
                   .where(F.col(PERIOD).isNotNull() & F.col("__zid").isNotNull())

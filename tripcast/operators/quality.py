@@ -303,11 +303,9 @@ def validation_report_by_file(df: DataFrame, file_col: str, *, ts_col: str = PIC
                   .groupBy(file_col, "__m").agg(F.count(F.lit(1)).alias("__n")))
     modal = by_month.groupBy(file_col).agg(
         F.min_by("__m", F.struct(-F.col("__n"), F.col("__m"))).alias("__stated"))
-    # one row per file: materialise it, then broadcast it behind the size probe
-    # so the raw rows are never shuffled for this join
-    from tripcast.operators.joins import maybe_broadcast
-    from tripcast.session import materialize
-    tagged = df.join(maybe_broadcast(materialize(modal)), file_col, "left")
+    # one row per file, written so that Spark picks the join by its true size
+    from tripcast.session import written
+    tagged = df.join(written(modal, "modal-months"), file_col, "left")
     masks = violation_masks(tagged.drop("__stated"), ts_col=ts_col, stated_month=None,
                             non_negative_columns=non_negative_columns)
     month_mask = F.coalesce(m.isNotNull() & (m != F.col("__stated")), F.lit(False))

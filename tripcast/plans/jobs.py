@@ -20,9 +20,8 @@ def build_series(trips: DataFrame, lookup: DataFrame, scope: Scope, *,
 
     The month rule uses ``month_col`` (the stated month of each row's file,
     e.g. from :func:`tripcast.sources.files.read_month_files`) when given;
-    negative measures are always dropped.  Counting is P1 + P3 fused with a
-    size-checked broadcast (small lookup) or a pre-aggregate per (day, zone)
-    before a shuffle join (large lookup); then P6 + W1.
+    negative measures are always dropped.  Counting is P1 + P3 fused
+    (per day and zone before the join); then P6 + W1.
     """
     clean, _ = Q.apply_validity_rules(trips, stated_month=None, month_col=month_col)
     if month_col:
@@ -40,14 +39,15 @@ def build_report(trips: DataFrame, lookup: DataFrame, month_col: str = "stated_m
     for _, m in masks:
         bad = bad | m
     small = P.dedup_lookup(lookup).select(F.col("LocationID").alias("__zid"), F.col("Borough").alias("__reg"))
-    from tripcast.operators.joins import maybe_broadcast
-    tagged = trips.join(maybe_broadcast(small, size_checked_on=lookup),
-                        F.col("PULocationID") == F.col("__zid"), "left")
-    return (tagged.groupBy(F.col(month_col).alias("month"))
-                  .agg(F.count(F.lit(1)).cast("long").alias("rows"),
-                       F.count_if(bad).cast("long").alias("dropped"),
-                       F.count_if(~bad & F.col("__reg").isNotNull()
-                                  & F.col("pickup_datetime").isNotNull()).cast("long").alias("counted")))
+    # counted per (month, zone) map-side; only those counts meet the lookup
+    per_zone = trips.groupBy(F.col(month_col).alias("month"), F.col("PULocationID").alias("__loc")).agg(
+        F.count(F.lit(1)).alias("__rows"), F.count_if(bad).alias("__bad"),
+        F.count_if(~bad & F.col("pickup_datetime").isNotNull()).alias("__ok"))
+    return (per_zone.join(small, F.col("__loc") == F.col("__zid"), "left").groupBy("month")
+                    .agg(F.sum("__rows").cast("long").alias("rows"),
+                         F.sum("__bad").cast("long").alias("dropped"),
+                         F.coalesce(F.sum(F.when(F.col("__reg").isNotNull(), F.col("__ok"))), F.lit(0))
+                         .cast("long").alias("counted")))
 
 
 def monthly_partials(trips: DataFrame, lookup: DataFrame, scope: Scope,
@@ -55,14 +55,12 @@ def monthly_partials(trips: DataFrame, lookup: DataFrame, scope: Scope,
     """Per-file partial counts ``(month, period, region, demand)`` (S11 input)."""
     clean, _ = Q.apply_validity_rules(trips, stated_month=None, month_col=month_col)
     small = P.dedup_lookup(lookup)
-    from tripcast.operators.joins import maybe_broadcast
-    small = maybe_broadcast(small.select(F.col("LocationID").alias("__zid"),
-                                         F.col("Borough").alias("region")), size_checked_on=lookup)
-    mapped = clean.join(small, F.col("PULocationID") == F.col("__zid"), "left")
-    return (mapped.select(F.col(month_col).alias("month"),
-                          P.truncate_to_grain(F.col("pickup_datetime")).alias("period"), "region")
-                  .where("period IS NOT NULL AND region IS NOT NULL")
-                  .groupBy("month", "period", "region").agg(F.count(F.lit(1)).cast("long").alias("demand")))
+    small = small.select(F.col("LocationID").alias("__zid"), F.col("Borough").alias("region"))
+    per_zone = (clean.select(F.col(month_col).alias("month"), F.col("PULocationID").alias("__loc"),
+                             P.truncate_to_grain(F.col("pickup_datetime")).alias("period"))
+                     .where("period IS NOT NULL").groupBy("month", "period", "__loc").agg(F.count(F.lit(1)).alias("__n")))
+    return (per_zone.join(small, F.col("__loc") == F.col("__zid")).where("region IS NOT NULL")
+                    .groupBy("month", "period", "region").agg(F.sum("__n").cast("long").alias("demand")))
 
 
 # ------------------------------------------------------------ train / evaluate

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 from typing import Optional, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (LongType, StringType, StructField, StructType,
@@ -133,12 +134,21 @@ def write_partials(partials: DataFrame, path: str) -> None:
              .partitionBy("month").parquet(path))
 
 
+def stored_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path`` (any store), None where nothing was written yet;
+    every other failure to read is raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def months_to_build(spark: SparkSession, wanted: DataFrame, path: str) -> DataFrame:
     """Months of ``wanted`` (column ``month``) that have no partial yet (left anti)."""
-    if not os.path.exists(path):
-        return wanted
-    done = spark.read.parquet(path).select("month").distinct()
-    return wanted.join(done, "month", "left_anti")
+    done = stored_or_none(spark, path)
+    return wanted if done is None else wanted.join(done.select("month").distinct(), "month", "left_anti")
 
 
 # --------------------------------------------------------------------------- S12

@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 
 from tripcast.functions.columns import month_start
 from tripcast.session import materialize
-from tripcast.sources.files import MONTH_FILE_PATTERN, stated_month_from_name
+from tripcast.sources.files import stored_or_none, MONTH_FILE_PATTERN, stated_month_from_name
 
 
 def stream_trips(spark: SparkSession, data_dir: str, schema: StructType,
@@ -72,13 +72,14 @@ def merge_stream_batch(out_path: str):
         spark = batch.sparkSession
         b = batch.select(F.trunc(F.col("period").cast("date"), "MM").alias("month"), "period", "region",
                          F.col("demand").cast("long").alias("demand"))
-        try:
-            old = spark.read.parquet(out_path).select("month", "period", "region", "demand")
-            old = old.join(b.select("month").distinct(), "month", "left_semi") \
+        old = stored_or_none(spark, out_path)
+        if old is None:  # first batch; any other failure to read ends the batch, and the checkpoint replays it
+            merged = b
+        else:
+            old = old.select("month", "period", "region", "demand") \
+                     .join(b.select("month").distinct(), "month", "left_semi") \
                      .join(b.select("period", "region"), ["period", "region"], "left_anti")
             merged = old.unionByName(b)
-        except Exception:  # noqa: BLE001 - first batch: nothing stored yet
-            merged = b
         merged = materialize(merged)  # the read and the overwrite target are the same folder
         (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                .partitionBy("month").parquet(out_path))
