@@ -45,7 +45,7 @@ _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))
 
 def plain_text(page: str) -> str:
     """The visible text of a page: blocks on lines of their own, entities resolved."""
-    t = _HIDDEN.sub(" ", page)
+    t = _HIDDEN.sub("", page)
     t = _BLANKS.sub(" ", t.replace("\n", " "))
     t = _TAG.sub("", _CELL.sub(" ", _BREAK.sub("\n", t)))
     t = html.unescape(t)
