@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tripcast.llm.common import in_small_batches
 from tripcast.llm.tokens import BLANKS, WITH_SPACE, Remembered, TextIds, spread
 
 WIDTHS = [2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 24, 32, 64, 128, 256]
@@ -251,5 +252,5 @@ def encode_digests(df: DataFrame, ranks_path: str, pattern: str,
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return in_small_batches(rows).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
                            + (", ids array<long>" if with_ids else ""))

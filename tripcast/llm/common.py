@@ -12,6 +12,15 @@ SLOTS_PER_ROW = 16
 MIN_BITS, MAX_BITS = 1 << 18, 1 << 28   # of a bit table; at most 32 MB are broadcast
 
 
+ARROW_ROWS = "512"   # texts are long: small batches bound what a task and its Python worker hold
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df`` unchanged, after asking its session for small Arrow batches."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    return df
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

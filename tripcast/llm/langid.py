@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType
 
-from tripcast.llm.common import with_fields
+from tripcast.llm.common import in_small_batches, with_fields
 from tripcast.session import written
 
 DIMS = 8192
@@ -104,7 +104,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
     share = F.create_map(*[x for g, n in sizes.items() for x in (F.lit(g), F.lit(min(1.0, sample / n)))])
     chance = F.pmod(F.xxhash64(F.col(seed_col), F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
     vectors = written(
-        rows.where(chance < share[F.col(lang_col)])
+        in_small_batches(rows).where(chance < share[F.col(lang_col)])
         .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
         .mapInArrow(_sketch_batches, "lang string, cells array<int>, counts array<int>"), "language-sample")
     seen = vectors.count()
@@ -179,4 +179,4 @@ def predict(df: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
                 [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()),
                  pa.array(rejected, pa.bool_())], names=[*keep, *added])
 
-    return df.mapInArrow(run, with_fields(df.schema, lang_pred=StringType(), score=DoubleType(), rejected=BooleanType()))
+    return in_small_batches(df).mapInArrow(run, with_fields(df.schema, lang_pred=StringType(), score=DoubleType(), rejected=BooleanType()))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tripcast.llm.common import rows_among, rows_not_among
+from tripcast.llm.common import in_small_batches, rows_among, rows_not_among
 from tripcast.llm.graph import connected_components
 from tripcast.llm.words import mix, shingle_sets
 from tripcast.session import written
@@ -121,7 +121,7 @@ def _sketch(batches):
 def sketches(texts: DataFrame) -> DataFrame:
     """doc_id, n_shingles, the set's 128-bit key, its registers and band keys,
     from doc_id and text."""
-    return texts.mapInArrow(
+    return in_small_batches(texts).mapInArrow(
         _sketch, "doc_id long, n_shingles long, key1 long, key2 long, regs binary, bands array<long>")
 
 

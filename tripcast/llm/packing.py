@@ -31,6 +31,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripcast.llm.common import in_small_batches
 from tripcast.llm.tokens import WITHOUT_SPACE, Remembered, TextIds
 from tripcast.session import written
 
@@ -126,7 +127,7 @@ def pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return in_small_batches(rows).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 # -- combinations ----------------------------------------------------------

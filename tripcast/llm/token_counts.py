@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tripcast.llm.common import in_small_batches
 from tripcast.llm.tokens import SEGMENT, Remembered
 
 MARK = "▁"
@@ -175,4 +176,4 @@ def token_counts(df: DataFrame, model_file: str, id_col: str = "doc_id", text_co
                 names=["doc_id", "n_tokens", "n_pre_tokens"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_pre_tokens long")
+    return in_small_batches(rows).mapInArrow(run, f"doc_id {kind}, n_tokens long, n_pre_tokens long")
