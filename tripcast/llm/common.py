@@ -12,12 +12,18 @@ SLOTS_PER_ROW = 16
 MIN_BITS, MAX_BITS = 1 << 18, 1 << 28   # of a bit table; at most 32 MB are broadcast
 
 
-ARROW_ROWS = "512"   # texts are long: small batches bound what a task and its Python worker hold
+#: Texts are long: small batches, by rows and by bytes, bound what a task's scan, its Arrow buffers and its Python worker hold.
+SMALL_BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "2m",
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
+}
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:
-    """``df`` unchanged, after asking its session for small Arrow batches."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    """``df`` unchanged, after asking its session for small batches."""
+    for name, value in SMALL_BATCHES.items():
+        df.sparkSession.conf.set(name, value)
     return df
 
 
