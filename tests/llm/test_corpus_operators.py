@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import itertools
+import random
 import struct
 import zlib
 from collections import defaultdict
@@ -114,6 +115,28 @@ def test_near_dedup_links_variants_that_miss_their_hub(spark):
     assert got == up
 
 
+def test_near_dedup_of_a_group_whose_smallest_id_is_an_outlier(spark):
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(150)]
+
+    def edited(n):
+        words = list(base)
+        for at in rng.sample(range(len(base)), n):
+            words[at] = f"x{rng.random()}"
+        return " ".join(words)
+
+    rows = [(0, edited(4))] + [(k, edited(rng.choice([0, 1, 1, 2, 2, 3]))) for k in range(1, 60)]
+    sets = {i: shingles(t) for i, t in rows}
+    best = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                lo, hi = sorted((best[a], best[b]))
+                best = {k: lo if v == hi else v for k, v in best.items()}
+    got = {r.doc_id: r.component_id for r in minhash.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == best
+
+
 def test_estimate_follows_jaccard():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 1 << 64, 4000, np.uint64))

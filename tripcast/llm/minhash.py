@@ -14,11 +14,13 @@ number of leading zeros and the ``MANTISSA`` bits that follow the first one.
    that cannot be similar drop out, the rest is confirmed on the full sets.
    Links have ``100 * intersection >= percent * union``.
 4. Links are joined into components. Two members of one component need no
-   further test. The members of bands that hold several components are held
-   against each other by an exact prefix filter: with all shingles in one
-   order, rarest first, two similar sets meet in their first few, at places
-   that leave enough to share. So no band's members are paired all with all.
-5. The links of both steps make the components.
+   further test. Where a band holds several, its smallest id may be an outlier:
+   its most central document is held against those of other components.
+5. The members of bands that still hold several components are held against
+   each other by an exact prefix filter: with all shingles in one order, rarest
+   first, two similar sets meet in their first few, at places that leave enough
+   to share. So no band's members are paired all with all.
+6. The links of all steps make the components.
 
 Defined cases: a null or empty text, or one without words, has an empty set,
 links with nothing and is kept; rows that share a doc_id count as one node;
@@ -169,6 +171,36 @@ def _sides(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return pairs
 
 
+def _linked(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that pass the estimate and then the check on full sets."""
+    likely = _sides(pairs, reps.select("doc_id", "n", "regs")).where(
+        _maybe_similar(percent)("regs_a", "regs_b", "n_a", "n_b")).select("a", "b")
+    return _confirmed(written(likely, "likely-pairs"), sets, percent)
+
+
+def _mixed_bands(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """band, doc_id and component of the bands that hold several components."""
+    placed = written(shared.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "band", "doc_id", F.coalesce("component", "doc_id").alias("component")), "placed")
+    mixed = placed.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2")) \
+        .where("c1 < c2").select("band")
+    return written(placed.join(written(mixed, "mixed-bands"), "band", "left_semi"), "mixed-rows")
+
+
+def central_pairs(mixed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each band's most central document with the band's
+    documents of other components. A document near the middle of a large group
+    meets many others in its bands; an outlier, which may have the smallest id,
+    meets few. So the one whose bands hold the most rows is the most central."""
+    sizes = mixed.groupBy("band").agg(F.count(F.lit(1)).alias("size"))
+    score = mixed.join(sizes, "band").groupBy("doc_id").agg(F.sum("size").alias("score"))
+    hubs = mixed.join(written(score, "band-scores"), "doc_id").groupBy("band").agg(
+        F.max(F.struct("score", (-F.col("doc_id")).alias("minus"), F.col("component").alias("hub_component"))).alias("top"))
+    return (mixed.join(written(hubs, "central"), "band").where("component <> top.hub_component")
+            .select("doc_id", (-F.col("top.minus")).alias("hub"))
+            .select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct())
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
@@ -227,16 +259,17 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         _sets, "doc_id long, shingles array<long>"), "shingle-sets")
 
     pairs = shared.where("hub < doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    likely = _sides(pairs, reps.select("doc_id", "n", "regs")).where(
-        _maybe_similar(percent)("regs_a", "regs_b", "n_a", "n_b")).select("a", "b")
-    links = _confirmed(written(likely, "likely-pairs"), sets, percent)
+    links = _linked(pairs, reps, sets, percent)
     found = connected_components(links)
 
-    placed = written(shared.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "band", "doc_id", F.coalesce("component", "doc_id").alias("component")), "placed")
-    mixed = placed.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2")) \
-        .where("c1 < c2").select("band")
-    apart = written(placed.join(written(mixed, "mixed-bands"), "band", "left_semi").select("doc_id", "component").distinct(), "apart")
+    mixed = _mixed_bands(shared, found)
+    central = _linked(central_pairs(mixed), reps, sets, percent)
+    if not central.isEmpty():
+        links = links.unionByName(central)
+        found = connected_components(links)
+        mixed = _mixed_bands(shared, found)
+
+    apart = written(mixed.select("doc_id", "component").distinct(), "apart")
     more = _confirmed(written(prefix_pairs(sets.join(apart.select("doc_id"), "doc_id", "left_semi"), apart, percent),
                               "prefix-pairs"), sets, percent)
     if not more.isEmpty():
