@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripcast.llm.common import in_small_batches
-from tripcast.llm.tokens import WITHOUT_SPACE, Remembered, TextIds
+from tripcast.llm.tokens import WITHOUT_SPACE, Remembered, TextIds, spread
 from tripcast.session import written
 
 WINDOW = 2048
@@ -70,27 +70,34 @@ class WordIds:
 
     def _model_ids(self, pieces):
         tokenize, shown = self.tokenizer.model.tokenize, self.shown
-        ids = [[t.id for t in tokenize(p.encode().decode("latin-1").translate(shown))] for p in pieces]
+        ids = [[t.id for t in tokenize(p.encode().decode("latin-1").translate(shown))] if p != " " else []
+               for p in pieces]
         return np.array([x for i in ids for x in i], np.uint32), np.array([len(i) for i in ids], np.int64)
 
-    def _chunk_ids(self, chunks):
-        plain = [i for i, c in enumerate(chunks) if c.isascii() or max(c) < "Ā"]
-        pieces, count = [], []
-        for p in self._PATTERN.findall(" ".join([chunks[i] for i in plain]).lower()):
-            if p == " ":
-                count.append(len(pieces))
-            else:
-                pieces.append(p)
+    def _plain_ids(self, chunks):
+        """The ids of chunks within Latin-1; a blank, which has no ids, parts them."""
+        pieces = self._PATTERN.findall(" ".join(chunks).lower())
         flat, length = self.pieces.lookup(pieces)
-        ends = np.concatenate(([0], np.cumsum(length)))
-        cuts = ends[[0, *count, len(pieces)]] if plain else ends[:1]
-        out: list = [None] * len(chunks)
-        for i, a, b in zip(plain, cuts[:-1], cuts[1:]):
-            out[i] = flat[a:b]
-        other = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(other, self.tokenizer.encode_batch_fast([chunks[i] for i in other], add_special_tokens=False)):
-            out[i] = np.array(e.ids, np.uint32)
-        return (np.concatenate(out) if out else np.empty(0, np.uint32)), np.array([len(x) for x in out], np.int64)
+        blanks = np.flatnonzero(np.fromiter(map(" ".__eq__, pieces), bool, len(pieces)))
+        ends = np.cumsum(length)
+        return flat, np.diff(np.concatenate((ends[blanks], [len(flat)])), prepend=0)
+
+    def _chunk_ids(self, chunks):
+        plain = np.array([c.isascii() or max(c) < "Ā" for c in chunks], bool)
+        if plain.all():
+            return self._plain_ids(chunks)
+        other = [c for c, p in zip(chunks, plain.tolist()) if not p]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+        flat = np.array([x for i in ids for x in i], np.uint32)
+        length = np.zeros(len(chunks), np.int64)
+        length[~plain] = [len(i) for i in ids]
+        if plain.any():
+            plain_flat, length[plain] = self._plain_ids([c for c, p in zip(chunks, plain.tolist()) if p])
+            flat = np.concatenate((plain_flat, flat))
+        start = np.empty(len(chunks), np.int64)  # the plain chunks' ids come first in flat
+        order = np.argsort(~plain, kind="stable")
+        start[order] = np.cumsum(length[order]) - length[order]
+        return spread(flat, start, length), length
 
 
 def _word_ids(data: bytes) -> WordIds:

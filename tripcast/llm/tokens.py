@@ -9,6 +9,7 @@ worker keeps the ids of up to ``LIMIT`` chunks met so far.
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
 
@@ -63,21 +64,26 @@ class Remembered:
         keys = [k for k, s in zip(self.index, stay.tolist()) if s]
         self._hold(keys, spread(self.flat, self.start[stay], self.length[stay]), self.length[stay])
 
+    def _find(self, strings: list) -> tuple[np.ndarray, list, dict]:
+        """The place of each string (-1: not known), where the unknown ones stand, and these once each."""
+        at = np.fromiter(map(self.index.get, strings, repeat(-1)), np.int64, len(strings))
+        miss = np.flatnonzero(at < 0).tolist()
+        return at, miss, dict.fromkeys([strings[i] for i in miss])
+
     def lookup(self, strings: list) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all strings in a row, and the number of ids of each."""
-        new = set(strings).difference(self.index)
+        at, miss, new = self._find(strings)
+        if new and len(self.index) + len(new) > self.limit:
+            self._forget()
+            at, miss, new = self._find(strings)
         if new:
-            if len(self.index) + len(new) > self.limit:
-                self._forget()
-                new = set(strings).difference(self.index)
-            new = sorted(new)
-            flat, length = self.encode(new)
+            flat, length = self.encode(list(new))
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+            at[miss] = [self.index[strings[i]] for i in miss]
             self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(length) - length))
             self.length = np.concatenate((self.length, length))
             self.flat = np.concatenate((self.flat, flat))
             self.asked = np.concatenate((self.asked, np.zeros(len(new), np.int32)))
-        at = np.fromiter(map(self.index.__getitem__, strings), np.int64, len(strings))
         self.asked += np.bincount(at, minlength=len(self.asked)).astype(np.int32)
         length = self.length[at]
         return spread(self.flat, self.start[at], length), length
