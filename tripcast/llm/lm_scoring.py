@@ -27,6 +27,8 @@ from tripcast.llm.common import rows_flagged
 from tripcast.session import written
 
 ORDER = 3
+TASKS_PER_CORE = 4   # of the counting job
+TASKS_PER_CORE = 4   # of the counting job
 GRAMS = 1 << 8 * ORDER
 SMOOTHING = 16.0     # weight of the shorter context, in tokens
 BLOCK = 1 << 20      # bytes handled at a time
@@ -79,8 +81,13 @@ def _count(batches):
 
 
 def counts(texts: DataFrame) -> DataFrame:
-    """gram, background and target counts, over (text, whether it is a target's)."""
-    return texts.mapInArrow(_count, "gram int, background long, target long").groupBy("gram").agg(
+    """gram, background and target counts, over (text, whether it is a target's).
+
+    A task emits its distinct n-grams once, however many input partitions it
+    reads, so it reads several in turn: most n-grams are common to all.
+    """
+    tasks = TASKS_PER_CORE * texts.sparkSession.sparkContext.defaultParallelism
+    return texts.coalesce(tasks).mapInArrow(_count, "gram int, background long, target long").groupBy("gram").agg(
         F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
