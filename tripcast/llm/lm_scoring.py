@@ -28,7 +28,6 @@ from tripcast.session import written
 
 ORDER = 3
 TASKS_PER_CORE = 4   # of the counting job
-TASKS_PER_CORE = 4   # of the counting job
 GRAMS = 1 << 8 * ORDER
 SMOOTHING = 16.0     # weight of the shorter context, in tokens
 BLOCK = 1 << 20      # bytes handled at a time
