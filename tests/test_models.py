@@ -33,7 +33,7 @@ def test_all_models_aligned_finite(spark, fixture_h):
     assert all(np.isfinite(v) for v in vals)
     first = datetime(2025, 1, 1) + timedelta(days=90)
     assert fc.agg(F.min("period")).first()[0] == first
-    clipped = fc.where(F.col("model").isin("SARIMA", "XGBoost", "Windowed-LR"))
+    clipped = fc.where(F.col("model").isin("SARIMA", "Boosted-Trees", "Windowed-LR"))
     assert clipped.where("yhat < 0").count() == 0
     hw = fc.where("model = 'Holt-Winters' AND region = 'A'").orderBy("period").collect()
     assert 180 < np.mean([r["yhat"] for r in hw]) < 320

@@ -46,7 +46,7 @@ def _features(df: DataFrame, t0: float, span: float, cps: list[float], yearly: b
 
 
 def forecast_additive(train: DataFrame, horizon: int, region: Optional[str] = None,
-                      model: str = "Prophet", reg_param: float = 0.001):
+                      model: str = "Additive-Ridge", reg_param: float = 0.001):
     y = single_series(train, region)
     stats = y.agg(F.min(PERIOD).alias("a"), F.max(PERIOD).alias("b"), F.count(F.lit(1)).alias("n")).first()
     if not stats["n"]:

@@ -4,28 +4,30 @@ One global ``GBTRegressor`` learns from every region.  Lags missing at the
 start of a series are imputed with 0 plus an indicator column (a NaN in the
 vector is an error in Spark ML).  Forecasting is recursive and looks lags up
 **by date** (F12): each step joins the next period of every region to the
-history-plus-predictions on ``period - k days``, predicts, and appends.  The
-history kept is only the last max(lags) days per region, checkpointed each
-step so the plan never deepens.
+history-plus-predictions on ``period - k days``, predicts, and appends to a
+table in the shared scratch folder that starts as the last max(lags) days.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from typing import Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripcast.functions.columns import clip_lower
+from tripcast.functions.columns import clip_lower, lit_ntz
 from tripcast.operators.features import calendar_features, region_one_hot
 from tripcast.operators.prepare import add_lag_features
 from tripcast.params import DEMAND, PERIOD, REGION
-from tripcast.session import ensure_checkpoint_dir, materialize
+from tripcast.session import ensure_checkpoint_dir, materialize, scratch_path, written
 
 # Fixed values that must equal the reference's model settings.
-GBT_PARAMS = dict(maxIter=300, maxDepth=4, stepSize=0.05, subsamplingRate=0.9, seed=0)
+GBT_PARAMS = dict(maxIter=300, maxDepth=4, stepSize=0.05, subsamplingRate=0.9,
+                  featureSubsetStrategy="0.9", seed=0)
 
 
 def _features(df: DataFrame, lags: Sequence[int], regions: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -44,16 +46,15 @@ def _features(df: DataFrame, lags: Sequence[int], regions: Sequence[str]) -> tup
 def recursive_features(history: DataFrame, step: DataFrame, lags: Sequence[int]) -> DataFrame:
     """F12, one step: lag_k of each (region, period) row of ``step`` is the
     value at ``period - k days`` in ``history`` (actuals or predictions), else NULL."""
-    out = step
-    for k in lags:
-        h = history.select(F.col(REGION).alias("__r"), (F.col(PERIOD) + F.expr(f"INTERVAL {k} DAYS")).alias("__p"),
-                           F.col("value").alias(f"lag_{k}"))
-        out = out.join(h, (out[REGION] == h["__r"]) & (out[PERIOD] == h["__p"]), "left").drop("__r", "__p")
-    return out
+    ahead = F.array(*[F.struct((F.col(PERIOD) + F.expr(f"INTERVAL {k} DAYS")).alias(PERIOD), F.lit(k).alias("__k"),
+                               F.col("value").alias("__v")) for k in lags])
+    lagged = history.select(REGION, F.inline(ahead)).groupBy(REGION, PERIOD).agg(
+        *[F.max(F.when(F.col("__k") == k, F.col("__v"))).alias(f"lag_{k}") for k in lags])
+    return step.join(lagged, [REGION, PERIOD], "left")
 
 
 def forecast_gbt(train: DataFrame, horizon: int, lags: Sequence[int] = (1, 7, 14),
-                 model: str = "XGBoost", params: dict | None = None):
+                 model: str = "Boosted-Trees", params: dict | None = None):
     spark = train.sparkSession
     ensure_checkpoint_dir(spark)
     lags = sorted(set(lags))
@@ -64,30 +65,25 @@ def forecast_gbt(train: DataFrame, horizon: int, lags: Sequence[int] = (1, 7, 14
     feats, names = _features(lagged, lags, regions)
     va = VectorAssembler(inputCols=names, outputCol="features")
     gbt = GBTRegressor(featuresCol="features", labelCol=DEMAND, **(params or GBT_PARAMS))
-    data = va.transform(feats).select("features", DEMAND).cache()
+    # partitions by size: a round is several jobs, and a small series needs few tasks
+    data = written(va.transform(feats).select("features", DEMAND), "gbt-train").cache()
     fitted = gbt.fit(data)
     data.unpersist()
-    maxlag = max(lags)
-    w = Window.partitionBy(REGION).orderBy(F.desc(PERIOD))
-    # the recursion carries only the last max(lags) days per region (regions x
-    # 14 rows): they travel as local rows, so every step is a fresh, shallow
-    # plan (a chain of checkpointed joins would make the optimizer's size
-    # estimates explode across steps)
-    hist_rows = [tuple(r) for r in base.withColumn("__rd", F.row_number().over(w))
-                 .where(F.col("__rd") <= maxlag).select(REGION, PERIOD, F.col(DEMAND).alias("value")).collect()]
-    last = train.agg(F.max(PERIOD)).first()[0]  # one scalar
-    hist_schema = f"{REGION} string, {PERIOD} timestamp_ntz, value double"
-    out_rows = []
-    import datetime as dt
+    # each step reads the values it needs from one table in the shared scratch
+    # folder and appends its predictions, so every plan stays shallow, nothing
+    # passes through the driver, and a lost executor costs one step's tasks
+    path = scratch_path(spark, f"gbt-values-{uuid.uuid4().hex}")
+    last = base.agg(F.max(PERIOD)).first()[0]  # one scalar
+    recent = base.where(F.col(PERIOD) > lit_ntz(last - dt.timedelta(days=max(lags))))
+    recent.select(REGION, PERIOD, F.col(DEMAND).alias("value")).write.parquet(path)
+    keys = written(base.select(REGION).distinct(), "gbt-regions")
+    schema = f"{REGION} string, {PERIOD} timestamp_ntz, value double"
     for h in range(1, horizon + 1):
         day = last + dt.timedelta(days=h)
-        history = spark.createDataFrame(hist_rows, hist_schema)
-        step = spark.createDataFrame([(r, day) for r in regions], f"{REGION} string, {PERIOD} timestamp_ntz")
-        f_step, _ = _features(recursive_features(history, step, lags), lags, regions)
-        pred = fitted.transform(va.transform(f_step)).select(REGION, PERIOD, clip_lower("prediction").alias("value"))
-        new = [tuple(r) for r in pred.collect()]  # one row per region
-        out_rows += new
-        keep = day - dt.timedelta(days=maxlag - 1)
-        hist_rows = [r for r in hist_rows if r[1] >= keep] + new
-    preds = spark.createDataFrame(out_rows, hist_schema)
+        needed = [lit_ntz(day - dt.timedelta(days=k)) for k in lags]
+        history = spark.read.schema(schema).parquet(path).where(F.col(PERIOD).isin(needed))
+        step = recursive_features(history, keys.withColumn(PERIOD, lit_ntz(day)), lags)
+        pred = fitted.transform(va.transform(_features(step, lags, regions)[0]))
+        pred.select(REGION, PERIOD, clip_lower("prediction").alias("value")).write.mode("append").parquet(path)
+    preds = spark.read.schema(schema).parquet(path).where(F.col(PERIOD) > lit_ntz(last))
     return preds.select(F.lit(model).alias("model"), PERIOD, REGION, F.col("value").alias("yhat"))

@@ -32,8 +32,8 @@ def default_candidates(gbt_params: dict | None = None) -> dict[str, Callable]:
         "SARIMA": lambda t, h: forecast_sarima(t, h),
         "SARIMAX": lambda t, h: forecast_sarimax(t, h),
         "VAR": lambda t, h: forecast_var(t, h),
-        "Prophet": lambda t, h: forecast_additive(t, h),
-        "XGBoost": lambda t, h: forecast_gbt(t, h, params=gbt_params),
+        "Additive-Ridge": lambda t, h: forecast_additive(t, h),
+        "Boosted-Trees": lambda t, h: forecast_gbt(t, h, params=gbt_params),
         "Windowed-LR": lambda t, h: forecast_windowed(t, h),
         "Seasonal-Naive": lambda t, h: seasonal_naive(t, h, 7),
     }

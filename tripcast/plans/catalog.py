@@ -1243,12 +1243,6 @@ from tripcast.operators.forecast.smoothing import forecast_holt_winters  # noqa:
 from tripcast.operators.forecast.var import forecast_var  # noqa: E402
 from tripcast.operators.forecast.windowed import forecast_windowed  # noqa: E402
 
-# Spark ML boosting runs one distributed job per round; on a daily series the
-# rounds, not the data, dominate the run time.  The registered runs use fewer,
-# larger steps (40 rounds at 0.25, about 7x fewer jobs than 300 at 0.05); the
-# reference's 300 x 0.05 stays the library default (GBT_PARAMS).
-GBT_FAST = dict(maxIter=40, maxDepth=4, stepSize=0.25, subsamplingRate=0.9, seed=0)
-
 
 def _train(spark, sf_dir):
     return _eval_inputs(spark, sf_dir)[0]
@@ -1287,7 +1281,7 @@ def forecast_additive_q(spark, sf_dir):
 @register("forecast_gbt", None)
 def forecast_gbt_q(spark, sf_dir):
     """F11 + F12: one global boosted model, recursive by date."""
-    return forecast_gbt(_train(spark, sf_dir), HOLDOUT, params=GBT_FAST)
+    return forecast_gbt(_train(spark, sf_dir), HOLDOUT)
 
 
 @register("forecast_windowed", None)
@@ -1342,7 +1336,7 @@ def single_series_q(spark, sf_dir):
 @register("train_all", None)
 def train_all_q(spark, sf_dir):
     """every candidate on the 30-day horizon; exclusions recorded."""
-    cands = TR.default_candidates(GBT_FAST)
+    cands = TR.default_candidates()
     fc, status = TR.train_all(cands, _train(spark, sf_dir), HOLDOUT)
     return fc
 
@@ -1351,7 +1345,7 @@ def train_all_q(spark, sf_dir):
 def model_comparison_q(spark, sf_dir):
     """E2/E3 over all model families (the reference's comparison run)."""
     from tripcast.plans.jobs import train_and_evaluate
-    return train_and_evaluate(line_series(spark, sf_dir), SCOPE, gbt_params=GBT_FAST)["comparison"]
+    return train_and_evaluate(line_series(spark, sf_dir), SCOPE)["comparison"]
 
 
 # ==================================================================== streaming
