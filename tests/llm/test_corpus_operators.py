@@ -289,6 +289,24 @@ def test_nn_descent_against_brute_force(spark):
     assert nn_descent.near_components(frame.limit(0))[0].count() == 0
 
 
+def test_nn_descent_joins_dense_groups_linked_only_across(spark):
+    """Two groups of more than K vectors, each tighter inside than towards the other: no list holds a cross link."""
+    rng = np.random.default_rng(11)
+    one, two = np.zeros(24), np.zeros(24)
+    one[0], two[0], two[1] = 1, 0.93, np.sqrt(1 - 0.93 ** 2)
+    x = np.concatenate([one + 0.008 * rng.standard_normal((30, 24)), two + 0.008 * rng.standard_normal((30, 24)),
+                        rng.standard_normal((200, 24))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = u @ u.T >= 0.9
+    np.fill_diagonal(hit, False)
+    near = np.argsort(-(u @ u.T - 2 * np.eye(len(u))), axis=1)[:60, :nn_descent.K]
+    assert hit[:60, :60].sum() == 60 * 59 and ((near < 30) == (np.arange(60) < 30)[:, None]).all()
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in nn_descent.near_components(frame)[0].collect()}
+    assert all((got[i].component_id, got[i].n_links, got[i].kept) == (0, 59, i == 0) for i in range(60))
+    assert [got[i].n_links for i in range(60, 260)] == hit[60:].sum(axis=1).tolist()
+
+
 def test_warc_round_trip(spark, tmp_dir):
     pages = spark.createDataFrame([(1, "http://a/b", "<html lang='en'><head><title>T &amp; x</title></head><body><p>One<p>Two <b>3</b>"
                                     "<script>no</script><a href='/l'>é</a></body></html>", 1), (2, None, None, 2), (1, "http://a/b", "", 3)],

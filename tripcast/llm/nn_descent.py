@@ -12,9 +12,15 @@
 4. Audit: a fixed-size sample of vectors is compared with all vectors; if too
    few of its links are in the lists, further rotations and rounds follow.
 5. Links of the lists, confirmed in double precision, make the components. A
-   list that is full of links is saturated: it is enlarged to all members of
-   its component, which are compared in blocks of bounded size, so that all its
-   links are counted, not only K.
+   list that is full of links is saturated, and a link between two saturated
+   vectors may be in neither list. So the saturated vectors of different
+   components are held against each other: each component's are parted into
+   balls around pivots, and two balls are compared in full unless the angle
+   between their centres, less both radii, is wider than a link's (triangle
+   inequality). A component pair's closest balls come first; what they join
+   needs no further comparison.
+6. The members of each final component are compared in blocks of bounded size,
+   so that all their links are counted, not only K.
 
 Defined cases: a vector that is null, empty, all zero, or holds a null or
 non-finite component links with nothing and is kept, as does one whose length
@@ -45,7 +51,10 @@ OFFERS = 4             # offered to one vector by one of those it shares a neigh
 AUDIT = 256            # vectors compared with all
 RECALL = 0.97          # of the audit's links, else another pass
 PASSES = 4
-DEAL = 512             # rows of a component's block
+DEAL = 512             # rows of a component's block, or of a ball
+PIVOTS = 64            # of a component, at most
+BALLS = 1024           # compared with as many in one task
+SLACK = 1e-6           # radians, for rounding
 
 
 def _unit(batches):
@@ -229,6 +238,113 @@ def _count_links(threshold: float):
     return run
 
 
+def _angle(cosine):
+    return np.arccos(np.clip(cosine, -1, 1))
+
+
+def _nearest_pivot(batches):
+    """Each vector with the number of the nearest of its component's pivots."""
+    for batch in batches:
+        unit, near = _matrix(batch.column("unit")), []
+        for u, pivots in zip(unit, batch.column("pivots").to_pylist()):
+            near.append(int(np.argmax(np.frombuffer(b"".join(pivots), "<f8").reshape(len(pivots), -1) @ u)))
+        yield pa.RecordBatch.from_arrays([batch.column("component"), pa.array(near, pa.int64()), batch.column("vec_id"),
+                                          batch.column("unit")], names=["component", "pivot", "vec_id", "unit"])
+
+
+def _centres(batches):
+    """Centre and radius (in radians) of each ball."""
+    for ball in _by_group(batches):
+        unit = _matrix(ball.column("unit"))
+        centre = unit.sum(axis=0)
+        long = np.linalg.norm(centre)
+        centre = centre / long if long > 1e-9 else unit[0]
+        yield pa.RecordBatch.from_arrays(
+            [ball.column(c).combine_chunks().slice(0, 1) for c in ("ball", "component")]
+            + [pa.array([centre.astype("<f8").tobytes()], pa.binary()), pa.array([float(_angle(unit @ centre).max())])],
+            names=["ball", "component", "unit", "radius"])
+
+
+def _close_balls(threshold: float):
+    """Pairs of balls of different components that may hold a link."""
+    def run(batches):
+        for block in _by_group(batches):
+            side = block.column("side").to_numpy()
+            q, o = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            ball, component, radius = (block.column(c).to_numpy() for c in ("ball", "component", "radius"))
+            unit = _matrix(block.column("unit"))
+            apart = _angle(unit[q] @ unit[o].T)
+            near = apart <= radius[q][:, None] + radius[o][None, :] + _angle(threshold) + SLACK
+            x, y = np.nonzero(near & (component[q][:, None] < component[o][None, :]))
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (
+                ball[q][x], ball[o][y], component[q][x], component[o][y], apart[x, y])], names=["x", "y", "cx", "cy", "apart"])
+    return run
+
+
+def _one_link(threshold: float):
+    """One link between the two balls of a pair, if there is one."""
+    def run(batches):
+        for pair in _by_group(batches):
+            side = pair.column("side").to_numpy()
+            q, o = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            ids, unit = pair.column("vec_id").to_numpy(), _matrix(pair.column("unit"))
+            sim = unit[q] @ unit[o].T
+            best = int(sim.argmax()) if sim.size else 0
+            if sim.size and sim.flat[best] >= threshold:
+                yield pa.RecordBatch.from_arrays([pa.array([ids[q[best // len(o)]]]), pa.array([ids[o[best % len(o)]]])],
+                                                 names=["a", "b"])
+    return run
+
+
+def _links_across(saturated: DataFrame, found: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join all components between which saturated vectors
+    (column vec_id) have a link; None if there are not two such components."""
+    members = written(found.withColumnRenamed("node", "vec_id").join(saturated, "vec_id", "left_semi")
+                      .join(vectors, "vec_id"), "saturated")
+    if members.select("component").distinct().limit(2).count() < 2:
+        return None
+    draw = F.xxhash64("vec_id", F.lit(7))
+    pivots = members.groupBy("component", F.pmod(draw, F.lit(PIVOTS)).alias("p")).agg(F.min_by("unit", draw).alias("unit"))
+    pivots = written(pivots.groupBy("component").agg(F.collect_list("unit").alias("pivots")), "pivots")  # PIVOTS a row
+    near = written(members.join(pivots, "component").select("component", "vec_id", "unit", "pivots").mapInArrow(
+        _nearest_pivot, "component long, pivot long, vec_id long, unit binary"), "pivoted")
+    deals = written(near.groupBy("component", "pivot").agg(F.ceil(F.count(F.lit(1)) / DEAL).alias("deals")), "ball-sizes")
+    dealt = written(near.join(deals, ["component", "pivot"]).select(
+        F.xxhash64("component", "pivot", F.pmod(F.xxhash64("vec_id"), F.col("deals"))).alias("ball"),
+        "component", "vec_id", "unit"), "balls")
+    balls = written(dealt.repartition("ball").sortWithinPartitions("ball").mapInArrow(
+        _centres, "ball long, component long, unit binary, radius double"), "ball-centres")
+
+    parts = -(-balls.count() // BALLS)
+    own = F.pmod(F.xxhash64("ball"), F.lit(parts))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("other")
+    sides = [balls.select(own.alias("own"), every, F.lit(side).alias("side"), "ball", "component", "unit", "radius")
+             .select(F.xxhash64(*key).alias("block"), "side", "ball", "component", "unit", "radius")
+             for side, key in ((0, ("own", "other")), (1, ("other", "own")))]
+    pairs = written(sides[0].unionByName(sides[1]).repartition("block").sortWithinPartitions("block").mapInArrow(
+        _close_balls(threshold), "x long, y long, cx long, cy long, apart double"), "close-balls")
+
+    def links(of: DataFrame) -> DataFrame:
+        of = of.withColumn("pair", F.xxhash64("x", "y"))
+        both = [of.select("pair", F.lit(side).alias("side"), F.col(c).alias("ball")).join(
+            dealt.select("ball", "vec_id", "unit"), "ball").drop("ball") for side, c in ((0, "x"), (1, "y"))]
+        return written(both[0].unionByName(both[1]).repartition("pair").sortWithinPartitions("pair").mapInArrow(
+            _one_link(threshold), "a long, b long"), "links-across")
+
+    first = pairs.groupBy("cx", "cy").agg(F.min_by(F.struct("x", "y"), F.struct("apart", "x", "y")).alias("p"))
+    out = links(first.select("p.x", "p.y"))
+    firsts = first.select("p.x", "p.y")
+    joined = connected_components(out.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a")
+                                  .join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
+                                  .select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    rest = pairs.join(firsts, ["x", "y"], "left_anti")
+    for c in ("cx", "cy"):
+        rest = rest.join(joined.select(F.col("node").alias(c), F.col("component").alias("top")), c, "left").withColumn(
+            f"{c}_top", F.coalesce("top", c)).drop("top")
+    rest = written(rest.where("cx_top <> cy_top").select("x", "y"), "balls-apart")
+    return out if rest.isEmpty() else out.unionByName(links(rest))
+
+
 def near_components(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
                     threshold: float = THRESHOLD) -> tuple[DataFrame, float]:
     """vec_id, n_links, component_id and kept for every row of ``df``; and the audited recall."""
@@ -248,6 +364,10 @@ def near_components(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     else:
         links = written(lists.where(F.col("sim") >= threshold).select("a", "b"), "vector-links")
     found = connected_components(links)
+    saturated = links.groupBy(F.col("a").alias("vec_id")).count().where(F.col("count") >= K).select("vec_id")
+    across = _links_across(saturated, found, vectors, threshold)
+    if across is not None and not across.isEmpty():
+        found = connected_components(links.unionByName(across))
 
     # every member of a component against its other members, in blocks of bounded size
     deals = written(found.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / DEAL).alias("deals")), "component-sizes")
