@@ -307,6 +307,33 @@ def test_nn_descent_joins_dense_groups_linked_only_across(spark):
     assert [got[i].n_links for i in range(60, 260)] == hit[60:].sum(axis=1).tolist()
 
 
+def test_nn_descent_audit_sees_lost_pairs_beside_a_hot_group(spark):
+    """Sparse pairs that no component holds count, however many links a hot group has; so does a torn hot group."""
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((600, 24))
+    x[:200] = x[0] + 0.03 * rng.standard_normal((200, 24))
+    x[300:320] = x[320:340] + 0.03 * rng.standard_normal((20, 24))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    vectors = spark.createDataFrame([(i, v.astype("<f8").tobytes()) for i, v in enumerate(u)], "vec_id long, unit binary").cache()
+    sim = u @ u.T - 2 * np.eye(600)
+    hot = [(i, int(j), float(sim[i, j])) for i in range(200) for j in np.argsort(-sim[i])[:nn_descent.K]]
+    pairs = [(i, i + 20, float(sim[i, i + 20])) for i in range(300, 320)]
+    whole = [(i, 0) for i in range(200)]
+
+    def audit(lists, found):
+        return nn_descent.audit(vectors, spark.createDataFrame(lists, "a long, b long, sim double"),
+                                spark.createDataFrame(found, "node long, component long"))
+    assert audit(hot + pairs, whole + [(i + d, i) for i in range(300, 320) for d in (0, 20)]) == 1
+    assert audit(hot, whole) < 0.1
+    assert audit(hot, [(i, i // 100) for i in range(200)]) < 0.6
+
+
+def test_nn_descent_rotations_keep_step_with_size():
+    for rows in (2_000, 1_000_000, 30_000_000):
+        meet = (1 - np.arccos(nn_descent.THRESHOLD) / np.pi) ** int(np.log2(rows / nn_descent.BLOCK))
+        assert 1 - (1 - meet) ** nn_descent.rotations(rows) >= 0.99
+
+
 def test_warc_round_trip(spark, tmp_dir):
     pages = spark.createDataFrame([(1, "http://a/b", "<html lang='en'><head><title>T &amp; x</title></head><body><p>One<p>Two <b>3</b>"
                                     "<script>no</script><a href='/l'>é</a></body></html>", 1), (2, None, None, 2), (1, "http://a/b", "", 3)],

@@ -9,8 +9,9 @@
    compares them with each other (neighbours of neighbours), and offers each
    the better ones; lists keep the nearest K. Rounds go on until they bring
    hardly any link more.
-4. Audit: a fixed-size sample of vectors is compared with all vectors; if too
-   few of its links are in the lists, further rotations and rounds follow.
+4. Passes: rotations are independent, so the links that a further pass adds
+   show what the ones before it missed. Passes follow until one adds hardly any
+   to the lists that are not full.
 5. Links of the lists, confirmed in double precision, make the components. A
    list that is full of links is saturated, and a link between two saturated
    vectors may be in neither list. So the saturated vectors of different
@@ -19,7 +20,11 @@
    between their centres, less both radii, is wider than a link's (triangle
    inequality). A component pair's closest balls come first; what they join
    needs no further comparison.
-6. The members of each final component are compared in blocks of bounded size,
+6. Audit: samples of the vectors with full lists, with some links and with
+   none are compared with all vectors. A link counts as found if its ends share
+   a component, and every vector that has links counts alike. If the share is
+   too small, another pass follows; if it stays so, the operator fails.
+7. The members of each final component are compared in blocks of bounded size,
    so that all their links are counted, not only K.
 
 Defined cases: a vector that is null, empty, all zero, or holds a null or
@@ -44,13 +49,15 @@ from tripcast.session import written
 K = 16
 THRESHOLD = 0.9
 BLOCK = 96             # vectors of a starting block, on average
-ROTATIONS = 6          # starting blocks a vector
+ROTATIONS = 6          # starting blocks a vector, at least, and put together at once
+MEET = 0.99            # chance that a pair at the threshold shares a starting block
 ROUNDS = 6             # at most, a pass
 ENOUGH = 0.02          # a pass ends when a round brings less than this share of the lists' links
 OFFERS = 4             # offered to one vector by one of those it shares a neighbour with
-AUDIT = 256            # vectors compared with all
-RECALL = 0.97          # of the audit's links, else another pass
-PASSES = 4
+AUDIT = 256            # vectors with full lists, and with some links, compared with all
+AUDIT_NONE = 2048      # vectors without a link compared with all
+RECALL = 0.97          # of the links of a vector that has links, on average, else another pass
+PASSES = 6
 DEAL = 512             # rows of a component's block, or of a ball
 PIVOTS = 64            # of a component, at most
 BALLS = 1024           # compared with as many in one task
@@ -123,9 +130,20 @@ def _block_neighbours(k: int):
     return run
 
 
+def _bits(rows: int) -> int:
+    """Signs that name a starting block."""
+    return max(0, int(np.log2(max(rows / BLOCK, 1))))
+
+
+def rotations(rows: int, threshold: float = THRESHOLD) -> int:
+    """Rotations after which a pair at the threshold has shared a block with a chance of ``MEET``."""
+    once = (1 - np.arccos(threshold) / np.pi) ** _bits(rows)
+    return ROTATIONS if once >= 1 else max(ROTATIONS, int(np.ceil(np.log(1 - MEET) / np.log1p(-once))))
+
+
 def _start(vectors: DataFrame, rows: int, dims: int, seed: int, k: int) -> DataFrame:
     """First neighbours from blocks of like signs under one random rotation."""
-    bits = max(0, int(np.log2(max(rows / BLOCK, 1))))
+    bits = _bits(rows)
     planes = np.random.default_rng(seed).standard_normal((dims, max(bits, 1)))
 
     def code(batches):
@@ -184,11 +202,27 @@ def _round(lists: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return written(_nearest(old.unionByName(offers.withColumn("new", F.lit(1))), k), "neighbours")
 
 
-def _audit(vectors: DataFrame, lists: DataFrame, rows: int, threshold: float) -> float:
-    """The share of a fixed-size sample's links that the lists hold (a full
-    list of links counts as whole: it is enlarged later)."""
-    sample = vectors.orderBy(F.xxhash64("vec_id", F.lit(99))).limit(AUDIT).toArrow()  # AUDIT rows
-    ids, unit = sample.column("vec_id").to_numpy(), _matrix(sample.column("unit"))
+def _kinds(vectors: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
+    """vec_id, and kind: 2 for a list full of links, 1 for some links, 0 for none."""
+    links = lists.where(F.col("sim") >= threshold)
+    n = links.groupBy("a").count().unionByName(links.select(F.col("b").alias("a"), F.lit(1).cast("long").alias("count")))
+    n = n.groupBy(F.col("a").alias("vec_id")).agg(F.max("count").alias("n"))
+    return written(vectors.join(n, "vec_id", "left").select(
+        "vec_id", "unit", F.when(F.col("n") >= K, 2).when(F.col("n") > 0, 1).otherwise(0).alias("kind")), "kinds")
+
+
+def audit(vectors: DataFrame, lists: DataFrame, found: DataFrame, threshold: float = THRESHOLD, seed: int = 99) -> float:
+    """The share of its links that the components hold, for a vector that has
+    links, on average: the smaller of that of vectors with full lists and that
+    of all others."""
+    kinds = _kinds(vectors, lists, threshold)
+    sizes = {r["kind"]: r["count"] for r in kinds.groupBy("kind").count().collect()}  # 3 rows
+    drawn = [kinds.where(F.col("kind") == k).orderBy(F.xxhash64("vec_id", F.lit(seed))).limit(n).toArrow()
+             for k, n in ((0, AUDIT_NONE), (1, AUDIT), (2, AUDIT))]
+    sample = pa.concat_tables(drawn)  # AUDIT_NONE + 2 * AUDIT rows
+    if not sample.num_rows:
+        return 1.0
+    ids, unit, kind = sample.column("vec_id").to_numpy(), _matrix(sample.column("unit")), sample.column("kind").to_numpy()
 
     def run(batches):
         for batch in batches:
@@ -196,34 +230,47 @@ def _audit(vectors: DataFrame, lists: DataFrame, rows: int, threshold: float) ->
             q, o = np.nonzero((sim >= threshold) & (ids[:, None] != other[None, :]))
             yield _edges(ids[q], other[o], sim[q, o])
 
-    full = lists.where(F.col("sim") >= threshold).groupBy("a").count().where(F.col("count") >= K).select(
-        "a", F.lit(True).alias("full"))
-    both = lists.select("a", "b").unionByName(lists.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    r = (vectors.mapInArrow(run, _EDGE).join(both.withColumn("held", F.lit(True)), ["a", "b"], "left")
-         .join(full, "a", "left").agg(F.count(F.lit(1)).alias("n"),
-                                      F.count(F.when(F.coalesce("held", "full"), 1)).alias("held")).first())
-    return r["held"] / r["n"] if r["n"] else 1.0
-
-
-def neighbour_lists(vectors: DataFrame, rows: int, dims: int, k: int = K, threshold: float = THRESHOLD) -> tuple[DataFrame, float]:
-    """Each vector's nearest neighbours found (a, b, sim), and the audited recall of links."""
-    lists, recall = None, 0.0
-    for go in range(PASSES):
+    own = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    far = found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    each = (vectors.mapInArrow(run, _EDGE).join(own, "a", "left").join(far, "b", "left").groupBy("a")
+            .agg(F.avg(F.when(F.col("ca") == F.col("cb"), 1.0).otherwise(0.0)).alias("share")).collect())  # a row of the sample at most
+    kind_of, held, linked = dict(zip(ids.tolist(), kind.tolist())), [0.0] * 3, [0] * 3
+    for r in each:
+        held[kind_of[r["a"]]] += r["share"]
+        linked[kind_of[r["a"]]] += 1
+    taken = np.bincount(kind, minlength=3)
+    weight = [sizes.get(k, 0) / taken[k] if taken[k] else 0.0 for k in range(3)]
+    full = held[2] / linked[2] if linked[2] else 1.0
+    rest = weight[0] * linked[0] + weight[1] * linked[1]
+    return min(full, (weight[0] * held[0] + weight[1] * held[1]) / rest if rest else 1.0)
+
+
+def _known(lists: DataFrame, before: DataFrame, threshold: float) -> float:
+    """The share of its links that were known before the pass, for a vector
+    with links whose list is not full, on average."""
+    old = before.select("a", "b", F.lit(True).alias("old"))
+    each = lists.where(F.col("sim") >= threshold).join(old, ["a", "b"], "left").groupBy("a").agg(
+        F.count(F.lit(1)).alias("n"), F.count("old").alias("old")).where(F.col("n") < K)
+    return each.agg(F.coalesce(F.avg(F.col("old") / F.col("n")), F.lit(1.0)).alias("known")).first()["known"]
+
+
+def _pass(lists: DataFrame | None, vectors: DataFrame, rows: int, dims: int, go: int, k: int, threshold: float) -> DataFrame:
+    """The lists (a, b, sim, new) after further rotations and rounds."""
+    need = rotations(rows, threshold)
+    for lo in range(0, need, ROTATIONS):
         found = None
-        for r in range(ROTATIONS):
+        for r in range(lo, min(lo + ROTATIONS, need)):
             s = _start(vectors, rows, dims, 1000 * go + r, k)
             found = s if found is None else found.unionByName(s)
         found = found.withColumn("new", F.lit(1))
-        lists = written(_nearest(found if lists is None else lists.withColumn("new", F.lit(0)).unionByName(found), k), "neighbours")
-        for _ in range(ROUNDS):
-            lists = _round(lists, vectors, k)
-            r = lists.where(F.col("sim") >= threshold).agg(F.sum("new").alias("new"), F.count(F.lit(1)).alias("n")).first()
-            if (r["new"] or 0) <= ENOUGH * r["n"]:
-                break
-        recall = _audit(vectors, lists, rows, threshold)
-        if recall >= RECALL:
+        # a pair that an earlier pass brought in has been met; one of this pass has not
+        lists = written(_nearest(found if lists is None else lists.withColumn("new", F.lit(int(lo > 0)) * F.col("new")).unionByName(found), k), "neighbours")
+    for _ in range(ROUNDS):
+        lists = _round(lists, vectors, k)
+        r = lists.where(F.col("sim") >= threshold).agg(F.sum("new").alias("new"), F.count(F.lit(1)).alias("n")).first()
+        if (r["new"] or 0) <= ENOUGH * r["n"]:
             break
-    return lists.select("a", "b", "sim"), recall
+    return lists
 
 
 def _count_links(threshold: float):
@@ -345,6 +392,15 @@ def _links_across(saturated: DataFrame, found: DataFrame, vectors: DataFrame, th
     return out if rest.isEmpty() else out.unionByName(links(rest))
 
 
+def _components(lists: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """Components (node, component) of the lists' links and the links across."""
+    links = written(lists.where(F.col("sim") >= threshold).select("a", "b"), "vector-links")
+    found = connected_components(links)
+    saturated = links.groupBy(F.col("a").alias("vec_id")).count().where(F.col("count") >= K).select("vec_id")
+    across = _links_across(saturated, found, vectors, threshold)
+    return found if across is None or across.isEmpty() else connected_components(links.unionByName(across))
+
+
 def near_components(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
                     threshold: float = THRESHOLD) -> tuple[DataFrame, float]:
     """vec_id, n_links, component_id and kept for every row of ``df``; and the audited recall."""
@@ -358,16 +414,23 @@ def near_components(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     reps = classes.select(F.col("rep").alias("vec_id"), "key")
     vectors = written(same.join(reps, ["vec_id", "key"], "left_semi").dropDuplicates(["vec_id"]).select("vec_id", "unit"), "vectors")
     count = vectors.count()
-    lists, recall = neighbour_lists(vectors, count, size // 8, K, threshold) if count > 1 else (None, 1.0)
-    if lists is None:
-        links = vectors.select(F.col("vec_id").alias("a"), F.col("vec_id").alias("b")).limit(0)
+    lists, recall = None, 1.0
+    links = vectors.select(F.col("vec_id").alias("a"), F.col("vec_id").alias("b")).limit(0)
+    found = connected_components(links) if count < 2 else None
+    for go in range(PASSES if count > 1 else 0):
+        before, lists = lists, _pass(lists, vectors, count, size // 8, go, K, threshold)
+        if before is None or _known(lists, before, threshold) < RECALL:
+            continue
+        found = _components(lists, vectors, threshold)
+        recall = audit(vectors, lists, found, threshold, go)
+        if recall >= RECALL:
+            break
     else:
-        links = written(lists.where(F.col("sim") >= threshold).select("a", "b"), "vector-links")
-    found = connected_components(links)
-    saturated = links.groupBy(F.col("a").alias("vec_id")).count().where(F.col("count") >= K).select("vec_id")
-    across = _links_across(saturated, found, vectors, threshold)
-    if across is not None and not across.isEmpty():
-        found = connected_components(links.unionByName(across))
+        if count > 1:
+            found = found if found is not None else _components(lists, vectors, threshold)
+            recall = audit(vectors, lists, found, threshold)
+            if recall < RECALL:
+                raise RuntimeError(f"{PASSES} passes found {recall:.3f} of the links of a vector, less than {RECALL}")
 
     # every member of a component against its other members, in blocks of bounded size
     deals = written(found.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / DEAL).alias("deals")), "component-sizes")
