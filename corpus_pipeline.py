@@ -14,6 +14,8 @@ from tripcast.llm.common import set_aside, table
 from tripcast.llm.queries import held_out
 from tripcast.session import written
 
+NEAR_PERCENT = 80  # of the five-word shingles of two texts, for near copies; op5 alone has 85
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents whose language is rejected."""
@@ -30,7 +32,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies."""
-    return minhash.drop_near_copies(docs)
+    return minhash.drop_near_copies(docs, percent=NEAR_PERCENT)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

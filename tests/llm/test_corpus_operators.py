@@ -412,3 +412,17 @@ def test_pipeline(spark, docs, empty):
     assert {r.doc_id for r in corpus_pipeline.pack(spark, kept, SF).select("doc_id").collect()} == ids
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_pipeline_drops_near_copies_from_80_percent(spark):
+    """A pair at about 0.82 is one text to the stage; a pair at about 0.78 stays two."""
+    import corpus_pipeline
+    words = [f"t{i}" for i in range(1000)]
+    other = [f"u{i}" for i in range(1000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:901] + [f"x{i}" for i in range(99)])),
+            (3, " ".join(other)), (4, " ".join(other[:877] + [f"y{i}" for i in range(123)]))]
+    sets = {i: shingles(t) for i, t in rows}
+    alike = [len(sets[a] & sets[a + 1]) / len(sets[a] | sets[a + 1]) for a in (1, 3)]
+    assert 0.81 < alike[0] < 0.83 and 0.77 < alike[1] < 0.79
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near(spark, frame, SF).collect()} == {1, 3, 4}
