@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripcast.llm import (bpe, exact_dedup, langid, lm_scoring, minhash, nn_descent, packing,
-                          sharding, token_counts, warc)
+from tripcast.llm import (bpe, exact_dedup, langid, lm_scoring, minhash, nn_descent, packing, prefix_trie,
+                          sharding, token_counts, toxicity, warc, whitening)
 from tripcast.llm.common import table
 
 
@@ -93,6 +93,57 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+#: crc32 bit by bit; subtree sums over every node's prefixes.
+OP11_SQL = f"""
+WITH ids AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+shared AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, xor(list_reduce(
+           list_prepend(4294967295::UBIGINT, [ord(c)::UBIGINT FOR c IN string_split(conv_id::VARCHAR, '')]),
+           lambda crc, byte: list_reduce(
+             list_prepend(xor(crc, byte), [b::UBIGINT FOR b IN range(8)]),
+             lambda s, b: xor(s >> 1, (s & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT) % 9 AS h
+  FROM ids),
+turns AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST,
+           sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+rebuilt AS (
+  SELECT s.conv_id, list_concat(coalesce(b.t, [])[1:h], o.t[h + 1:]) AS t
+  FROM shared s JOIN turns o ON o.conv_id = s.conv_id LEFT JOIN turns b ON b.conv_id = s.base),
+prefixes AS (SELECT conv_id, d AS depth, t[1:d] AS path, d = len(t) AS ends FROM rebuilt, range(0, 100000) r(d) WHERE d <= len(t)),
+nodes AS (
+  SELECT path, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY path),
+kids AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+own AS (
+  SELECT n.*, coalesce(k.n_children, 0) AS n_children,
+         CASE WHEN depth > 0 THEN (n_convs - 1) * strlen(n.path[-1].text) ELSE 0 END AS saved
+  FROM nodes n LEFT JOIN kids k ON k.path = n.path),
+sums AS (
+  SELECT path[1:d] AS path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM own, range(0, 100000) r(d) WHERE d <= depth GROUP BY 1)
+SELECT o.conv_id, o.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children, s.n_leaves, s.saved_tokens, o.ends_sha256
+FROM own o JOIN sums s ON s.path = o.path LEFT JOIN nodes p ON o.depth > 0 AND p.path = o.path[1:o.depth - 1]
+"""
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out_row = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    known = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out_row)
+    model = toxicity.fit(docs, known)
+    return toxicity.score(docs.select("doc_id", held_out_row.alias("held_out"), "text"), model).drop("text")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 REGISTRY = {
     "op1_language_id": (op1_language_id, None),
     "op2_lm_scoring": (op2_lm_scoring, None),
@@ -104,4 +155,7 @@ REGISTRY = {
     "op8_exact_dedup": (op8_exact_dedup, OP8_SQL),
     "op9_byte_bpe": (op9_byte_bpe, None),
     "op10_warc_derivatives": (op10_warc_derivatives, None),
+    "op11_prefix_trie": (op11_prefix_trie, OP11_SQL),
+    "op12_toxicity": (op12_toxicity, None),
+    "op13_whitening": (op13_whitening, None),
 }
