@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tripcast.session import written
 
 SHARDS = 2048        # no shard holds more than this part of all turns ...
-LEAST_SHARD = 4096   # ... or this many, if that is more
+LEAST_SHARD = 512    # ... or this many, if that is more
 HELD = 100_000       # messages of a queue in memory
 RUN_BLOCK = 1024     # messages read back from a run at a time
 LANES = 5            # of 30 bits each: exact sums up to 2^33 turns of one conversation
