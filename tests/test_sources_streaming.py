@@ -98,7 +98,7 @@ def test_stream_counts_and_merge(spark, tmp_dir):
     out = os.path.join(tmp_dir, "series")
     X.run_available(X.daily_counts(s), os.path.join(tmp_dir, "ck"), output_mode="update",
                     foreach_batch=X.merge_stream_batch(out))
-    got = spark.read.parquet(out).agg(F.sum("demand")).first()[0]
+    got = X.read_merged(spark, out).agg(F.sum("demand")).first()[0]
     batch = S.read_month_files(spark, feed)
     exp = batch.where(F.trunc(F.col("pickup_datetime").cast("date"), "MM") == F.col("stated_month")).count()
     assert got == exp

@@ -25,6 +25,7 @@ from tripcast.functions.columns import day_period, to_ts
 from tripcast.operators import quality as Q
 from tripcast.params import (DEMAND, LOCATION, LOOKUP_BOROUGH, LOOKUP_ID, PERIOD, PICKUP,
                              REGION, SUPPORTED_TIME_GRAINS, Scope)
+from tripcast.session import written
 
 
 def _lit_ts(d: date):
@@ -234,8 +235,12 @@ def prepare(trips: DataFrame, lookup: DataFrame, scope: Scope, *,
     series = watch("series", add_lag_features(filled, scope.lags))
     if observe:
         return series, log, obs
-    stages = stage_audit([("raw", trips), ("clean", clean), ("counted", counted),
-                          ("series", series)]) if audit else None
+    stages = None
+    if audit:
+        # the counted and final stages are read from the one pass that counts
+        kept = written(counted, "audit-counted")
+        final = add_lag_features(fill_missing_periods(kept, scope, regions), scope.lags)
+        stages = stage_audit([("raw", trips), ("clean", clean), ("counted", kept), ("series", final)])
     return series, log, stages
 
 
@@ -248,19 +253,20 @@ def observed_counts(obs: dict) -> dict:
 def stage_audit(stages: Sequence[tuple[str, DataFrame]], sample_keys: Optional[dict] = None,
                 n: int = 5) -> DataFrame:
     """Row count per stage plus a 5-row sample (first rows by the stage's
-    columns), as rows ``(ordinal, stage, rows, sample ARRAY<STRING>)``."""
-    from functools import reduce
-    parts = []
+    columns), as rows ``(ordinal, stage, rows, sample ARRAY<STRING>)``.
+
+    One pass per stage: the sample is a bounded top-n (no sort of the stage),
+    and the rows that pass by are counted by an Observation.
+    """
+    from pyspark.sql import Observation
+    found = []
     for i, (name, df) in enumerate(stages):
         keys = (sample_keys or {}).get(name) or df.columns
-        sample = (df.orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in keys]).limit(n)
-                    .agg(F.collect_list(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-                         .alias("sample")))
-        cnt = df.agg(F.count(F.lit(1)).cast("long").alias("rows"))
-        parts.append(cnt.select(F.lit(i).alias("ordinal"), F.lit(name).alias("stage"), "rows",
-                                F.lit(None).cast("array<string>").alias("sample"))
-                     .unionByName(sample.select(F.lit(i).alias("ordinal"), F.lit(name).alias("stage"),
-                                                F.lit(None).cast("long").alias("rows"), "sample")))
-    u = reduce(lambda a, b: a.unionByName(b), parts)
-    return u.groupBy("ordinal", "stage").agg(F.max("rows").alias("rows"),
-                                             F.max("sample").alias("sample"))
+        seen = Observation()
+        first = (df.observe(seen, F.count(F.lit(1)).alias("rows"))
+                   .orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in keys]).limit(n)
+                   .select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+        sample = [r[0] for r in first.collect()]  # n rows
+        found.append((i, name, int(seen.get["rows"]), sample))
+    return stages[0][1].sparkSession.createDataFrame(
+        found, "ordinal int, stage string, rows long, sample array<string>")

@@ -2,11 +2,9 @@
 
 Design notes for scale:
 
-* every report is **one wide aggregate** over the input (plus one grouping
-  aggregate for duplicates), never one job per column;
-* duplicate detection groups by all columns: the partial (map-side) aggregate
-  folds a hot group of copies before the shuffle, so a group holding a third of
-  all rows costs one row per map task;
+* a report is **one hash aggregate** over the input, grouped by file and pickup
+  month with numbers alone in its buffers, and one filtered scan for the example
+  rows it names; duplicates are counted by hash (:mod:`.copies`);
 * "first offending row" is made deterministic with an explicit order key
   (``min_by(.., key)``), since a distributed table has no row order;
 * small parameters (a stated month) are computed once and used as literals.
@@ -23,7 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, TimestampNTZType, TimestampType, DateType
 
 from tripcast.functions.columns import as_double, epoch_seconds, is_float_type, month_start, to_ts
+from tripcast.operators.copies import copy_groups, distinct_rows
 from tripcast.params import DEMAND, PERIOD, PICKUP, REGION
+from tripcast.session import written
 
 # Fixed values that must equal the reference's behaviour.
 PICKUP_COLUMN_VARIANTS = (
@@ -112,7 +112,10 @@ def profile_nulls(df: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- Q3
 def resolve_timestamp_column(df: DataFrame, ts_col: str = PICKUP) -> Optional[str]:
     """Exact name, then case-insensitive, then the known variants, else None."""
-    cols = df.columns
+    return resolve_timestamp_name(df.columns, ts_col)
+
+
+def resolve_timestamp_name(cols: list[str], ts_col: str = PICKUP) -> Optional[str]:
     if ts_col in cols:
         return ts_col
     lower = {c.lower(): c for c in reversed(cols)}
@@ -160,9 +163,7 @@ def date_range_values(df: DataFrame, ts_col: str = PICKUP):
 # --------------------------------------------------------------------------- Q5
 def count_duplicates(df: DataFrame) -> DataFrame:
     """One row ``(duplicate_count)``: copies after the first, NULLs compare equal."""
-    grouped = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
-    return grouped.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("long")
-                       .alias("duplicate_count"))
+    return copy_groups(df).agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).cast("long").alias("duplicate_count"))
 
 
 # --------------------------------------------------------------------------- Q6
@@ -247,83 +248,208 @@ def flag_domain_violations(df: DataFrame, *, ts_col: str = PICKUP, stated_month=
     return df.agg(*aggs).select(F.inline(F.array(*rows))).where("count >= 1")
 
 
-# --------------------------------------------------------------------------- Q10
+# ---------------------------------------------------------------------- Q10, Q11
+REPORT_COLUMNS = ("file_ordinal", "file", "section", "ordinal", "key", "metric", "value", "text")
+
+
+def _domain_masks(df: DataFrame, non_negative_columns) -> list:
+    return violation_masks(df, stated_month=None, ts_col="", non_negative_columns=non_negative_columns)
+
+
+def _given_month(file, given) -> "F.Column":
+    """The month stated for a file in ``given`` (file -> date or (year, month))."""
+    months = {k: v if isinstance(v, date) else date(v[0], v[1], 1) for k, v in (given or {}).items()}
+    if not months:
+        return F.lit(None).cast("date")
+    pairs = [x for k, v in months.items() for x in (F.lit(k), F.lit(v.replace(day=1)))]
+    return F.try_element_at(F.create_map(*pairs), file)
+
+
+def file_statistics(df: DataFrame, file_col: str, *, ts_col: str = PICKUP, stated_months=None,
+                    month_col: Optional[str] = None, infer: bool = True, non_negative_columns=None,
+                    order_key: Optional[str] = None) -> DataFrame:
+    """One row per file: rows, null counts (c0..), first and last pickup, the
+    stated month, and per violation its count (v0..) and the least order key
+    among its rows (k0..; v0 is the month rule).
+
+    One aggregate by (file, pickup month); its few rows then give each file's
+    month: the one given, else the one in ``month_col``, else (``infer``) the
+    commonest, the earliest on a tie.
+    """
+    names = [c for c in df.columns if c not in (file_col, month_col)]
+    masks = _domain_masks(df, non_negative_columns)
+    ts = to_ts(F.col(f"`{ts_col}`")) if ts_col in df.columns else F.lit(None).cast("timestamp_ntz")
+    key = F.col(f"`{order_key}`") if order_key else F.xxhash64(*[F.col(f"`{c}`") for c in names])
+    stated = F.col(f"`{month_col}`").cast("date") if month_col else F.lit(None).cast("date")
+    aggs = [F.count(F.lit(1)).alias("n"), F.min(ts).alias("lo"), F.max(ts).alias("hi"), F.min(key).alias("k")]
+    aggs += [F.count_if(_null_pred(df, c)).alias(f"c{i}") for i, c in enumerate(names)]
+    aggs += [x for i, (_, m) in enumerate(masks, 1)
+             for x in (F.count_if(m).alias(f"v{i}"), F.min(F.when(m, key)).alias(f"k{i}"))]
+    by_month = written(df.groupBy(F.col(f"`{file_col}`").alias("file"), F.trunc(ts.cast("date"), "MM").alias("month"),
+                                  stated.alias("named")).agg(*aggs), "report-months")
+
+    seen = F.col("month").isNotNull()
+    modal = F.min_by(F.when(seen, F.col("month")), F.when(seen, F.struct(-F.col("n"), F.col("month"))))
+    months = by_month.groupBy(F.col("file").alias("__f")).agg(modal.alias("modal"), F.max("named").alias("named_"))
+    chosen = [_given_month(F.col("__f"), stated_months), F.col("named_")] + ([F.col("modal")] if infer else [])
+    months = months.select("__f", F.coalesce(*chosen).alias("stated"))
+    both = by_month.join(months, F.col("file").eqNullSafe(F.col("__f")))
+    outside = F.coalesce(seen & (F.col("month") != F.col("stated")), F.lit(False))
+    folds = [F.sum("n").alias("rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("stated").alias("stated")]
+    folds += [F.sum(f"c{i}").alias(f"c{i}") for i in range(len(names))]
+    folds += [F.coalesce(F.sum(F.when(outside, F.col("n"))), F.lit(0)).alias("v0"),
+              F.min(F.when(outside, F.col("k"))).alias("k0")]
+    folds += [x for i in range(1, len(masks) + 1) for x in (F.sum(f"v{i}").alias(f"v{i}"), F.min(f"k{i}").alias(f"k{i}"))]
+    return written(both.groupBy("file").agg(*folds), "report-files")
+
+
+def _examples(df: DataFrame, stats: DataFrame, file_col: str, names: list, masks: list, month_col,
+              ts_col: str, order_key: Optional[str]) -> DataFrame:
+    """(file, ordinal, example): the JSON of the rows that the statistics name
+    (of rows that share a key, the smallest text). One scan, joined to few keys."""
+    key = F.col(f"`{order_key}`") if order_key else F.xxhash64(*[F.col(f"`{c}`") for c in names])
+    wanted = stats.select(F.col("file").alias("__f"), F.col("stated").alias("__stated"), F.explode(F.array(*[
+        F.struct(F.lit(i).alias("ordinal"), F.col(f"k{i}").alias("k")) for i in range(len(masks) + 1)])).alias("w"))
+    wanted = wanted.where("w.k is not null").select("__f", "__stated", F.col("w.ordinal").alias("__o"), F.col("w.k").alias("__k"))
+    rows = df.withColumn("__key", key).join(
+        wanted, F.col(f"`{file_col}`").eqNullSafe(F.col("__f")) & (F.col("__key") == F.col("__k")))
+    rec = month_start(F.col(f"`{ts_col}`")) if ts_col in df.columns else F.lit(None).cast("date")
+    holds = F.when(F.col("__o") == 0, F.coalesce(rec != F.col("__stated"), F.lit(False)))
+    for i, (_, m) in enumerate(masks, 1):
+        holds = holds.when(F.col("__o") == i, m)
+    payload = F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]))
+    return rows.where(holds).groupBy(F.col("__f").alias("file"), F.col("__o").alias("ordinal")).agg(
+        F.min(payload).alias("example"))
+
+
+def full_report_by_file(df: DataFrame, file_col: str, *, ts_col: str = PICKUP, stated_months=None,
+                        month_col: Optional[str] = None, infer: bool = True, non_negative_columns=None,
+                        order_key: Optional[str] = None, schemas: Optional[DataFrame] = None,
+                        files: Optional[list] = None) -> DataFrame:
+    """Q11: the whole report of every file (Q1, Q2, Q4, Q5, Q7-Q9) as rows
+    ``REPORT_COLUMNS``; sections schema, nulls, date_range, duplicates, violations.
+
+    ``stated_months`` maps files to months (others: the file's month column or
+    its commonest month); ``schemas`` gives each file's own (file_name, ordinal,
+    column, dtype), else all have the frame's; ``files`` is the order of the
+    input (else by name). Files without rows are not in the frame, hence not in
+    the report. Duplicates are counted within a file.
+    """
+    names = [c for c in df.columns if c not in (file_col, month_col)]
+    masks = _domain_masks(df, non_negative_columns)
+    kinds = [OUTSIDE_MONTH] + [n for n, _ in masks]
+    stats = file_statistics(df, file_col, ts_col=ts_col, stated_months=stated_months, month_col=month_col,
+                            infer=infer, non_negative_columns=non_negative_columns, order_key=order_key)
+    if schemas is None:
+        fields = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("column"), F.lit(t).alias("dtype"))
+                           for i, (n, t) in enumerate(df.select(*[F.col(f"`{c}`") for c in names]).dtypes)])
+        schema_rows = stats.select("file", "rows", F.inline(fields))
+    else:
+        schema_rows = stats.join(schemas.withColumnRenamed("file_name", "file"), "file").select(
+            "file", "rows", "ordinal", "column", "dtype")
+
+    def struct(section, ordinal, key, metric, value, text=None):
+        return F.struct(F.lit(section).alias("section"), F.lit(ordinal).alias("ordinal"), F.lit(key).alias("key"),
+                        F.lit(metric).alias("metric"), value.cast("double").alias("value"),
+                        (F.lit(None) if text is None else text).cast("string").alias("text"))
+    none = F.lit(None)
+    entries = []
+    if ts_col in df.columns:
+        entries += [struct("date_range", 0, ts_col, "min", none, F.col("lo")),
+                    struct("date_range", 1, ts_col, "max", none, F.col("hi"))]
+    counted = stats.select("file", "rows", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("key"), F.col(f"c{i}").alias("n")) for i, c in enumerate(names)])))
+    if schemas is not None:  # only the columns a file has, under their places in it
+        own = schema_rows.select(F.col("file").alias("__f"), F.col("ordinal").alias("__o"), F.lower(F.coalesce(
+            own_name(F.col("column"), ts_col), F.col("column"))).alias("__c"))
+        counted = counted.join(own, F.col("file").eqNullSafe(F.col("__f")) & (F.lower("key") == F.col("__c"))).select(
+            "file", "rows", F.col("__o").alias("ordinal"), "key", "n")
+    flat = counted.select("file", "ordinal", "key", F.inline(F.array(
+        F.struct(F.lit("null_count").alias("metric"), F.col("n").cast("double").alias("value")),
+        F.struct(F.lit("null_pct").alias("metric"), F.coalesce(F.try_divide(F.col("n") * 100.0, F.col("rows")), F.lit(0.0)).alias("value"))))
+        ).withColumns({"section": F.lit("nulls"), "text": F.lit(None).cast("string")})
+    if entries:
+        flat = flat.unionByName(stats.select("file", F.inline(F.array(*entries))))
+    flat = flat.unionByName(schema_rows.select("file", F.lit("schema").alias("section"), "ordinal", F.col("column").alias("key"),
+                                               F.lit("dtype").alias("metric"), F.col("rows").cast("double").alias("value"),
+                                               F.col("dtype").alias("text")))
+    copies = copy_groups(df.select(*[F.col(f"`{c}`") for c in [file_col, *names]])).groupBy(
+        F.col(f"`{file_col}`").alias("__f")).agg(F.sum(F.col("copies") - 1).alias("d"))
+    flat = flat.unionByName(stats.join(copies, F.col("file").eqNullSafe(F.col("__f")), "left").select(
+        "file", struct("duplicates", 0, "all_columns", "duplicate_count", F.coalesce("d", F.lit(0))).alias("s")).select("file", "s.*"))
+    found = stats.select("file", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("ordinal"), F.lit(kind).alias("key"), F.col(f"v{i}").alias("n"))
+        for i, kind in enumerate(kinds)]))).where("n > 0")
+    shown = _examples(df, stats, file_col, names, masks, month_col, ts_col, order_key)
+    shown = shown.select(F.col("file").alias("__f"), F.col("ordinal").alias("__o"), "example")
+    flat = flat.unionByName(
+        found.join(shown, F.col("file").eqNullSafe(F.col("__f")) & (F.col("ordinal") == F.col("__o")), "left").select(
+            "file", F.lit("violations").alias("section"), "ordinal", "key", F.lit("count").alias("metric"),
+            F.col("n").cast("double").alias("value"), F.col("example").alias("text")))
+    if files is not None:
+        place = F.array_position(F.array(*[F.lit(f) for f in files]), F.col("file")) - 1
+        ordered = flat.withColumn("file_ordinal", place.cast("int"))
+    else:
+        from pyspark.sql import Window
+        ranks = stats.select(F.col("file").alias("__f"), (F.row_number().over(  # a row a file
+            Window.partitionBy(F.lit(0)).orderBy("file")) - 1).alias("file_ordinal"))
+        ordered = flat.join(ranks, F.col("file").eqNullSafe(F.col("__f")))
+    return ordered.select(*REPORT_COLUMNS)
+
+
+def own_name(column, ts_col: str):
+    """The pickup column's name for its known variants, else NULL."""
+    variants = [v.lower() for v in (*PICKUP_COLUMN_VARIANTS, ts_col)]
+    return F.when(F.lower(column).isin(*variants), F.lit(ts_col))
+
+
 def validation_report(df: DataFrame, *, ts_col: str = PICKUP, stated_month="infer",
                       non_negative_columns=None, order_key: Optional[str] = None) -> DataFrame:
-    """Tidy report rows ``(section, ordinal, key, metric, value, text)``.
+    """Q10: tidy report rows ``(section, ordinal, key, metric, value, text)``.
 
-    Sections: schema, nulls, date_range, duplicates, violations.  An absent or
-    empty timestamp column gives NULL range values instead of an error.
+    Sections: schema, nulls, date_range, duplicates, violations (``text`` is the
+    example). An absent or empty timestamp column gives NULL range values
+    instead of an error; an empty frame has its schema, zero counts and no
+    violation.
     """
-    parts = []
-    sch = profile_schema(df)
-    parts.append(sch.select(F.lit("schema").alias("section"), "ordinal",
-                            F.col("column").alias("key"), F.lit("dtype").alias("metric"),
-                            F.col("row_count").cast("double").alias("value"),
-                            F.col("dtype").alias("text")))
-    nulls = profile_nulls(df)
-    for metric, col in (("null_count", "null_count"), ("null_pct", "null_pct")):
-        parts.append(nulls.select(F.lit("nulls"), "ordinal", F.col("column"), F.lit(metric),
-                                  F.col(col).cast("double"), F.lit(None).cast("string")))
-    name = resolve_timestamp_column(df, ts_col) if ts_col in df.columns else None
-    if name is not None:
-        ts = to_ts(F.col(f"`{name}`"))
-        rng = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"), F.count(F.lit(1)).alias("n"))
-        parts.append(rng.select(F.inline(F.array(
-            F.struct(F.lit("date_range"), F.lit(0), F.lit(name), F.lit("min"),
-                     F.lit(None).cast("double"), F.col("lo").cast("string")),
-            F.struct(F.lit("date_range"), F.lit(1), F.lit(name), F.lit("max"),
-                     F.lit(None).cast("double"), F.col("hi").cast("string"))))))
-    dup = count_duplicates(df)
-    parts.append(dup.select(F.lit("duplicates"), F.lit(0), F.lit("all_columns"),
-                            F.lit("duplicate_count"), F.col("duplicate_count").cast("double"),
-                            F.lit(None).cast("string")))
-    viol = flag_domain_violations(df, ts_col=ts_col, stated_month=stated_month,
-                                  non_negative_columns=non_negative_columns, order_key=order_key)
-    parts.append(viol.select(F.lit("violations"), "ordinal", "violation_type", F.lit("count"),
-                             F.col("count").cast("double"), F.col("example")))
-    out = reduce(lambda a, b: a.unionAll(b), [
-        p.toDF("section", "ordinal", "key", "metric", "value", "text") for p in parts])
-    return out.select("section", F.col("ordinal").cast("int").alias("ordinal"), "key",
-                      "metric", "value", "text")
-
-
-# --------------------------------------------------------------------------- Q11
+    if isinstance(stated_month, str) and stated_month != "infer":
+        raise ValueError("stated_month must be a date, (y, m), 'infer' or None")
+    one = df.withColumn("__file", F.lit("all"))
+    given = None if stated_month is None or isinstance(stated_month, str) else {"all": stated_month}
+    rows = full_report_by_file(one, "__file", ts_col=ts_col, stated_months=given, infer=stated_month == "infer",
+                               non_negative_columns=non_negative_columns, order_key=order_key, files=["all"])
+    return rows.unionByName(_empty_report(one, ts_col).join(rows.select("section").distinct(), "section", "left_anti")
+                            .select(*REPORT_COLUMNS)).select("section", "ordinal", "key", "metric", "value", "text")
+
+
+def _empty_report(df: DataFrame, ts_col: str) -> DataFrame:
+    """What the report of a frame without rows says."""
+    names = [(n, t) for n, t in df.dtypes if n != "__file"]
+    rows = [("schema", i, n, "dtype", 0.0, t) for i, (n, t) in enumerate(names)]
+    rows += [("nulls", i, n, m, 0.0, None) for i, (n, _) in enumerate(names) for m in ("null_count", "null_pct")]
+    rows += [("duplicates", 0, "all_columns", "duplicate_count", 0.0, None)]
+    if ts_col in df.columns:
+        rows += [("date_range", i, ts_col, m, None, None) for i, m in enumerate(("min", "max"))]
+    made = df.sparkSession.createDataFrame(
+        rows, "section string, ordinal int, key string, metric string, value double, text string")
+    return made.withColumns({"file_ordinal": F.lit(0), "file": F.lit("all")})
+
+
 def validation_report_by_file(df: DataFrame, file_col: str, *, ts_col: str = PICKUP,
                               non_negative_columns=None) -> DataFrame:
-    """Per-file report: rows, duplicates, range and violations per file label.
-
-    The stated month of each file is its own modal month (earliest on a tie),
-    computed with one grouping aggregate and joined back on the file label.
-    Output ``(file, metric, value)`` with metrics ``rows``, ``duplicate_count``,
-    ``min_pickup``/``max_pickup`` (epoch seconds) and one per violation type.
-    """
-    m = month_start(F.col(ts_col))
-    by_month = (df.select(file_col, m.alias("__m")).where("__m IS NOT NULL")
-                  .groupBy(file_col, "__m").agg(F.count(F.lit(1)).alias("__n")))
-    modal = by_month.groupBy(file_col).agg(
-        F.min_by("__m", F.struct(-F.col("__n"), F.col("__m"))).alias("__stated"))
-    # one row per file, written so that Spark picks the join by its true size
-    from tripcast.session import written
-    tagged = df.join(written(modal, "modal-months"), file_col, "left")
-    masks = violation_masks(tagged.drop("__stated"), ts_col=ts_col, stated_month=None,
-                            non_negative_columns=non_negative_columns)
-    month_mask = F.coalesce(m.isNotNull() & (m != F.col("__stated")), F.lit(False))
-    masks = [(OUTSIDE_MONTH, month_mask)] + masks
-    ts = to_ts(F.col(ts_col))
-    aggs = [F.count(F.lit(1)).cast("double").alias("rows"),
-            epoch_seconds(F.min(ts)).cast("double").alias("min_pickup"),
-            epoch_seconds(F.max(ts)).cast("double").alias("max_pickup")]
-    aggs += [F.count_if(mk).cast("double").alias(name) for name, mk in masks]
-    wide = tagged.groupBy(file_col).agg(*aggs)
-    dcols = [c for c in df.columns]
-    dups = (df.groupBy(*dcols).agg(F.count(F.lit(1)).alias("__n"))
-              .groupBy(file_col).agg(F.sum(F.col("__n") - 1).cast("double").alias("duplicate_count")))
-    wide = wide.join(dups, file_col, "left")
-    metrics = ["rows", "duplicate_count", "min_pickup", "max_pickup"] + [n for n, _ in masks]
-    long = wide.select(F.col(file_col).alias("file"), F.inline(F.array(*[
-        F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("metric"), F.col(f"`{n}`").alias("value"))
-        for i, n in enumerate(metrics)])))
+    """The numbers of :func:`full_report_by_file` alone, as ``(file, ordinal,
+    metric, value)``: rows, duplicate_count, min_pickup / max_pickup (epoch
+    seconds) and one per violation type; each file's commonest month is its own."""
+    stats = file_statistics(df, file_col, ts_col=ts_col, non_negative_columns=non_negative_columns)
+    dups = copy_groups(df).groupBy(F.col(f"`{file_col}`").alias("__f")).agg(F.sum(F.col("copies") - 1).alias("__d"))
+    wide = stats.join(dups, F.col("file").eqNullSafe(F.col("__f")), "left")
+    values = [("rows", F.col("rows")), ("duplicate_count", F.coalesce("__d", F.lit(0))),
+              ("min_pickup", epoch_seconds(F.col("lo"))), ("max_pickup", epoch_seconds(F.col("hi"))),
+              (OUTSIDE_MONTH, F.col("v0"))]
+    values += [(n, F.col(f"v{i}")) for i, (n, _) in enumerate(_domain_masks(df, non_negative_columns), 1)]
+    long = wide.select("file", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("metric"), v.cast("double").alias("value"))
+        for i, (n, v) in enumerate(values)])))
     return long.where(~((F.col("ordinal") >= 4) & (F.col("value") == 0)))
 
 
@@ -405,9 +531,9 @@ def apply_validity_rules(df: DataFrame, *, rule: str = HANDLING_RULE_DROP,
     types with a zero count are left out of the map.
 
     With ``check_duplicates`` later copies of a row are invalid too.  Copies are
-    identical, so the survivors are the distinct rows that pass the other checks:
-    ``dropDuplicates`` after the filter (an aggregate that pre-combines copies
-    map-side, so a hot group never lands whole in one task).
+    identical (with ``month_col``: in the same month's file), so the survivors
+    are the distinct rows that pass the other checks; only rows whose hash
+    repeats are grouped in full.
     """
     if rule != HANDLING_RULE_DROP:
         raise ValueError(f"Unsupported handling rule '{rule}'. Supported rules: "
@@ -417,29 +543,21 @@ def apply_validity_rules(df: DataFrame, *, rule: str = HANDLING_RULE_DROP,
                             null_columns=null_columns, month_col=month_col)
     any_bad = reduce(lambda a, b: a | b, [m for _, m in masks], F.lit(False))
     clean = df.where(~any_bad)
-    if check_duplicates:
-        clean = clean.dropDuplicates()
     names = [n for n, _ in masks]
+    aggs = [F.count(F.lit(1)).alias("input_row_count"), F.count_if(~any_bad).alias("__valid")]
+    aggs += [F.count_if(m).alias(f"t{i}") for i, (_, m) in enumerate(masks)]
+    stats = df.agg(*aggs)
+    type_cols = [F.col(f"t{i}") for i in range(len(masks))]
     if check_duplicates:
-        # group copies first (map-side combine), then one aggregate over groups
-        data_cols = [c for c in df.columns if c != month_col]
-        first = [F.first(m).alias(f"t{i}") for i, (_, m) in enumerate(masks)]
-        per_row = df.groupBy(*[F.col(f"`{c}`") for c in data_cols]).agg(
-            F.count(F.lit(1)).alias("__n"), *first,
-            F.first(~any_bad).alias("__ok"))
-        aggs = [F.sum("__n").alias("input_row_count")]
-        aggs += [F.sum(F.when(F.col(f"t{i}"), F.col("__n")).otherwise(0)).alias(f"t{i}")
-                 for i in range(len(masks))]
-        aggs += [F.sum(F.col("__n") - 1).alias("dup"), F.count_if("__ok").alias("__valid")]
-        stats = per_row.agg(*aggs)
+        # equal rows (the month of their file included) fail the same checks
+        clean = distinct_rows(clean)
+        extra = copy_groups(df).withColumn("__ok", ~any_bad).agg(
+            F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("__dup"),
+            F.coalesce(F.sum(F.when(F.col("__ok"), F.col("copies") - 1)), F.lit(0)).alias("__dup_ok"))
+        stats = (stats.withColumn("__one", F.lit(1)).join(extra.withColumn("__one", F.lit(1)), "__one")
+                 .withColumn("__valid", F.col("__valid") - F.col("__dup_ok")))
         names.append("duplicate")
-        type_cols = [F.col(f"t{i}") for i in range(len(masks))] + [F.col("dup")]
-    else:
-        aggs = [F.count(F.lit(1)).alias("input_row_count")]
-        aggs += [F.count_if(m).alias(f"t{i}") for i, (_, m) in enumerate(masks)]
-        aggs.append(F.count_if(~any_bad).alias("__valid"))
-        stats = df.agg(*aggs)
-        type_cols = [F.col(f"t{i}") for i in range(len(masks))]
+        type_cols.append(F.col("__dup"))
     out_rows = F.coalesce(F.col("__valid"), F.lit(0))
     stats = stats.withColumn("input_row_count", F.coalesce("input_row_count", F.lit(0)))
     if names:

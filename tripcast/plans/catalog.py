@@ -1355,16 +1355,18 @@ SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS period, event_type AS region,
 FROM events WHERE event_type IS NOT NULL GROUP BY 1, 2""")
 def stream_daily_demand_q(spark, sf_dir):
     """Events as a file stream; tumbling 1-day window per type, run over
-    everything available, final state from the memory sink."""
+    everything available: days that are over are appended to files in the
+    shared folder, the others are read from the state."""
     import uuid
     from tripcast.session import scratch_path
-    from tripcast.streaming.incremental import daily_counts, run_available, stream_trips
+    from tripcast.streaming.incremental import (append_daily_counts, closed_days, daily_counts, open_days,
+                                                stream_trips)
     schema = T.table(spark, sf_dir, "events").schema
     s = stream_trips(spark, sf_dir, schema, glob="events.parquet", monthly_names=False)
     s = s.select(F.col("ts").alias("pickup_datetime"), F.col("event_type").alias("region"))
-    name = "daily_counts_" + uuid.uuid4().hex[:8]
-    run_available(daily_counts(s), scratch_path(spark, f"stream-{name}"), name=name)
-    return spark.table(name)
+    path = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+    append_daily_counts(daily_counts(s, watermark="2 days"), f"{path}/days", f"{path}/checkpoint")
+    return closed_days(spark, f"{path}/days").unionByName(open_days(spark, f"{path}/checkpoint"))
 
 
 # ======================================================== remaining operators
@@ -1430,3 +1432,7 @@ def anomaly_descriptions_q(spark, sf_dir):
     """The plain-language reading of every anomaly per region."""
     a = X.detect_anomalies(X.region_series(series_ckpt(spark, sf_dir)), by=["region"])
     return a.select("region", "period", "description")
+
+
+# ================================================== month files, ledger, streams
+from tripcast.plans import catalog_files as _files  # noqa: E402,F401

@@ -10,18 +10,23 @@ from __future__ import annotations
 import os
 from typing import Optional, Sequence
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (LongType, StringType, StructField, StructType,
                                TimestampNTZType)
-from pyspark.errors import AnalysisException
 
 from tripcast.functions.columns import to_ts
 from tripcast.params import DEMAND, LOCATION, LOOKUP_BOROUGH, LOOKUP_ID, PERIOD, REGION, Scope
 
 # Fixed value that must equal the reference's behaviour: monthly file names.
 MONTH_FILE_PATTERN = r"(?i)^fhvhv_(tripdata_)?(\d{4})-(\d{2})\.parquet$"
+#: The month file in a path: the file itself, or the folder that holds its parts.
+MONTH_LABEL_PATTERN = r"(?i)(?:^|[/=])(fhvhv_(?:tripdata_)?\d{4}-\d{2}\.parquet)(?:/[^/]+)?$"
+
+#: Error conditions that say a file is no readable Parquet.
+UNREADABLE = ("CANNOT_READ_FILE_FOOTER", "UNABLE_TO_INFER_SCHEMA")
 
 SERIES_SCHEMA = StructType([StructField(PERIOD, TimestampNTZType()),
                             StructField(REGION, StringType()),
@@ -38,16 +43,16 @@ def read_trips(spark: SparkSession, path: str | Sequence[str],
     ``columns`` projects right away so Catalyst prunes the scan.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    for p in paths:
-        if not os.path.exists(p) and "://" not in p:
-            raise FileNotFoundError(f"Parquet file not found: {p}")
+    reader = spark.read if schema is None else spark.read.schema(schema)
     try:
-        r = spark.read
-        if schema is not None:
-            r = r.schema(schema)
-        df = r.parquet(*paths)
-    except AnalysisException as e:
-        raise ValueError(f"could not read Parquet at {paths}: {e}") from e
+        df = reader.parquet(*paths)
+    except (PySparkException, Py4JJavaError) as e:
+        # only these two mean a missing or unreadable file; all else is raised as it is
+        if "PATH_NOT_FOUND" in str(e):
+            raise FileNotFoundError(f"Parquet file not found: {paths}") from e
+        if any(c in str(e) for c in UNREADABLE):
+            raise ValueError(f"could not read Parquet at {paths}: {str(e)[:500]}") from e
+        raise
     return df.select(*columns) if columns else df
 
 
@@ -63,21 +68,12 @@ def stated_month_from_name(name_col) -> "F.Column":
 
 def read_month_files(spark: SparkSession, data_dir: str, columns: Optional[Sequence[str]] = None,
                      latest_only: bool = False) -> DataFrame:
-    """All monthly trip files of ``data_dir`` in one scan.
-
-    Adds ``file_name`` and ``stated_month`` (from the name).  Files whose name
-    does not match the monthly pattern are filtered out.
+    """All rows of the monthly trip files of ``data_dir``, with ``file_name``
+    and ``stated_month`` (from the name); columns whose types drift between
+    months are widened. Other files are left out. See :mod:`.month_files`.
     """
-    if not os.path.isdir(data_dir) and "://" not in data_dir:
-        raise FileNotFoundError(f"data directory not found: {data_dir}")
-    df = (spark.read.option("pathGlobFilter", "*.parquet").parquet(data_dir)
-               .select(*(columns or ["*"]), F.col("_metadata.file_name").alias("file_name")))
-    df = df.where(F.col("file_name").rlike(MONTH_FILE_PATTERN))
-    df = df.withColumn("stated_month", stated_month_from_name("file_name"))
-    if latest_only:
-        latest = df.select(F.max("stated_month").alias("m")).first()["m"]  # one scalar
-        df = df.where(F.col("stated_month") == F.lit(latest))
-    return df
+    from tripcast.sources.month_files import scan_month_files
+    return scan_month_files(spark, data_dir, columns, latest_only).rows
 
 
 # --------------------------------------------------------------------------- S6/S7
@@ -134,11 +130,11 @@ def write_partials(partials: DataFrame, path: str) -> None:
              .partitionBy("month").parquet(path))
 
 
-def stored_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+def stored_or_none(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
     """The table at ``path`` (any store), None where nothing was written yet;
     every other failure to read is raised."""
     try:
-        return spark.read.parquet(path)
+        return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
