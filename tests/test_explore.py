@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tripcast.operators import explore as X
 from tripcast.operators import features as W
+from tripcast.operators.kendall import tau_b
 
 
 def _series(spark, values, start=datetime(2025, 5, 1)):
@@ -66,47 +67,97 @@ def test_acf_and_pacf_against_numpy(spark):
     assert np.allclose([r["acf"] for r in rows], exp)
     assert abs(rows[0]["band"] - 1.96 / math.sqrt(80)) < 1e-12
     r = np.array(exp)
-    p = X.pacf_from_acf(r)
-    for k in (1, 2, 5):  # Yule-Walker solve for AR(k): last coefficient
+    p = [q["pacf"] for q in X.pacf(X.acf(_series(spark, v), nlags=10)).orderBy("lag").collect()]
+    assert len(p) == 11 and p[0] == 1.0
+    for k in range(1, 11):  # Yule-Walker solve for AR(k): last coefficient
         R = np.array([[r[abs(i - j)] for j in range(k)] for i in range(k)])
         phi = np.linalg.solve(R, r[1:k + 1])
         assert abs(phi[-1] - p[k]) < 1e-9
 
 
-def test_adf_separates_random_walk_from_noise():
+def _adf_by_least_squares(x):
+    """The regression on whole design matrices: (statistic, lag)."""
+    x, dx = np.asarray(x, float), np.diff(x)
+    n = len(x)
+    maxlag = min(n // 2 - 2, math.ceil(12 * (n / 100) ** 0.25))
+
+    def regress(lag, rows):
+        z = np.column_stack([np.ones(rows), x[-rows - 1:-1], *[dx[-rows - j:-j] for j in range(1, lag + 1)]])
+        beta, *_ = np.linalg.lstsq(z, dx[-rows:], rcond=None)
+        return z, beta, float(((dx[-rows:] - z @ beta) ** 2).sum())
+    rows = n - 1 - maxlag
+    aic = [rows * math.log(regress(lag, rows)[2] / rows) + 2 * lag for lag in range(maxlag + 1)]
+    lag = int(np.argmin(aic))
+    z, beta, ssr = regress(lag, n - 1 - lag)
+    return beta[1] / math.sqrt(ssr / (len(z) - z.shape[1]) * np.linalg.inv(z.T @ z)[1, 1]), lag
+
+
+def test_adf_against_least_squares_and_odd_series(spark):
     rng = np.random.default_rng(1)
-    walk = np.cumsum(rng.normal(size=300))
-    noise = rng.normal(size=300)
-    s1, p1, *_ = X.adf_numpy(walk)
-    s2, p2, *_ = X.adf_numpy(noise)
-    assert p2 < 0.01 < p1 and s2 < s1
+    series = {"walk": np.cumsum(rng.normal(size=300)) + 1000, "noise": rng.normal(size=300), "short": rng.normal(size=30),
+              "tiny": rng.normal(size=9), "flat": np.full(50, 7.0), "three": np.array([1.0, 2.0, 4.0]),
+              "line": np.arange(40.0), "ar": np.convolve(rng.normal(size=420), 0.9 ** np.arange(20))[20:400]}
+    rows = [(k, datetime(2025, 1, 1) + timedelta(days=i), float(x)) for k, v in series.items() for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "region string, period timestamp_ntz, y double")
+    got = {r.region: r for r in X.adf_test(df, by=["region"]).collect()}
+    for k in ("walk", "noise", "short", "tiny", "ar"):
+        stat, lag = _adf_by_least_squares(series[k])
+        assert got[k].used_lag == lag and abs(got[k].adf_stat - stat) < 1e-6 * max(1, abs(stat)), k
+    assert got["noise"].p_value < 0.01 < got["walk"].p_value
+    assert got["flat"].status == "constant series" and got["three"].status == "too few observations"
+    assert got["line"].adf_stat is None and got["line"].status != "ok"
     assert 0.0 <= X.adf_pvalue(-2.0) <= 1.0
+    one = X.adf_test(df.where("region = 'noise'").drop("region")).collect()
+    assert len(one) == 1 and abs(one[0].adf_stat - got["noise"].adf_stat) < 1e-9
+    assert X.adf_lag0(df, by=["region"]).where("region = 'flat'").first().adf_stat is None
+
+
+def test_decomposition_keeps_short_and_zero_series(spark):
+    rows = [("long", datetime(2025, 1, 1) + timedelta(days=i), float(i % 7)) for i in range(40)]
+    rows += [("short", datetime(2025, 1, 1) + timedelta(days=i), 1.0) for i in range(5)]
+    rows += [("zero", datetime(2025, 1, 1) + timedelta(days=i), 0.0) for i in range(30)]
+    df = spark.createDataFrame(rows, "region string, period timestamp_ntz, y double")
+    for model in ("additive", "multiplicative"):
+        got = X.seasonal_decompose(df, model=model, by=["region"])
+        assert got.count() == 75 and got.where("region = 'short' and trend is not null").count() == 0
+        assert got.where("region = 'long' and trend is not null").count() > 20
     with pytest.raises(ValueError):
-        X.adf_numpy([1.0, 2.0, 3.0])
+        X.seasonal_decompose(df.where("region = 'short'"), by=["region"])
+
+
+def _tau_by_pairs(x, y):
+    ok = ~(np.isnan(x) | np.isnan(y))
+    x, y = x[ok], y[ok]
+    sx, sy = np.sign(x[:, None] - x[None, :]), np.sign(y[:, None] - y[None, :])
+    return (sx * sy).sum() / math.sqrt((sx != 0).sum() * (sy != 0).sum())
 
 
-def test_kendall_matches_bruteforce():
+def test_kendall_matches_bruteforce(spark):
     rng = np.random.default_rng(2)
-    for _ in range(5):
-        x = rng.integers(0, 5, 40).astype(float)
-        y = (x + rng.integers(0, 3, 40)).astype(float)
-        n = len(x)
-        c = d = tx = ty = 0
-        for i in range(n):
-            for j in range(i + 1, n):
-                a, b = np.sign(x[i] - x[j]), np.sign(y[i] - y[j])
-                if a == 0 and b == 0:
-                    continue
-                if a == 0:
-                    tx += 1
-                elif b == 0:
-                    ty += 1
-                elif a == b:
-                    c += 1
-                else:
-                    d += 1
-        exp = (c - d) / math.sqrt((c + d + tx) * (c + d + ty))
-        assert abs(X._kendall_tau_b(x, y) - exp) < 1e-12
+    rows, want = [], {}
+    for k, n in enumerate((2, 3, 10, 40, 200, 700)):
+        for kind in ("ties", "hot", "free", "gaps"):
+            x = rng.integers(0, 5, n).astype(float) if kind == "ties" else rng.normal(size=n)
+            if kind == "hot":
+                x[: n // 3] = 0.25
+            y = x + (rng.integers(0, 3, n) if kind == "ties" else rng.normal(size=n))
+            if kind == "gaps" and n > 3:
+                x[::5], y[1::7] = np.nan, np.nan
+            if len(set(x)) > 1 and len(set(y)) > 1:
+                want[f"{kind}-{k}"] = _tau_by_pairs(x, y)
+            rows += [(f"{kind}-{k}", None if np.isnan(a) else float(a), float(b)) for a, b in zip(x, y)]
+    rows += [("flat", 1.0, float(i)) for i in range(9)] + [("one", 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "k string, a double, b double")
+    got = {r.k: r.r for r in tau_b(df, ["k"], "a", "b").collect()}
+    assert got.pop("flat") is None and got.pop("one") is None
+    for k, r in want.items():
+        assert abs(got[k] - r) < 1e-12, k
+
+
+def test_kendall_of_demand_is_symmetric(spark):
+    y = _series(spark, _fixture_i(60))
+    got = {(r["x"], r["y"]): r["r"] for r in X.demand_correlations(y, method="kendall").collect()}
+    assert len(got) == 25 and all(got[(b, a)] == r for (a, b), r in got.items()) and got[("demand", "demand")] == 1.0
 
 
 def test_correlations_constant_column_is_null(spark):

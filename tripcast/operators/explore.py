@@ -1,10 +1,9 @@
 """Series reductions, summaries and statistical exploration.
 
 Series operators work on ``(*by, period, y)`` frames; ``by`` identifies one
-series (``[]`` = the daily total, bounded by the window length).  Where a
-closed form exists the statistic is a window / aggregate plan; the two
-iterative pieces (ADF lag search, PACF recursion) and Kendall's tau run as
-grouped-map numpy helpers with one small series per group.
+series (``[]`` = the daily total, bounded by the window length).  Statistics are
+window and aggregate plans; the PACF recursion is a fold over an array, and the
+ADF lag search solves small normal equations from sums of cross products.
 """
 
 from __future__ import annotations
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 from tripcast.functions.columns import epoch_seconds
 
 from tripcast.operators import features as W
+from tripcast.operators.kendall import tau_b
 from tripcast.operators.quality import require_columns
 from tripcast.params import DEMAND, PERIOD, REGION
 
@@ -154,26 +154,33 @@ def seasonal_decompose(y: DataFrame, period: int = 7, model: str = "additive",
 
     trend = centred MA (W13); the seasonal index of row r is (r-1) % period;
     period means of the detrended values are centred (subtract / divide by
-    their mean); resid = y - trend - seasonal (or y / (trend * seasonal)).
+    their mean); resid = y - trend - seasonal (or y / (trend * seasonal)). A
+    series with fewer than two periods has NULL components; so has a quotient
+    by zero.
     """
     if period < 2:
         raise ValueError(f"period must be >= 2; got {period}")
     if model not in ("additive", "multiplicative"):
         raise ValueError("model must be 'additive' or 'multiplicative'")
-    shortest = y.groupBy(*by).count().agg(F.min("count")).first()[0] or 0
-    if shortest < 2 * period:
-        raise ValueError(f"need at least {2 * period} observations for period {period}; got {shortest}")
+    longest = y.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if longest < 2 * period:
+        raise ValueError(f"need at least {2 * period} observations for period {period}; got {longest}")
+    # a shorter series among longer ones keeps its rows, without components
+    y = y.withColumn("__long", F.count(F.lit(1)).over(_wall(by)) >= 2 * period)
+    short, y = y.where("not __long").drop("__long"), y.where("__long").drop("__long")
     add = model == "additive"
     t = W.centered_moving_average(y, period, "y", by)
     t = t.withColumn("__idx", (F.row_number().over(W._w(by)) - 1) % period)
-    t = t.withColumn("__det", F.col("y") - F.col("trend") if add else F.col("y") / F.col("trend"))
+    t = t.withColumn("__det", F.col("y") - F.col("trend") if add else F.try_divide("y", "trend"))
     means = t.groupBy(*by, "__idx").agg(F.avg("__det").alias("__pm"))
     centre = F.avg("__pm").over(_wall(by))
-    means = means.withColumn("seasonal", F.col("__pm") - centre if add else F.col("__pm") / centre)
+    means = means.withColumn("seasonal", F.col("__pm") - centre if add else F.try_divide(F.col("__pm"), centre))
     out = t.join(means.select(*by, "__idx", "seasonal"), [*by, "__idx"])
     resid = F.col("y") - F.col("trend") - F.col("seasonal") if add else \
-        F.col("y") / (F.col("trend") * F.col("seasonal"))
-    return out.select(*by, PERIOD, "y", "trend", "seasonal", resid.alias("resid"))
+        F.try_divide(F.col("y"), F.col("trend") * F.col("seasonal"))
+    none = [F.lit(None).cast("double").alias(c) for c in ("trend", "seasonal", "resid")]
+    return out.select(*by, PERIOD, "y", "trend", "seasonal", resid.alias("resid")).unionByName(
+        short.select(*by, PERIOD, "y", *none))
 
 
 def decomposition_strength(dec: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -233,73 +240,95 @@ def adf_critical(nobs: int) -> dict:
     return {k: b[0] + b[1] / nobs + b[2] / nobs ** 2 + b[3] / nobs ** 3 for k, b in ADF_CRIT.items()}
 
 
-def _ols(y, X):
-    beta, *_ = np.linalg.lstsq(X, y, rcond=None)
-    resid = y - X @ beta
-    return beta, resid
+def adf_from_gram(gram: np.ndarray, head: np.ndarray, n: int, maxlag: int):
+    """The ADF regression (constant only, AIC lag choice) from cross products.
 
-
-def adf_numpy(x: np.ndarray, alpha: float = 0.05, maxlag: Optional[int] = None):
-    """Constant-only ADF with AIC lag choice (the library default)."""
-    x = np.asarray(x, dtype=float)
-    n = len(x)
-    if n < 4:
-        raise ValueError("ADF needs at least 4 observations")
-    if maxlag is None:
-        maxlag = int(math.ceil(12.0 * (n / 100.0) ** 0.25))
-        maxlag = min(n // 2 - 2, maxlag)
-        if maxlag < 0:
-            raise ValueError("sample too short for ADF")
-    dx = np.diff(x)
-
-    def design(lag, nobs):
-        cols = [x[-nobs - 1:-1]]
-        for j in range(1, lag + 1):
-            cols.append(dx[-nobs - j:-j])
-        cols.append(np.ones(nobs))
-        return np.column_stack(cols), dx[-nobs:]
-
-    nobs_full = len(dx) - maxlag
-    best, best_aic = 0, np.inf
-    for lag in range(0, maxlag + 1):
-        X, yy = design(lag, nobs_full)
-        _, res = _ols(yy, X)
-        ssr = float(res @ res)
-        llf = -nobs_full / 2.0 * (math.log(2 * math.pi) + math.log(ssr / nobs_full) + 1)
-        aic = -2 * llf + 2 * X.shape[1]
+    Columns: constant, level, lagged differences 1..., difference. ``gram`` sums
+    the rows that have ``maxlag`` lags, the common sample of the lag choice;
+    ``head`` holds the rows before them, which lower orders use as well.
+    Returns (statistic, lag, nobs, reason or None).
+    """
+    last = len(gram) - 1
+    scale = max(gram[1, 1], 0.0)
+    if scale <= 1e-18 * max(1.0, n) or gram[last, last] <= 0:
+        return None, None, None, "constant series"
+
+    def fitted(g, lag):
+        idx = np.arange(2 + lag)
+        xx, xy = g[np.ix_(idx, idx)], g[idx, last]
+        beta = np.linalg.lstsq(xx, xy, rcond=None)[0]
+        return xx, beta, float(g[last, last] - beta @ xy)
+    common, best, best_aic = n - 1 - maxlag, None, math.inf
+    for lag in range(maxlag + 1):
+        ssr = fitted(gram, lag)[2]
+        if ssr <= 1e-12 * gram[last, last]:
+            return None, None, None, "the differences are fitted exactly"
+        aic = common * (math.log(2 * math.pi) + math.log(ssr / common) + 1) + 2 * (2 + lag)
         if aic < best_aic:
             best, best_aic = lag, aic
-    nobs = len(dx) - best
-    X, yy = design(best, nobs)
-    beta, res = _ols(yy, X)
-    dof = nobs - X.shape[1]
-    s2 = float(res @ res) / dof
-    cov = s2 * np.linalg.inv(X.T @ X)
-    stat = float(beta[0] / math.sqrt(cov[0, 0]))
-    p = adf_pvalue(stat)
-    crit = adf_critical(nobs)
-    return stat, p, best, nobs, crit, p < alpha
+    rows = head[best:]  # row i of the head has i lags
+    full = gram + rows.T @ rows
+    xx, beta, ssr = fitted(full, best)
+    nobs = n - 1 - best
+    spread = ssr / (nobs - 2 - best) * np.linalg.inv(xx)[1, 1]
+    return float(beta[1] / math.sqrt(spread)), best, nobs, None
+
+
+def adf_maxlag(n):
+    """The library's largest lag order, as a column."""
+    return F.least(F.floor(n / 2) - 2, F.ceil(12.0 * F.pow(n / 100.0, F.lit(0.25)))).cast("int")
 
 
 def adf_test(y: DataFrame, by: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
-    """A3: ADF per series in a grouped map (one small series per group)."""
+    """A3: ADF per series, a row each. Cross products of the lag design are
+    summed in one aggregate; every lag order, its AIC and the statistic come
+    from their sub-matrices. A series that is too short or constant gets a row
+    with the reason in ``status`` (else 'ok') and no figures."""
     keys = list(by)
-    schema = ", ".join([f"`{k}` string" for k in keys] +
-                       ["adf_stat double", "p_value double", "used_lag int", "nobs int",
-                        "crit_1 double", "crit_5 double", "crit_10 double", "stationary boolean"])
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(PERIOD)
-        st, p, lag, nobs, crit, stat_ok = adf_numpy(pdf["y"].to_numpy(), alpha)
-        row = {k: str(pdf[k].iloc[0]) for k in keys}
-        row.update(adf_stat=st, p_value=p, used_lag=lag, nobs=nobs, crit_1=crit["1%"],
-                   crit_5=crit["5%"], crit_10=crit["10%"], stationary=bool(stat_ok))
-        return pd.DataFrame([row])
-    src = y.select(*keys, PERIOD, "y")
-    if not keys:
-        src = src.withColumn("__k", F.lit(1))
-        return src.groupBy("__k").applyInPandas(lambda p: fn(p.drop(columns="__k")), schema)
-    return src.groupBy(*keys).applyInPandas(fn, schema)
+    w, wall = W._w(by), _wall(by)
+    s = y.select(*by, PERIOD, (F.col("y") - F.avg("y").over(wall)).alias("x"), F.count(F.lit(1)).over(wall).alias("n"))
+    s = s.withColumn("d", F.col("x") - F.lag("x").over(w))
+    s = s.withColumns({"i": F.row_number().over(w) - 1, "maxlag": adf_maxlag(F.col("n"))})
+    most = y.groupBy(*by).count().agg(F.max(adf_maxlag(F.col("count")))).first()[0]
+    most = max(most if most is not None else 0, 0)
+    lags = [F.coalesce(F.lag("d", k).over(w), F.lit(0.0)) for k in range(1, most + 1)]
+    z = s.select(*by, "n", "maxlag", "i", F.array(F.lit(1.0), F.lag("x").over(w), *lags, F.col("d")).alias("z"))
+    z = z.where("i >= 1 and n >= 4 and maxlag >= 0")
+    products = (z.where("i > maxlag").select(*by, F.posexplode("z").alias("a", "za"), "z")
+                .select(*by, "a", F.posexplode("z").alias("b", "zb"), "za")
+                .groupBy(*by, "a", "b").agg(F.sum(F.col("za") * F.col("zb")).alias("v")))
+    flat = products.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("a", "b", "v"))),
+                                                 lambda r: r["v"]).alias("gram"))
+    head = z.where("i <= maxlag").groupBy(*by).agg(F.flatten(F.transform(
+        F.array_sort(F.collect_list(F.struct("i", "z"))), lambda r: r["z"])).alias("head"))  # maxlag rows
+    size = most + 3
+
+    @F.pandas_udf("adf_stat double, p_value double, used_lag int, nobs int, crit_1 double, crit_5 double, "
+                  "crit_10 double, stationary boolean, status string")
+    def solve(gram: pd.Series, head: pd.Series, n: pd.Series, maxlag: pd.Series) -> pd.DataFrame:
+        rows = []
+        for g, h, count, m in zip(gram, head, n, maxlag):
+            if g is None:
+                rows.append((None,) * 8 + ("too few observations",))
+                continue
+            first = np.asarray([] if h is None else h, float).reshape(-1, size)
+            stat, lag, nobs, why = adf_from_gram(np.asarray(g, float).reshape(size, size), first, int(count), int(m))
+            if why:
+                rows.append((None,) * 8 + (why,))
+                continue
+            crit, p = adf_critical(nobs), adf_pvalue(stat)
+            rows.append((stat, p, lag, nobs, crit["1%"], crit["5%"], crit["10%"], bool(p < alpha), "ok"))
+        out = pd.DataFrame(rows, columns=["adf_stat", "p_value", "used_lag", "nobs", "crit_1", "crit_5", "crit_10",
+                                          "stationary", "status"])
+        return out.astype({"adf_stat": "float64", "p_value": "float64", "used_lag": "Int32", "nobs": "Int32",
+                           "crit_1": "float64", "crit_5": "float64", "crit_10": "float64", "stationary": "boolean"})
+    sizes = y.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    one = [] if keys else [F.lit(1).alias("__one")]
+    on = keys or ["__one"]
+    frame = sizes.select(*one, "*").join(flat.select(*one, "*"), on, "left").join(head.select(*one, "*"), on, "left")
+    found = frame.select(*[F.col(k).cast("string").alias(k) for k in keys],
+                         solve("gram", "head", "n", F.coalesce(adf_maxlag(F.col("n")), F.lit(-1))).alias("r"))
+    return found.select(*keys, "r.*")
 
 
 def adf_lag0(y: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -311,10 +340,10 @@ def adf_lag0(y: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     a = d.groupBy(*by).agg(F.regr_slope("dy", "x").alias("slope"), F.regr_sxx("dy", "x").alias("sxx"),
                            F.regr_syy("dy", "x").alias("syy"), F.regr_sxy("dy", "x").alias("sxy"),
                            F.regr_count("dy", "x").alias("n"))
-    ssr = F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")
-    se = F.sqrt(ssr / (F.col("n") - 2) / F.col("sxx"))
+    ssr = F.col("syy") - F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx"))
+    se = F.sqrt(F.try_divide(F.try_divide(ssr, F.col("n") - 2), F.col("sxx")))
     return a.select(*by, F.col("n").cast("long").alias("nobs"), "slope",
-                    (F.col("slope") / se).alias("adf_stat"))
+                    F.try_divide(F.col("slope"), se).alias("adf_stat"))  # NULL for a constant series
 
 
 # ---------------------------------------------------------------------- A4/A5/A6
@@ -344,45 +373,34 @@ def acf(y: DataFrame, nlags: Optional[int] = None, by: Sequence[str] = ()) -> Da
         (F.lit(1.96) / F.sqrt("__n")).alias("band"))
 
 
-def pacf_from_acf(r: np.ndarray) -> np.ndarray:
-    """Durbin-Levinson recursion on acf values r[0..L] (Yule-Walker, no bias
-    adjustment).  Returns pacf[0..L] with pacf[0] = 1."""
-    L = len(r) - 1
-    out = np.zeros(L + 1)
-    out[0] = 1.0
-    phi = np.zeros(L + 1)
-    v = r[0]
-    for k in range(1, L + 1):
-        num = r[k] - sum(phi[j] * r[k - j] for j in range(1, k))
-        a = num / v if v != 0 else 0.0
-        new = phi.copy()
-        new[k] = a
-        for j in range(1, k):
-            new[j] = phi[j] - a * phi[k - j]
-        phi = new
-        v = v * (1 - a * a)
-        out[k] = a
-    return out
+def pacf_fold(r):
+    """Durbin-Levinson recursion over an array column of acf values r[0..L]
+    (Yule-Walker, no bias adjustment): the array pacf[0..L] with pacf[0] = 1,
+    as a fold, a lag a step."""
+    empty = F.array().cast("array<double>")
+    start = F.struct(empty.alias("phi"), r[0].alias("v"), F.array(F.lit(1.0)).alias("out"))
+
+    def step(state, k):
+        phi, v = state["phi"], state["v"]
+        known = F.aggregate(F.zip_with(phi, F.reverse(F.slice(r, 2, F.size(phi))), lambda p, q: p * q),
+                            F.lit(0.0), lambda s, x: s + x)
+        a = F.coalesce(F.try_divide(r[k] - known, v), F.lit(0.0))
+        # the new coefficient is computed once and read as the last element
+        out = F.concat(state["out"], F.array(a))
+        return F.transform(F.array(out), lambda o: F.struct(
+            F.concat(F.zip_with(phi, F.reverse(phi), lambda p, q: p - F.element_at(o, -1) * q),
+                     F.array(F.element_at(o, -1))).alias("phi"),
+            (v * (1 - F.element_at(o, -1) * F.element_at(o, -1))).alias("v"), o.alias("out")))[0]
+    lags = F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda k: k >= 1)
+    return F.aggregate(lags, start, step, lambda s: s["out"])
 
 
 def pacf(acf_rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """A5: PACF per series from its ACF rows (<= 41 rows per group)."""
-    keys = list(by)
-    schema = ", ".join([f"`{k}` string" for k in keys] + ["lag int", "pacf double", "band double"])
-
-    def fn(pdf):
-        pdf = pdf.sort_values("lag")
-        p = pacf_from_acf(pdf["acf"].to_numpy())
-        out = pd.DataFrame({"lag": pdf["lag"].astype("int32").to_numpy(), "pacf": p,
-                            "band": pdf["band"].to_numpy()})
-        for k in keys:
-            out.insert(0, k, str(pdf[k].iloc[0]))
-        return out
-    src = acf_rows
-    if not keys:
-        return src.withColumn("__k", F.lit(1)).groupBy("__k").applyInPandas(
-            lambda p: fn(p.drop(columns="__k")), schema)
-    return src.groupBy(*keys).applyInPandas(fn, schema)
+    """A5: PACF per series from its ACF rows (<= 41 rows per series)."""
+    series = acf_rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("lag", "acf", "band"))).alias("__s"))
+    fold = pacf_fold(F.transform("__s", lambda s: s["acf"]))
+    return series.select(*by, F.inline(F.zip_with("__s", fold, lambda s, p: F.struct(
+        s["lag"].cast("int").alias("lag"), p.alias("pacf"), s["band"].alias("band")))))
 
 
 def order_hints(acf_rows: DataFrame, pacf_rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -487,41 +505,17 @@ def _spearman(base: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFr
     return half.unionByName(mirrored)
 
 
-def _kendall_tau_b(x: np.ndarray, y: np.ndarray) -> float:
-    """Tau-b in O(n log n): sort by (x, y), count discordant pairs as the
-    inversions of y with a Fenwick tree, tie-correct by x, y and joint ties."""
-    ok = ~(np.isnan(x) | np.isnan(y))
-    x, y = x[ok], y[ok]
-    n = len(x)
-    if n < 2:
-        return float("nan")
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-    _, yr = np.unique(y, return_inverse=True)
-    tree = np.zeros(yr.max() + 2, dtype=np.int64)
-    disc = 0
-    seen = 0
-    for v in yr:  # count earlier y strictly greater than v
-        i, le = v + 1, 0
-        while i > 0:
-            le += tree[i]
-            i -= i & -i
-        disc += seen - le
-        i = v + 1
-        while i < len(tree):
-            tree[i] += 1
-            i += i & -i
-        seen += 1
-
-    def tie_pairs(*arrs):
-        _, c = np.unique(np.column_stack(arrs), axis=0, return_counts=True)
-        return int((c * (c - 1) // 2).sum())
-    n0 = n * (n - 1) // 2
-    n1, n2, n3 = tie_pairs(x), tie_pairs(y), tie_pairs(x, y)
-    # pairs tied in x only are ordered by y (not inversions); joint ties neither
-    conc_minus_disc = n0 - n1 - n2 + n3 - 2 * disc
-    den = math.sqrt((n0 - n1) * (n0 - n2))
-    return float(conc_minus_disc / den) if den > 0 else float("nan")
+def _kendall(base: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Tau-b of every pair of columns over the pair's complete rows; 1 on the diagonal."""
+    pairs = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(a).alias("__a"), F.col(b).alias("__b"))
+                      for i, a in enumerate(cols) for b in cols[i + 1:]])
+    half = tau_b(base.select(*by, F.inline(pairs)), [*by, "x", "y"], "__a", "__b")
+    names = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a in cols for b in cols])
+    groups = base.select(*by).distinct() if by else base.select(F.lit(1).alias("__one")).distinct()
+    every = groups.select(*by, F.inline(names))
+    both = half.unionByName(half.select(*by, F.col("y").alias("x"), F.col("x").alias("y"), "r"))
+    return every.join(both, [*by, "x", "y"], "left").select(
+        *by, "x", "y", F.when(F.col("x") == F.col("y"), F.lit(1.0)).otherwise(F.col("r")).alias("r"))
 
 
 def demand_correlations(y: DataFrame, exog: Optional[DataFrame] = None, method: str = "pearson",
@@ -542,21 +536,7 @@ def demand_correlations(y: DataFrame, exog: Optional[DataFrame] = None, method:
     cols = ["demand"] + feats
     base = base.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
     if method == "kendall":
-        keys = list(by)
-        schema = ", ".join([f"`{k}` string" for k in keys] + ["x string", "y string", "r double"])
-
-        def fn(pdf):
-            rows = []
-            for a in cols:
-                for b in cols:
-                    r = 1.0 if a == b else _kendall_tau_b(pdf[a].to_numpy(float), pdf[b].to_numpy(float))
-                    rows.append({**{k: str(pdf[k].iloc[0]) for k in keys}, "x": a, "y": b,
-                                 "r": None if r != r else r})
-            return pd.DataFrame(rows, columns=keys + ["x", "y", "r"])
-        if not keys:
-            return base.withColumn("__k", F.lit(1)).groupBy("__k").applyInPandas(
-                lambda p: fn(p.drop(columns="__k")), schema)
-        return base.groupBy(*keys).applyInPandas(fn, schema)
+        return _kendall(base, cols, by)
     if method == "spearman":
         return _spearman(base, cols, by)
     # the diagonal is 1 only where the column varies (pandas gives NaN otherwise)

@@ -852,10 +852,69 @@ def adf_lag0_q(spark, sf_dir):
     return r6(X.adf_lag0(total_series(spark, sf_dir)), "slope", "adf_stat")
 
 
-@register("adf_test", None)
+SQL_ADF = """
+, s AS (SELECT region, list(CAST(y AS DOUBLE) ORDER BY period) AS y, CAST(count(*) AS INT) AS n FROM series_y GROUP BY region),
+s2 AS (SELECT region, n, list_transform(y, lambda v: v - list_avg(y)) AS y,
+              list_transform(range(1, n), lambda i: y[i + 1] - y[i]) AS d,
+              CAST(least(n // 2 - 2, ceil(12 * pow(n / 100.0, 0.25))) AS INT) AS maxlag FROM s),
+live AS (SELECT * FROM s2 WHERE list_max(y) > list_min(y)),
+c0 AS (SELECT region, n, maxlag, n - 1 - maxlag AS common, list_concat(
+         [list_transform(range(maxlag + 1, n), lambda i: 1.0::DOUBLE), list_transform(range(maxlag + 1, n), lambda i: y[i])],
+         list_transform(range(1, maxlag + 1), lambda j: list_transform(range(maxlag + 1, n), lambda i: d[i - j])),
+         [list_transform(range(maxlag + 1, n), lambda i: d[i])]) AS cols FROM live),
+lags AS (SELECT region, unnest(range(0, maxlag + 1)) AS lag, common, cols FROM c0),
+e AS (
+  WITH RECURSIVE r AS (
+    SELECT region, 0 AS k, cols FROM c0
+    UNION ALL
+    SELECT region, k + 1, list_transform(cols[2:], lambda c: list_transform(range(1, len(c) + 1),
+             lambda i: c[i] - list_dot_product(c, cols[1]) / list_dot_product(cols[1], cols[1]) * cols[1][i]))
+    FROM r WHERE len(cols) > 1)
+  SELECT region, k, list_dot_product(cols[len(cols)], cols[len(cols)]) AS ssr FROM r),
+pick AS (SELECT region, lag FROM (
+  SELECT l.region, l.lag, row_number() OVER (PARTITION BY l.region ORDER BY
+         common * (ln(2 * pi()) + ln(e.ssr / common) + 1) + 2 * (2 + l.lag), l.lag) AS k
+  FROM lags l JOIN e ON e.region = l.region AND e.k = 2 + l.lag) WHERE k = 1),
+f0 AS (SELECT v.region, p.lag, v.n - 1 - p.lag AS nobs, list_concat(
+         [list_transform(range(p.lag + 1, n), lambda i: 1.0::DOUBLE)],
+         list_transform(range(1, p.lag + 1), lambda j: list_transform(range(p.lag + 1, n), lambda i: d[i - j])),
+         [list_transform(range(p.lag + 1, n), lambda i: y[i]), list_transform(range(p.lag + 1, n), lambda i: d[i])]) AS cols
+       FROM live v JOIN pick p ON p.region = v.region),
+g AS (
+  WITH RECURSIVE r AS (
+    SELECT region, lag, nobs, 0 AS k, cols FROM f0
+    UNION ALL
+    SELECT region, lag, nobs, k + 1, list_transform(cols[2:], lambda c: list_transform(range(1, len(c) + 1),
+             lambda i: c[i] - list_dot_product(c, cols[1]) / list_dot_product(cols[1], cols[1]) * cols[1][i]))
+    FROM r WHERE len(cols) > 2)
+  SELECT region, lag, nobs, cols[1] AS x, cols[2] AS t FROM r WHERE len(cols) = 2),
+stat AS (SELECT region, lag, nobs, list_dot_product(x, t) / list_dot_product(x, x) AS slope,
+                list_dot_product(x, x) AS xx, list_dot_product(t, t) AS tt FROM g)
+SELECT s2.region, CAST(lag AS INT) AS used_lag, CAST(nobs AS INT) AS nobs,
+       round(slope / sqrt((tt - slope * slope * xx) / (nobs - 2 - lag) / xx), 6) AS adf_stat,
+       CASE WHEN list_max(s2.y) > list_min(s2.y) THEN 'ok' ELSE 'constant series' END AS status
+FROM s2 LEFT JOIN stat ON stat.region = s2.region"""
+
+
+def _adf_columns(found):
+    return r6(found.select("region", "used_lag", "nobs", "adf_stat", "status"), "adf_stat")
+
+
+@register("adf_test", _with(*SQL_TOT_CHAIN[:-1]) + """
+, series_y AS (SELECT region, period, demand AS y FROM filled)""" + SQL_ADF)
 def adf_test_q(spark, sf_dir):
-    """A3 with the AIC lag search, per region (grouped map)."""
-    return X.adf_test(X.region_series(series_ckpt(spark, sf_dir)), by=["region"])
+    """A3 with the AIC lag search, per region."""
+    return _adf_columns(X.adf_test(X.region_series(series_ckpt(spark, sf_dir)), by=["region"]))
+
+
+@register("adf_test_flat", _with(*SQL_TOT_CHAIN[:-1]) + """
+, series_y AS (SELECT region, period, demand AS y FROM filled
+               UNION ALL SELECT 'NOWHERE', period, 0 FROM (SELECT DISTINCT period FROM filled))""" + SQL_ADF)
+def adf_test_flat_q(spark, sf_dir):
+    """A3 with a region that never has a trip among the others."""
+    y = X.region_series(series_ckpt(spark, sf_dir))
+    flat = y.select("period").distinct().select(F.lit("NOWHERE").alias("region"), "period", F.lit(0.0).alias("y"))
+    return _adf_columns(X.adf_test(y.select("region", "period", "y").unionByName(flat), by=["region"]))
 
 
 @register("acf", _with(*SQL_TOT_CHAIN) + """
@@ -872,14 +931,39 @@ def acf_q(spark, sf_dir):
     return r6(X.acf(total_series(spark, sf_dir)), "acf", "band")
 
 
-@register("pacf", None)
+SQL_PACF = """
+, m AS (SELECT region, period, demand - avg(demand) OVER (PARTITION BY region) AS x,
+               row_number() OVER (PARTITION BY region ORDER BY period) AS i, count(*) OVER (PARTITION BY region) AS n FROM filled),
+c AS (SELECT a.region, any_value(a.n) AS n, b.i - a.i AS lag, sum(a.x * b.x) AS c
+      FROM m a JOIN m b ON a.region = b.region AND b.i >= a.i AND b.i - a.i <= greatest(1, least(40, a.n // 2 - 1)) GROUP BY a.region, b.i - a.i),
+r AS (SELECT region, any_value(n) AS n, list(c ORDER BY lag) AS cs FROM c GROUP BY region),
+r1 AS (SELECT region, n, list_transform(cs, lambda v: v / cs[1]) AS r FROM r),
+dl AS (
+  WITH RECURSIVE t AS (
+    SELECT region, n, r, 0 AS k, []::DOUBLE[] AS phi, r[1] AS v, 1.0::DOUBLE AS pacf FROM r1
+    UNION ALL
+    SELECT region, n, r, k, list_append(list_transform(range(1, k), lambda j: phi[j] - a * phi[k - j]), a), v * (1 - a * a), a
+    FROM (SELECT region, n, r, k + 1 AS k, phi, v,
+                 (r[k + 2] - coalesce(list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 2 - j])), 0)) / v AS a
+          FROM t WHERE k + 1 < len(r)))
+  SELECT region, n, CAST(k AS INT) AS lag, pacf FROM t)"""
+
+
+@register("pacf", _with(*SQL_TOT_CHAIN[:-1]) + SQL_PACF + """
+SELECT region, lag, round(pacf, 6) AS pacf, round(1.96 / sqrt(n), 6) AS band FROM dl""")
 def pacf_q(spark, sf_dir):
     """A5: PACF (Yule-Walker / Durbin-Levinson) per region."""
     y = X.region_series(series_ckpt(spark, sf_dir))
-    return X.pacf(X.acf(y, by=["region"]), by=["region"])
+    return r6(X.pacf(X.acf(y, by=["region"]), by=["region"]), "pacf", "band")
 
 
-@register("order_hints", None)
+@register("order_hints", _with(*SQL_TOT_CHAIN[:-1]) + SQL_PACF + """
+, a AS (SELECT region, CAST(lag AS INT) AS lag, r[lag + 1] AS acf, 1.96 / sqrt(n) AS band FROM r1, range(1, 41) t(lag) WHERE lag < len(r)),
+sa AS (SELECT region, list(lag ORDER BY lag) AS sig_acf, bool_or(lag = 7) AS weekly FROM a WHERE abs(acf) > band GROUP BY region),
+sp AS (SELECT region, list(lag ORDER BY lag) AS sig_pacf, min(lag) AS ar_order_hint FROM dl
+       WHERE lag >= 1 AND abs(pacf) > 1.96 / sqrt(n) GROUP BY region)
+SELECT r1.region, coalesce(sig_acf, []) AS sig_acf, coalesce(sig_pacf, []) AS sig_pacf, ar_order_hint,
+       coalesce(weekly, false) AS weekly FROM r1 LEFT JOIN sa USING (region) LEFT JOIN sp USING (region)""")
 def order_hints_q(spark, sf_dir):
     """Significant lags, AR hint and weekly flag per region."""
     y = X.region_series(series_ckpt(spark, sf_dir))
@@ -959,9 +1043,20 @@ def demand_correlations_spearman_q(spark, sf_dir):
     return r6(X.demand_correlations(total_series(spark, sf_dir), method="spearman"), "r")
 
 
-@register("demand_correlations_kendall", None)
+SQL_KENDALL = """
+, base AS (SELECT row_number() OVER (ORDER BY period) AS i, [y, dow::DOUBLE, (dow >= 5)::INT::DOUBLE, month(period)::DOUBLE, day(period)::DOUBLE] AS v
+           FROM (SELECT period, y, isodow(period) - 1 AS dow FROM tot)),
+names AS (SELECT k, ['demand', 'day_of_week', 'is_weekend', 'month', 'day_of_month'][k] AS name FROM range(1, 6) t(k)),
+pairs AS (SELECT a.k AS ka, b.k AS kb, sign(p.v[a.k] - q.v[a.k]) AS sa, sign(p.v[b.k] - q.v[b.k]) AS sb
+          FROM names a, names b, base p JOIN base q ON p.i < q.i)
+SELECT x.name AS x, y.name AS y, CASE WHEN ka = kb THEN 1.0 ELSE
+       round(sum(sa * sb) / sqrt(CAST(count(*) FILTER (WHERE sa <> 0) AS DOUBLE) * count(*) FILTER (WHERE sb <> 0)), 6) END AS r
+FROM pairs JOIN names x ON x.k = ka JOIN names y ON y.k = kb GROUP BY x.name, y.name, ka, kb"""
+
+
+@register("demand_correlations_kendall", _with(*SQL_TOT_CHAIN) + SQL_KENDALL)
 def demand_correlations_kendall_q(spark, sf_dir):
-    """Kendall tau-b (O(n log n) per series in a grouped map)."""
+    """Kendall tau-b, pairs counted by blocks of both axes."""
     return r6(X.demand_correlations(total_series(spark, sf_dir), method="kendall"), "r")
 
 
