@@ -1343,6 +1343,30 @@ def _train(spark, sf_dir):
     return _eval_inputs(spark, sf_dir)[0]
 
 
+@register("holt_winters_fixed", _with(*SQL_EVAL_CHAIN) + """
+, s AS (SELECT region, list(CAST(demand AS DOUBLE) ORDER BY period) AS y, max(period) AS last FROM train GROUP BY region),
+r AS (
+  WITH RECURSIVE t AS (
+    SELECT region, y, last, 0 AS i, list_avg(y[1:7]) AS l, (list_avg(y[8:14]) - list_avg(y[1:7])) / 7 AS b,
+           list_transform(y[1:7], lambda v: v - list_avg(y[1:7])) AS s, 0.0::DOUBLE AS sse FROM s
+    UNION ALL
+    SELECT region, y, last, i + 1, l2, 0.05 * (l2 - l) + 0.95 * b, list_append(s[2:], 0.2 * (y[i + 1] - l2) + 0.8 * s[1]),
+           sse + (y[i + 1] - l - b - s[1]) * (y[i + 1] - l - b - s[1])
+    FROM (SELECT *, 0.3 * (y[i + 1] - s[1]) + 0.7 * (l + b) AS l2 FROM t WHERE i < len(y)))
+  SELECT * FROM t WHERE i = len(y))
+SELECT 'Holt-Winters' AS model, last + h * INTERVAL 1 DAY AS period, region, round(l + h * b + s[(h - 1) % 7 + 1], 6) AS yhat,
+       round(sse, 4) AS sse FROM r, range(1, 31) t(h)""")
+def holt_winters_fixed_q(spark, sf_dir):
+    """F5's recursion under given parameters (0.3, 0.05, 0.2), per region."""
+    from tripcast.operators.forecast import smoothing as HW
+    train = _train(spark, sf_dir)
+    fitted = HW.fit_fixed(HW.ordered_series(train), 0.3, 0.05, 0.2)
+    last = train.agg(F.max("period")).first()[0]
+    rows = HW.forecast_rows(fitted, HOLDOUT, last, "Holt-Winters")
+    return rows.join(fitted.select("region", F.round("state.sse", 4).alias("sse")), "region").select(
+        "model", "period", "region", F.round("yhat", 6).alias("yhat"), "sse")
+
+
 @register("forecast_holt_winters", None)
 def forecast_holt_winters_q(spark, sf_dir):
     """F5 per region, 30 days after the global last training day."""
@@ -1361,10 +1385,71 @@ def forecast_sarimax_q(spark, sf_dir):
     return forecast_sarimax(_train(spark, sf_dir), HOLDOUT)[0]
 
 
-@register("forecast_var", None)
+#: Elimination on the cross products: the targets' block after 1 + 5 p columns holds the residuals' of order p.
+SQL_VAR = """
+, v AS (SELECT list(ys ORDER BY period) AS y, CAST(count(*) AS INT) AS n, any_value(rs) AS rs FROM (
+  SELECT period, list(CAST(demand AS DOUBLE) ORDER BY region) AS ys, list(region ORDER BY region) AS rs FROM train GROUP BY period)),
+kk AS (SELECT *, len(rs) AS k, CAST(greatest(1, least(7, (n - 1) // (len(rs) + 1))) AS INT) AS top FROM v),
+cc AS (SELECT k, top, n, y, rs, list_concat([list_transform(range(top + 1, n + 1), lambda t: 1.0::DOUBLE)],
+         list_transform(range(0, k * (top + 1)), lambda j: list_transform(range(top + 1, n + 1), lambda t:
+           CASE WHEN j < k * top THEN y[t - 1 - j // k][j % k + 1] ELSE y[t][j - k * top + 1] END))) AS c FROM kk),
+gg AS (SELECT k, top, n, list_transform(c, lambda a: list_transform(c, lambda b: list_dot_product(a, b))) AS m FROM cc)"""
+SQL_VAR_FIT = SQL_VAR + """,
+el AS (
+  WITH RECURSIVE r AS (
+    SELECT 0 AS done, k, top, n, m FROM gg
+    UNION ALL
+    SELECT done + 1, k, top, n, list_transform(m[2:], lambda w: list_transform(range(2, len(w) + 1),
+             lambda j: w[j] - w[1] / m[1][1] * m[1][j])) FROM r WHERE done < k * top + 1)
+  SELECT * FROM r),
+sig AS (SELECT (done - 1) // k AS p, k, top, n, list_transform(m[k * top + 2 - done:], lambda w: w[k * top + 2 - done:]) AS s
+        FROM el WHERE (done - 1) % k = 0 AND done >= 1),
+dt AS (
+  WITH RECURSIVE r AS (
+    SELECT p, k, top, n, s, 0.0::DOUBLE AS logdet FROM sig
+    UNION ALL
+    SELECT p, k, top, n, list_transform(s[2:], lambda w: list_transform(range(2, len(w) + 1),
+             lambda j: w[j] - w[1] / s[1][1] * s[1][j])), logdet + ln(s[1][1] / (n - top)) FROM r WHERE len(s) > 0)
+  SELECT p, logdet + 2.0 / (n - top) * p * k * k AS aic FROM r WHERE len(s) = 0),
+pick AS (SELECT CAST(greatest(1, arg_min(p, aic)) AS INT) AS p FROM dt),
+fc0 AS (SELECT p, k, n, y, rs, list_concat([list_transform(range(p + 1, n + 1), lambda t: 1.0::DOUBLE)],
+          list_transform(range(0, k * (p + 1)), lambda j: list_transform(range(p + 1, n + 1), lambda t:
+            CASE WHEN j < k * p THEN y[t - 1 - j // k][j % k + 1] ELSE y[t][j - k * p + 1] END))) AS c FROM kk, pick),
+sol AS (
+  WITH RECURSIVE r AS (
+    SELECT 0 AS done, p, k, n, y, rs, list_transform(c[:1 + k * p], lambda a: list_transform(c, lambda b: list_dot_product(a, b))) AS m FROM fc0
+    UNION ALL
+    SELECT done + 1, p, k, n, y, rs, list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m[1]) + 1), lambda j:
+             CASE WHEN i = done + 1 THEN m[i][j] / m[i][i]
+                  ELSE m[i][j] - m[i][done + 1] / m[done + 1][done + 1] * m[done + 1][j] END)) FROM r WHERE done < len(m))
+  SELECT p, k, n, y, rs, list_transform(m, lambda w: w[len(m) + 1:]) AS b FROM r WHERE done = len(m)),
+ahead AS (
+  WITH RECURSIVE r AS (
+    SELECT 0 AS h, p, k, rs, b, flatten(list_transform(range(0, p), lambda l: y[n - l])) AS hist, []::DOUBLE[] AS new FROM sol
+    UNION ALL
+    SELECT h + 1, p, k, rs, b, list_concat(new2, hist)[:k * p], new2 FROM (
+      SELECT *, list_transform(range(1, k + 1), lambda q: b[1][q] + list_sum(list_transform(range(1, k * p + 1),
+                  lambda j: b[j + 1][q] * hist[j]))) AS new2 FROM r WHERE h < 30))
+  SELECT * FROM r WHERE h > 0)"""
+
+
+@register("var_gram", _with(*SQL_EVAL_CHAIN) + SQL_VAR + """
+SELECT CAST(i - 1 AS INT) AS i, CAST(j - 1 AS INT) AS j, round(m[i][j], 6) AS v
+FROM gg, range(1, 1 + k * (top + 1) + 1) a(i), range(1, 1 + k * (top + 1) + 1) b(j)""")
+def var_gram_q(spark, sf_dir):
+    """the cross products of the design with seven lags over the common sample."""
+    from tripcast.operators.forecast.var import design, gram, vectors
+    rows = design(vectors(_train(spark, sf_dir)), 7, 5)
+    return r6(gram(rows.where("t >= 7")), "v")
+
+
+@register("forecast_var", _with(*SQL_EVAL_CHAIN) + SQL_VAR_FIT + """
+SELECT 'VAR' AS model, last + h * INTERVAL 1 DAY AS period, rs[q] AS region, round(new[q], 4) AS yhat
+FROM ahead, range(1, len(rs) + 1) t(q), (SELECT max(period) AS last FROM train)""")
 def forecast_var_q(spark, sf_dir):
     """F9 jointly over the five regions (AIC lag order)."""
-    return forecast_var(_train(spark, sf_dir), HOLDOUT)[0]
+    fc = forecast_var(_train(spark, sf_dir), HOLDOUT)[0]
+    return fc.withColumn("yhat", F.round("yhat", 4))
 
 
 @register("forecast_additive", None)
