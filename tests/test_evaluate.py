@@ -106,3 +106,19 @@ def test_impact_formula(spark):
     assert B.check_impact(B.quantify_impact(df)).first()["mismatches"] == 0
     with pytest.raises(ValueError):
         B.quantify_impact(df, {"trips_per_driver": 0})
+
+
+def test_forecast_without_a_region_is_not_scored(spark):
+    from datetime import datetime, timedelta
+    days = [datetime(2025, 1, 1) + timedelta(days=d) for d in range(4)]
+    hold = spark.createDataFrame([(d, r, 5) for d in days for r in "AB"], "period timestamp_ntz, region string, demand long")
+    rows = [("whole", d, r, 5.0) for d in days for r in "AB"] + [("half", d, "A", 10.0) for d in days]
+    rows += [("total", d, None, 9.0) for d in days] + [("hole", d, r, None if d == days[0] else 5.0) for d in days for r in "AB"]
+    fc = spark.createDataFrame(rows, "model string, period timestamp_ntz, region string, yhat double")
+    cover = {r.model: (r.covered, r.expected) for r in E.forecast_coverage(fc, hold).collect()}
+    assert cover == {"whole": (8, 8), "half": (4, 8), "total": (4, 4), "hole": (6, 8)}
+    table = E.score_models(E.forecast_total(fc, hold.select("period")), E.actual_total(hold),
+                           coverage=E.forecast_coverage(fc, hold))
+    got = {r.model_name: r for r in table.collect()}
+    assert got["half"].excluded and got["half"].mae is None and "4 of 8" in got["half"].excluded_reason
+    assert got["hole"].excluded and not got["whole"].excluded and not got["total"].excluded and got["total"].mae == 1.0

@@ -130,3 +130,36 @@ def test_holt_winters_fold(spark, fixture_h):
     a = [r.yhat for r in fc.where("region = 'A'").orderBy("period").collect()]
     assert np.allclose(a, _holt_winters_loop(np.array(series["A"], float), *fitted["A"].p)[1])
     assert fc.where("region = 'N'").count() == 0 and fc.groupBy("region").count().where(f"count <> {H}").count() == 0
+
+
+def test_boosted_recursion_equals_the_model(spark, fixture_h):
+    """The fold over stored trees against Spark ML's own predictions, step by step."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+    from tripcast.operators.forecast import gbt as G
+    from tripcast.operators.prepare import add_lag_features
+    params = dict(maxIter=8, maxDepth=3, stepSize=0.3, seed=0)
+    got = {(r.region, r.period): r.yhat for r in G.forecast_gbt(fixture_h, 9, params=params).collect()}
+    base = fixture_h.select("period", "region", F.col("demand").cast("double").alias("demand")).coalesce(1)
+    feats, names = G._features(add_lag_features(base, [1, 7, 14]), [1, 7, 14], ["A", "B", "C"])
+    va = VectorAssembler(inputCols=names, outputCol="features")
+    model = GBTRegressor(featuresCol="features", labelCol="demand", **params).fit(va.transform(feats).select("features", "demand"))
+    history = base.select("region", "period", F.col("demand").alias("value"))
+    close = 0
+    for h in range(9):
+        day = datetime(2025, 1, 1) + timedelta(days=90 + h)
+        step = spark.createDataFrame([(r, day) for r in "ABC"], "region string, period timestamp_ntz")
+        pred = model.transform(va.transform(G._features(G.recursive_features(history, step, [1, 7, 14]), [1, 7, 14], ["A", "B", "C"])[0]))
+        rows = [(r.region, r.period, max(r.prediction, 0.0)) for r in pred.collect()]
+        close += sum(abs(got[(r, p)] - v) < 0.05 * abs(v) for r, p, v in rows)
+        history = history.unionByName(spark.createDataFrame([(r, p, got[(r, p)]) for r, p, _ in rows],
+                                                            "region string, period timestamp_ntz, value double"))
+    assert close == 27
+
+
+def test_region_lists_are_bounded(spark):
+    from tripcast.operators.explore import region_list
+    many = spark.range(1200).select(F.col("id").cast("string").alias("region"))
+    with pytest.raises(ValueError):
+        region_list(many)
+    assert region_list(many.limit(3).unionByName(spark.createDataFrame([(None,)], "region string"))) == ["0", "1", "2"]

@@ -82,6 +82,9 @@ def test_results_roundtrip(spark, tmp_dir):
     path = os.path.join(tmp_dir, "results")
     R.write_results(doc, path)
     a, f = R.read_results(spark, path)
+    assert sorted((r.kind, r.ordinal, r.name, len(r.values), r.excluded_reason) for r in doc.collect()) == [
+        ("actual", 0, "actual", 2, None), ("carry_forward", 1, "m", 0, None), ("model", 0, "m", 2, None),
+        ("model", 1, "x", 0, "failed")]
     assert [r["actual"] for r in a.orderBy("pos").collect()] == [10.0, 12.0]
     assert [r["yhat"] for r in f.where("model = 'm'").orderBy("pos").collect()] == [9.0, 13.0]
 
@@ -118,6 +121,11 @@ def test_csv_lookup_and_series_reads(spark, tmp_dir):
     pq = os.path.join(tmp_dir, "series.parquet")
     S.write_series(s.where("period IS NOT NULL"), pq)
     assert S.read_series(spark, pq).count() == 1
+    assert S.read_first_series(spark, [os.path.join(tmp_dir, "none"), lk, csv]).count() == 2
+    with pytest.raises(FileNotFoundError, match="none"):
+        S.read_first_series(spark, [os.path.join(tmp_dir, "none")])
+    with pytest.raises(FileNotFoundError):
+        S.read_zone_lookup(spark, os.path.join(tmp_dir, "none.csv"))
     with pytest.raises(ValueError):
         bad = os.path.join(tmp_dir, "bad.csv")
         open(bad, "w").write("a,b\n1,2\n")

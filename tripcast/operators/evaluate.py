@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripcast.functions.columns import lit_ntz
-from tripcast.params import DEMAND, PERIOD
+from tripcast.params import DEMAND, PERIOD, REGION
 
 # Fixed values that must equal the reference's behaviour.
 CARRY_FORWARD_MIN = 3
@@ -58,12 +58,29 @@ def error_metrics(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- E2/E3
+def forecast_coverage(fc: DataFrame, holdout: DataFrame) -> DataFrame:
+    """Per model: ``covered`` of the ``expected`` (period, region) cells of the
+    holdout. A forecast of the total (region NULL) has a cell per period."""
+    cells = holdout.select(PERIOD, REGION).distinct()
+    size = cells.agg(F.count(F.lit(1)).alias("cells"), F.count_distinct(PERIOD).alias("periods")).first()  # two scalars
+    asked = fc.where(F.col("yhat").isNotNull() & ~F.isnan("yhat")).select("model", PERIOD, REGION).distinct()
+    by_cell = asked.join(cells.withColumn("__hit", F.lit(1)), [PERIOD, REGION], "left")
+    whole = asked.where(F.col(REGION).isNull()).join(cells.select(PERIOD).distinct(), PERIOD).groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"))
+    found = by_cell.groupBy("model").agg(F.count("__hit").alias("covered"))
+    both = fc.select("model").distinct().join(found, "model", "left").join(whole, "model", "left")
+    return both.select("model", F.coalesce("n", "covered", F.lit(0)).cast("long").alias("covered"),
+                       F.when(F.col("n").isNotNull(), F.lit(size["periods"])).otherwise(F.lit(size["cells"]))
+                       .cast("long").alias("expected"))
+
+
 def score_models(fc_total: DataFrame, actual: DataFrame, status: Optional[DataFrame] = None,
-                 order: Optional[Sequence[str]] = None) -> DataFrame:
+                 order: Optional[Sequence[str]] = None, coverage: Optional[DataFrame] = None) -> DataFrame:
     """E2 + E3: one row per model with metrics, ``excluded`` and a reason.
 
-    A model is scored only when it covers every holdout period; otherwise it
-    stays in the table with NULL metrics and the reason.  ``status`` rows
+    A model is scored only when it covers every holdout period and, given the
+    ``coverage`` of its forecasts, every (period, region); otherwise it stays in
+    the table with NULL metrics and the reason.  ``status`` rows
     (model, excluded, reason) from training are kept via a full outer join.
     ``order`` gives the ``ordinal`` (input order) column.
     """
@@ -75,6 +92,12 @@ def score_models(fc_total: DataFrame, actual: DataFrame, status: Optional[DataFr
         "model", *[F.when(aligned, F.col(c)).alias(c) for c in METRIC_COLUMNS],
         F.when(~aligned, F.format_string("forecast covers %d of %d holdout periods", "__n",
                                          F.lit(n_expected))).alias("__why"))
+    if coverage is not None:
+        short = coverage.where("covered < expected").select("model", F.format_string(
+            "forecast covers %d of %d (period, region) cells", "covered", "expected").alias("__short"))
+        scored = scored.join(short, "model", "left").select(
+            "model", *[F.when(F.col("__short").isNull(), F.col(c)).alias(c) for c in METRIC_COLUMNS],
+            F.coalesce("__why", "__short").alias("__why"))
     if status is not None:
         st = status.groupBy("model").agg(F.bool_or("excluded").alias("__ex"),
                                          F.max("reason").alias("__reason"))

@@ -44,13 +44,27 @@ def region_series(series: DataFrame, value_col: str = DEMAND) -> DataFrame:
     return total_per_period(series, by=[REGION], value_col=value_col)
 
 
+MAX_REGION_COLUMNS = 1000
+
+
+def region_list(df: DataFrame) -> list[str]:
+    """The regions' names in order, for operators that need a column (or a model
+    term) per region. More than MAX_REGION_COLUMNS raise ValueError: such a
+    result would not be a table any more."""
+    names = [r[0] for r in df.select(REGION).where(F.col(REGION).isNotNull()).distinct()
+             .limit(MAX_REGION_COLUMNS + 1).collect()]
+    if len(names) > MAX_REGION_COLUMNS:
+        raise ValueError(f"more than {MAX_REGION_COLUMNS} regions: a column per region is not possible")
+    return sorted(names)
+
+
 # --------------------------------------------------------------------------- P11
 def pivot_regions(series: DataFrame, regions: Optional[Sequence[str]] = None,
                   value_col: str = DEMAND) -> DataFrame:
     """Long -> wide (period x region), missing cells 0.  Passing the region
     list avoids the extra distinct job the pivot would otherwise run."""
     if regions is None:
-        regions = sorted(r[0] for r in series.select(REGION).distinct().collect())
+        regions = region_list(series)
     return (series.groupBy(PERIOD).pivot(REGION, list(regions)).agg(F.sum(value_col))
                   .na.fill(0))
 
@@ -61,7 +75,7 @@ def forecast_wide(fc: DataFrame, regions: Optional[Sequence[str]] = None) -> Dat
     (the sum of the rounded cells)."""
     rounded = fc.select(PERIOD, REGION, F.bround("yhat", 0).cast("long").alias("yhat"))
     if regions is None:
-        regions = sorted(r[0] for r in fc.select(REGION).distinct().collect())
+        regions = region_list(fc)
     wide = rounded.groupBy(PERIOD).pivot(REGION, list(regions)).agg(F.sum("yhat")).na.fill(0)
     total = reduce(lambda a, b: a + b, [F.col(f"`{r}`") for r in regions])
     return wide.select(PERIOD, total.alias("TOTAL"), *[F.col(f"`{r}`") for r in regions])

@@ -3,14 +3,13 @@
 One global ``GBTRegressor`` learns from every region.  Lags missing at the
 start of a series are imputed with 0 plus an indicator column (a NaN in the
 vector is an error in Spark ML).  Forecasting is recursive and looks lags up
-**by date** (F12): each step joins the next period of every region to the
-history-plus-predictions on ``period - k days``, predicts, and appends to a
-table in the shared scratch folder that starts as the last max(lags) days.
+**by date** (F12), as one fold over the horizon per region: the fitted trees are
+read back as arrays of nodes, and every step reads the last days' values,
+actual or predicted, walks the trees and puts its value in front.
 """
 
 from __future__ import annotations
 
-import datetime as dt
 import uuid
 from typing import Sequence
 
@@ -19,7 +18,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripcast.functions.columns import clip_lower, lit_ntz
+from tripcast.functions.columns import is_weekend, lit_ntz, weekday0
+from tripcast.operators.explore import region_list
 from tripcast.operators.features import calendar_features, region_one_hot
 from tripcast.operators.prepare import add_lag_features
 from tripcast.params import DEMAND, PERIOD, REGION
@@ -58,7 +58,7 @@ def forecast_gbt(train: DataFrame, horizon: int, lags: Sequence[int] = (1, 7, 14
     spark = train.sparkSession
     ensure_checkpoint_dir(spark)
     lags = sorted(set(lags))
-    regions = sorted(r[0] for r in train.select(REGION).distinct().collect())  # region list
+    regions = region_list(train)
     # the series is small (periods x regions); cut its lineage once
     base = materialize(train.select(PERIOD, REGION, F.col(DEMAND).cast("double").alias(DEMAND)))
     lagged = add_lag_features(base, lags)
@@ -69,21 +69,50 @@ def forecast_gbt(train: DataFrame, horizon: int, lags: Sequence[int] = (1, 7, 14
     data = written(va.transform(feats).select("features", DEMAND), "gbt-train").cache()
     fitted = gbt.fit(data)
     data.unpersist()
-    # each step reads the values it needs from one table in the shared scratch
-    # folder and appends its predictions, so every plan stays shallow, nothing
-    # passes through the driver, and a lost executor costs one step's tasks
-    path = scratch_path(spark, f"gbt-values-{uuid.uuid4().hex}")
+    path = scratch_path(spark, f"gbt-model-{uuid.uuid4().hex}")
+    fitted.write().save(path)
     last = base.agg(F.max(PERIOD)).first()[0]  # one scalar
-    recent = base.where(F.col(PERIOD) > lit_ntz(last - dt.timedelta(days=max(lags))))
-    recent.select(REGION, PERIOD, F.col(DEMAND).alias("value")).write.parquet(path)
-    keys = written(base.select(REGION).distinct(), "gbt-regions")
-    schema = f"{REGION} string, {PERIOD} timestamp_ntz, value double"
-    for h in range(1, horizon + 1):
-        day = last + dt.timedelta(days=h)
-        needed = [lit_ntz(day - dt.timedelta(days=k)) for k in lags]
-        history = spark.read.schema(schema).parquet(path).where(F.col(PERIOD).isin(needed))
-        step = recursive_features(history, keys.withColumn(PERIOD, lit_ntz(day)), lags)
-        pred = fitted.transform(va.transform(_features(step, lags, regions)[0]))
-        pred.select(REGION, PERIOD, clip_lower("prediction").alias("value")).write.mode("append").parquet(path)
-    preds = spark.read.schema(schema).parquet(path).where(F.col(PERIOD) > lit_ntz(last))
-    return preds.select(F.lit(model).alias("model"), PERIOD, REGION, F.col("value").alias("yhat"))
+    span, depth = max(lags), gbt.getMaxDepth()
+    back = F.datediff(lit_ntz(last).cast("date"), F.col(PERIOD).cast("date"))
+    recent = base.where(back < span).groupBy(REGION).agg(F.map_from_entries(F.collect_list(F.struct(back, DEMAND))).alias("m"))
+    series = base.select(REGION).distinct().join(recent, REGION, "left").select(
+        REGION, F.transform(F.sequence(F.lit(0), F.lit(span - 1)), lambda i: F.try_element_at("m", i)).alias("hist"))
+    ensemble = stored_trees(spark, path, fitted.treeWeights).withColumn("__k", F.lit(1))
+    rows = series.withColumn("__k", F.lit(1)).join(ensemble, "__k")
+
+    def step(state, h):
+        day = F.date_add(lit_ntz(last).cast("date"), h)
+        x = [v for k in lags for v in (F.coalesce(state["hist"][k - 1], F.lit(0.0)), state["hist"][k - 1].isNull().cast("double"))]
+        x += [c.cast("double") for c in (weekday0(day), F.dayofmonth(day), F.month(day), F.dayofyear(day), is_weekend(day))]
+        x += [(F.col(REGION) == r).cast("double") for r in regions]
+        value = F.greatest(predicted(F.col("trees"), F.array(*x), depth), F.lit(0.0))
+        # computed once, read as the newest of the history
+        return F.transform(F.array(value), lambda v: F.struct(
+            F.slice(F.concat(F.array(v), state["hist"]), 1, span).alias("hist"), F.concat(state["out"], F.array(v)).alias("out")))[0]
+    start = F.struct(F.col("hist").alias("hist"), F.array().cast("array<double>").alias("out"))
+    folded = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), start, step, lambda s: s["out"])
+    return rows.select(REGION, F.posexplode(folded).alias("h", "yhat")).select(
+        F.lit(model).alias("model"), (lit_ntz(last) + F.expr("make_dt_interval(h + 1, 0, 0, 0)")).alias(PERIOD), REGION, "yhat")
+
+
+def stored_trees(spark, path: str, tree_weights: Sequence[float]) -> DataFrame:
+    """One row: a saved ensemble's trees, each with its weight and its nodes' arrays."""
+    node = F.col("nodeData")
+    nodes = spark.read.parquet(f"{path}/data").groupBy("treeID").agg(F.array_sort(F.collect_list(F.struct(
+        node["id"].alias("id"), node["split"]["featureIndex"].alias("feature"),
+        F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"), node["leftChild"].alias("left"),
+        node["rightChild"].alias("right"), node["prediction"].alias("value")))).alias("n"))
+    weights = spark.createDataFrame(list(enumerate(map(float, tree_weights))), "treeID int, weight double")  # a row a tree
+    each = lambda f: F.transform("n", lambda n: n[f]).alias(f)
+    trees = nodes.join(weights, "treeID").select("treeID", F.struct("weight", *[each(f) for f in (
+        "feature", "threshold", "left", "right", "value")]).alias("tree"))
+    return trees.agg(F.transform(F.array_sort(F.collect_list(F.struct("treeID", "tree"))), lambda t: t["tree"]).alias("trees"))
+
+
+def predicted(trees, x, depth: int):
+    """The ensemble's prediction for an array of (continuous) features; no tree is deeper than ``depth``."""
+    def leaf(t):
+        down = lambda n, _: F.when(t["left"][n] < 0, n).when(
+            x[t["feature"][n]] <= t["threshold"][n], t["left"][n]).otherwise(t["right"][n])
+        return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), down)
+    return F.aggregate(trees, F.lit(0.0), lambda s, t: s + t["weight"] * t["value"][leaf(t)])

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tripcast.params import DEMAND, PERIOD, REGION
 
 
+KNOWN_SHOWN = 50  # regions named by an error
+
+
 def holdout_periods(series: DataFrame, n: int, period_col: str = PERIOD) -> DataFrame:
     """The ``n`` most recent distinct periods (a top-n over distinct periods)."""
     if isinstance(n, bool) or not isinstance(n, int):
@@ -34,9 +37,9 @@ def single_series(train: DataFrame, region: Optional[str] = None, value_col: str
     region raises listing the known ones."""
     df = train
     if region is not None:
-        known = sorted(r[0] for r in train.select(REGION).distinct().collect())  # region list
-        if region not in known:
-            raise ValueError(f"region {region!r} not in the series; known regions: {known}")
         df = df.where(F.col(REGION) == region)
+        if not df.take(1):
+            known = sorted(r[0] for r in train.select(REGION).distinct().limit(KNOWN_SHOWN).collect())
+            raise ValueError(f"region {region!r} not in the series; known regions: {known}")
     out = df.where(F.col(PERIOD).isNotNull()).groupBy(PERIOD).agg(F.sum(value_col).cast("double").alias("y"))
     return out

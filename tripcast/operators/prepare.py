@@ -17,6 +17,7 @@ from __future__ import annotations
 from datetime import date
 from typing import Iterable, Optional, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
@@ -48,10 +49,13 @@ def map_zones_to_regions(df: DataFrame, lookup: DataFrame, *, location_col: str
                          region_col: str = REGION, order_col: Optional[str] = None) -> DataFrame:
     """Left equi-join of trips to their region; unmatched -> NULL region.
 
-    The redundant lookup id is dropped; the trip's own location is kept.
+    The redundant lookup id is dropped; the trip's own location is kept. The
+    de-duplicated lookup is written first, so that Spark knows its size and
+    broadcasts a small one instead of shuffling the trips by zone; callers that
+    only count use :func:`aggregate_demand_by_zone`.
     """
     Q.require_columns(df, [location_col], "trips")
-    small = dedup_lookup(lookup, id_col, borough_col, order_col)
+    small = written(dedup_lookup(lookup, id_col, borough_col, order_col), "zone-lookup")
     small = small.select(F.col(id_col).alias("__zid"), F.col(borough_col).alias(region_col))
     out = df.join(small, df[location_col] == small["__zid"], "left").drop("__zid")
     return out
@@ -245,8 +249,16 @@ def prepare(trips: DataFrame, lookup: DataFrame, scope: Scope, *,
 
 
 def observed_counts(obs: dict) -> dict:
-    """``{stage: rows}`` from :func:`prepare` observations (after the job ran)."""
-    return {k: int(o.get["rows"]) for k, o in obs.items()}
+    """``{stage: rows}`` from :func:`prepare` observations (after the job ran);
+    without the stages that the optimizer proved not to be needed, as where the
+    lookup is statically empty: they had nothing to observe."""
+    found = {}
+    for stage, o in obs.items():
+        try:
+            found[stage] = int(o.get["rows"])
+        except Py4JJavaError:  # an observation that no plan carried out
+            pass
+    return found
 
 
 # --------------------------------------------------------------------------- P9

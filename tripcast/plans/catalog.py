@@ -1550,11 +1550,29 @@ def stream_daily_demand_q(spark, sf_dir):
 
 
 # ======================================================== remaining operators
-@register("report_lines", None)
+@register("report_lines", """
+WITH modal AS (SELECT date_trunc('month', o_orderdate)::DATE AS m FROM orders WHERE o_orderdate IS NOT NULL
+               GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+  one AS (SELECT count(*) AS n, count(*) FILTER (WHERE date_trunc('month', o_orderdate) <> m) AS out_n,
+                 min(o_orderdate) AS lo, max(o_orderdate) AS hi,
+                 [count(*) FILTER (WHERE o_orderkey IS NULL), count(*) FILTER (WHERE o_orderdate IS NULL),
+                  count(*) FILTER (WHERE o_custkey IS NULL), count(*) FILTER (WHERE o_totalprice IS NULL OR isnan(o_totalprice))] AS nul
+          FROM orders, modal),
+  dup AS (SELECT coalesce(sum(c - 1), 0) AS d FROM (SELECT count(*) AS c FROM orders GROUP BY o_orderkey, o_orderdate, o_custkey, o_totalprice)),
+  cols AS (SELECT * FROM (VALUES (0, 'row_id', 'bigint'), (1, 'pickup_datetime', 'timestamp_ntz'),
+                                 (2, 'PULocationID', 'bigint'), (3, 'base_passenger_fare', 'double')) c(ordinal, key, dtype))
+SELECT 'schema' AS section, ordinal, 'column ' || key || ': ' || dtype AS line, 100.0 AS pct_of_rows FROM cols
+UNION ALL SELECT 'nulls', ordinal, 'nulls ' || key || ' null_count: ' || format('{:,.2f}', nul[ordinal + 1]::DOUBLE), round(100.0 * nul[ordinal + 1] / n, 6) FROM cols, one
+UNION ALL SELECT 'nulls', ordinal, 'nulls ' || key || ' null_pct: ' || format('{:,.2f}', 100.0 * nul[ordinal + 1] / n), round(100.0 * (100.0 * nul[ordinal + 1] / n) / n, 6) FROM cols, one
+UNION ALL SELECT 'date_range', 0, 'pickup min: ' || lo, 0.0 FROM one
+UNION ALL SELECT 'date_range', 1, 'pickup max: ' || hi, 0.0 FROM one
+UNION ALL SELECT 'duplicates', 0, printf('duplicates: %d (%s%% of rows)', d::BIGINT, format('{:,.2f}', 100.0 * d / n)), round(100.0 * d / n, 6) FROM one, dup
+UNION ALL SELECT 'violations', 0, printf('violation pickup_outside_stated_month: %d (%s%% of rows)', out_n, format('{:,.2f}', 100.0 * out_n / n)),
+       round(100.0 * out_n / n, 6) FROM one WHERE out_n > 0""")
 def report_lines_q(spark, sf_dir):
     """Q13: printable lines with percentages of rows over the Q10 report."""
     rep = Q.validation_report(T.trips_orders(spark, sf_dir), order_key="row_id")
-    return Q.report_lines(rep)
+    return r6(Q.report_lines(rep), "pct_of_rows")
 
 
 @register("seed_window", _with(*SQL_TOT_CHAIN[:-1]) + """
@@ -1582,15 +1600,70 @@ def merge_forecasts_q(spark, sf_dir):
     return merge_forecasts(fc, new)
 
 
-@register("results_document", None)
+@register("results_document", _with(*SQL_EVAL_CHAIN) + """
+SELECT 'actual' AS kind, 0 AS ordinal, 'actual' AS name, list(strftime(period, '%Y-%m-%d') ORDER BY period) AS "index",
+       list(actual ORDER BY period) AS values, CAST(NULL AS VARCHAR) AS excluded_reason FROM act
+UNION ALL SELECT 'model', any_value(ordinal), model, list(strftime(period, '%Y-%m-%d') ORDER BY period), list(yhat ORDER BY period), NULL
+  FROM ftot JOIN scored ON model_name = model GROUP BY model
+UNION ALL SELECT 'carry_forward', CAST(row_number() OVER (ORDER BY mae, rmse, mape, ordinal) AS INT), model_name, []::VARCHAR[], []::DOUBLE[], NULL
+  FROM scored""")
 def results_document_q(spark, sf_dir):
-    """The nested results artifact of the baseline evaluation."""
-    from tripcast.sources.results import results_document
+    """The artifact of the baseline evaluation, written as JSON and read back as records."""
+    import uuid
+    from tripcast.session import scratch_path
+    from tripcast.sources import results as R
     act, ftot, tab = _scored(spark, sf_dir)
-    return results_document(act, ftot, tab, E.select_carry_forward(tab))
+    path = scratch_path(spark, f"results-{uuid.uuid4().hex}")
+    R.write_results(R.results_document(act, ftot, tab, E.select_carry_forward(tab)), path)
+    return spark.read.schema(R.RECORD).json(path)
 
 
-@register("refresh_job", None)
+@register("results_forecasts", _with(*SQL_EVAL_CHAIN) + """
+SELECT model, CAST(NULL AS VARCHAR) AS excluded_reason, CAST(row_number() OVER (PARTITION BY model ORDER BY period) - 1 AS INT) AS pos,
+       period, yhat FROM ftot""")
+def results_forecasts_q(spark, sf_dir):
+    """The forecasts read from the stored artifact."""
+    import uuid
+    from tripcast.session import scratch_path
+    from tripcast.sources import results as R
+    act, ftot, tab = _scored(spark, sf_dir)
+    path = scratch_path(spark, f"results-{uuid.uuid4().hex}")
+    R.write_results(R.results_document(act, ftot, tab, E.select_carry_forward(tab)), path)
+    return R.read_results(spark, path)[1]
+
+
+@register("comparison_incomplete", _with(*SQL_EVAL_CHAIN) + """
+SELECT ordinal, model_name, CASE WHEN ordinal = 0 THEN round(mae, 6) END AS mae, CASE WHEN ordinal = 0 THEN round(rmse, 6) END AS rmse,
+       CASE WHEN ordinal = 0 THEN round(mape, 6) END AS mape, ordinal <> 0 AS excluded,
+       CASE WHEN ordinal <> 0 THEN printf('forecast covers %d of %d (period, region) cells',
+            (SELECT count(*) FROM hold WHERE region <> 'ASIA'), (SELECT count(*) FROM hold)) END AS excluded_reason FROM scored""")
+def comparison_incomplete_q(spark, sf_dir):
+    """A model whose forecast lacks a region in every period is not scored."""
+    _, hold, fc = _eval_inputs(spark, sf_dir)
+    fc = fc.where(~((F.col("model") == BASELINES[1]) & (F.col("region") == "ASIA")))
+    table = E.score_models(E.forecast_total(fc, hold.select("period")), E.actual_total(hold), order=BASELINES,
+                           coverage=E.forecast_coverage(fc, hold))
+    return r6(table, "mae", "rmse", "mape")
+
+
+@register("train_all_status", _with(*SQL_EVAL_CHAIN) + """
+SELECT 'Seasonal-Naive' AS model, CAST(NULL AS VARCHAR) AS region, false AS excluded, CAST(NULL AS VARCHAR) AS reason
+UNION ALL SELECT 'Holt-Winters', region, false, NULL FROM (SELECT DISTINCT region FROM train)
+UNION ALL SELECT 'VAR', NULL, true, 'ValueError: VAR needs at least 2 regions; got 1'
+UNION ALL SELECT 'Broken', NULL, true, 'RuntimeError: no such model'""")
+def train_all_status_q(spark, sf_dir):
+    """the status of every candidate; failing ones do not stop the others."""
+    def broken(train, horizon):
+        raise RuntimeError("no such model")
+    cands = {"Seasonal-Naive": lambda t, h: NV.seasonal_naive(t, h, 7), "Holt-Winters": forecast_holt_winters,
+             "VAR": lambda t, h: forecast_var(t.where("region = 'ASIA'"), h), "Broken": broken}
+    return TR.train_all(cands, _train(spark, sf_dir), HOLDOUT)[1]
+
+
+@register("refresh_job", _with(SQL_LOOKUP, SQL_TRIPS, SQL_COUNTED, SQL_GRID, SQL_FILLED) + """
+SELECT count(*) AS rows, count(DISTINCT region) AS regions,
+       (SELECT count(*) FILTER (WHERE coalesce(base_passenger_fare < 0, false)) FROM trips) AS handled,
+       count(DISTINCT region) AS trained, 'ok' AS status, CAST(NULL AS VARCHAR) AS reason FROM filled""")
 def refresh_job_q(spark, sf_dir):
     """prepare -> split -> Holt-Winters -> status row."""
     from tripcast.plans.jobs import refresh_job
@@ -1607,7 +1680,13 @@ def forecast_user_series_q(spark, sf_dir):
     return forecast_user_series(s, SCOPE)["wide"]
 
 
-@register("anomaly_descriptions", None)
+@register("anomaly_descriptions", _with(*SQL_TOT_CHAIN[:-1], SQL_ANOM) + """
+SELECT region, period, printf('%s on %s: %d trips, local median %d (%s), robust score %+.1f',
+         CASE WHEN score > 0 THEN 'spike' ELSE 'drop' END, strftime(period, '%Y-%m-%d'), CAST(value AS BIGINT),
+         CAST(floor(expected + 0.5) AS BIGINT), CASE WHEN expected > 0 THEN printf('%+d%% vs local median',
+           CAST(round((value - expected) / expected * 100) AS BIGINT)) ELSE 'local level near zero' END,
+         round(score, 1)) AS description
+FROM sc WHERE abs(score) > 3.5""")
 def anomaly_descriptions_q(spark, sf_dir):
     """The plain-language reading of every anomaly per region."""
     a = X.detect_anomalies(X.region_series(series_ckpt(spark, sf_dir)), by=["region"])

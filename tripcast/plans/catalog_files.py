@@ -350,3 +350,41 @@ def stage_audit_samples_q(spark, sf_dir):
     from tripcast.operators.prepare import stage_audit
     trips = T.trips_orders(spark, sf_dir)
     return stage_audit([("raw", trips), ("clean", Q.apply_validity_rules(trips, stated_month=None)[0])])
+
+
+# ====================================================================== S6, S8-S10, Q3
+@register("read_zone_lookup", """
+SELECT c.c_custkey AS LocationID, r.r_name AS Borough
+FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
+UNION ALL SELECT NULL, r_name FROM region""")
+def read_zone_lookup_q(spark, sf_dir):
+    """The customers' zones as a CSV with a further column and ids that are no numbers."""
+    from tripcast.sources.files import read_zone_lookup
+    path = scratch_path(spark, f"zones-{uuid.uuid4().hex}")
+    rows = T.zone_lookup_customers(spark, sf_dir).select(F.col("LocationID").cast("string").alias("LocationID"), "Borough")
+    bad = T.region_names(spark, sf_dir).select(F.concat(F.lit("zone "), F.col("region")).alias("LocationID"), F.col("region").alias("Borough"))
+    rows.unionByName(bad).withColumn("service_zone", F.lit("x")).write.option("header", True).csv(path)
+    return read_zone_lookup(spark, path)
+
+
+@register("read_series_files", """
+SELECT CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS period, o_orderpriority AS region, count(*) AS demand
+FROM orders WHERE o_orderdate IS NOT NULL GROUP BY ALL""")
+def read_series_files_q(spark, sf_dir):
+    """A series written as CSV and found behind a missing and a wrong candidate."""
+    from tripcast.sources.files import read_first_series, write_series
+    base = scratch_path(spark, f"series-{uuid.uuid4().hex}")
+    day = F.col("o_orderdate").cast("date").cast("timestamp_ntz")
+    series = T.table(spark, sf_dir, "orders").where("o_orderdate IS NOT NULL").groupBy(
+        day.alias("period"), F.col("o_orderpriority").alias("region")).agg(F.count(F.lit(1)).alias("demand"))
+    write_series(series.select("period", "region"), f"{base}/wrong")
+    series.write.option("header", True).csv(f"{base}/series.csv")
+    return read_first_series(spark, [f"{base}/missing", f"{base}/wrong", f"{base}/series.csv"])
+
+
+@register("with_pickup", """
+SELECT o_orderkey AS row_id, o_orderdate AS pickup_datetime FROM orders""")
+def with_pickup_q(spark, sf_dir):
+    """Q3: trips of a feed that names its pickup column otherwise, and in capitals."""
+    o = T.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_orderdate").alias("TPEP_Pickup_DateTime"))
+    return Q.with_pickup(o)

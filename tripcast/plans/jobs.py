@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tripcast.operators import prepare as P
 from tripcast.operators import quality as Q
 from tripcast.params import Scope
-from tripcast.session import materialize
+from tripcast.session import written
 
 
 def build_series(trips: DataFrame, lookup: DataFrame, scope: Scope, *,
@@ -81,7 +81,7 @@ def train_and_evaluate(series: DataFrame, scope: Scope, candidates=None, gbt_par
     act = E.actual_total(hold)
     ftot = E.forecast_total(fc, hold.select("period"))
     st = model_status(status)
-    table = E.score_models(ftot, act, st, order=list(cands))
+    table = E.score_models(ftot, act, st, order=list(cands), coverage=E.forecast_coverage(fc, hold))
     cf = E.select_carry_forward(table)
     best = E.best_model(table).select("model_name").first()
     chosen = fc.where(F.col("model") == (best["model_name"] if best else ""))
@@ -94,23 +94,30 @@ def train_and_evaluate(series: DataFrame, scope: Scope, candidates=None, gbt_par
 # ------------------------------------------------------------------ F15 refresh
 def refresh_job(trips: DataFrame, lookup: DataFrame, scope: Scope, *, regions=None) -> DataFrame:
     """Lightweight refresh: prepare -> split -> Holt-Winters -> one status row
-    ``(rows, regions, handled, trained, status)``; no trained model = failure."""
+    ``(rows, regions, handled, trained, status, reason)``; no trained model =
+    failure, with the reason. One pass over the trips: the rows handled are
+    counted by observations while the series is built."""
     from tripcast.operators.forecast.smoothing import forecast_holt_winters
     from tripcast.operators.forecast.split import split_holdout
-    series, log, _ = P.prepare(trips, lookup, scope, regions=regions, stated_month=None)
-    base = materialize(series.select("period", "region", "demand"))
-    spark = trips.sparkSession
+    series, log, seen = P.prepare(trips, lookup, scope, regions=regions, stated_month=None, observe=True)
+    base = written(series.select("period", "region", "demand"), "refresh-series")
+    counts = P.observed_counts(seen)
+    spark, reason = trips.sparkSession, None
     try:
         train, _ = split_holdout(base, scope.holdout_periods)
-        fc, st = forecast_holt_winters(train, scope.holdout_periods)
-        trained = st.where(~F.col("excluded")).count()
+        _, st = forecast_holt_winters(train, scope.holdout_periods)
+        outcome = st.agg(F.count_if(~F.col("excluded")).alias("trained"),
+                         F.min(F.when(F.col("excluded"), F.col("reason"))).alias("reason")).first()
+        trained = outcome["trained"]
+        reason = outcome["reason"] if not trained else None
     except ValueError as e:
-        trained, _err = 0, str(e)
+        trained, reason = 0, f"{type(e).__name__}: {e}"
     k = base.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("region").alias("regions")).first()
-    handled = log.first()["total_invalid_handled"]
     status = "ok" if trained > 0 else "failed"
-    return spark.createDataFrame([(k["rows"], k["regions"], handled, trained, status)],
-                                 "rows long, regions long, handled long, trained long, status string")
+    seen_both = {"raw", "clean"} <= set(counts)  # else the plan had no use for the trips; count them on their own
+    handled = counts["raw"] - counts["clean"] if seen_both else log.first()["total_invalid_handled"]
+    return spark.createDataFrame([(k["rows"], k["regions"], handled, trained, status, reason)],
+                                 "rows long, regions long, handled long, trained long, status string, reason string")
 
 
 # ----------------------------------------------------------- F14 user series
@@ -142,7 +149,7 @@ def forecast_user_series(series: DataFrame, scope: Scope):
     train, hold = split_holdout(s, h)
     fc, _ = forecast_holt_winters(train, h)
     act = E.actual_total(hold)
-    metrics = E.score_models(E.forecast_total(fc, hold.select("period")), act)
+    metrics = E.score_models(E.forecast_total(fc, hold.select("period")), act, coverage=E.forecast_coverage(fc, hold))
     fwd, _ = forecast_holt_winters(s, forward)
     return {"metrics": metrics, "forward": fwd, "recommendation": B.positioning_recommendation(fwd),
             "wide": forecast_wide(fwd)}

@@ -7,7 +7,6 @@ logic is a grouping column, never a driver loop over files.
 
 from __future__ import annotations
 
-import os
 from typing import Optional, Sequence
 
 from py4j.protocol import Py4JJavaError
@@ -19,6 +18,7 @@ from pyspark.sql.types import (LongType, StringType, StructField, StructType,
 
 from tripcast.functions.columns import to_ts
 from tripcast.params import DEMAND, LOCATION, LOOKUP_BOROUGH, LOOKUP_ID, PERIOD, REGION, Scope
+from tripcast.session import written
 
 # Fixed value that must equal the reference's behaviour: monthly file names.
 MONTH_FILE_PATTERN = r"(?i)^fhvhv_(tripdata_)?(\d{4})-(\d{2})\.parquet$"
@@ -78,9 +78,12 @@ def read_month_files(spark: SparkSession, data_dir: str, columns: Optional[Seque
 
 # --------------------------------------------------------------------------- S6/S7
 def read_zone_lookup(spark: SparkSession, path: str) -> DataFrame:
-    if not os.path.exists(path) and "://" not in path:
-        raise FileNotFoundError(f"zone lookup not found: {path}")
-    raw = spark.read.option("header", True).csv(path)
+    try:
+        raw = spark.read.option("header", True).csv(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(f"zone lookup not found: {path}") from e
+        raise
     return raw.select(F.col(LOOKUP_ID).try_cast("long").alias(LOOKUP_ID),
                       F.col(LOOKUP_BOROUGH).cast("string").alias(LOOKUP_BOROUGH))
 
@@ -100,20 +103,37 @@ def read_series(spark: SparkSession, path: str, fmt: Optional[str] = None) -> Da
     The three columns must be present (subset check).
     """
     fmt = fmt or ("csv" if path.lower().endswith(".csv") else "parquet")
-    if not os.path.exists(path) and "://" not in path:
-        raise FileNotFoundError(f"series not found: {path}")
     if fmt == "parquet":
-        df = spark.read.parquet(path)
+        df = read_trips(spark, path)
     else:
-        df = spark.read.option("header", True).csv(path)
+        try:
+            df = spark.read.option("header", True).csv(path)
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                raise FileNotFoundError(f"series not found: {path}") from e
+            raise
         if PERIOD in df.columns:
             df = df.withColumn(PERIOD, to_ts(F.col(PERIOD)))
+        if DEMAND in df.columns:
+            df = df.withColumn(DEMAND, F.col(DEMAND).try_cast("long"))
     missing = [c for c in (PERIOD, REGION, DEMAND) if c not in df.columns]
     if missing:
         raise ValueError(f"series at {path} lacks columns {missing}")
     return df
 
 
+def read_first_series(spark: SparkSession, candidates: Sequence[str]) -> DataFrame:
+    """The first of ``candidates`` (paths, in order) that is there and has
+    the three columns. None: FileNotFoundError saying why each was passed over."""
+    passed = []
+    for path in candidates:
+        try:
+            return read_series(spark, path)
+        except (FileNotFoundError, ValueError) as e:
+            passed.append(f"{path}: {str(e)[:200]}")
+    raise FileNotFoundError("no prepared series among " + "; ".join(passed or ["no candidates"]))
+
+
 # --------------------------------------------------------------------------- S10
 def write_series(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
@@ -171,13 +191,8 @@ def assert_months_complete(present: DataFrame, scope: Scope) -> None:
 def merge_forecasts(old: DataFrame, new: DataFrame, key: str = "model") -> DataFrame:
     """Replace the rows of every model present in ``new``; keep the others.
 
-    A union tagged with the source, keeping per model only the newest source:
-    no join key to fold away when ``model`` is a constant (a forecast table
-    holds at most horizon x regions rows per model, so each window partition
-    is small).
+    The names in ``new`` (a row a model) are written, so that Spark knows their
+    size, and the old rows are kept by an anti join with them.
     """
-    from pyspark.sql import Window
-    u = old.withColumn("__src", F.lit(0)).unionByName(new.withColumn("__src", F.lit(1)))
-    newest = F.max("__src").over(Window.partitionBy(key))
-    return u.withColumn("__newest", newest).where(F.col("__src") == F.col("__newest")) \
-            .drop("__src", "__newest")
+    names = written(new.select(key).where(F.col(key).isNotNull()).distinct(), "merged-models")
+    return old.join(names, key, "left_anti").unionByName(new)

@@ -1,8 +1,10 @@
-"""Results artifact (S13): long Parquet tables in, the nested JSON shape out.
+"""Results artifact (S13): the evaluation as JSON lines, one record per part.
 
-The evaluation is stored **long** (``forecasts``, ``actuals``); the nested JSON
-document (index[], actual[], models[{name, values[], excluded_reason}],
-carry_forward[]) is produced and read with array functions, no driver loop.
+Records ``(kind, ordinal, name, index[], values[], excluded_reason)``: one of
+kind ``actual``, one per model (``model``; a model without a forecast has empty
+arrays and its reason) and one per name carried forward (``carry_forward``). A
+record holds one model's horizon, so the artifact is written and read in
+parallel however many models there are; arrays are ordered by period.
 """
 
 from __future__ import annotations
@@ -10,49 +12,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+RECORD = ("kind string, ordinal int, name string, index array<string>, values array<double>, "
+          "excluded_reason string")
+
+
+def _series(rows: DataFrame, by: list, value: str) -> DataFrame:
+    one = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("period", F.col(value).cast("double").alias("v")))).alias("s"))
+    return one.select(*by, F.transform("s", lambda r: F.date_format(r["period"], "yyyy-MM-dd")).alias("index"),
+                      F.transform("s", lambda r: r["v"]).alias("values"))
+
 
 def results_document(actual: DataFrame, fc_total: DataFrame, table: DataFrame,
                      carry_forward: DataFrame) -> DataFrame:
-    """One row holding the nested artifact, arrays ordered by period."""
-    idx = actual.agg(F.array_sort(F.collect_list(F.struct("period", "actual"))).alias("__a"))
-    models = (fc_total.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("period", "yhat"))).alias("__v"))
-                      .join(table.select(F.col("model_name").alias("model"), "excluded_reason", "ordinal"),
-                            "model", "full")
-                      .agg(F.array_sort(F.collect_list(F.struct(
-                          F.col("ordinal"), F.col("model").alias("name"),
-                          F.transform(F.coalesce("__v", F.array()), lambda x: x["yhat"]).alias("values"),
-                          F.col("excluded_reason")))).alias("__m")))
-    cf = carry_forward.agg(F.transform(F.array_sort(F.collect_list(F.struct("cf_rank", "model_name"))),
-                                       lambda x: x["model_name"]).alias("carry_forward"))
-    parts = idx.select("__a", F.lit(None).alias("__m"), F.lit(None).cast("array<string>").alias("carry_forward")) \
-        .unionByName(models.select(F.lit(None).alias("__a"), "__m", F.lit(None).cast("array<string>").alias("carry_forward")),
-                     allowMissingColumns=True) \
-        .unionByName(cf.select(F.lit(None).alias("__a"), F.lit(None).alias("__m"), "carry_forward"),
-                     allowMissingColumns=True)
-    one = parts.agg(F.max("__a").alias("__a"), F.max("__m").alias("__m"), F.max("carry_forward").alias("carry_forward"))
-    return one.select(
-        F.transform("__a", lambda x: F.date_format(x["period"], "yyyy-MM-dd")).alias("index"),
-        F.transform("__a", lambda x: x["actual"]).alias("actual"),
-        F.transform("__m", lambda x: F.struct(x["name"].alias("name"), x["values"].alias("values"),
-                                              x["excluded_reason"].alias("excluded_reason"))).alias("models"),
-        "carry_forward")
+    """The artifact's records."""
+    text, none = (lambda c: F.lit(c).cast("string")), F.array()
+    empty = [none.cast("array<string>").alias("index"), none.cast("array<double>").alias("values"), text(None).alias("excluded_reason")]
+    observed = _series(actual, [], "actual").select(
+        text("actual").alias("kind"), F.lit(0).alias("ordinal"), text("actual").alias("name"), "index", "values", empty[2])
+    rated = table.select("ordinal", F.col("model_name").alias("model"), "excluded_reason")
+    models = _series(fc_total, ["model"], "yhat").join(rated, "model", "full").select(
+        text("model").alias("kind"), "ordinal", F.col("model").alias("name"), F.coalesce("index", empty[0]).alias("index"),
+        F.coalesce("values", empty[1]).alias("values"), "excluded_reason")
+    carried = carry_forward.select(text("carry_forward").alias("kind"), F.col("cf_rank").cast("int").alias("ordinal"),
+                                   F.col("model_name").alias("name"), *empty)
+    return observed.unionByName(models).unionByName(carried)
 
 
 def write_results(doc: DataFrame, path: str) -> None:
-    doc.coalesce(1).write.mode("overwrite").json(path)
+    doc.write.mode("overwrite").json(path)
 
 
 def read_results(spark: SparkSession, path: str):
-    """``(actuals, forecasts)`` long frames from a nested JSON artifact."""
-    doc = spark.read.option("multiLine", True).json(path)
-    actuals = doc.select(F.posexplode(F.arrays_zip("index", "actual")).alias("pos", "z")).select(
-        "pos", F.to_timestamp(F.col("z.index")).cast("timestamp_ntz").alias("period"),
-        F.col("z.actual").cast("double").alias("actual"))
-    models = doc.select("index", F.explode("models").alias("m")).select(
-        "index", F.col("m.name").alias("model"), F.col("m.excluded_reason").alias("excluded_reason"),
-        F.col("m.values").alias("values"))
-    fc = models.select("model", "excluded_reason", F.posexplode("values").alias("pos", "yhat"), "index") \
-               .select("model", "excluded_reason", "pos",
-                       F.to_timestamp(F.element_at("index", F.col("pos") + 1)).cast("timestamp_ntz").alias("period"),
-                       F.col("yhat").cast("double").alias("yhat"))
-    return actuals, fc
+    """``(actuals, forecasts)`` long frames from a stored artifact."""
+    doc = spark.read.schema(RECORD).json(path)
+    long = doc.select("kind", "name", "excluded_reason", F.posexplode(F.arrays_zip("index", "values")).alias("pos", "z")).select(
+        "kind", "name", "excluded_reason", "pos", F.to_timestamp("z.index").cast("timestamp_ntz").alias("period"),
+        F.col("z.values").alias("value"))
+    actuals = long.where("kind = 'actual'").select("pos", "period", F.col("value").alias("actual"))
+    forecasts = long.where("kind = 'model'").select(F.col("name").alias("model"), "excluded_reason", "pos", "period",
+                                                    F.col("value").alias("yhat"))
+    return actuals, forecasts
