@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import glob
 import os
 import re
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -96,13 +100,33 @@ def clean_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_shipped: set[str] = set()
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers (once a session),
-    for clusters on which it is not installed."""
-    with tempfile.TemporaryDirectory() as d:
-        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        spark.sparkContext.addPyFile(
-            shutil.make_archive(os.path.join(d, "tripcast"), "zip", root, "tripcast"))
+    """Send this package to the executors' Python workers, once an application,
+    so that they need neither an installation nor the driver's working folder.
+    The driver serves the archive, which stays until it ends."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    folder = tempfile.mkdtemp(prefix="tripcast-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    with zipfile.ZipFile(os.path.join(folder, "tripcast.zip"), "w") as z:
+        for path in sorted(glob.glob(os.path.join(root, "tripcast", "**", "*.py"), recursive=True)):
+            z.write(path, os.path.relpath(path, root))
+    spark.sparkContext.addPyFile(os.path.join(folder, "tripcast.zip"))
+    _shipped.add(app)
+
+
+def shipping(query):
+    """``query(spark, ...)`` after sending the package to the executors."""
+    @functools.wraps(query)
+    def run(spark, *args, **kwargs):
+        ship_package(spark)
+        return query(spark, *args, **kwargs)
+    return run
 
 
 def materialize(df):
