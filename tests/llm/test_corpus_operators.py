@@ -1,8 +1,10 @@
 import base64
 import hashlib
+import html.parser
 import itertools
 import random
 import struct
+import time
 import zlib
 from collections import defaultdict
 
@@ -158,12 +160,33 @@ def test_language_id(spark, docs, empty):
     got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
     assert {got[i].lang_pred for i in (9001, 9002, 9003, 9006, 9009)} == {"und"} and got[9001].rejected
     assert got[9004].lang_pred in {"en", "de", "fr", "es"} and all(0 <= r.score <= 1 for r in got.values())
-    assert langid.predict_texts(["日本語のテキストです、これは知らない言語で書かれた長い文章です。" * 9], model)[2] == [True]
+    assert langid.predict_text("日本語のテキストです、これは知らない言語で書かれた長い文章です。" * 9, model)[2]
     nothing = langid.fit(empty.select("doc_id", "text", "lang"))
     assert langid.predict(docs, nothing).where("lang_pred <> 'und'").count() == 0
     assert langid.predict(empty, model).count() == 0
 
 
+def test_language_id_rejects_what_it_does_not_know(spark):
+    rng = random.Random(1)
+    letters = lambda lo, hi: lambda n: " ".join("".join(chr(rng.randrange(lo, hi)) for _ in range(rng.randint(2, 9)))
+                                                for _ in range(n // 6))
+    junk = {"han": lambda n: "".join(chr(rng.randrange(0x4e00, 0x9fff)) for _ in range(n)), "cyrillic": letters(0x430, 0x450),
+            "greek": letters(0x3b1, 0x3ca), "latin": letters(97, 123),
+            "base64": lambda n: base64.b64encode(rng.randbytes(n * 3 // 4)).decode(), "hex": lambda n: rng.randbytes(n // 2).hex()}
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = langid.fit(table.where(~queries.held_out()).select("doc_id", "text", "lang"))
+    assert all(len(f) == langid.CLASSES for f in model["floor"])
+    for name, make in junk.items():
+        for n in (500, 3000, 20_000, 100_000):
+            assert langid.predict_text(make(n), model)[2], (name, n)
+    held = langid.predict(table.where(queries.held_out()), model).where("text is not null and lang is not null")
+    r = held.agg(F.avg(F.col("rejected").cast("int")).alias("rejected"), F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("right"),
+                 F.max(F.when(F.col("rejected"), F.length("text"))).alias("longest")).first()
+    assert r.rejected < 0.01 and r.right > 0.98
+    clean = " ".join(x.text for x in table.where("lang = 'de' and doc_id % 7 = 1").limit(60).collect())
+    assert not any(langid.predict_text(clean[:n], model)[2] for n in (100, 1000, 10_000, 100_000))
+
+
 def test_byte_bpe_against_tiktoken(docs, empty):
     import tiktoken
     path = P.path("byte_bpe_multi_50k.tiktoken")
@@ -186,7 +209,6 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
     path = P.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     want = {d: [*t.encode(x or "", add_special_tokens=False).ids, 1] for d, x in texts_of(docs)}
     rows = packing.pack(docs.dropDuplicates(["doc_id"]), path).collect()
     pieces, sequences = defaultdict(list), defaultdict(list)
@@ -208,6 +230,20 @@ def test_packing(docs, empty):
     assert packing.pack(docs, path).select("doc_id", "start").count() >= len(rows)
 
 
+def test_packing_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+    path = P.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|startoftext|>x", "<|ENDOFTEXT|> y", "x<|endoftext|><|startoftext|>É", "<|endoftext|", "日<|endoftext|>本",
+             "plain words", "|>< <|endoftext|>", "don't<|endoftext|>'s " * 3]
+    assert t.encode(texts[0], add_special_tokens=False).ids == [320, 49407, 321]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in packing.pieces(df, path).collect()}
+    for k, x in enumerate(texts):
+        ids = [*t.encode(x, add_special_tokens=False).ids, 1]
+        assert (got[k].length, got[k].ids_crc32) == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))), x
+
+
 def test_packing_plan_uses_every_length_once():
     rng = np.random.default_rng(0)
     histogram = np.bincount(rng.integers(1, 2048, 5000), minlength=2048)
@@ -363,6 +399,73 @@ def test_warc_round_trip(spark, tmp_dir):
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
 
 
+class Walk(html.parser.HTMLParser):
+    """A page read by the standard library, under the same rules of what is shown."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.hidden, self.links, self.head, self.title, self.part, self.lang = [], [], [], False, None, None, None
+
+    def _break(self, tag):
+        if not self.hidden and not self.head:
+            self.out.append("\n" if tag in warc.BLOCKS else " " if tag in warc.CELLS else "")
+
+    def handle_starttag(self, tag, attrs):
+        values = dict(reversed(attrs))
+        self.head = tag == "head" or self.head and (bool(self.hidden) or tag in warc.HEAD_ONLY)
+        self.lang = self.lang or (values.get("lang") if tag == "html" else None)
+        if tag == "a" and "href" in values:
+            self.links.append(values["href"] or "")
+        if tag in warc.HIDDEN or tag in ("script", "style"):
+            self.hidden.append(tag)
+        if tag == "title":
+            self.part = ""
+        self._break(tag)
+
+    def handle_endtag(self, tag):
+        if tag == "head":
+            self.head = False
+        if tag in self.hidden:
+            self.hidden.remove(tag)
+        if tag == "title" and self.part is not None:
+            self.title, self.part = self.title if self.title is not None else self.part, None
+        self._break(tag)
+
+    def handle_data(self, data):
+        if self.part is not None:
+            self.part += data
+            return
+        self.head = self.head and not (data.strip() and not self.hidden)
+        if not self.hidden and not self.head:
+            self.out.append(data.replace("\n", " "))
+
+
+ODD_PAGES = ['<a title="x > y" href="/q">link</a> <img alt="a>b">', "a < b & c &lt; d &amp;amp;", "<p>one<br/>two</p><!-- <p>no -->three",
+             "<script>if (a < b) { '</p>' }</script>shown", "<head><title>T &amp; x</title><link rel=x> </head><body>yes", "<head><title>T</title>text ends it</head>yes",
+             "<head><meta charset=u><p>opens the body", "<table><tr><td>1<td>2</table>", "<TEMPLATE><p>no<template>no</template>no</TEMPLATE>yes",
+             "<a href='/1'>x</a><A HREF=/2>y</A><a name=z>w</a><a href>v</a>", "<!DOCTYPE html><html lang=\"de-AT\"><body>x", "<style>p{}</style >y"]
+
+
+def test_pages_against_a_html_parser(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect() if r.html] + ODD_PAGES
+    for page in pages:
+        text, title, lang, links = warc.read_page(page)
+        walk = Walk()
+        walk.feed(page)
+        walk.close()
+        shown = warc._LINES.sub("\n", warc._BLANKS.sub(" ", "".join(walk.out))).strip()
+        assert (text, title and html.unescape(title), lang, links) == (shown, walk.title, walk.lang, walk.links), page[:200]
+    assert warc.read_page(ODD_PAGES[0]) == ("link", None, None, ["/q"])
+
+
+def test_pages_take_time_in_proportion():
+    for bad in ("<a ", "<head>", "<title>", '<a href="', "<!--", "<script>", "</a", "<a x='", "<svg>", '<a b=c "', "&amp", '<a href="x" ', "<!-"):
+        page = (bad * (1_000_000 // len(bad) + 1))[:1_000_000]
+        began = time.process_time()
+        warc.read_page(page)
+        assert time.process_time() - began < 2, bad
+
+
 def test_lm_scoring(spark, docs, empty):
     target = spark.createDataFrame([(0,), (1,), (1,), (9004,), (None,), (123456,)], "doc_id long")
     rows = {(r.doc_id): r for r in lm_scoring.score_documents(docs, target).collect()}

@@ -4,9 +4,13 @@ Every text becomes a vector of hashed character 1-, 2- and 3-grams, weighted
 (1 + ln tf) * idf and normalised. Each language is described by several
 centroids, found by spherical k-means over a bounded sample of its labelled
 texts; a text takes the language of the centroid with the largest cosine.
-Its distance (1 - cosine) is held against what the sample's texts of the same
-length class show; a text much farther than any of them is rejected. Texts of
-the shortest class are rejected only at cosine 0 or below.
+
+Its distance (1 - cosine) is held against that of labelled texts of like length
+which the centroids were not made from: one in ``HOLD_BACK`` of the sample is
+held back, and a text is rejected below ``REJECT_BELOW`` times the cosine that
+all but ``OUTLIERS`` of them reach. Length classes are powers of two; a class
+with few texts held back takes in its neighbours. The cells are so many that
+even a long text in another script meets few of a centroid's by chance.
 
 The model is bounded: ``DIMS`` floats a centroid, ``CENTROIDS`` centroids a
 language, fitted on about ``SAMPLE`` labelled texts a language. Prediction
@@ -29,13 +33,16 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType
 from tripcast.llm.common import in_small_batches, with_fields
 from tripcast.session import written
 
-DIMS = 8192
+DIMS = 1 << 15
 CENTROIDS = 4
 SAMPLE = 1000          # labelled texts a language, on average
 KMEANS_ROUNDS = 12
-REJECT_BELOW = 0.25    # share of the sample's lowest cosine in the length class
-LENGTH_CLASSES = np.array([16, 64, 256, 1024])   # n-grams
-BATCH_TEXTS = 64
+HOLD_BACK = 4
+OUTLIERS = 0.01        # of the texts held back, that may lie farther than the reference cosine
+REJECT_BELOW = 1 / 3   # share of the reference cosine
+LEAST_HELD = 30        # texts held back that a class's reference is taken from
+CLASSES = 18           # of length: powers of two of n-grams
+BLOCK_TEXTS = 64       # vectors made dense at a time, in the fit
 _LETTER = None
 
 
@@ -65,33 +72,65 @@ def ngram_counts(text: str) -> np.ndarray | None:
     return np.bincount(np.concatenate([m >> shift for m in mixed]), minlength=DIMS)
 
 
-def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Unit TF-IDF rows of a matrix of counts."""
-    v = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0).astype(np.float32) * idf
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+def _length_class(n: int) -> int:
+    """The power of two at or below the number of n-grams of one order."""
+    return min(max(n // 3, 1).bit_length() - 1, CLASSES - 1)
+
+
+def unit_vector(cells: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The unit TF-IDF values of a text's cells."""
+    v = ((1 + np.log(counts)) * idf[cells]).astype(np.float32)
+    return v / max(float(np.linalg.norm(v)), 1e-12)
+
 
+def _dense_blocks(vectors):
+    """Blocks of (cells, values) vectors as dense rows."""
+    for lo in range(0, len(vectors), BLOCK_TEXTS):
+        part = vectors[lo:lo + BLOCK_TEXTS]
+        m = np.zeros((len(part), DIMS), np.float32)
+        for row, (c, v) in zip(m, part):
+            row[c] = v
+        yield m
 
-def _length_class(counts: np.ndarray) -> np.ndarray:
-    return np.searchsorted(LENGTH_CLASSES, counts.sum(axis=1) // 3, side="right")
 
+def centroids(vectors: list) -> np.ndarray:
+    """Spherical k-means: at most CENTROIDS unit rows."""
+    centers = np.concatenate(list(_dense_blocks(
+        [vectors[i] for i in np.linspace(0, len(vectors) - 1, min(CENTROIDS, len(vectors))).astype(int)])))
+    for _ in range(KMEANS_ROUNDS):
+        sums = np.zeros_like(centers)
+        for block in _dense_blocks(vectors):
+            nearest = (block @ centers.T).argmax(axis=1)
+            for k in np.unique(nearest):
+                sums[k] += block[nearest == k].sum(axis=0)
+        used = sums.any(axis=1)
+        centers[used] = sums[used] / np.maximum(np.linalg.norm(sums[used], axis=1, keepdims=True), 1e-12)
+    return centers
 
-def _dense(cells, values) -> np.ndarray:
-    m = np.zeros((len(cells), DIMS), np.float32)
-    for row, (c, v) in enumerate(zip(cells, values)):
-        m[row, c] = v
-    return m
+
+def reject_limits(kinds: np.ndarray, cosines: np.ndarray) -> list[float]:
+    """The cosine of each length class below which a text is rejected."""
+    out = []
+    for k in range(CLASSES):
+        for reach in range(CLASSES):  # the class itself, then its neighbours too
+            near = cosines[np.abs(kinds - k) <= reach]
+            if len(near) >= LEAST_HELD:
+                break
+        out.append(REJECT_BELOW * float(np.quantile(near, OUTLIERS)) if len(near) else 0.0)
+    return out
 
 
 def _sketch_batches(batches):
     for batch in batches:
-        langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
-        rows = [(g, n) for g, t in zip(langs, texts) if (n := ngram_counts(t)) is not None]
-        cells = [np.flatnonzero(n) for _, n in rows]
+        rows = []
+        for lang, chance, text in zip(batch.column("lang").to_pylist(), batch.column("chance").to_pylist(), batch.column("text")):
+            if (n := ngram_counts(text.as_py())) is not None:
+                cells = np.flatnonzero(n)
+                rows.append((lang, chance, cells, n[cells]))
+        lang, chance, cells, counts = zip(*rows) if rows else ((), (), (), ())
         yield pa.RecordBatch.from_arrays(
-            [pa.array([g for g, _ in rows], pa.string()),
-             pa.array(cells, pa.list_(pa.int32())),
-             pa.array([n[c] for (_, n), c in zip(rows, cells)], pa.list_(pa.int32()))],
-            names=["lang", "cells", "counts"])
+            [pa.array(lang, pa.string()), pa.array(chance, pa.float64()), pa.array(cells, pa.list_(pa.int32())),
+             pa.array(counts, pa.list_(pa.int32()))], names=["lang", "chance", "cells", "counts"])
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
@@ -105,8 +144,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
     chance = F.pmod(F.xxhash64(F.col(seed_col), F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
     vectors = written(
         in_small_batches(rows).where(chance < share[F.col(lang_col)])
-        .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-        .mapInArrow(_sketch_batches, "lang string, cells array<int>, counts array<int>"), "language-sample")
+        .select(F.col(lang_col).alias("lang"), chance.alias("chance"), F.col(text_col).alias("text"))
+        .mapInArrow(_sketch_batches, "lang string, chance double, cells array<int>, counts array<int>"), "language-sample")
     seen = vectors.count()
     if not seen:
         return {"langs": []}
@@ -116,50 +155,35 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
         idf[r["cell"]] = np.log((1 + seen) / (1 + r["count"])) + 0.05
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Centroids of one language's sample, and its lowest cosines by length class."""
-        counts = _dense(pdf["cells"], pdf["counts"])
-        order = np.lexsort((counts.argmax(axis=1), counts.sum(axis=1)))
-        counts = counts[order]
-        v = _weighted(counts, idf)
-        centers = v[np.linspace(0, len(v) - 1, min(CENTROIDS, len(v))).astype(int)]
-        for _ in range(KMEANS_ROUNDS):
-            nearest = (v @ centers.T).argmax(axis=1)
-            centers = np.stack([v[nearest == k].sum(axis=0) if (nearest == k).any() else centers[k]
-                                for k in range(len(centers))])
-            centers /= np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-12)
-        cosine, kind = (v @ centers.T).max(axis=1), _length_class(counts)
-        floor, lowest = [], float(cosine.min())
-        for k in range(len(LENGTH_CLASSES) + 1):
-            floor.append(float(cosine[kind == k].min()) if (kind == k).any() else lowest)
-        floor[0] = 0.0  # the shortest say too little to be rejected
+        """Centroids of one language's sample, and its limits by length class."""
+        pdf = pdf.sort_values("chance", kind="stable")
+        units = [unit_vector(np.asarray(c), np.asarray(n), idf) for c, n in zip(pdf["cells"], pdf["counts"])]
+        rows = list(zip(pdf["cells"], units))
+        held = np.arange(len(rows)) % HOLD_BACK == HOLD_BACK - 1
+        centers = centroids([r for r, h in zip(rows, held) if not h])
+        cosines = np.array([float((centers[:, c] @ v).max()) for (c, v), h in zip(rows, held) if h])
+        kinds = np.array([_length_class(int(n.sum())) for n, h in zip(pdf["counts"], held) if h])
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centers": [[c.tolist() for c in centers]],
-                             "floor": [list(map(float, floor))]})
+                             "floor": [reject_limits(kinds, cosines)]})
 
     fitted = vectors.groupBy("lang").applyInPandas(
         cluster, "lang string, centers array<array<float>>, floor array<double>").collect()  # bounded by the model's size
     fitted.sort(key=lambda r: r["lang"])
     return {"langs": [r["lang"] for r in fitted for _ in r["centers"]], "idf": idf,
-            "centers": np.array([c for r in fitted for c in r["centers"]], np.float32),
-            "floor": np.array([r["floor"] for r in fitted for _ in r["centers"]]) * REJECT_BELOW}
-
-
-def predict_texts(texts: list, model: dict) -> tuple[list, list, list]:
-    """(language, score, rejected) lists for a list of texts."""
-    lang, score, rejected = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
-    if not model["langs"]:
-        return lang, score, rejected
-    for lo in range(0, len(texts), BATCH_TEXTS):
-        part = [(i, n) for i in range(lo, min(lo + BATCH_TEXTS, len(texts)))
-                if texts[i] is not None and (n := ngram_counts(texts[i])) is not None]
-        if not part:
-            continue
-        counts = np.stack([n for _, n in part])
-        cosine = _weighted(counts, model["idf"]) @ model["centers"].T
-        best, kind = cosine.argmax(axis=1), _length_class(counts)
-        for (i, _), k, c, s in zip(part, best, kind, cosine):
-            lang[i], score[i] = model["langs"][k], float(min(1.0, max(0.0, s[k])))
-            rejected[i] = bool(s[k] <= model["floor"][k, c])
-    return lang, score, rejected
+            "by_cell": np.ascontiguousarray(np.array([c for r in fitted for c in r["centers"]], np.float32).T),
+            "floor": np.array([r["floor"] for r in fitted for _ in r["centers"]])}
+
+
+def predict_text(text: str | None, model: dict) -> tuple[str, float, bool]:
+    """(language, score, rejected) of a text."""
+    counts = ngram_counts(text) if text is not None and model["langs"] else None
+    if counts is None:
+        return "und", 0.0, True
+    cells = np.flatnonzero(counts)
+    cosine = unit_vector(cells, counts[cells], model["idf"]) @ model["by_cell"][cells]
+    k = int(cosine.argmax())
+    return (model["langs"][k], float(min(1.0, max(0.0, cosine[k]))),
+            bool(cosine[k] <= model["floor"][k, _length_class(int(counts.sum()))]))
 
 
 def predict(df: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
@@ -172,9 +196,8 @@ def predict(df: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     def run(batches):
         for batch in batches:
             text = batch.column(keep.index(text_col))
-            found = [predict_texts(text.slice(lo, BATCH_TEXTS).to_pylist(), sent.value)
-                     for lo in range(0, batch.num_rows, BATCH_TEXTS)]
-            lang, score, rejected = ([x for f in found for x in f[k]] for k in range(3))
+            found = [predict_text(t.as_py(), sent.value) for t in text]
+            lang, score, rejected = ([f[k] for f in found] for k in range(3))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()),
                  pa.array(rejected, pa.bool_())], names=[*keep, *added])

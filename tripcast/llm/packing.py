@@ -51,7 +51,8 @@ class WordIds:
     """Ids by the ``tokenizers`` library, for a BPE with word ends whose
     normaliser lower-cases and whose pattern drops white space. Chunks within
     Latin-1 are split here and their pre-tokens handed to the library's model;
-    all others go through the library as a whole."""
+    all others, and those that hold one of the vocabulary's added tokens, go
+    through the library as a whole. Added tokens hold no white space (checked)."""
 
     _PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+| ")
 
@@ -60,7 +61,10 @@ class WordIds:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
         self.tokenizer = Tokenizer.from_str(data.decode())
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(WITHOUT_SPACE.fullmatch(t) is None for t in added):
+            raise ValueError("added tokens with white space in them cross chunks")
+        self.has_added = regex.compile("|".join(map(regex.escape, added)) or "(?!)", regex.I).search
         letters = sorted(ByteLevel.alphabet())
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes shown as themselves
         others = (c for c in letters if ord(c) > 0xFF)
@@ -84,6 +88,8 @@ class WordIds:
 
     def _chunk_ids(self, chunks):
         plain = np.array([c.isascii() or max(c) < "Ā" for c in chunks], bool)
+        if self.has_added(" ".join(chunks)):
+            plain &= [not self.has_added(c) for c in chunks]
         if plain.all():
             return self._plain_ids(chunks)
         other = [c for c, p in zip(chunks, plain.tolist()) if not p]
@@ -239,9 +245,10 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
         if length < window:
             histogram[length] = n
     whole = counts.get(window, 0)
-    parts = max(1, -(-sum(counts.values()) // PART_ROWS))
-
-    part = F.pmod(F.xxhash64("doc_id", "row"), F.lit(parts))
+    # as many parts as a length's own rows ask for; a row a length, hence bounded by the window
+    parts = df.sparkSession.createDataFrame([(k, -(-n // PART_ROWS)) for k, n in counts.items()], "length long, parts long")
+    cut = cut.join(F.broadcast(parts), "length")
+    part = F.pmod(F.xxhash64("doc_id", "row"), F.col("parts"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     dealt = written(cut.withColumn("part", part).withColumn(
         "rank", F.row_number().over(Window.partitionBy("length", "part").orderBy("row")).cast("long") - 1), "ranked")

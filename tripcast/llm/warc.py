@@ -11,6 +11,10 @@ their own.  ``write_warc`` writes records as .warc.gz files.
 Record ids are name-based (SHA-256 of type, id column, URI and payload), so a
 task that runs again makes the same records. Digests are ``sha256:<hex>``.
 
+Pages are read by a scanner that passes over them once: quoted attributes may
+hold ``>``, the content of scripts, styles and titles is no markup, and a tag or
+comment that is never closed ends the page.
+
 Defined cases: null html is an empty payload, whose text is empty; without a
 URI the WARC-Target-URI line is left out; repeated pages give records with the
 same ids; an empty table gives an empty result.
@@ -30,38 +34,130 @@ from pyspark.sql import functions as F
 DATE = "1970-01-01T00:00:00Z"   # of the records, unless the caller knows better
 ROWS = 256
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<head\b[^>]*>.*?</head\s*>",
-                     re.I | re.S)
-_BREAK = re.compile(r"<(?:/?(?:p|div|h[1-6]|li|ul|ol|dl|dt|dd|tr|table|thead|tbody|section|article|header|footer|nav|main|aside|"
-                    r"blockquote|pre|form|figure|figcaption|address)\b|(?:br|hr)\b)[^>]*>", re.I)
-_CELL = re.compile(r"</?(?:td|th)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
+#: Elements that stand on lines of their own, whose content is not shown, and whose content is no markup. Fixed values.
+BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd tr table thead tbody section article header footer nav main "
+                   "aside blockquote pre form figure figcaption address br hr".split())
+CELLS = frozenset(("td", "th"))
+HIDDEN = frozenset(("template", "noscript", "svg"))
+RAW = frozenset(("script", "style", "title", "textarea"))
+HEAD_ONLY = frozenset(("title", "meta", "link", "base", "script", "style", "noscript", "template", "head"))
+
+# Possessive: what has been read is never read again, so a page takes time in proportion to its length.
+_TAG_END = re.compile(r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+>""")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
+_COMMENT_END = re.compile("--!?>")
 _BLANKS = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[ \n]*")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
-def plain_text(page: str) -> str:
-    """The visible text of a page: blocks on lines of their own, entities resolved."""
-    t = _HIDDEN.sub("", page)
-    t = _BLANKS.sub(" ", t.replace("\n", " "))
-    t = _TAG.sub("", _CELL.sub(" ", _BREAK.sub("\n", t)))
-    t = html.unescape(t)
-    return _LINES.sub("\n", _BLANKS.sub(" ", t)).strip()
+def markup(page: str):
+    """The page's parts in order, in one pass: ("text", text), ("start", name,
+    source of the attributes), ("end", name) and ("raw", name, text) for an
+    element whose content is no markup. Comments and declarations are left out;
+    a tag or comment that the page never closes ends it."""
+    at, n = 0, len(page)
+    while at < n:
+        i = page.find("<", at)
+        if i < 0:
+            yield "text", page[at:]
+            return
+        if i > at:
+            yield "text", page[at:i]
+        mark = page[i + 1:i + 2]
+        if mark == "!" and page.startswith("<!--", i):
+            if page.startswith((">", "->"), i + 4):
+                at = page.index(">", i + 4) + 1
+                continue
+            end = _COMMENT_END.search(page, i + 4)
+            if not end:
+                return
+            at = end.end()
+        elif mark in ("!", "?") or mark == "/" and not page[i + 2:i + 3].isalpha():
+            end = page.find(">", i + 2)
+            if end < 0:
+                if mark == "/" and i + 2 >= n:
+                    yield "text", page[i:]
+                return
+            at = end + 1
+        elif name := _NAME.match(page, i + 2 if mark == "/" else i + 1):
+            end = _TAG_END.match(page, name.end())
+            if not end:
+                return
+            tag, at = name[0].lower(), end.end()
+            if mark == "/":
+                yield "end", tag
+                continue
+            yield "start", tag, page[name.end():at - 1]
+            if tag in RAW:
+                end = _RAW_END[tag].search(page, at)
+                yield "raw", tag, page[at:end.start() if end else n]
+                at = end.start() if end else n
+        else:
+            yield "text", "<"
+            at = i + 1
+
+
+def attribute(source: str, name: str) -> str | None:
+    """The value of a tag's first attribute of that name, entities resolved."""
+    for m in _ATTRIBUTE.finditer(source):
+        if m[1].lower() == name:
+            return html.unescape(next((g for g in m.groups()[1:] if g is not None), ""))
+    return None
+
+
+def read_page(page: str) -> tuple[str, str | None, str | None, list[str]]:
+    """(visible text, title, language, links). The text has blocks on lines of
+    their own and entities resolved; the head, hidden elements, scripts and
+    comments are not shown, but links among them count."""
+    out: list[str] = []
+    title = language = None
+    links: list[str] = []
+    inside: dict[str, int] = {}   # open hidden elements by name
+    in_head = False
+    for part in markup(page):
+        kind, name = part[0], part[1]
+        if kind == "text":
+            in_head = in_head and not (name.strip() and not inside)  # words end a head
+            if not inside and not in_head:
+                out.append(html.unescape(name).replace("\n", " "))
+        elif kind == "raw":
+            if name == "title" and title is None and "svg" not in inside:
+                title = part[2]
+            if name == "textarea" and not inside and not in_head:
+                out.append(html.unescape(part[2]).replace("\n", " "))
+        elif kind == "start":
+            if name == "head":
+                in_head = True
+            elif in_head and not inside and name not in HEAD_ONLY:
+                in_head = False
+            if name == "html" and language is None:
+                language = attribute(part[2], "lang") or None
+            if name == "a" and (link := attribute(part[2], "href")) is not None:
+                links.append(link)
+            if name in HIDDEN and not (name == "svg" and part[2].endswith("/")):
+                inside[name] = inside.get(name, 0) + 1
+        elif name == "head":
+            in_head = False
+        elif name in inside:
+            inside[name] -= 1
+            if not inside[name]:
+                del inside[name]
+        if kind in ("start", "end") and not inside and not in_head:
+            out.append("\n" if name in BLOCKS else " " if name in CELLS else "")
+    return _LINES.sub("\n", _BLANKS.sub(" ", "".join(out))).strip(), title, language, links
 
 
 def _one_line(text: str) -> str:
-    return " ".join(html.unescape(_TAG.sub("", text)).split())
+    return " ".join(text.split())
 
 
-def _fields(page: str, http_head: str) -> str:
+def _fields(title: str | None, language: str | None, links: list[str], http_head: str) -> str:
     """The block of a metadata record."""
-    title, lang = _TITLE.search(page), _LANG.search(page)
-    lines = [f"title: {_one_line(title[1])}"] if title else []
-    lines += [f"language: {lang[1]}"] if lang else []
-    lines += [f"outlink: {_one_line(html.unescape(a or b or c))} L a/@href" for a, b, c in _LINK.findall(page)]
+    lines = [f"title: {_one_line(html.unescape(title))}"] if title is not None else []
+    lines += [f"language: {_one_line(language)}"] if language else []
+    lines += [f"outlink: {_one_line(x)} L a/@href" for x in links]
     lines += [f"http-{line}" for line in http_head.split("\r\n")[1:] if line]
     return "".join(f"{x}\r\n" for x in lines)
 
@@ -110,8 +206,9 @@ def _derive(batches):
                                      "content_length", "source_payload_digest", "block_digest", "header", "block")}
             for page_id, rid, uri, date, head, payload, digest in zip(*(part[k] for k in (
                     "page_id", "record_id", "target_uri", "date", "http_head", "payload", "payload_digest"))):
-                for kind, content, block in (("metadata", "application/warc-fields", _fields(payload, head)),
-                                             ("conversion", "text/plain; charset=utf-8", plain_text(payload))):
+                text, title, language, links = read_page(payload)
+                for kind, content, block in (("metadata", "application/warc-fields", _fields(title, language, links, head)),
+                                             ("conversion", "text/plain; charset=utf-8", text)):
                     data = block.encode("utf-8", "surrogatepass")
                     own, block_digest = _record_id(kind, rid, digest), _digest(data)
                     header = _head([
