@@ -38,7 +38,7 @@ from tripcast.session import written
 WINDOW = 2048
 CLOSING_ID = 1
 ROUNDS = 400          # of the least-squares descent
-PART_ROWS = 1000      # rests ranked together, on average
+PART_ROWS = 250       # rests of one length ranked together, on average
 SHARES = (0.5, 0.25, 0.125, 0.0625, 0.4, 0.3)   # of what a length leaves free, for the further pieces
 
 
@@ -64,7 +64,7 @@ class WordIds:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if any(WITHOUT_SPACE.fullmatch(t) is None for t in added):
             raise ValueError("added tokens with white space in them cross chunks")
-        self.has_added = regex.compile("|".join(map(regex.escape, added)) or "(?!)", regex.I).search
+        self.added = [t.lower() for t in added]
         letters = sorted(ByteLevel.alphabet())
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes shown as themselves
         others = (c for c in letters if ord(c) > 0xFF)
@@ -78,27 +78,31 @@ class WordIds:
                for p in pieces]
         return np.array([x for i in ids for x in i], np.uint32), np.array([len(i) for i in ids], np.int64)
 
-    def _plain_ids(self, chunks):
-        """The ids of chunks within Latin-1; a blank, which has no ids, parts them."""
-        pieces = self._PATTERN.findall(" ".join(chunks).lower())
+    def _plain_ids(self, lower):
+        """The ids of chunks within Latin-1, given in lower case and parted by blanks, which have no ids."""
+        pieces = self._PATTERN.findall(lower)
         flat, length = self.pieces.lookup(pieces)
         blanks = np.flatnonzero(np.fromiter(map(" ".__eq__, pieces), bool, len(pieces)))
         ends = np.cumsum(length)
         return flat, np.diff(np.concatenate((ends[blanks], [len(flat)])), prepend=0)
 
+    def _holds_added(self, lower: str) -> bool:
+        return any(t in lower for t in self.added)
+
     def _chunk_ids(self, chunks):
         plain = np.array([c.isascii() or max(c) < "Ā" for c in chunks], bool)
-        if self.has_added(" ".join(chunks)):
-            plain &= [not self.has_added(c) for c in chunks]
+        lower = " ".join(chunks).lower()
+        if self._holds_added(lower):
+            plain &= [not self._holds_added(c.lower()) for c in chunks]
         if plain.all():
-            return self._plain_ids(chunks)
+            return self._plain_ids(lower)
         other = [c for c, p in zip(chunks, plain.tolist()) if not p]
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
         flat = np.array([x for i in ids for x in i], np.uint32)
         length = np.zeros(len(chunks), np.int64)
         length[~plain] = [len(i) for i in ids]
         if plain.any():
-            plain_flat, length[plain] = self._plain_ids([c for c, p in zip(chunks, plain.tolist()) if p])
+            plain_flat, length[plain] = self._plain_ids(" ".join([c for c, p in zip(chunks, plain.tolist()) if p]).lower())
             flat = np.concatenate((plain_flat, flat))
         start = np.empty(len(chunks), np.int64)  # the plain chunks' ids come first in flat
         order = np.argsort(~plain, kind="stable")
