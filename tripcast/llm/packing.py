@@ -74,9 +74,16 @@ class WordIds:
 
     def _model_ids(self, pieces):
         tokenize, shown = self.tokenizer.model.tokenize, self.shown
-        ids = [[t.id for t in tokenize(p.encode().decode("latin-1").translate(shown))] if p != " " else []
-               for p in pieces]
-        return np.array([x for i in ids for x in i], np.uint32), np.array([len(i) for i in ids], np.int64)
+        ids, length = [], []
+        for p in pieces:
+            if p == " ":
+                length.append(0)
+                continue
+            # printable ASCII is shown as itself
+            found = tokenize(p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(shown))
+            length.append(len(found))
+            ids += [t.id for t in found]
+        return np.array(ids, np.uint32), np.array(length, np.int64)
 
     def _plain_ids(self, lower):
         """The ids of chunks within Latin-1, given in lower case and parted by blanks, which have no ids."""
