@@ -529,3 +529,28 @@ def test_pipeline_drops_near_copies_from_80_percent(spark):
     assert 0.81 < alike[0] < 0.83 and 0.77 < alike[1] < 0.79
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.near(spark, frame, SF).collect()} == {1, 3, 4}
+
+
+def test_written_shards_hold_every_row_once(spark, docs, tmp_dir):
+    rows = docs.select("doc_id", "text", F.octet_length("text").alias("n_bytes"))
+    out = sharding.assign_shards(rows, limit=20_000)
+    sharding.write_shards(out, f"{tmp_dir}/shards")
+    back = spark.read.option("basePath", f"{tmp_dir}/shards").schema("doc_id long, n_bytes long, shard_id string").parquet(f"{tmp_dir}/shards")
+    assert sorted((r.doc_id, r.n_bytes or 0, r.shard_id) for r in back.collect()) == sorted(
+        (r.doc_id, r.n_bytes or 0, r.shard_id) for r in out.collect())
+    assert out.select("shard_id").distinct().count() > 5
+
+
+def test_null_and_repeated_ids(spark, docs):
+    """Every operator on rows without an id, and with the same id: a row each, as the docstrings say."""
+    text = "some words of a text that is long enough to have shingles " * 3
+    rows = [(None, text), (None, "other words"), (None, None), (7, "a b"), (7, "a b"), (7, text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    model = langid.fit(docs.select("doc_id", "text", "lang"))
+    spm, word, byte = P.path("piece_bpe_32k.model"), P.path("word_bpe_49k.json"), P.path("byte_bpe_multi_50k.tiktoken")
+    found = {"op1": langid.predict(df, model), "op2": lm_scoring.score_documents(df, spark.createDataFrame([(7,), (None,)], "doc_id long")),
+             "op3": token_counts.token_counts(df, spm), "op4": sharding.assign_shards(df.withColumn("n_bytes", F.lit(5)), limit=8),
+             "op7": packing.pack(df, word), "op8": exact_dedup.exact_dedup(df), "op9": bpe.encode_digests(df, byte, P.PATTERN)}
+    for name, out in found.items():
+        ids = [r.doc_id for r in out.select("doc_id").collect()]
+        assert (ids.count(None), ids.count(7)) == (3, 3), name

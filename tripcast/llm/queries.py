@@ -39,6 +39,16 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(rows)
 
 
+SMALL_SHARD_BYTES = 20_000
+
+
+def sharding_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4's operator with shards so small that the directory is split many times at every size."""
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    return sharding.assign_shards(rows, limit=SMALL_SHARD_BYTES)
+
+
 OP4_SQL = f"""
 WITH rows AS (
   SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes,
@@ -158,4 +168,5 @@ REGISTRY = {
     "op11_prefix_trie": (op11_prefix_trie, OP11_SQL),
     "op12_toxicity": (op12_toxicity, None),
     "op13_whitening": (op13_whitening, None),
+    "sharding_small": (sharding_small, OP4_SQL.replace(str(sharding.SHARD_BYTES), str(SMALL_SHARD_BYTES))),
 }
