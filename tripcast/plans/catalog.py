@@ -1464,10 +1464,31 @@ def forecast_gbt_q(spark, sf_dir):
     return forecast_gbt(_train(spark, sf_dir), HOLDOUT)
 
 
-@register("forecast_windowed", None)
+@register("forecast_windowed", _with(*SQL_EVAL_CHAIN) + """
+, st AS (SELECT avg(CAST(demand AS DOUBLE)) AS mu, stddev_pop(CAST(demand AS DOUBLE)) AS sd FROM train),
+s AS (SELECT region, list((demand - mu) / sd ORDER BY period) AS z, max(period) AS last FROM train, st GROUP BY region),
+pts AS (SELECT list_concat([1.0::DOUBLE], z[i - 7:i - 1]) AS x, z[i] AS y FROM s, range(8, len(z) + 1) t(i)),
+cell AS (SELECT a, b, sum(x[a] * CASE WHEN b <= 8 THEN x[b] ELSE y END) AS v FROM pts, range(1, 9) p(a), range(1, 10) q(b) GROUP BY a, b),
+m0 AS (SELECT list(r ORDER BY a) AS m FROM (SELECT a, list(v ORDER BY b) AS r FROM cell GROUP BY a)),
+sol AS (
+  WITH RECURSIVE r AS (
+    SELECT 0 AS done, m FROM m0
+    UNION ALL
+    SELECT done + 1, list_transform(range(1, 9), lambda i: list_transform(range(1, 10), lambda j:
+             CASE WHEN i = done + 1 THEN m[i][j] / m[i][i] ELSE m[i][j] - m[i][done + 1] / m[done + 1][done + 1] * m[done + 1][j] END))
+    FROM r WHERE done < 8)
+  SELECT list_transform(m, lambda w: w[9]) AS b FROM r WHERE done = 8),
+ahead AS (
+  WITH RECURSIVE r AS (
+    SELECT 0 AS h, region, last, z[len(z) - 6:] AS win, 0.0::DOUBLE AS new, b FROM s, sol
+    UNION ALL
+    SELECT h + 1, region, last, list_append(win[2:], nxt), nxt, b FROM (
+      SELECT *, b[1] + list_sum(list_transform(range(1, 8), lambda i: win[i] * b[i + 1])) AS nxt FROM r WHERE h < 30))
+  SELECT * FROM r WHERE h > 0)
+SELECT 'Windowed-LR' AS model, region, last + h * INTERVAL 1 DAY AS period, round(greatest(new * sd + mu, 0.0), 4) AS yhat FROM ahead, st""")
 def forecast_windowed_q(spark, sf_dir):
     """window-7 global model, recursion as an aggregate() fold."""
-    return forecast_windowed(_train(spark, sf_dir), HOLDOUT)
+    return forecast_windowed(_train(spark, sf_dir), HOLDOUT).withColumn("yhat", F.round("yhat", 4))
 
 
 @register("recursive_features", _with(*SQL_LINE[:-1]) + """
