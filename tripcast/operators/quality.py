@@ -325,7 +325,7 @@ def _examples(df: DataFrame, stats: DataFrame, file_col: str, names: list, masks
 def full_report_by_file(df: DataFrame, file_col: str, *, ts_col: str = PICKUP, stated_months=None,
                         month_col: Optional[str] = None, infer: bool = True, non_negative_columns=None,
                         order_key: Optional[str] = None, schemas: Optional[DataFrame] = None,
-                        files: Optional[list] = None) -> DataFrame:
+                        files: Optional[list] = None, stats: Optional[DataFrame] = None) -> DataFrame:
     """Q11: the whole report of every file (Q1, Q2, Q4, Q5, Q7-Q9) as rows
     ``REPORT_COLUMNS``; sections schema, nulls, date_range, duplicates, violations.
 
@@ -333,13 +333,15 @@ def full_report_by_file(df: DataFrame, file_col: str, *, ts_col: str = PICKUP, s
     its commonest month); ``schemas`` gives each file's own (file_name, ordinal,
     column, dtype), else all have the frame's; ``files`` is the order of the
     input (else by name). Files without rows are not in the frame, hence not in
-    the report. Duplicates are counted within a file.
+    the report. Duplicates are counted within a file. ``stats`` may be passed
+    where :func:`file_statistics` has been run already.
     """
     names = [c for c in df.columns if c not in (file_col, month_col)]
     masks = _domain_masks(df, non_negative_columns)
     kinds = [OUTSIDE_MONTH] + [n for n, _ in masks]
-    stats = file_statistics(df, file_col, ts_col=ts_col, stated_months=stated_months, month_col=month_col,
-                            infer=infer, non_negative_columns=non_negative_columns, order_key=order_key)
+    if stats is None:
+        stats = file_statistics(df, file_col, ts_col=ts_col, stated_months=stated_months, month_col=month_col,
+                                infer=infer, non_negative_columns=non_negative_columns, order_key=order_key)
     if schemas is None:
         fields = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("column"), F.lit(t).alias("dtype"))
                            for i, (n, t) in enumerate(df.select(*[F.col(f"`{c}`") for c in names]).dtypes)])
@@ -416,10 +418,12 @@ def validation_report(df: DataFrame, *, ts_col: str = PICKUP, stated_month="infe
         raise ValueError("stated_month must be a date, (y, m), 'infer' or None")
     one = df.withColumn("__file", F.lit("all"))
     given = None if stated_month is None or isinstance(stated_month, str) else {"all": stated_month}
-    rows = full_report_by_file(one, "__file", ts_col=ts_col, stated_months=given, infer=stated_month == "infer",
-                               non_negative_columns=non_negative_columns, order_key=order_key, files=["all"])
-    return rows.unionByName(_empty_report(one, ts_col).join(rows.select("section").distinct(), "section", "left_anti")
-                            .select(*REPORT_COLUMNS)).select("section", "ordinal", "key", "metric", "value", "text")
+    how = dict(ts_col=ts_col, stated_months=given, infer=stated_month == "infer",
+               non_negative_columns=non_negative_columns, order_key=order_key)
+    stats = file_statistics(one, "__file", **how)
+    rows = (full_report_by_file(one, "__file", files=["all"], stats=stats, **how) if stats.take(1)
+            else _empty_report(one, ts_col))
+    return rows.select("section", "ordinal", "key", "metric", "value", "text")
 
 
 def _empty_report(df: DataFrame, ts_col: str) -> DataFrame:
@@ -430,9 +434,8 @@ def _empty_report(df: DataFrame, ts_col: str) -> DataFrame:
     rows += [("duplicates", 0, "all_columns", "duplicate_count", 0.0, None)]
     if ts_col in df.columns:
         rows += [("date_range", i, ts_col, m, None, None) for i, m in enumerate(("min", "max"))]
-    made = df.sparkSession.createDataFrame(
+    return df.sparkSession.createDataFrame(
         rows, "section string, ordinal int, key string, metric string, value double, text string")
-    return made.withColumns({"file_ordinal": F.lit(0), "file": F.lit("all")})
 
 
 def validation_report_by_file(df: DataFrame, file_col: str, *, ts_col: str = PICKUP,
