@@ -300,6 +300,35 @@ def test_sharding(spark, docs, empty):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def broadcast_rows(df):
+    """Rows of each broadcast of the plan that ``df`` ran by."""
+    def walk(plan):
+        name = plan.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(plan.executedPlan())
+        if name.endswith("QueryStage"):
+            return walk(plan.plan())
+        own = [plan.metrics().apply("numOutputRows").value()] if name == "BroadcastExchange" else []
+        children = plan.children()
+        return own + [n for k in range(children.size()) for n in walk(children.apply(k))]
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_large_directory_is_not_broadcast(spark):
+    """More shards than one process should hold, and one id with an eighth of the rows."""
+    rows = spark.range(60_000).select(F.when(F.col("id") % 8 == 0, 5).otherwise(F.col("id")).alias("doc_id"), F.lit(20).alias("n_bytes"))
+    limit = 30
+    out = sharding.assign_shards(rows, limit=limit)
+    shards = defaultdict(list)
+    for r in out.collect():
+        shards[r.shard_id].append(r)
+    assert broadcast_rows(out) and max(broadcast_rows(out)) <= sharding.HEAVY
+    assert sum(map(len, shards.values())) == 60_000
+    for k, v in shards.items():
+        assert len(v) == 1 and all((r.shard_bytes, r.shard_rows, r.shard_depth, r.oversized) == (20, 1, len(k), False) for r in v)
+    assert sum(r.doc_id == 5 for v in shards.values() for r in v) == 7_501
+
+
 def test_nn_descent_against_brute_force(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((700, 24))

@@ -12,6 +12,11 @@ over as many shards as its bytes need.
 Counting is a partial aggregate by prefix; the sums for shorter prefixes are
 made from the longest, not from the rows.
 
+The directory grows with the input over the limit. Up to ``SMALL_DIRECTORY``
+entries it is broadcast; a larger one is shuffled to the rows, but for the few
+entries that hold more than 1/``HEAVY`` of the rows, which alone are broadcast:
+their rows stay where they are, so no task gets all rows of a hot id.
+
 Defined cases: null sizes count as 0; a null id is an id like any other; a row
 larger than the limit is a shard of its own, marked ``oversized``; an empty
 table gives an empty result. Input columns named like the added ones are
@@ -27,6 +32,8 @@ from tripcast.session import written
 
 SHARD_BYTES = 16 << 20
 FINER = 3          # bits of the directory beyond those that even sizes would need
+SMALL_DIRECTORY = 1 << 15   # entries, some 10 MB of them
+HEAVY = 1 << 10    # at most so many entries hold more than this part of the rows
 ID_BITS = ROW_BITS = 64
 ADDED = ["shard_id", "shard_depth", "shard_rows", "shard_bytes", "oversized"]
 
@@ -35,11 +42,13 @@ def _bits(hex16):
     return F.lpad(F.conv(hex16, 16, 2), 64, "0")
 
 
-def _directory(rows: DataFrame, low: int, high: int, limit: int) -> DataFrame:
+def _directory(rows: DataFrame, low: int, high: int, limit: int) -> tuple[DataFrame, bool]:
     """Entry (the first ``high`` bits) to shard, for entries that a prefix of
-    ``low`` to ``high`` bits brings within the limit; others have no shard."""
+    ``low`` to ``high`` bits brings within the limit; others have no shard.
+    And whether the directory is small."""
     cells = written(rows.groupBy(F.substring("__bits", 1, high).alias("entry")).agg(
         F.sum("__bytes").alias("bytes"), F.count(F.lit(1)).alias("n")), "directory-cells")
+    small = cells.count() <= SMALL_DIRECTORY
     paths = cells.select("entry", "bytes", "n", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth")) \
         .withColumn("prefix", F.expr("substring(entry, 1, depth)"))
     nodes = paths.groupBy("depth", "prefix").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
@@ -47,11 +56,25 @@ def _directory(rows: DataFrame, low: int, high: int, limit: int) -> DataFrame:
     # the shortest prefix that fits: its parent does not
     shards = written(fits, "directory-nodes").select("depth", "prefix", F.col("bytes").alias("shard_bytes"),
                                                      F.col("n").alias("shard_rows"))
-    found = paths.select("entry", "depth", "prefix").join(shards, ["depth", "prefix"]).groupBy("entry").agg(
+    # a row a depth and entry, hence shuffled whatever the directory's size
+    found = paths.select("entry", "depth", "prefix").join(shards.hint("merge"), ["depth", "prefix"]).groupBy("entry").agg(
         F.min(F.struct("depth", "prefix", "shard_bytes", "shard_rows")).alias("shard"))
-    return written(cells.select("entry", F.col("bytes").alias("entry_bytes")).join(found, "entry", "left").select(
-        "entry", "entry_bytes", F.col("shard.prefix").alias("shard_id"), F.col("shard.depth").alias("shard_depth"),
-        F.col("shard.shard_rows").alias("shard_rows"), F.col("shard.shard_bytes").alias("shard_bytes")), "directory")
+    entries = cells.select("entry", F.col("bytes").alias("entry_bytes"), F.col("n").alias("entry_rows"))
+    return written(entries.join(found if small else found.hint("merge"), "entry", "left").select(
+        "entry", "entry_bytes", "entry_rows", F.col("shard.prefix").alias("shard_id"),
+        F.col("shard.depth").alias("shard_depth"), F.col("shard.shard_rows").alias("shard_rows"),
+        F.col("shard.shard_bytes").alias("shard_bytes")), "directory"), small
+
+
+def _looked_up(rows: DataFrame, entries: DataFrame, small: bool, high: int) -> DataFrame:
+    """Every row with its entry's columns."""
+    rows = rows.withColumn("entry", F.substring("__bits", 1, high))
+    if small:
+        return rows.join(F.broadcast(entries), "entry")
+    total = entries.agg(F.sum("entry_rows")).first()[0]
+    heavy = entries.where(F.col("entry_rows") * HEAVY > total)  # fewer than HEAVY
+    others = rows.join(F.broadcast(heavy.select("entry")), "entry", "left_anti")
+    return rows.join(F.broadcast(heavy), "entry").unionByName(others.join(entries.hint("merge"), "entry"))
 
 
 def assign_shards(df: DataFrame, id_col: str = "doc_id", bytes_col: str = "n_bytes",
@@ -73,18 +96,17 @@ def assign_shards(df: DataFrame, id_col: str = "doc_id", bytes_col: str = "n_byt
         # first the bits that even sizes need and a few more, then all bits of the part
         deep = max(1, -(-largest // limit) - 1).bit_length() + FINER
         high = ceiling if low % ID_BITS else min(low + deep, ceiling)
-        entries = _directory(rows, low, high, limit)
-        part = rows.withColumn("entry", F.substring("__bits", 1, high)).join(
-            entries.where("shard_id is not null").drop("entry_bytes"), "entry").select(
-            *base, "shard_id", "shard_depth", "shard_rows", "shard_bytes",
-            (F.col("shard_bytes") > limit).alias("oversized"))
+        entries, small = _directory(rows, low, high, limit)
+        largest = entries.where("shard_id is null").agg(F.max("entry_bytes")).first()[0]
+        found = _looked_up(rows, entries, small, high)
+        if largest is not None:
+            found = written(found.select(*base, "__bits", "__bytes", *ADDED[:-1]), "looked-up-rows")
+        part = found.where("shard_id is not null").select(
+            *base, *ADDED[:-1], (F.col("shard_bytes") > limit).alias("oversized"))
         out = part if out is None else out.unionByName(part)
-        over = entries.where("shard_id is null")
-        largest = over.agg(F.max("entry_bytes")).first()[0]
         if largest is None:
             break
-        rows = written(rows.withColumn("entry", F.substring("__bits", 1, high)).join(
-            over.select("entry"), "entry", "left_semi").drop("entry"), "oversized-rows")
+        rows = found.where("shard_id is null").select(*base, "__bits", "__bytes")
         low = high
     return out
 
