@@ -5,11 +5,13 @@ import itertools
 import random
 import struct
 import time
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -300,6 +302,33 @@ def test_sharding(spark, docs, empty):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_lm_tables_in_little_memory(monkeypatch):
+    """A table is built slice by slice; counts are whole however often a task gives them out."""
+    rng = np.random.default_rng(2)
+    grams = np.unique(rng.integers(0, 1 << 24, 200_000))
+    n = rng.integers(1, 9, len(grams))
+    tracemalloc.start()
+    table = lm_scoring.log_probabilities(grams, n)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20  # the table itself has 64 MB
+    assert np.allclose(np.exp(table.reshape(-1, 256)[::97].astype(float)).sum(axis=1), 1, atol=1e-4)
+    mixed = rng.permutation(len(grams))
+    assert np.array_equal(lm_scoring.log_probabilities(grams[mixed], n[mixed]), table)
+
+    texts, chosen = ["abcd" * 50, None, "abce", ""] * 3, [True, False, False, None] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(chosen, pa.bool_())], names=["text", "target"])
+    sums = []
+    for most in (lm_scoring.CELL_MOST, 300):
+        monkeypatch.setattr(lm_scoring, "CELL_MOST", most)
+        total = defaultdict(lambda: np.zeros(2, int))
+        for out in lm_scoring._count([batch] * 4):
+            for k, *x in zip(*(c.to_pylist() for c in out.columns)):
+                total[k] += x
+        sums.append({k: tuple(x) for k, x in total.items()})
+    assert sums[0] == sums[1] and tuple(map(sum, zip(*sums[0].values()))) == (12 * (200 + 4), 12 * 200)
+
+
 def broadcast_rows(df):
     """Rows of each broadcast of the plan that ``df`` ran by."""
     def walk(plan):

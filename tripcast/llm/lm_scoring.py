@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripcast.llm.common import rows_flagged
+from tripcast.llm.common import in_small_batches, rows_flagged
 from tripcast.session import written
 
 ORDER = 3
@@ -31,6 +31,7 @@ TASKS_PER_CORE = 4   # of the counting job
 GRAMS = 1 << 8 * ORDER
 SMOOTHING = 16.0     # weight of the shorter context, in tokens
 BLOCK = 1 << 20      # bytes handled at a time
+CELL_MOST = (1 << 32) - 1   # n-grams that a task counts before it gives its counts out
 _START = b"\n\n"     # what stands before a text
 
 
@@ -61,47 +62,72 @@ def _blocks(column):
     yield group
 
 
+def _emitted(total: np.ndarray, target: np.ndarray):
+    keys = np.flatnonzero(total)
+    for lo in range(0, len(keys), 1 << 16):
+        k = keys[lo:lo + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in (
+            (k, np.int32), (total[k], np.int64), (target[k], np.int64))], names=["gram", "background", "target"])
+
+
 def _count(batches):
-    total, target = np.zeros(GRAMS, np.int64), np.zeros(GRAMS, np.int64)
+    # 32-bit cells, given out before any can be full
+    total, target, seen = np.zeros(GRAMS, np.uint32), np.zeros(GRAMS, np.uint32), 0
     for batch in batches:
         at = 0
         for group in _blocks(batch.column(0)):
             chosen = batch.column(1).slice(at, len(group)).to_pylist()
             at += len(group)
-            for of, counted in ((True, (total, target)), (False, (total,))):
-                keys, n = np.unique(_grams([t for t, c in zip(group, chosen) if c is of])[0], return_counts=True)
+            found = [(counted, _grams([t for t, c in zip(group, chosen) if c is of])[0])
+                     for of, counted in ((True, (total, target)), (False, (total,)))]
+            size = sum(len(grams) for _, grams in found)
+            if seen + size > CELL_MOST:
+                yield from _emitted(total, target)
+                total[:], target[:], seen = 0, 0, 0
+            seen += size
+            for counted, grams in found:
+                keys, n = np.unique(grams, return_counts=True)
                 for x in counted:
-                    x[keys] += n
-    keys = np.flatnonzero(total)
-    for lo in range(0, len(keys), 1 << 16):
-        k = keys[lo:lo + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(total[k]), pa.array(target[k])],
-                                         names=["gram", "background", "target"])
+                    x[keys] += n.astype(np.uint32)
+    yield from _emitted(total, target)
 
 
 def counts(texts: DataFrame) -> DataFrame:
     """gram, background and target counts, over (text, whether it is a target's).
 
-    A task emits its distinct n-grams once, however many input partitions it
-    reads, so it reads several in turn: most n-grams are common to all.
+    A task emits its distinct n-grams once (again after 2^32 of them), however
+    many input partitions it reads, so it reads several in turn: most n-grams
+    are common to all.
     """
     tasks = TASKS_PER_CORE * texts.sparkSession.sparkContext.defaultParallelism
-    return texts.coalesce(tasks).mapInArrow(_count, "gram int, background long, target long").groupBy("gram").agg(
+    return in_small_batches(texts).coalesce(tasks).mapInArrow(_count, "gram int, background long, target long").groupBy("gram").agg(
         F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
 def log_probabilities(grams: np.ndarray, n: np.ndarray) -> np.ndarray:
     """ln P(byte | two bytes before) of all n-grams, from counts."""
-    tri = np.zeros(GRAMS)
-    tri[grams] = n
-    tri = tri.reshape(256, 256, 256)
-    bi, uni = tri.sum(axis=0), tri.sum(axis=(0, 1))
+    if (grams[1:] < grams[:-1]).any():
+        order = np.argsort(grams)
+        grams, n = grams[order], n[order]
+    edges = np.searchsorted(grams, np.arange(257) << 16)
+
+    def counted(a):  # a slice of the table, by its first byte
+        out = np.zeros(1 << 16)
+        lo, hi = edges[a:a + 2]
+        out[grams[lo:hi] & 0xFFFF] = n[lo:hi]
+        return out.reshape(256, 256)
+
+    bi, uni = np.zeros((256, 256)), np.zeros(256)
+    for a in range(256):
+        tri = counted(a)
+        bi += tri
+        uni = np.concatenate((uni[None], tri)).sum(axis=0)
     p = (uni + 1) / (uni.sum() + 256)
     p = (bi + SMOOTHING * p) / (bi.sum(axis=1, keepdims=True) + SMOOTHING)
-    context = tri.sum(axis=2)
     out = np.empty((256, 256, 256), np.float32)
     for a in range(256):  # one slice at a time, to hold one table only
-        out[a] = np.log((tri[a] + SMOOTHING * p) / (context[a][:, None] + SMOOTHING))
+        tri = counted(a)
+        out[a] = np.log((tri + SMOOTHING * p) / (tri.sum(axis=1)[:, None] + SMOOTHING))
     return out.reshape(-1)
 
 
@@ -129,7 +155,7 @@ def fit(texts: DataFrame) -> dict:
 def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background and score of every whole text."""
     sent = df.sparkSession.sparkContext.broadcast(model)
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = in_small_batches(df).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
         target, background = _tables(sent.value)
