@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tripcast.params import TEST_SCOPE
 from tripcast.plans import jobs as J
 from tripcast.sources import tables as T
@@ -29,3 +31,20 @@ def test_user_series_forecast(spark):
     out = J.forecast_user_series(s.select("period", "region", "demand"), TEST_SCOPE)
     assert out["wide"].count() == 14 and out["wide"].columns[:2] == ["period", "TOTAL"]
     assert out["metrics"].where("mae IS NOT NULL").count() == 1
+
+
+def test_models_read_the_series_once(spark):
+    """However many candidates there are, what is under the series is worked out once."""
+    from tripcast.operators.forecast.naive import seasonal_naive
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return x
+    demand = F.udf(counted, "long").asNondeterministic()
+    series = spark.range(120).select(F.expr("timestamp_ntz'1997-01-01 00:00:00' + make_dt_interval(int(id / 2))").alias("period"),
+                                     F.when(F.col("id") % 2 == 0, "A").otherwise("B").alias("region"), demand("id").alias("demand"))
+    cands = {f"m{k}": lambda t, h: seasonal_naive(t, h, 7) for k in range(3)}
+    out = J.train_and_evaluate(series, TEST_SCOPE, candidates=cands)
+    assert out["comparison"].count() == 3 and out["actual"].count() == TEST_SCOPE.holdout_periods
+    assert seen.value == 120

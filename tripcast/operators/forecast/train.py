@@ -22,7 +22,7 @@ from tripcast.operators.forecast.naive import seasonal_naive
 from tripcast.operators.forecast.smoothing import forecast_holt_winters
 from tripcast.operators.forecast.var import forecast_var
 from tripcast.operators.forecast.windowed import forecast_windowed
-from tripcast.session import ensure_checkpoint_dir, materialize
+from tripcast.session import ensure_checkpoint_dir, materialize, written
 
 
 def default_candidates(gbt_params: dict | None = None) -> dict[str, Callable]:
@@ -43,6 +43,7 @@ def train_all(candidates: Mapping[str, Callable], train: DataFrame, horizon: int
     """Returns ``(forecasts, status)`` unions over all candidates."""
     spark = train.sparkSession
     ensure_checkpoint_dir(spark)
+    train = written(train, "train")  # every candidate reads it several times
     fcs, sts = [], []
     for name, fn in candidates.items():
         try:

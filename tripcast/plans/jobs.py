@@ -74,7 +74,8 @@ def train_and_evaluate(series: DataFrame, scope: Scope, candidates=None, gbt_par
     from tripcast.operators import position as B
     from tripcast.operators.forecast.split import split_holdout
     from tripcast.operators.forecast.train import default_candidates, model_status, train_all
-    base = series.select("period", "region", "demand")
+    # read by every model and score: the trips are counted once
+    base = written(series.select("period", "region", "demand"), "series")
     train, hold = split_holdout(base, scope.holdout_periods)
     cands = candidates or default_candidates(gbt_params)
     fc, status = train_all(cands, train, scope.holdout_periods)
