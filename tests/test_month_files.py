@@ -224,3 +224,32 @@ def test_append_stream_resumes_and_is_whole(spark, feed, tmp_dir):
     one_file(trips(spark, [(datetime(2020, 6, 1), 2)]), tmp_dir, "fhvhv_2020-06.parquet")
     again, opened = run()
     assert opened == [(datetime(2020, 6, 1), "2", 1)] and len(again) == 4 and set(closed) < set(again)
+
+
+def test_labels_of_paths(spark):
+    """The last two parts of a path say which month file it is, as the whole path does."""
+    from tripcast.sources.files import MONTH_LABEL_PATTERN, month_label, stated_month_from_name
+    n = "fhvhv_tripdata_1997-05.parquet"
+    paths = [n, f"/{n}", f"s3://a/b/{n}", f"file:/a/file={n}/part-0.snappy.parquet", f"/a/{n}/x/y.parquet", f"/a/{n}/", "/a/x.parquet",
+             "/A/FHVHV_1997-05.PARQUET", f"/a/x{n}", f"/a={n}", f"{n}/p.parquet", "", None, "/fhvhv_1997-13.parquet", "/fhvhv_0000-01.parquet"]
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").select(
+        month_label(F.col("path")).alias("label"), F.regexp_extract("path", MONTH_LABEL_PATTERN, 1).alias("whole"))
+    got = rows.withColumn("month", stated_month_from_name("label").cast("string")).collect()
+    assert [r.label for r in got] == [r.whole for r in got] and sum(bool(r.label) for r in got) == 9
+    assert [str(r.month) for r in got if r.label] == ["1997-05-01"] * 7 + ["None", "0000-01-01"]
+
+
+def test_replayed_merge_reads_its_files_once(spark, monkeypatch):
+    """One feed, and one reading of a micro-batch's files for all its attempts."""
+    from tripcast.plans import catalog_files as C
+    feeds, seen = [], spark.sparkContext.accumulator(0)
+    month_feed, in_month = C.month_feed, X.in_stated_month
+
+    def counted(day):
+        seen.add(1)
+        return day
+    monkeypatch.setattr(C, "month_feed", lambda *a: feeds.append(month_feed(*a)) or feeds[-1])
+    monkeypatch.setattr(X, "in_stated_month", lambda df: in_month(df).withColumn(
+        "pickup_datetime", F.udf(counted, "timestamp_ntz").asNondeterministic()("pickup_datetime")))
+    total = C.merge_stream_replayed_q(spark, SF).agg(F.sum("demand")).first()[0]
+    assert len(feeds) == 1 and 0 < total <= seen.value < 2 * total

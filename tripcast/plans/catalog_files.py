@@ -202,21 +202,23 @@ SELECT date_trunc('day', pickup_datetime)::TIMESTAMP AS period, region, count(*)
 FROM feed JOIN zones ON PULocationID = zone WHERE month = stated_month GROUP BY ALL"""
 
 
-def _month_stream(spark, sf_dir, files_per_batch=None):
+def _month_stream(spark, sf_dir, batches=None):
+    """Trips of the month files as a stream, in at least so many micro-batches if there are as many files."""
     feed = month_feed(spark, sf_dir)
     listed = M.list_month_files(spark, feed).select(M.FILE, "path").collect()
     schema = M.widened(M.schema_groups(spark, [(r[0], r[1]) for r in listed]))
+    files_per_batch = max(1, -(-len(listed) // batches)) if batches else None
     trips = X.in_stated_month(X.stream_trips(spark, feed, schema, files_per_batch))
     zones = T.zone_lookup_customers(spark, sf_dir).select(
         F.col("LocationID").alias("PULocationID"), F.col("Borough").alias("region"))
-    return trips.join(zones, "PULocationID"), len(listed)
+    return trips.join(zones, "PULocationID")
 
 
 @register("stream_month_files", SQL_STREAMED)
 def stream_month_files_q(spark, sf_dir):
     """Month files as a stream, checked against their month, appended
     day by day to files in the shared folder; open days from the state."""
-    trips, _ = _month_stream(spark, sf_dir)
+    trips = _month_stream(spark, sf_dir)
     path = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
     X.append_daily_counts(X.daily_counts(trips, watermark="2 days"), f"{path}/days", f"{path}/checkpoint")
     return X.closed_days(spark, f"{path}/days").unionByName(X.open_days(spark, f"{path}/checkpoint"))
@@ -226,17 +228,17 @@ def stream_month_files_q(spark, sf_dir):
 def merge_stream_replayed_q(spark, sf_dir):
     """Three or more micro-batches merged; every one is staged by an attempt that
     crashes before its commit, replayed, and replayed again after its commit."""
-    trips, parts = _month_stream(spark, sf_dir)
-    feed_batches = max(1, -(-parts // 3))
-    trips, _ = _month_stream(spark, sf_dir, feed_batches)
+    trips = _month_stream(spark, sf_dir, batches=3)
     path = scratch_path(spark, f"merge-{uuid.uuid4().hex}")
     merge = X.merge_stream_batch(f"{path}/series")
 
     def crashing(batch, batch_id):
+        batch = batch.persist()  # a total a day and region; every action on it would read the batch's files again
         half = batch.withColumn("demand", F.col("demand") + 1).where(F.pmod(F.xxhash64("period", "region"), F.lit(2)) == 0)
         X.stage_batch(half, batch_id, f"{path}/series")  # what a lost attempt may leave
         merge(batch, batch_id)
         merge(batch.withColumn("demand", F.lit(-1)), batch_id)  # a replay after the commit
+        batch.unpersist()
         if batch_id == 1:
             X.compact(spark, f"{path}/series")
 

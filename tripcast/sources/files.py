@@ -60,10 +60,15 @@ def read_trips(spark: SparkSession, path: str | Sequence[str],
 def stated_month_from_name(name_col) -> "F.Column":
     """DATE of the month in a monthly file name; NULL when the name does not match."""
     c = F.col(name_col) if isinstance(name_col, str) else name_col
-    y = F.regexp_extract(c, MONTH_FILE_PATTERN, 2)
-    m = F.regexp_extract(c, MONTH_FILE_PATTERN, 3)
-    return F.when(y != "", F.try_make_timestamp_ntz(y.cast("int"), m.cast("int"), F.lit(1),
-                                                    F.lit(0), F.lit(0), F.lit(0)).cast("date"))
+    # one match a row: the name ends in YYYY-MM.parquet if there is one
+    part = lambda n, start, length: F.substring(n, start, length).try_cast("int")
+    return F.transform(F.array(F.regexp_extract(c, MONTH_FILE_PATTERN, 0)), lambda n: F.try_make_timestamp_ntz(
+        part(n, -15, 4), part(n, -10, 2), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).cast("date"))[0]
+
+
+def month_label(path_col) -> "F.Column":
+    """The month file (or the month file's folder) that a path names; '' if none."""
+    return F.regexp_extract(F.substring_index(path_col, "/", -2), MONTH_LABEL_PATTERN, 1)
 
 
 def read_month_files(spark: SparkSession, data_dir: str, columns: Optional[Sequence[str]] = None,

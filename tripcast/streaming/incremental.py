@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tripcast.functions.columns import epoch_seconds, month_start
-from tripcast.sources.files import MONTH_LABEL_PATTERN, stated_month_from_name, stored_or_none
+from tripcast.sources.files import month_label, stated_month_from_name, stored_or_none
 
 COUNTS_SCHEMA = "period timestamp_ntz, region string, demand long"
 COMMIT_SCHEMA = "batch long, kind string, committed_at timestamp"
@@ -42,7 +42,7 @@ def stream_trips(spark: SparkSession, data_dir: str, schema: StructType,
     df = r.parquet(data_dir)
     if not monthly_names:
         return df.withColumn("file_name", F.col("_metadata.file_name"))
-    df = df.withColumn("file_name", F.regexp_extract(F.col("_metadata.file_path"), MONTH_LABEL_PATTERN, 1))
+    df = df.withColumn("file_name", month_label(F.col("_metadata.file_path")))
     df = df.withColumn("stated_month", stated_month_from_name("file_name"))
     return df.where(F.col("stated_month").isNotNull())
 
